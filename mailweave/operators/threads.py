@@ -36,7 +36,7 @@ def with_subject_thread(emails: DataFrame) -> DataFrame:
     """Add ``thread_key`` and ``thread_id``.  No shuffle: both depend on the row alone."""
     key = subject_key(F.col("archive_id"), F.col("subject"))
     return emails.withColumn("thread_key", key).withColumn(
-        "thread_id", F.sha2(F.concat_ws("\u0000", F.col("archive_id").cast("string"), "thread_key"), 256))
+        "thread_id", F.sha2(F.concat_ws("\u001f", F.col("archive_id").cast("string"), "thread_key"), 256))
 
 
 def threads_by_subject(emails: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def match_or_create(groups: DataFrame, existing: DataFrame) -> DataFrame:
     by_root = existing.filter(F.col("root_message_id").isNotNull()).groupBy("root_message_id").agg(
         F.min("id").alias("_by_root"))
     by_subject = existing.groupBy("subject_normalized").agg(F.min("id").alias("_by_subject"))
-    fresh = F.sha2(F.concat(F.lit("thread\u0000"), F.col("subject_normalized")), 256)
+    fresh = F.sha2(F.concat(F.lit("thread\u001f"), F.col("subject_normalized")), 256)
     return (
         groups.join(by_root, "root_message_id", "left").join(by_subject, "subject_normalized", "left")
         .withColumn("thread_id", F.coalesce("_by_root", "_by_subject", fresh))

@@ -82,11 +82,11 @@ def contract_problems(
     return spark.createDataFrame(found, "`table` string, `column` string, problem string")
 
 
-def overlong_values(emails: DataFrame) -> DataFrame:
-    """Mails with a bounded column longer than declared, as ``(id, column, length)``; these go to the rejects."""
+def overlong_values(emails: DataFrame, limits: dict[str, int] = MAX_LENGTHS) -> DataFrame:
+    """Values longer than declared, as ``(id, column, length)``; such mails belong to the rejects."""
     sizes = F.array(*[
         F.struct(F.lit(name).alias("column"), F.length(name).cast("long").alias("length"), F.lit(limit).alias("limit"))
-        for name, limit in MAX_LENGTHS.items() if name in emails.columns
+        for name, limit in limits.items() if name in emails.columns
     ])
     return (
         emails.select("id", F.explode(sizes).alias("s"))

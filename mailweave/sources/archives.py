@@ -150,18 +150,17 @@ def scan_archives(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_scan, SCAN_SCHEMA)
 
 
-def parse_messages(messages: DataFrame, key: str = "id", raw: str = "raw") -> DataFrame:
-    """Decode a column of message bytes; every other column is dropped but ``key``."""
-    kind = messages.schema[key].dataType.simpleString()
+def parse_messages(messages: DataFrame, keep: tuple[str, ...] = ("id",), raw: str = "raw") -> DataFrame:
+    """Decode a column of message bytes next to the columns of ``keep``."""
+    kept = messages.select(*keep)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
 
     def run(batches):
         for batch in batches:
-            rows = [{key: k, **_parse(bytes(r))} for k, r in zip(batch[key], batch[raw])]
-            frame = _frame(rows, [key, *_RAW_NAMES])
-            frame[key] = batch[key].to_numpy()
-            yield frame
+            frame = _frame([_parse(bytes(r)) for r in batch[raw]], _RAW_NAMES)
+            yield pd.concat([batch[list(keep)].reset_index(drop=True), frame], axis=1)
 
-    return messages.select(key, raw).mapInPandas(run, f"`{key}` {kind}, {_RAW_FIELDS}")
+    return messages.select(*keep, raw).mapInPandas(run, f"{schema}, {_RAW_FIELDS}")
 
 
 def accepted(decoded: DataFrame) -> DataFrame:
@@ -192,7 +191,7 @@ def archive_id(path=None):
 def emails_from_scan(scanned: DataFrame) -> DataFrame:
     """Fact-table rows of scanned archive members."""
     return accepted(scanned).select(
-        F.sha2(F.concat_ws("\u0000", archive_id(), "entry_path"), 256).alias("id"), archive_id().alias("archive_id"),
+        F.sha2(F.concat_ws("\u001f", archive_id(), "entry_path"), 256).alias("id"), archive_id().alias("archive_id"),
         "message_id", "in_reply_to", "references_header", "sender", "receivers", "cc", "subject", "body_text",
         "body_html", "sent_at", extractive_summary(F.col("subject"), F.col("body_text")).alias("summary"),
         F.element_at(F.split("entry_path", "/"), -1).alias("source_file"), "entry_path",
