@@ -74,7 +74,6 @@ def tokens(text: Column) -> Column:
 # ---- Porter stemming (Porter 1980, with the author's later revisions) -------------------------------------
 # Inside the steps a consonantal y is written Y, so a vowel is simply one of aeiouy.
 _V, _C = "[aeiouy]", "[^aeiouy]"
-_HAS_VOWEL = _V
 _M_POSITIVE = f"^{_C}*{_V}+{_C}"
 _M_ABOVE_ONE = f"^{_C}*{_V}+{_C}+{_V}+{_C}"
 _SHORT_END = f"{_C}{_V}[^aeiouywxY]$"
@@ -98,65 +97,98 @@ def _without(word: Column, count) -> Column:
     return F.left(word, F.length(word) - count)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` applied to ``value``, which is computed once and named.
+
+    Plain substitution would double the expression at every use; filters pushed through a chain of such steps would
+    grow it without bound.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _rewrite(word: Column, rules: dict[str, str]) -> Column:
     # Anchored at the end, the leftmost match is the longest suffix.
-    suffix = F.regexp_extract(word, f"({'|'.join(rules)})$", 1)
-    base = _without(word, F.length(suffix))
     table = F.create_map(*[F.lit(x) for rule in rules.items() for x in rule])
-    applies = (suffix != "") & base.rlike(_M_POSITIVE)
-    return F.when(applies, F.concat(base, F.try_element_at(table, suffix))).otherwise(word)
 
+    def with_suffix(suffix: Column) -> Column:
+        base = _without(word, F.length(suffix))
+        return F.when((suffix != "") & base.rlike(_M_POSITIVE), F.concat(base, F.try_element_at(table, suffix))).otherwise(word)
 
-def with_stem(rows: DataFrame, token: str, term: str = "term") -> DataFrame:
-    """Add ``term``: the folded, stemmed form of ``token``.
+    return _let(F.regexp_extract(word, f"({'|'.join(rules)})$", 1), with_suffix)
 
-    Each step is its own projection, so the word of one step is computed once and read by the next.
-    """
-    w, cut = "_word", "_cut"
-    word = F.col(w)
-    stems = F.length(word) > 2
 
-    out = rows.withColumn(w, fold(F.col(token)))
+def _mark_y(word: Column) -> Column:
     marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(word, "^y", "Y"), "([aeiou])y", "$1Y"), "yy", "yY")
-    out = out.withColumn(w, F.when(stems & F.contains(word, F.lit("y")), marked).otherwise(word))
-    out = out.withColumn("_long", stems)
-
-    def step(frame: DataFrame, value: Column, guard: Column | None = None) -> DataFrame:
-        condition = F.col("_long") if guard is None else F.col("_long") & guard
-        return frame.withColumn(w, F.when(condition, value).otherwise(word))
-
-    # Plurals.
-    out = step(out, F.regexp_replace(word, "(?:(ss)es|(i)es|([^s])s)$", "$1$2$3"), word.endswith("s"))
-    # Past and progressive forms; the remainder may get an e back or lose a doubled consonant.
-    out = out.withColumn(cut, F.when(word.endswith("eed"), F.lit(""))
-                         .when(word.endswith("ed"), _without(word, 2))
-                         .when(word.endswith("ing"), _without(word, 3)).otherwise(F.lit("")))
-    rest = F.col(cut)
-    last_two = F.lower(F.right(rest, F.lit(2)))
-    doubled = (F.length(rest) > 1) & (F.left(last_two, F.lit(1)) == F.right(last_two, F.lit(1)))
-    repaired = (
-        F.when(rest.rlike("(?:at|bl|iz)$"), F.concat(rest, F.lit("e")))
-        .when(doubled & rest.rlike(f"{_C}$"),
-              F.when(rest.rlike("[lsz]$"), rest).otherwise(_without(rest, 1)))
-        .when(rest.rlike(_SHORT_WORD), F.concat(rest, F.lit("e")))
-        .otherwise(rest)
+    return F.when(F.contains(word, F.lit("y")), marked).otherwise(word)
+
+
+def _plural(word: Column) -> Column:
+    return F.when(word.endswith("s"), F.regexp_replace(word, "(?:(ss)es|(i)es|([^s])s)$", "$1$2$3")).otherwise(word)
+
+
+def _past(word: Column) -> Column:
+    """Past and progressive forms; what remains may get an e back or lose a doubled consonant."""
+    def repaired(rest: Column) -> Column:
+        last_two = F.lower(F.right(rest, F.lit(2)))
+        doubled = (F.length(rest) > 1) & (F.left(last_two, F.lit(1)) == F.right(last_two, F.lit(1)))
+        fixed = (
+            F.when(rest.rlike("(?:at|bl|iz)$"), F.concat(rest, F.lit("e")))
+            .when(doubled & rest.rlike(f"{_C}$"), F.when(rest.rlike("[lsz]$"), rest).otherwise(_without(rest, 1)))
+            .when(rest.rlike(_SHORT_WORD), F.concat(rest, F.lit("e")))
+            .otherwise(rest)
+        )
+        return F.when(rest.rlike(_V), fixed).otherwise(word)
+
+    ending = F.when(word.endswith("ed"), 2).otherwise(3)
+    return (
+        F.when(word.endswith("eed"), F.when(_without(word, 3).rlike(_M_POSITIVE), _without(word, 1)).otherwise(word))
+        .when(word.endswith("ed") | word.endswith("ing"), _let(_without(word, ending), repaired))
+        .otherwise(word)
     )
-    out = step(out, F.when(word.endswith("eed"),
-                           F.when(_without(word, 3).rlike(_M_POSITIVE), _without(word, 1)).otherwise(word))
-               .when(rest.rlike(_HAS_VOWEL), repaired).otherwise(word), word.rlike("(?:ed|ing)$"))
-    # Final y.
-    out = step(out, F.regexp_replace(word, "[yY]$", "i"), word.rlike(f"{_V}.*[yY]$"))
-    # Double and single derivational suffixes.
-    out = step(out, _rewrite(word, _STEP_TWO), word.rlike("[lirnsm]$"))
-    out = step(out, _rewrite(word, _STEP_THREE), word.rlike("[eils]$"))
-    suffix = F.regexp_extract(word, f"({'|'.join(_STEP_FOUR)})$", 1)
-    out = out.withColumn(cut, F.when(F.col("_long"), suffix).otherwise(F.lit("")))
-    base = _without(word, F.length(cut))
-    removable = (rest != "") & ((rest != "ion") | base.rlike("[st]$")) & base.rlike(_M_ABOVE_ONE)
-    out = step(out, base, removable)
-    # Final e, then a doubled l.
+
+
+def _final_y(word: Column) -> Column:
+    return F.when(word.rlike(f"{_V}.*[yY]$"), F.regexp_replace(word, "[yY]$", "i")).otherwise(word)
+
+
+def _step_two(word: Column) -> Column:
+    return F.when(word.rlike("[lirnsm]$"), _rewrite(word, _STEP_TWO)).otherwise(word)
+
+
+def _step_three(word: Column) -> Column:
+    return F.when(word.rlike("[eils]$"), _rewrite(word, _STEP_THREE)).otherwise(word)
+
+
+def _step_four(word: Column) -> Column:
+    def without(suffix: Column) -> Column:
+        base = _without(word, F.length(suffix))
+        removable = (suffix != "") & ((suffix != "ion") | base.rlike("[st]$")) & base.rlike(_M_ABOVE_ONE)
+        return F.when(removable, base).otherwise(word)
+
+    return _let(F.regexp_extract(word, f"({'|'.join(_STEP_FOUR)})$", 1), without)
+
+
+def _final_e(word: Column) -> Column:
     base = _without(word, 1)
-    drop_e = base.rlike(_M_ABOVE_ONE) | (base.rlike(_M_POSITIVE) & ~base.rlike(_SHORT_END))
-    out = step(out, base, word.endswith("e") & drop_e)
-    out = step(out, _without(word, 1), word.endswith("ll") & word.rlike(_M_ABOVE_ONE))
-    return out.withColumn(term, F.translate(word, "Y", "y")).drop(w, cut, "_long")
+    drop = base.rlike(_M_ABOVE_ONE) | (base.rlike(_M_POSITIVE) & ~base.rlike(_SHORT_END))
+    return F.when(word.endswith("e") & drop, base).otherwise(word)
+
+
+def _final_l(word: Column) -> Column:
+    return F.when(word.endswith("ll") & word.rlike(_M_ABOVE_ONE), _without(word, 1)).otherwise(word)
+
+
+def stem(token: Column) -> Column:
+    """The folded, stemmed form of a lower-case word; up to two letters stay as they are."""
+    def stemmed(folded: Column) -> Column:
+        word = folded
+        for step in (_mark_y, _plural, _past, _final_y, _step_two, _step_three, _step_four, _final_e, _final_l):
+            word = _let(word, step)
+        return F.when(F.length(folded) > 2, F.translate(word, "Y", "y")).otherwise(folded)
+
+    return _let(fold(token), stemmed)
+
+
+def with_stem(rows: DataFrame, token: str, term: str = "term") -> DataFrame:
+    """Add ``term``, the stem of ``token``."""
+    return rows.withColumn(term, stem(F.col(token)))
