@@ -11,13 +11,15 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailweave.functions.text import let
+
 MAX_TOKEN_CHARS = 255
 
 # Words after the Unicode word-boundary rules: letters, digits, marks and low lines; a full stop, apostrophe,
 # colon or middle dot joins two letters, a full stop, comma, semicolon or apostrophe joins two digits.
 # Ideographs and hiragana stand alone.
 _SINGLE = r"[\p{IsHan}\p{IsHiragana}]"
-_WORD = r"(?:(?![\p{IsHan}\p{IsHiragana}])[\p{L}\p{N}\p{M}_])"
+_WORD = r"[\p{L}\p{N}\p{M}_&&[^\p{IsHan}\p{IsHiragana}]]"
 _JOINT = r"(?:(?<=\p{L}|\p{M})[.:·'’‘․](?=\p{L})|(?<=\p{N})[.,;'’‘․](?=\p{N}))"
 TOKEN = rf"{_SINGLE}\p{{M}}*|{_WORD}++(?:{_JOINT}{_WORD}++)*+"
 
@@ -55,16 +57,20 @@ def fold(value: Column) -> Column:
     for letter, plain in _SPECIAL.items():
         if len(plain) > 1:
             folded = F.replace(folded, F.lit(letter), F.lit(plain))
-    return F.when(value.rlike(r"[^\x00-\x7f]"), folded).otherwise(value)
+    return F.when(F.octet_length(value) > F.char_length(value), folded).otherwise(value)
 
 
 def surface_tokens(text: Column) -> Column:
     """Words as written; a word over 255 characters is cut into pieces of that length."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
-    pieces = F.flatten(F.transform(found, lambda t: F.transform(
-        F.sequence(F.lit(1), F.length(t), F.lit(MAX_TOKEN_CHARS)),
-        lambda at: F.substring(t, at, F.lit(MAX_TOKEN_CHARS)))))
-    return F.when(F.exists(found, lambda t: F.length(t) > MAX_TOKEN_CHARS), pieces).otherwise(found)
+
+    def cut(words: Column) -> Column:
+        pieces = F.flatten(F.transform(words, lambda t: F.transform(
+            F.sequence(F.lit(1), F.length(t), F.lit(MAX_TOKEN_CHARS)),
+            lambda at: F.substring(t, at, F.lit(MAX_TOKEN_CHARS)))))
+        return F.when(F.exists(words, lambda t: F.length(t) > MAX_TOKEN_CHARS), pieces).otherwise(words)
+
+    return let(found, cut)
 
 
 def tokens(text: Column) -> Column:
@@ -97,13 +103,9 @@ def _without(word: Column, count) -> Column:
     return F.left(word, F.length(word) - count)
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` applied to ``value``, which is computed once and named.
-
-    Plain substitution would double the expression at every use; filters pushed through a chain of such steps would
-    grow it without bound.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _ends_in(word: Column, suffixes) -> Column:
+    """Cheap first test: do the last two letters belong to any of the suffixes?"""
+    return F.substring(word, -2, 2).isin(sorted({suffix[-2:] for suffix in suffixes}))
 
 
 def _rewrite(word: Column, rules: dict[str, str]) -> Column:
@@ -114,7 +116,8 @@ def _rewrite(word: Column, rules: dict[str, str]) -> Column:
         base = _without(word, F.length(suffix))
         return F.when((suffix != "") & base.rlike(_M_POSITIVE), F.concat(base, F.try_element_at(table, suffix))).otherwise(word)
 
-    return _let(F.regexp_extract(word, f"({'|'.join(rules)})$", 1), with_suffix)
+    found = let(F.regexp_extract(word, f"({'|'.join(rules)})$", 1), with_suffix)
+    return F.when(_ends_in(word, rules), found).otherwise(word)
 
 
 def _mark_y(word: Column) -> Column:
@@ -142,21 +145,22 @@ def _past(word: Column) -> Column:
     ending = F.when(word.endswith("ed"), 2).otherwise(3)
     return (
         F.when(word.endswith("eed"), F.when(_without(word, 3).rlike(_M_POSITIVE), _without(word, 1)).otherwise(word))
-        .when(word.endswith("ed") | word.endswith("ing"), _let(_without(word, ending), repaired))
+        .when(word.endswith("ed") | word.endswith("ing"), let(_without(word, ending), repaired))
         .otherwise(word)
     )
 
 
 def _final_y(word: Column) -> Column:
-    return F.when(word.rlike(f"{_V}.*[yY]$"), F.regexp_replace(word, "[yY]$", "i")).otherwise(word)
+    last = word.endswith("y") | word.endswith("Y")
+    return F.when(last & word.rlike(f"{_V}.*[yY]$"), F.regexp_replace(word, "[yY]$", "i")).otherwise(word)
 
 
 def _step_two(word: Column) -> Column:
-    return F.when(word.rlike("[lirnsm]$"), _rewrite(word, _STEP_TWO)).otherwise(word)
+    return _rewrite(word, _STEP_TWO)
 
 
 def _step_three(word: Column) -> Column:
-    return F.when(word.rlike("[eils]$"), _rewrite(word, _STEP_THREE)).otherwise(word)
+    return _rewrite(word, _STEP_THREE)
 
 
 def _step_four(word: Column) -> Column:
@@ -165,13 +169,14 @@ def _step_four(word: Column) -> Column:
         removable = (suffix != "") & ((suffix != "ion") | base.rlike("[st]$")) & base.rlike(_M_ABOVE_ONE)
         return F.when(removable, base).otherwise(word)
 
-    return _let(F.regexp_extract(word, f"({'|'.join(_STEP_FOUR)})$", 1), without)
+    found = let(F.regexp_extract(word, f"({'|'.join(_STEP_FOUR)})$", 1), without)
+    return F.when(_ends_in(word, _STEP_FOUR), found).otherwise(word)
 
 
 def _final_e(word: Column) -> Column:
     base = _without(word, 1)
     drop = base.rlike(_M_ABOVE_ONE) | (base.rlike(_M_POSITIVE) & ~base.rlike(_SHORT_END))
-    return F.when(word.endswith("e") & drop, base).otherwise(word)
+    return F.when(word.endswith("e"), F.when(drop, base).otherwise(word)).otherwise(word)
 
 
 def _final_l(word: Column) -> Column:
@@ -183,10 +188,10 @@ def stem(token: Column) -> Column:
     def stemmed(folded: Column) -> Column:
         word = folded
         for step in (_mark_y, _plural, _past, _final_y, _step_two, _step_three, _step_four, _final_e, _final_l):
-            word = _let(word, step)
+            word = let(word, step)
         return F.when(F.length(folded) > 2, F.translate(word, "Y", "y")).otherwise(folded)
 
-    return _let(fold(token), stemmed)
+    return let(fold(token), stemmed)
 
 
 def with_stem(rows: DataFrame, token: str, term: str = "term") -> DataFrame:

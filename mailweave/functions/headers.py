@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mailweave.functions.text import BLANK, UNICODE, collapse, strip
+from mailweave.functions.text import BLANK, collapse, let, strip
 
 UNKNOWN_SENDER = "unknown@local"
 
@@ -16,9 +16,11 @@ def _nullif_empty(value: Column) -> Column:
 
 def address(header: Column) -> Column:
     """Lower-case address of one header value: the bracketed part where there is one, else the whole value."""
-    value = strip(F.coalesce(header, F.lit("")))
-    bracketed = _nullif_empty(F.regexp_extract(value, r"<\s*([^<>]*?)\s*>", 1))
-    return F.lower(F.coalesce(bracketed, value))
+    def bare(value: Column) -> Column:
+        bracketed = F.regexp_extract(value, r"<\s*([^<>]*?)\s*>", 1)
+        return F.lower(F.when(bracketed != "", bracketed).otherwise(value))
+
+    return let(strip(F.coalesce(header, F.lit(""))), bare)
 
 
 def address_list(header: Column) -> Column:
@@ -29,7 +31,7 @@ def address_list(header: Column) -> Column:
 
 def normalized_subject(subject: Column) -> Column:
     """Subject without leading reply and forward marks; letter case is kept."""
-    marks = rf"(?i){UNICODE}\A{BLANK}*(?:(?:re|fwd|fw):{BLANK}*)*"
+    marks = rf"(?i)\A{BLANK}*(?:(?:re|fwd|fw):{BLANK}*)*"
     return collapse(F.regexp_replace(F.coalesce(subject, F.lit("")), marks, ""))
 
 
@@ -41,7 +43,7 @@ def message_id(value: Column) -> Column:
 
 def reference_ids(header: Column) -> Column:
     """Ids of a References header, oldest first."""
-    parts = F.split(strip(F.coalesce(header, F.lit(""))), rf"{UNICODE}{BLANK}+")
+    parts = F.split(strip(F.coalesce(header, F.lit(""))), f"{BLANK}+")
     bare = F.transform(parts, lambda r: F.regexp_replace(r, r"\A[<>]+|(?<![<>])[<>]+\z", ""))
     return F.filter(bare, lambda r: r != "")
 
@@ -56,3 +58,8 @@ def rfc2822_time(value: Column) -> Column:
         F.try_to_timestamp(text, F.lit("d MMM yyyy H:mm:ss Z")),
         F.try_to_timestamp(text, F.lit("d MMM yyyy H:mm Z")),
     )
+
+
+def utc_wall_time(moment: Column) -> Column:
+    """A timestamp as zone-less UTC wall time, whatever the session's zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment.cast("timestamp_ntz"))

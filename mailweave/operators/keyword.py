@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from mailweave.functions.analysis import fold, surface_tokens, tokens, with_stem
 from mailweave.functions.text import search_snippet
 from mailweave.operators.skew import first_n_per_key
+from mailweave.session import materialise
 
 # Fixed values of the ranking function and of the query (field weights, expansion limit).
 K1, B = 1.2, 0.75
@@ -83,7 +84,9 @@ def write_index(emails: DataFrame, folder: str, stem: bool = True) -> None:
     """
     spark = emails.sparkSession
     path = os.path.join(folder, "postings")
-    (postings(emails, stem).repartitionByRange("field", "term", "id").sortWithinPartitions("field", "term", "id")
+    # Ranging samples its input first; from a written table that is a cheap second read, not a second analysis.
+    unsorted = materialise(postings(emails, stem), "postings")
+    (unsorted.repartitionByRange("field", "term", "id").sortWithinPartitions("field", "term", "id")
      .write.mode("overwrite").parquet(path))
     stored = spark.read.parquet(path)
     vocab = os.path.join(folder, "vocab")

@@ -135,7 +135,9 @@ def _distinct_vectors(vectors: DataFrame, keep: int) -> tuple[DataFrame, DataFra
     Equal vectors tie in every ranking and ties go by id, so only a vector's smallest ids can ever be neighbours.
     """
     keyed = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
-    keyed = keyed.withColumn("vec", F.sha2(F.array_join(F.col("embedding").cast("array<string>"), ","), 256))
+    # Two 64-bit hashes with different seeds name a vector.
+    name = F.concat(F.hex(F.xxhash64("embedding")), F.hex(F.xxhash64(F.lit(1), "embedding")))
+    keyed = keyed.withColumn("vec", name)
     first = first_n_per_key(keyed.select("vec", "id", "embedding"), ["vec"], [F.asc("id")], keep, "id")
     folded = first.groupBy("vec").agg(
         F.first("embedding").alias("embedding"), F.array_sort(F.collect_list("id")).alias("ids"))

@@ -8,6 +8,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
+from mailweave.functions.headers import utc_wall_time
 from mailweave.operators.ledger import archive_ledger as ledger
 from mailweave.plans.registry import query
 from mailweave.session import scratch_path
@@ -94,7 +95,7 @@ def src_parse_mail(spark, sf):
 def _comparable(rows):
     return rows.select(
         "id", "message_id", "in_reply_to", "references_header", "sender", F.array_join("receivers", ",").alias("receivers"),
-        F.array_join("cc", ",").alias("cc"), "subject", "body_text", F.col("sent_at").cast("timestamp_ntz").alias("sent_at"))
+        F.array_join("cc", ",").alias("cc"), "subject", "body_text", utc_wall_time(F.col("sent_at")).alias("sent_at"))
 
 
 @query

@@ -46,7 +46,7 @@ def x_rfc2822_date(spark, sf):
         .when(n == 3, F.concat(F.date_format(at, "dd MMM yyyy HH:mm:ss"), F.lit(" -0530")))
         .otherwise(F.date_format(at, "yyyy/MM/dd"))
     )
-    return mail(spark, sf).select("email_id", H.rfc2822_time(text).cast("timestamp_ntz").alias("sent"))
+    return mail(spark, sf).select("email_id", H.utc_wall_time(H.rfc2822_time(text)).alias("sent"))
 
 
 @query
