@@ -164,14 +164,30 @@ def _swapped(word: Column) -> Column:
         F.substring(word, i + 2, F.length(word))))
 
 
+def _one_edit(a: Column, b: Column) -> Column:
+    """0 for equal words, 1 for one edit or swap apart, else 2."""
+    return F.when(a == b, 0).when((F.levenshtein(a, b, 1) >= 0) | F.array_contains(_swapped(a), b), 1).otherwise(2)
+
+
+def _swap_and_edit(a: Column, b: Column) -> Column:
+    """Do a swap and at most one further edit apart from the swapped pair lead from ``a`` to ``b``?"""
+    def swapped_at(i: Column, shift: int) -> Column:
+        at, far = i + shift, F.greatest(F.length(a), F.length(b))
+        pair = F.concat(F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)))
+        before = _one_edit(F.substring(a, F.lit(1), i - 1), F.substring(b, F.lit(1), at - 1))
+        after = _one_edit(F.substring(a, i + 2, far), F.substring(b, at + 2, far))
+        return (at >= 1) & (F.substring(b, at, F.lit(2)) == pair) & (before + after <= 1)
+
+    places = F.when(F.length(a) >= 2, F.sequence(F.lit(1), F.length(a) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.exists(places, lambda i: swapped_at(i, -1) | swapped_at(i, 0) | swapped_at(i, 1))
+
+
 def edit_distance(a: Column, b: Column) -> Column:
-    """Edits from ``a`` to ``b`` up to two, a swap of neighbours counting one; null beyond two."""
+    """Edits from ``a`` to ``b`` up to two, a swap of neighbours counting one and no letter edited twice; null beyond."""
     plain = F.levenshtein(a, b, 2)
-    one_swap = F.array_contains(_swapped(a), b)
-    swap_and_more = F.exists(_swapped(a), lambda s: (F.levenshtein(s, b, 1) >= 0) | F.array_contains(_swapped(b), s))
     return (
-        F.when(plain.isin(0, 1), plain).when(one_swap, 1)
-        .when((plain == 2) | swap_and_more, 2)
+        F.when(plain.isin(0, 1), plain).when(F.array_contains(_swapped(a), b), 1)
+        .when((plain == 2) | _swap_and_edit(a, b), 2)
     )
 
 

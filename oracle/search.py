@@ -102,15 +102,24 @@ _STATS = """SELECT field, count(*) AS n, avg(len(l)) AS avgdl FROM lists WHERE l
 UNION ALL SELECT 'sender', count(*), 1.0 FROM emails"""
 
 
+# The built-in distance also lets a letter be put between two swapped ones; such pairs are more than two edits here.
+_PROPER = """(levenshtein(qt.term, vocab.term) <= 2 OR damerau_levenshtein(qt.term, vocab.term) < 2 OR
+ len(list_filter(range(1, length(qt.term)), lambda i: len(list_filter([-1, 0, 1], lambda s: i + s >= 1
+  AND substr(vocab.term, i + s, 2) = substr(qt.term, i + 1, 1) || substr(qt.term, i, 1)
+  AND damerau_levenshtein(substr(qt.term, 1, i - 1), substr(vocab.term, 1, i + s - 1))
+    + damerau_levenshtein(substr(qt.term, i + 2), substr(vocab.term, i + s + 2)) <= 1)) > 0)) > 0)"""
+
+
 def _search(queries: str, fuzzy: bool, **more: str) -> str:
     """All stages of a search over the relation ``queries(query_id, query)``."""
     everything = "SELECT token FROM words UNION ALL SELECT token FROM query_words"
-    expanded = """SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY query_id, field, pos
+    expanded = f"""SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY query_id, field, pos
  ORDER BY weight DESC, term) AS r FROM (
  SELECT q.query_id, q.field, q.pos, q.term AS query_term, v.term, d AS edits,
   CASE WHEN d = 0 THEN 1.0 ELSE 1.0 - d / least(length(q.term), length(v.term)) END AS weight
  FROM (SELECT qt.*, vocab.term AS vt, damerau_levenshtein(qt.term, vocab.term) AS d FROM query_terms qt
-   JOIN vocab ON vocab.field = qt.field AND abs(length(vocab.term) - length(qt.term)) <= 2) q, LATERAL (SELECT q.vt AS term) v
+   JOIN vocab ON vocab.field = qt.field AND abs(length(vocab.term) - length(qt.term)) <= 2
+    AND damerau_levenshtein(qt.term, vocab.term) <= 2 AND {_PROPER}) q, LATERAL (SELECT q.vt AS term) v
  WHERE d <= CASE WHEN length(q.term) <= 2 THEN 0 WHEN length(q.term) <= 5 THEN 1 ELSE 2 END)) WHERE r <= 50"""
     exact = "SELECT query_id, field, pos, term AS query_term, term, 0 AS edits, 1.0 AS weight FROM query_terms"
     return using(
