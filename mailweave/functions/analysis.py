@@ -183,17 +183,20 @@ def _final_l(word: Column) -> Column:
     return F.when(word.endswith("ll") & word.rlike(_M_ABOVE_ONE), _without(word, 1)).otherwise(word)
 
 
-def stem(token: Column) -> Column:
-    """The folded, stemmed form of a lower-case word; up to two letters stay as they are."""
-    def stemmed(folded: Column) -> Column:
-        word = folded
-        for step in (_mark_y, _plural, _past, _final_y, _step_two, _step_three, _step_four, _final_e, _final_l):
-            word = let(word, step)
-        return F.when(F.length(folded) > 2, F.translate(word, "Y", "y")).otherwise(folded)
+_STEPS = (_mark_y, _plural, _past, _final_y, _step_two, _step_three, _step_four, _final_e, _final_l)
 
-    return let(fold(token), stemmed)
+
+def _for_long(step):
+    return lambda word: F.when(F.col("_long"), step(word)).otherwise(word)
 
 
 def with_stem(rows: DataFrame, token: str, term: str = "term") -> DataFrame:
-    """Add ``term``, the stem of ``token``."""
-    return rows.withColumn(term, stem(F.col(token)))
+    """Add ``term``: the folded, stemmed form of the lower-case word in ``token``; two letters or fewer stay as they are.
+
+    One projection per step keeps analysis of the plan short, and as each step names its input once, projections
+    collapse, and filters pass through them, without repeating it.
+    """
+    out = rows.withColumn(term, fold(F.col(token))).withColumn("_long", F.length(term) > 2)
+    for step in _STEPS:
+        out = out.withColumn(term, let(F.col(term), _for_long(step)))
+    return out.withColumn(term, F.translate(F.col(term), "Y", "y")).drop("_long")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from mailweave.functions.analysis import fold, surface_tokens, tokens, with_stem
 from mailweave.functions.text import search_snippet
-from mailweave.operators.skew import first_n_per_key
+from mailweave.operators.skew import first_n_per_key, spread
 from mailweave.session import materialise
 
 # Fixed values of the ranking function and of the query (field weights, expansion limit).
@@ -24,6 +24,7 @@ ANALYSED = {"subject": "subject", "body_text": "body_text", "summary": "summary"
 EXACT_FIELD = "sender"
 MAX_EXPANSIONS = 50
 MAX_QUERY_CHARS = 500
+LITERAL_TERMS = 32
 BODY_FRAGMENT, SUMMARY_FRAGMENT = 150, 120
 
 
@@ -42,8 +43,8 @@ def token_rows(emails: DataFrame, stem: bool = True) -> DataFrame:
     Mails are spread by id once, before tokens are exploded; both counting steps then find their rows
     already in place, so the only shuffle moves each text once.
     """
-    spread = emails.select("id", *dict.fromkeys(ANALYSED.values())).repartition("id")
-    lists = field_rows(spread).select("id", "field", tokens(F.col("text")).alias("tokens"))
+    placed = spread(emails.select("id", *dict.fromkeys(ANALYSED.values())), "id")
+    lists = field_rows(placed).select("id", "field", tokens(F.col("text")).alias("tokens"))
     words = lists.select("id", "field", F.size("tokens").cast("bigint").alias("dl"), F.explode("tokens").alias("token"))
     # Counting words before stemming leaves one stem per distinct word of a text.
     counted = words.groupBy("id", "field", "dl", "token").agg(F.count("*").alias("tf"))
@@ -194,22 +195,54 @@ def edit_distance(a: Column, b: Column) -> Column:
 def expand_fuzzy(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     """``(query_id, field, pos, term, weight, edits)``: index terms within the allowed edits of each query term.
 
-    Candidates come from an equi-join on shared deletion keys.  The vocabulary is first cut to the lengths that can
-    match, by a broadcast of at most one row per field and length (a query has up to ``MAX_QUERY_CHARS`` letters).  The
-    ``MAX_EXPANSIONS`` best terms of each query term are kept, the limit the search request itself has.
+    For any number of queries.  Candidates come from an equi-join on shared deletion keys.  The vocabulary is first cut
+    to the lengths that can match, by a broadcast of at most one row per field and length (a query has up to
+    ``MAX_QUERY_CHARS`` letters).
     """
-    wanted = terms.select("query_id", "field", "pos", F.col("term").alias("query_term"),
-                          allowed_edits(F.col("term")).alias("k"))
-    lengths = wanted.select(F.explode(F.sequence(
-        F.length("query_term") - F.col("k"), F.length("query_term") + F.col("k"))).alias("len"), "field", "k")
+    wanted = _wanted(terms)
+    lengths = wanted.select("field", "k", F.explode(F.sequence(
+        F.length("query_term") - F.col("k"), F.length("query_term") + F.col("k"))).alias("len"))
     depth = lengths.groupBy("field", "len").agg(F.max("k").alias("depth"))
     near = vocab.withColumn("len", F.length("term")).join(F.broadcast(depth), ["field", "len"])
     vocab_keys = near.select("field", "term", F.explode(deletion_keys(F.col("term"), F.col("depth"))).alias("key"))
     query_keys = wanted.select("*", F.explode(deletion_keys(F.col("query_term"), F.col("k"))).alias("key"))
     pairs = vocab_keys.join(query_keys, ["field", "key"]).select(
         "query_id", "field", "pos", "query_term", "term", "k").distinct()
-    scored = pairs.withColumn("edits", edit_distance(F.col("query_term"), F.col("term")))
-    scored = scored.filter(F.col("edits") <= F.col("k"))
+    return _best_expansions(pairs)
+
+
+def expand_request(terms: DataFrame, vocab: DataFrame) -> DataFrame:
+    """The same for one request, by testing each vocabulary term against the request's few words in the scan.
+
+    Much less work than deletion keys while the words are few; a request with more than ``LITERAL_TERMS`` words
+    takes the join.  Collects the request's words, which ``MAX_QUERY_CHARS`` bounds.
+    """
+    words = _wanted(terms).collect()
+    if len(words) > LITERAL_TERMS * (len(ANALYSED) + 1):
+        return expand_fuzzy(terms, vocab)
+    if not words:
+        return _best_expansions(_wanted(terms).select("*", F.col("query_term").alias("term")))
+    listed = F.array(*[F.struct(*[F.lit(w[c]).alias(c) for c in ("query_id", "pos", "query_term", "k", "field")]) for w in words])
+
+    def close(w: Column) -> Column:
+        # A swap is two plain edits, so two edits of any kind are four plain ones at most.
+        return (
+            (w["field"] == F.col("field")) & (F.abs(F.length(w["query_term"]) - F.length("term")) <= w["k"])
+            & (F.levenshtein(w["query_term"], F.col("term"), 4) >= 0)
+        )
+
+    pairs = vocab.select("field", "term", F.explode(F.filter(listed, close)).alias("w")).select(
+        "w.query_id", "field", "w.pos", "w.query_term", "term", "w.k")
+    return _best_expansions(pairs)
+
+
+def _wanted(terms: DataFrame) -> DataFrame:
+    return terms.select("query_id", "field", "pos", F.col("term").alias("query_term"), allowed_edits(F.col("term")).alias("k"))
+
+
+def _best_expansions(pairs: DataFrame) -> DataFrame:
+    """Test candidate pairs and keep the ``MAX_EXPANSIONS`` best of each query term, the limit a search request has."""
+    scored = pairs.withColumn("edits", edit_distance(F.col("query_term"), F.col("term"))).filter(F.col("edits") <= F.col("k"))
     shorter = F.least(F.length("query_term"), F.length("term"))
     scored = scored.withColumn("weight", F.when(F.col("edits") == 0, 1.0).otherwise(1.0 - F.col("edits") / shorter))
     best = first_n_per_key(
@@ -218,6 +251,11 @@ def expand_fuzzy(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     return best.select("query_id", "field", "pos", "query_term", "term", "weight", "edits")
 
 
+def fixed(rows: DataFrame) -> DataFrame:
+    """The rows computed now and held in the plan; for one request's terms, which are bounded."""
+    return rows.sparkSession.createDataFrame(rows.toArrow())
+
+
 def exact_terms(terms: DataFrame) -> DataFrame:
     return terms.withColumn("weight", F.lit(1.0))
 
@@ -247,13 +285,13 @@ def best_fields(scores: DataFrame) -> DataFrame:
 
 
 def pushed_down(terms: DataFrame, index: Index) -> Index:
-    """The index with its postings cut to the terms of one request by a literal filter.
+    """The index cut to the terms of one request by a literal filter, which lets the scans skip row groups.
 
-    Lets the scan skip row groups.  Collects the request's expanded terms, a list the request's length and
-    ``MAX_EXPANSIONS`` bound; not for batches of queries.
+    Expects ``fixed`` terms: a list that the request's length and ``MAX_EXPANSIONS`` bound.  Not for batches of queries.
     """
     listed = [r.term for r in terms.select("term").distinct().collect()]
-    return Index(index.postings.filter(F.col("term").isin(listed)), index.vocab, index.stats)
+    keep = F.col("term").isin(listed)
+    return Index(index.postings.filter(keep), index.vocab.filter(keep), index.stats)
 
 
 def sender_filter(emails: DataFrame, index: Index, sender: str, stem: bool = True) -> DataFrame:

@@ -54,3 +54,12 @@ def first_n_per_key(
     kept = sliced.withColumn("_r", F.row_number().over(inner)).filter(F.col("_r") <= n).drop("_r", "_slice")
     outer = Window.partitionBy(*keys).orderBy(*order)
     return kept.withColumn(rank, F.row_number().over(outer)).filter(F.col(rank) <= n)
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows hashed by a unique ``key`` over the configured number of shuffle partitions.
+
+    For stages whose work is in the rows, such as cutting texts into words: the given number keeps adaptive execution
+    from merging partitions by their bytes alone.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from mailweave.functions.analysis import tokens
 from mailweave.functions.text import SHORT_TEXT_CHARS, embedding_text
 from mailweave.operators.browse import vector_metadata
-from mailweave.operators.skew import first_n_per_key, lookup_join
+from mailweave.operators.skew import first_n_per_key, lookup_join, spread
 from mailweave.session import materialise
 
 DIMENSIONS = 64
@@ -30,8 +30,7 @@ def hash_embed(texts: DataFrame, key: str = "id", text: str = "document", dimens
 
     Texts are spread by key once; counting and assembling then run in place.
     """
-    spread = texts.select(key, text).repartition(key)
-    words = spread.select(key, F.explode_outer(tokens(F.col(text))).alias("word"))
+    words = spread(texts.select(key, text), key).select(key, F.explode_outer(tokens(F.col(text))).alias("word"))
     digest = F.md5("word")
     slot = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dimensions).cast("int")
     sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)

@@ -71,7 +71,7 @@ def kw_field_stats(spark, sf):
 
 
 def _exact(spark, text=QUERY):
-    return K.exact_terms(K.query_terms(K.one_query(spark, text)))
+    return K.fixed(K.exact_terms(K.query_terms(K.one_query(spark, text))))
 
 
 def _exact_scores(spark, sf, text=QUERY):
@@ -93,7 +93,7 @@ def kw_best_fields(spark, sf):
 def kw_fuzzy_terms(spark, sf):
     """Index terms within the allowed edits of the words of a misspelt query."""
     terms = K.query_terms(K.one_query(spark, MISSPELT))
-    return K.expand_fuzzy(terms, index(spark, sf).vocab).select(
+    return K.expand_request(terms, index(spark, sf).vocab).select(
         "field", "query_term", "term", F.round("weight", DIGITS).alias("weight"), F.col("edits").cast("bigint").alias("edits"))
 
 
@@ -132,7 +132,7 @@ def kw_page_total(spark, sf):
 def search(spark, sf, text, sender=None, date_from=None, date_to=None, limit=20, offset=0):
     """A whole request: fuzzy terms, ranking, filters, page.  Filters do not change scores."""
     stored, rows = index(spark, sf), emails(spark, sf)
-    terms = K.expand_fuzzy(K.query_terms(K.one_query(spark, text)), stored.vocab)
+    terms = K.fixed(K.expand_request(K.query_terms(K.one_query(spark, text)), stored.vocab))
     scores = _rounded(K.best_fields(K.field_scores(terms, K.pushed_down(terms, stored))))
     if sender:
         scores = scores.join(K.sender_filter(rows, stored, sender), "id", "left_semi")

@@ -55,6 +55,8 @@ def test_expansion_finds_every_close_word(spark):
     vocab = spark.createDataFrame([("body_text", w, 1) for w in words] + [("subject", "abc", 1)], "field string, term string, df long")
     terms = spark.createDataFrame([(0, "body_text", i, q) for i, q in enumerate(queries)],
                                   "query_id long, field string, pos int, term string")
+    joined = sorted(map(str, K.expand_fuzzy(terms, vocab).collect()))
+    assert joined == sorted(map(str, K.expand_request(terms, vocab).collect()))
     got = defaultdict(list)
     for r in K.expand_fuzzy(terms, vocab).collect():
         assert r.field == "body_text"
