@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from mailweave.functions.headers import UNKNOWN_SENDER, message_id
 from mailweave.functions.html import html_to_text
 from mailweave.functions.text import clean_body, extractive_summary, strip
+from mailweave.operators.skew import spread
 
 # Fixed values of the ingest rules.
 MAX_ARCHIVE_BYTES = 500 * 1024 * 1024
@@ -81,9 +82,10 @@ def _decode(raw: bytes) -> dict:
                 raise ValueError(f"no readable text in {kind}")
             text = content
     sent = None
-    if header("Date"):
+    date = header("Date")
+    if date:
         try:
-            sent = pd.Timestamp(parsedate_to_datetime(header("Date")))
+            sent = pd.Timestamp(parsedate_to_datetime(date))
             sent = sent.tz_localize("UTC") if sent.tzinfo is None else sent.tz_convert("UTC")
         except (TypeError, ValueError, IndexError, OverflowError):
             sent = None
@@ -151,7 +153,10 @@ def scan_archives(files: DataFrame) -> DataFrame:
 
 
 def parse_messages(messages: DataFrame, keep: tuple[str, ...] = ("id",), raw: str = "raw") -> DataFrame:
-    """Decode a column of message bytes next to the columns of ``keep``."""
+    """Decode a column of message bytes next to the columns of ``keep``, of which the first is unique.
+
+    Decoding is the costly part, so messages are spread over all partitions by that column first.
+    """
     kept = messages.select(*keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
 
@@ -160,7 +165,7 @@ def parse_messages(messages: DataFrame, keep: tuple[str, ...] = ("id",), raw: st
             frame = _frame([_parse(bytes(r)) for r in batch[raw]], _RAW_NAMES)
             yield pd.concat([batch[list(keep)].reset_index(drop=True), frame], axis=1)
 
-    return messages.select(*keep, raw).mapInPandas(run, f"{schema}, {_RAW_FIELDS}")
+    return spread(messages.select(*keep, raw), keep[0]).mapInPandas(run, f"{schema}, {_RAW_FIELDS}")
 
 
 def accepted(decoded: DataFrame) -> DataFrame:
