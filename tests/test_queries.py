@@ -3,9 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from mailweave.plans.registry import all_queries
+from oracle import statements
 from tools.compare import compare, connect
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = all_queries(), statements()
 ROWS_ONLY = {"kw_highlight", "vec_lsh_join"}
 
 
