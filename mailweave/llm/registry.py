@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailweave.llm import line_dedup
+from mailweave.llm import bpe_automaton, line_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_line_dedup": line_dedup.op9_line_dedup}
+    return {
+        "op8_bpe_automaton": bpe_automaton.op8_bpe_automaton,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
