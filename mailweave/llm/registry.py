@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailweave.llm import bpe_automaton, line_dedup
+from mailweave.llm import bpe_automaton, line_dedup, warc_zip
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_warc_zip": warc_zip.op6_warc_zip,
         "op8_bpe_automaton": bpe_automaton.op8_bpe_automaton,
         "op9_line_dedup": line_dedup.op9_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_dedup.OP9_SQL}
+    return {"op6_warc_zip": warc_zip.OP6_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
