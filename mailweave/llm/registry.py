@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailweave.llm import bpe_automaton, line_dedup, warc_zip
+from mailweave.llm import bpe_automaton, line_dedup, ngram_join, warc_zip
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_warc_zip": warc_zip.op6_warc_zip,
+        "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_bpe_automaton": bpe_automaton.op8_bpe_automaton,
         "op9_line_dedup": line_dedup.op9_line_dedup,
     }
