@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from mailweave.llm.common import map_batches, read
 
 END = "</w>"
-CACHE_WORDS = 400_000  # entries of a worker's memory of words; it is emptied when full
+CACHE_WORDS = 400_000  # entries of a worker's memories of words and of chunks; each is emptied when full
 CACHE_ARCS = 400_000
 # White space as the normaliser's pattern takes it: unlike str.split, without the separators U+001C to U+001F.
 SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -73,8 +73,11 @@ class MergeAutomaton:
             self._gadget(rank, vocabulary[left], vocabulary[right], vocabulary[left + right])
         self.arcs.clear()
         made = set(self.parts)
-        self.alphabet = {t for t, i in vocabulary.items() if i in made or len(t.removesuffix(END) or t) == 1}
-        self.prefixes = {t[:n] for t in self.alphabet for n in range(1, len(t.removesuffix(END)) + 1)}
+        labels = [t for t, i in vocabulary.items() if i in made or len(t.removesuffix(END) or t) == 1]
+        # Arc labels by their spelling: those that end a word apart, and every prefix, with -1 where it is no label itself.
+        self.last = {t.removesuffix(END): vocabulary[t] for t in labels if t.endswith(END)}
+        self.inner = {t[:n]: -1 for t in labels for n in range(1, len(t.removesuffix(END)) + 1)}
+        self.inner |= {t: vocabulary[t] for t in labels if not t.endswith(END)}
         self.words: dict[str, tuple[int, ...]] = {}
 
     def _gadget(self, rank: int, u: int, v: int, uv: int) -> None:
@@ -105,41 +108,58 @@ class MergeAutomaton:
         return True
 
     def has_arc(self, state: int, arc: int) -> bool:
-        if state < 0:
-            return True
-        key = state << 32 | arc
-        known = self.arcs.get(key)
-        if known is None:
-            if len(self.arcs) >= CACHE_ARCS:
-                self.arcs.clear()
-            known = self.arcs[key] = not self._lacks(state, arc)
+        if len(self.arcs) >= CACHE_ARCS:
+            self.arcs.clear()
+        known = self.arcs[state << 32 | arc] = not self._lacks(state, arc)
         return known
 
     def encode(self, word: str) -> tuple[int, ...]:
-        """Ids of one pre-split word of byte symbols."""
-        n = len(word)
-        state: list[int | None] = [-1] + [None] * n
-        back = [0] * (n + 1)
-        ids, alphabet, prefixes, has_arc = self.ids, self.alphabet, self.prefixes, self.has_arc
-        for i in range(n):
-            here = state[i]
-            if here is None:
-                continue
-            for j in range(i + 1, n + 1):
-                piece = word[i:j]
-                if piece not in prefixes:
+        """Ids of one pre-split word of byte symbols.
+
+        Longest arcs are tried first.  A position can be reached in one state only, so one that led nowhere is not tried again.
+        """
+        known = self.words.get(word)
+        if known is not None:
+            return known
+        n, i, state = len(word), 0, -1
+        inner, arcs = self.inner, self.arcs
+        tried, path, open_arcs = bytearray(n + 1), [], []
+        while i < n:
+            ahead = []
+            for j in range(i + 1, n):
+                label = inner.get(word[i:j])
+                if label is None:
                     break
-                if state[j] is not None:
+                if label >= 0:
+                    ahead.append((label, j))
+            else:
+                label = self.last.get(word[i:])
+                if label is not None:
+                    ahead.append((label, n))
+            open_arcs.append(ahead)
+            while True:
+                if not ahead:
+                    open_arcs.pop()
+                    path.pop()
+                    ahead, state = open_arcs[-1], path[-1] if path else -1
+                    continue
+                label, j = ahead.pop()
+                if tried[j]:
                     continue
-                if j == n:
-                    piece += END
-                if piece in alphabet and has_arc(here, ids[piece]):
-                    state[j], back[j] = ids[piece], i
-        out, at = [], n
-        while at:
-            out.append(state[at])
-            at = back[at]
-        return tuple(reversed(out))
+                if state >= 0:
+                    free = arcs.get(state << 32 | label)
+                    if not (self.has_arc(state, label) if free is None else free):
+                        continue
+                tried[j] = 1
+                path.append(label)
+                i, state = j, label
+                break
+        found = tuple(path)
+        if n <= 64:
+            if len(self.words) >= CACHE_WORDS:
+                self.words.clear()
+            self.words[word] = found
+        return found
 
 
 class Codec:
@@ -166,9 +186,13 @@ class Codec:
 
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
         """Ids (32-bit) and decoded text of what stands between white space."""
-        if not unicodedata.is_normalized("NFC", chunk):
-            chunk = unicodedata.normalize("NFC", chunk)
-        chunk = chunk.replace("Σ", "σ").lower()  # letter by letter: no final sigma
+        plain = chunk.isascii()
+        if not plain:
+            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # letter by letter: no final sigma
+        chunk = chunk.lower()
+        if plain and chunk.isalpha():
+            found = self.automaton.encode(chunk)
+            return struct.pack(f"<{len(found)}I", *found), self.decode(found)
         ids: list[int] = []
         for word in self.pattern.findall(chunk):
             if not word.isascii() or not word.isprintable():
