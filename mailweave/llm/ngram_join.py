@@ -1,13 +1,14 @@
 """Jaccard self-join on word shingles, filtered by prefixes under several global orders.
 
-A set of n shingles that is similar to another must share a shingle with it among its first n - ceil(t n) + 1, under any order of all
-shingles.  The first order takes rare shingles first (by a counting sketch of the whole corpus, fixed in size); two more are
-plain hash orders.
+A set of n shingles that is similar to another must share s shingles with it among its first n - ceil(t n) + s, under any order of all
+shingles.  The first order takes rare shingles first (by a counting sketch of the whole corpus, fixed in size), with s = n / 32; two
+more are plain hash orders with s = 1.
 
 1. Texts of equal shingle sets are one class, known by its smallest ``doc_id``.
-2. Prefixes under the first order are posted.  Where a shingle's postings hold several classes, each is a member of the *canopy* of
-   the smallest document there.  Two similar documents meet in a canopy, yet a document enters each canopy once, so a group of m
-   copies makes about m rows, not m^2 pairs.
+2. Prefixes under the first order are posted.  Documents with fewer than s shingles that other classes post too are done.  Of the
+   others each is a member of the *canopy* of the smallest document that posts a shingle with it.  Of two similar documents either
+   may leave out (s - 1) / 2 of its shared shingles, the most common ones, and they still meet.  A document enters each canopy once,
+   so a group of m copies makes about m rows, not m^2 pairs.
 3. The sets of canopy members are made again from their texts.  In a canopy, pairs that share a prefix shingle under each further
    order are verified exactly, in blocks of bounded size, and leave as a spanning forest of the links found.
 4. Connected components over classes give every document its component.
@@ -39,9 +40,14 @@ COLUMNS_AT_ONCE = 4096
 ORDERS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 
 
-def prefix_length(n: int, percent: int) -> int:
-    """Sets of n that are similar to another share at least ceil(percent n / 100) shingles with it."""
-    return n - -(-percent * n // 100) + 1
+def prefix_length(n: int, percent: int, shared: int = 1) -> int:
+    """Sets of n that are similar to another share at least ceil(percent n / 100) shingles with it, ``shared`` of them in the prefix."""
+    return n - -(-percent * n // 100) + shared
+
+
+def needed(n):
+    """How many shared shingles the first order asks for; works on numbers and columns."""
+    return F.greatest(F.lit(1), F.floor(n / 32)) if not isinstance(n, int) else max(1, n // 32)
 
 
 def sketch(docs: DataFrame, k: int) -> np.ndarray:
@@ -91,7 +97,7 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
             n.append(len(own))
             a.append(int(mix(own ^ ORDERS[0]).sum().view(np.int64)))
             b.append(int(mix(own ^ ORDERS[1]).sum().view(np.int64)))
-            prefix.append(rare_first(own, counts.value, prefix_length(len(own), percent)).view(np.int64) if len(own) else [])
+            prefix.append(rare_first(own, counts.value, prefix_length(len(own), percent, needed(len(own)))).view(np.int64) if len(own) else [])
         return {"doc_id": batch.column(0), "n_shingles": n, "class_a": a, "class_b": b, "prefix": prefix}
 
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -99,12 +105,18 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def canopies(posted: DataFrame) -> DataFrame:
-    """(leader, doc_id): class members that may be similar to others, under the leaders they meet them with."""
-    rows = posted.filter("doc_id is not null").select(F.explode("prefix").alias("shingle"), "doc_id", "class_a")
+    """(leader, doc_id): documents that may be similar to others, under the leaders they meet them with."""
+    rows = posted.filter("doc_id is not null").select(F.explode("prefix").alias("shingle"), "doc_id", "class_a", "n_shingles")
     # Least ids and class numbers combine before the shuffle; the join below is on the shingle and may be split where one is hot.
-    met = rows.groupBy("shingle").agg(F.min("doc_id").alias("leader"), F.min("class_a").alias("_a"), F.max("class_a").alias("_b"))
-    met = met.filter("_a <> _b").select("shingle", "leader")
-    return rows.select("shingle", "doc_id").join(met, "shingle").select("leader", "doc_id").distinct()
+    met = rows.groupBy("shingle").agg(F.min("doc_id").alias("leader"), F.min("class_a").alias("_a"), F.max("class_a").alias("_b"),
+                                      F.count("*").alias("times"))
+    met = met.filter("_a <> _b").select("shingle", "leader", "times")
+    # A document's list is bounded by its own prefix.
+    own = rows.select("shingle", "doc_id", "n_shingles").join(met, "shingle").groupBy("doc_id", "n_shingles").agg(
+        F.sort_array(F.collect_list(F.struct("times", "leader"))).alias("met"))
+    own = own.filter(F.size("met") >= needed(F.col("n_shingles")))
+    stay = F.slice("met", F.lit(1), F.size("met") - F.floor((needed(F.col("n_shingles")) - 1) / 2).cast("int"))
+    return own.select(F.explode(F.array_distinct(stay["leader"])).alias("leader"), "doc_id").distinct()
 
 
 def _wanted(members: DataFrame) -> np.ndarray:
