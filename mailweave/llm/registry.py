@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailweave.llm import bpe_automaton, line_dedup, ngram_join, warc_zip
+from mailweave.llm import bpe_automaton, cap_filters, line_dedup, ngram_join, warc_zip
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_bpe_automaton": bpe_automaton.op8_bpe_automaton,
         "op9_line_dedup": line_dedup.op9_line_dedup,
+        "op10_cap_filters": cap_filters.op10_cap_filters,
     }
 
 
