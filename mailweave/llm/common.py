@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from mailweave.session import scratch_path
 
 # Rows of one Arrow batch: whole documents are long, so few of them keep a Python worker's memory bounded.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
+BATCH_BYTES = "8m"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,14 +40,20 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session set to Arrow batches of ``BATCH_ROWS`` rows and ``BATCH_BYTES`` at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def map_batches(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """Apply ``function`` (record batch -> columns) to every Arrow batch of ``df``, in place: no shuffle."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +61,7 @@ def map_batches(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch],
             if batch.num_rows:
                 yield pa.RecordBatch.from_pydict(function(batch), schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def sample_by_hash(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:

@@ -1,6 +1,6 @@
 """WARC records in ZIP packages: written stored, found through the central directory, read by byte range.
 
-A package holds two stored members, ``archive/data.warc`` and ``indexes/index.cdxj`` (one line a record: key, JSON with offset and
+A package holds two stored members, ``archive/data.warc.gz`` (a gzip member a record) and ``indexes/index.cdxj`` (one line a record: key, JSON with offset and
 length inside the first member).  A reader takes the tail of the file, the end record (or the ZIP64 one), the central directory, one
 local header a member, the index, and then ranges of the data member; nothing is extracted and no package is read whole.
 
@@ -16,6 +16,7 @@ nothing and reads as nothing; further columns are ignored, whatever their names.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import struct
@@ -29,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import read, write_scratch
+from mailweave.llm.common import read, small_batches, write_scratch
 from mailweave.session import scratch_path
 
 MIN_SHARED = 1000
-PACKAGE_BYTES = 32 << 20
+PACKAGE_BYTES = 8 << 20
 RANGE_BYTES = 4 << 20  # neighbouring records are fetched together up to this size
-DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 LIMIT16, LIMIT32 = 0xFFFF, 0xFFFFFFFF
 SAFE_IN_URL = "!#$%&'()*+,/:;=?@[]~"
 
@@ -86,30 +87,35 @@ def _zip64_field(values: list[int]) -> bytes:
     return struct.pack("<HH", 1, 8 * len(values)) + struct.pack(f"<{len(values)}Q", *values) if values else b""
 
 
-def zip_package(members: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
-    """A ZIP file of stored members.  ``zip64`` writes the large forms even where the small ones would do."""
-    out, directory = bytearray(), bytearray()
+def write_zip(out, members: list[tuple[str, bytes]], zip64: bool = False) -> int:
+    """Write a ZIP file of stored members to a stream; returns its size.
+
+    ``zip64`` writes the large forms even where the small ones would do.
+    """
+    directory, at = bytearray(), 0
     for name, data in members:
-        title, crc, at = name.encode(), zlib.crc32(data), len(out)
+        title, crc = name.encode(), zlib.crc32(data)
         big = zip64 or len(data) >= LIMIT32
         size = LIMIT32 if big else len(data)
         extra = _zip64_field([len(data), len(data)] if big else [])
-        out += struct.pack("<4sHHHHHIIIHH", b"PK\x03\x04", 45 if big else 20, 0x800, 0, 0, 33, crc, size, size, len(title), len(extra))
-        out += title + extra + data
+        head = struct.pack("<4sHHHHHIIIHH", b"PK\x03\x04", 45 if big else 20, 0x800, 0, 0, 33, crc, size, size, len(title), len(extra))
+        out.write(head + title + extra)
+        out.write(data)
         far = zip64 or at >= LIMIT32
         extra = _zip64_field(([len(data), len(data)] if big else []) + ([at] if far else []))
         directory += struct.pack("<4sHHHHHHIIIHHHHHII", b"PK\x01\x02", 45, 45 if big or far else 20, 0x800, 0, 0, 33, crc, size, size,
                                  len(title), len(extra), 0, 0, 0, 0, LIMIT32 if far else at)
         directory += title + extra
-    start, count = len(out), len(members)
-    out += directory
+        at += len(head) + len(title) + (20 if big else 0) + len(data)
+    start, count, end = at, len(members), bytearray()
     big = zip64 or start >= LIMIT32 or count >= LIMIT16
     if big:
-        end = len(out)
-        out += struct.pack("<4sQHHIIQQQQ", b"PK\x06\x06", 44, 45, 45, 0, 0, count, count, len(directory), start)
-        out += struct.pack("<4sIQI", b"PK\x06\x07", 0, end, 1)
+        end += struct.pack("<4sQHHIIQQQQ", b"PK\x06\x06", 44, 45, 45, 0, 0, count, count, len(directory), start)
+        end += struct.pack("<4sIQI", b"PK\x06\x07", 0, start + len(directory), 1)
     small = (LIMIT16, LIMIT16, LIMIT32, LIMIT32) if big else (count, count, len(directory), start)
-    return bytes(out + struct.pack("<4sHHHHIIH", b"PK\x05\x06", 0, 0, *small, 0))
+    end += struct.pack("<4sHHHHIIH", b"PK\x05\x06", 0, 0, *small, 0)
+    out.write(bytes(directory + end))
+    return start + len(directory) + len(end)
 
 
 @dataclass(frozen=True)
@@ -184,7 +190,7 @@ def range_read(file, size: int) -> Iterator[bytes]:
         block = _at(file, base + first["offset"], last["offset"] + last["length"] - first["offset"])
         for entry in listed[at:upto]:
             start = entry["offset"] - first["offset"]
-            yield block[start:start + entry["length"]]
+            yield gzip.decompress(block[start:start + entry["length"]])
         at = upto
 
 
@@ -225,17 +231,16 @@ def write_packages(rows: DataFrame, folder: str, package_bytes: int = PACKAGE_BY
 
         def flush() -> pa.RecordBatch:
             name = f"{root}/{uuid.uuid4().hex}.wacz"
-            package = zip_package([(DATA, bytes(data)), (INDEX, "".join(index).encode())], zip64)
             with system.open_output_stream(name) as out:
-                out.write(package)
-            done = pa.RecordBatch.from_pydict({"path": [f"{folder}/{name.rpartition('/')[2]}"], "records": [len(index)], "bytes": [len(package)]})
+                size = write_zip(out, [(DATA, bytes(data)), (INDEX, "".join(index).encode())], zip64)
+            done = pa.RecordBatch.from_pydict({"path": [f"{folder}/{name.rpartition('/')[2]}"], "records": [len(index)], "bytes": [size]})
             data.clear()
             index.clear()
             return done
 
         for batch in batches:
             for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                record = warc_record(page_id, url, (html or "").encode(), refers_to)
+                record = gzip.compress(warc_record(page_id, url, (html or "").encode(), refers_to), 6, mtime=0)
                 if data and len(data) + len(record) > package_bytes:
                     yield flush()
                 place = {"url": url, "page": page_id, "offset": len(data), "length": len(record)}
@@ -244,7 +249,7 @@ def write_packages(rows: DataFrame, folder: str, package_bytes: int = PACKAGE_BY
         if index:
             yield flush()
 
-    return write_scratch(rows.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, records long, bytes long"), "packages")
+    return write_scratch(small_batches(rows.select("page_id", "url", "html", "refers_to")).mapInArrow(run, "path string, records long, bytes long"), "packages")
 
 
 def read_packages(packages: DataFrame, payload: bool = False) -> DataFrame:
