@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailweave.llm import bpe_automaton, cap_filters, line_dedup, ngram_join, warc_zip
+from mailweave.llm import bpe_automaton, cap_filters, collision_search, line_dedup, ngram_join, warc_zip
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_collision_search": collision_search.op5_collision_search,
         "op6_warc_zip": warc_zip.op6_warc_zip,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_bpe_automaton": bpe_automaton.op8_bpe_automaton,
