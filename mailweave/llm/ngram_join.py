@@ -22,11 +22,12 @@ whatever their names.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import map_batches, read, small_batches, write_scratch
+from mailweave.llm.common import discard, map_batches, read, small_batches, write_scratch
 from mailweave.llm.components import components
 from mailweave.llm.grouped import deal, groups
 from mailweave.llm.shingles import mix, shingles
@@ -104,25 +105,51 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return map_batches(typed, "doc_id long, n_shingles long, class_a long, class_b long, prefix array<long>", run)
 
 
-def canopies(posted: DataFrame) -> DataFrame:
-    """(leader, doc_id): documents that may be similar to others, under the leaders they meet them with."""
-    rows = posted.filter("doc_id is not null").select(F.explode("prefix").alias("shingle"), "doc_id", "class_a", "n_shingles")
-    # Least ids and class numbers combine before the shuffle; the join below is on the shingle and may be split where one is hot.
-    met = rows.groupBy("shingle").agg(F.min("doc_id").alias("leader"), F.min("class_a").alias("_a"), F.max("class_a").alias("_b"),
-                                      F.count("*").alias("times"))
-    met = met.filter("_a <> _b").select("shingle", "leader", "times")
+def classes_of(sized: DataFrame) -> DataFrame:
+    """(class_a, class_b, first_id, n_shingles) of the sets that are not empty."""
+    return sized.filter("n_shingles > 0 and doc_id is not null").groupBy("class_a", "class_b").agg(
+        F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.min("n_shingles").alias("n_shingles"))
+
+
+def one_of_each(posted: DataFrame, classes: DataFrame) -> DataFrame:
+    """Prefixes of the first document of each class.  Only those that may be later copies are moved to find out."""
+    copied = classes.filter("first_id < last_id").select("class_a", "class_b", "first_id")
+    later = posted.select("doc_id", "class_a", "class_b").join(copied, ["class_a", "class_b"]).filter("doc_id > first_id").select("doc_id", "class_a", "class_b")
+    bits = posted.sparkSession.sparkContext.broadcast(_wanted(later))
+
+    @F.pandas_udf("boolean")
+    def may_be_later(h: pd.Series) -> pd.Series:
+        return pd.Series((bits.value[h.to_numpy() >> 3] >> (h.to_numpy() & 7).astype(np.uint8)) & 1 == 1)
+
+    rows = posted.filter("doc_id is not null and n_shingles > 0").select(
+        "doc_id", "class_a", "class_b", "prefix", may_be_later(_spot()).alias("maybe"))
+    checked = rows.filter("maybe").join(later, ["doc_id", "class_a", "class_b"], "left_anti")
+    return rows.filter("not maybe").unionByName(checked).select("doc_id", "prefix")
+
+
+def canopies(firsts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(leader, doc_id, n_shingles): documents that may be similar to others, under the leaders they meet them with.
+
+    ``firsts``: (doc_id, prefix); ``sizes``: (doc_id, n_shingles).
+    """
+    rows = firsts.select(F.explode("prefix").alias("shingle"), "doc_id")
+    # Least ids and counts combine before the shuffle; the join below is on the shingle and may be split where one is hot.
+    met = rows.groupBy("shingle").agg(F.min("doc_id").alias("leader"), F.count("*").alias("times")).filter("times > 1")
     # A document's list is bounded by its own prefix.
-    own = rows.select("shingle", "doc_id", "n_shingles").join(met, "shingle").groupBy("doc_id", "n_shingles").agg(
-        F.sort_array(F.collect_list(F.struct("times", "leader"))).alias("met"))
-    own = own.filter(F.size("met") >= needed(F.col("n_shingles")))
+    own = rows.join(met, "shingle").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("times", "leader"))).alias("met"))
+    own = own.join(sizes, "doc_id").filter(F.size("met") >= needed(F.col("n_shingles")))
     stay = F.slice("met", F.lit(1), F.size("met") - F.floor((needed(F.col("n_shingles")) - 1) / 2).cast("int"))
-    return own.select(F.explode(F.array_distinct(stay["leader"])).alias("leader"), "doc_id").distinct()
+    return own.select(F.explode(F.array_distinct(stay["leader"])).alias("leader"), "doc_id", "n_shingles").distinct()
+
+
+def _spot():
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << MEMBER_BITS))
 
 
 def _wanted(members: DataFrame) -> np.ndarray:
     """A bit for the hash of every id that is needed again; collected in parts of 4 kB, 1 MB in all."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MEMBER_BITS)) + 1  # positions count from 1
-    rows = members.select(place.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("part")).agg(
+    # Positions count from 1.
+    rows = members.select((_spot() + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
     bits = np.zeros((1 << MEMBER_BITS) // 8, dtype=np.uint8)
     for r in rows:
@@ -133,8 +160,7 @@ def _wanted(members: DataFrame) -> np.ndarray:
 def member_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """(doc_id, shingles) of the members, and of few others whose hash meets theirs; texts do not move."""
     bits = docs.sparkSession.sparkContext.broadcast(_wanted(members))
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text",
-                                                    F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << MEMBER_BITS)).alias("h"))
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", _spot())
 
     def run(batch):
         h = np.asarray(batch.column(2))
@@ -233,13 +259,14 @@ def similar_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     posted = write_scratch(prefixes(docs, k, percent), "shingle-prefixes")
-    sized = posted.select("doc_id", "n_shingles", "class_a", "class_b")
-    classes = sized.filter("n_shingles > 0 and doc_id is not null").groupBy("class_a", "class_b").agg(
-        F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n_shingles"))
-    firsts = classes.select(F.col("first_id").alias("doc_id"), "n_shingles")
-    members = write_scratch(canopies(posted).join(firsts, "doc_id").select("leader", "doc_id", "n_shingles").distinct(), "canopies")
+    sized = write_scratch(posted.select("doc_id", "n_shingles", "class_a", "class_b"), "shingle-classes")
+    classes = classes_of(sized)
+    sizes = classes.select(F.col("first_id").alias("doc_id"), "n_shingles")
+    members = write_scratch(canopies(one_of_each(posted, classes), sizes), "canopies")
+    discard(posted)
     sets = write_scratch(member_sets(docs, members.select("doc_id").distinct(), k), "shingle-sets")
     edges = write_scratch(canopy_links(members, sets, percent).distinct(), "shingle-links")
+    discard(sets)
     joined = components(edges)
     named = classes.join(joined.withColumnRenamed("id", "first_id"), "first_id", "left").select(
         "class_a", "class_b", F.coalesce("component_id", "first_id").alias("component_id"))
