@@ -3,7 +3,7 @@
 Vectors get one more component that makes all of them equally long, so that the largest inner product is the least distance.  Each
 of ``projections`` random directions keeps its values in a sorted array.  A query looks at a window around its own value in each
 array; windows widen step by step (virtual rehashing: the same arrays serve every radius), and what lies in the windows of at
-least ``threshold`` of the arrays is a candidate.  Widening ends when ``share`` of the vectors are candidates; these are
+least ``threshold`` of the arrays is a candidate.  Widening ends when ``share`` of a block's vectors are candidates, and no fewer than ``LEAST``; these are
 compared exactly, in double precision.
 
 The index is dealt into blocks of bounded size by a hash of the row, each with arrays of its own, and queries into pieces; a task
@@ -28,10 +28,11 @@ from mailweave.operators.skew import first_n_per_key
 
 BLOCK_ROWS = 8192
 PIECE_QUERIES = 4096
-PROJECTIONS = 128
+PROJECTIONS = 64
 THRESHOLD = 0.75  # of the projections
-SHARE = 0.15  # of a block's vectors
-WIDEN = 1.2
+SHARE = 0.09  # of a block's vectors, which are candidates
+LEAST = 600  # candidates of a block at least, if it has as many
+WIDEN = 1.15
 SEED = 11
 
 
@@ -50,33 +51,41 @@ class CollisionIndex:
         rest = np.sqrt(np.maximum(longest ** 2 - (vectors ** 2).sum(axis=1), 0))
         self.axes = directions(vectors.shape[1] + 1, projections)
         values = np.column_stack([vectors, rest]) @ self.axes.T
-        self.order = np.argsort(values, axis=0, kind="stable").astype(np.int32).T.copy()
-        self.sorted = np.sort(values, axis=0).T.copy()
-        self.step = max(0.2 * float(values.std(axis=0).mean()), 1e-9 * longest, 1e-300)
-        self.threshold, self.enough = int(np.ceil(threshold * projections)), int(np.ceil(share * len(ids)))
+        order = np.argsort(values, axis=0, kind="stable")
+        self.order = order.T.astype(np.int32).ravel()
+        # The sorted arrays stand one after another, each moved beyond the one before: one search serves all of them.
+        apart = 8 * longest + 1
+        self.shift = apart * np.arange(projections)
+        self.sorted = (np.take_along_axis(values, order, axis=0).T + self.shift[:, None]).ravel()
+        self.ends = len(ids) * np.arange(projections + 1)
+        self.step = max(0.2 * float(values.std(axis=0).mean()), 1e-9 * longest)
+        self.start = self.step
+        self.threshold, self.enough = int(np.ceil(threshold * projections)), max(LEAST, int(np.ceil(share * len(ids))))
 
     def candidates(self, at: np.ndarray, least: int) -> np.ndarray:
         """Positions of the vectors that collide often enough with a projected query, for windows just wide enough."""
-        n, wanted, half = len(self.ids), max(least, self.enough), self.step
+        n, wanted = len(self.ids), max(least, self.enough)
         if n <= wanted:
             return np.arange(n)
-        hits = np.zeros(n, dtype=np.int64)
-        low = high = np.array([np.searchsorted(s, a) for s, a in zip(self.sorted, at, strict=True)])
+        hits, half, at = np.zeros(n, dtype=np.int64), self.start, at + self.shift
+        low = high = np.clip(np.searchsorted(self.sorted, at), self.ends[:-1], self.ends[1:])
         while True:
-            new_low = np.array([np.searchsorted(s, a - half) for s, a in zip(self.sorted, at, strict=True)])
-            new_high = np.array([np.searchsorted(s, a + half, side="right") for s, a in zip(self.sorted, at, strict=True)])
-            rings = [o[a:b] for o, a, b in zip(self.order, new_low, low, strict=True)]
-            rings += [o[a:b] for o, a, b in zip(self.order, high, new_high, strict=True)]
+            new_low = np.maximum(np.searchsorted(self.sorted, at - half), self.ends[:-1])
+            new_high = np.minimum(np.searchsorted(self.sorted, at + half, side="right"), self.ends[1:])
+            rings = [self.order[a:b] for a, b in zip(new_low.tolist(), low.tolist(), strict=True)]
+            rings += [self.order[a:b] for a, b in zip(high.tolist(), new_high.tolist(), strict=True)]
             hits += np.bincount(np.concatenate(rings), minlength=n)
             found = np.flatnonzero(hits >= self.threshold)
             if len(found) >= wanted:
+                # The next query begins two steps below the width this one needed.
+                self.start = max(self.step, half / WIDEN ** 2)
                 return found
             low, high, half = new_low, new_high, half * WIDEN
 
     def nearest(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        found = self.candidates(np.r_[query, 0.0] @ self.axes.T, k + int((self.ids == query_id).sum()))
+        found = self.candidates(self.axes[:, :-1] @ query, k + int((self.ids == query_id).sum()))
         found = found[self.ids[found] != query_id]
-        scores = np.array([float(np.dot(v, query)) for v in self.vectors[found]]) if len(found) < 2 else self.vectors[found] @ query
+        scores = self.vectors[found] @ query
         best = np.lexsort((self.ids[found], -scores))[:k]
         return self.ids[found[best]], scores[best]
 
