@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailweave.llm import bpe_automaton, cap_filters, collision_search, line_dedup, ngram_join, pu_quality, warc_zip
+from mailweave.llm import bpe_automaton, cap_filters, collision_search, line_dedup, ngram_join, piece_language, pu_quality, warc_zip
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pu_quality": pu_quality.op1_pu_quality,
+        "op3_piece_language": piece_language.op3_piece_language,
         "op5_collision_search": collision_search.op5_collision_search,
         "op6_warc_zip": warc_zip.op6_warc_zip,
         "op7_ngram_join": ngram_join.op7_ngram_join,
