@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailweave.llm import bpe_automaton, cap_filters, collision_search, line_dedup, ngram_join, piece_language, pu_quality, warc_zip
+from mailweave.llm import bpe_automaton, cap_filters, collision_search, line_dedup, ngram_join, piece_language, pseudo_likelihood, pu_quality, source_mix, warc_zip
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pu_quality": pu_quality.op1_pu_quality,
+        "op2_source_mix": source_mix.op2_source_mix,
         "op3_piece_language": piece_language.op3_piece_language,
+        "op4_pseudo_likelihood": pseudo_likelihood.op4_pseudo_likelihood,
         "op5_collision_search": collision_search.op5_collision_search,
         "op6_warc_zip": warc_zip.op6_warc_zip,
         "op7_ngram_join": ngram_join.op7_ngram_join,
@@ -23,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_zip": warc_zip.OP6_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
+    return {"op2_source_mix": source_mix.OP2_SQL, "op6_warc_zip": warc_zip.OP6_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
