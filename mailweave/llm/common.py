@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,11 @@ def fold(key: Column, n: int) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n))
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def write_scratch(df: DataFrame, name: str) -> DataFrame:
     """Write once below ``spark.checkpoint.dir`` and read back: lineage is cut and lost executors lose nothing."""
     path = scratch_path(df.sparkSession, name)
@@ -67,3 +74,48 @@ def map_batches(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch],
 def sample_by_hash(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
     """Rows whose seeded hash of ``key`` lies below ``fraction``: the same rows for any partitioning."""
     return df.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < int(fraction * (1 << 30)))
+
+
+ID_BITS = 23  # bits of a set of ids: 1 MB, whatever the input
+
+
+def id_bits(ids: DataFrame) -> np.ndarray:
+    """A bit for the hash of every ``doc_id``; collected in parts of 4 kB, 1 MB in all."""
+    # Positions count from 1.
+    rows = ids.select((id_spot() + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
+    bits = np.zeros((1 << ID_BITS) // 8, dtype=np.uint8)
+    for r in rows:
+        bits[(r.part - 1) * 4096:r.part * 4096] = np.frombuffer(r.bits, dtype=np.uint8)
+    return bits
+
+
+def id_spot() -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << ID_BITS))
+
+
+def has_bit(bits: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    return (bits[spots >> 3] >> (spots & 7).astype(np.uint8)) & 1 == 1
+
+
+def split_by_id(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``doc_id`` is surely not in ``ids``, and the others, which may be and are few where ``ids`` are few.
+
+    Only the second part needs an exact join, so most rows are never moved.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(id_bits(ids))
+
+    @F.pandas_udf("boolean")
+    def may_be_in(h: pd.Series) -> pd.Series:
+        return pd.Series(has_bit(sent.value, h.to_numpy()))
+
+    flagged = F.coalesce(may_be_in(id_spot()) & F.col("doc_id").isNotNull(), F.lit(False))
+    return rows.filter(~flagged), rows.filter(flagged)
+
+
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows whose ``doc_id`` is not in ``gone``; of rows that repeat a ``doc_id`` one.  Null ids stay."""
+    again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    sure, maybe = split_by_id(docs, gone.select("doc_id").unionByName(again))
+    left = maybe.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return sure.unionByName(left.select(*columns(docs)))

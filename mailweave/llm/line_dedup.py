@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import read, write_scratch
+from mailweave.llm.common import columns, read, write_scratch
 from mailweave.llm.cuckoo import CuckooFilter, as_keys
 
 MIN_CHARS = 10
@@ -213,7 +213,7 @@ def kept_lines(text: Column, drops: Column, min_chars: int = MIN_CHARS) -> Colum
 
 def with_kept(docs: DataFrame, state: LineState, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` as ``struct row`` with ``kept`` (text), ``n_lines`` and ``n_dropped``; documents without losses keep their text."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("_id"))
+    rows = docs.select(F.struct(*columns(docs)).alias("row"), F.col("doc_id").cast("long").alias("_id"))
     met = rows.join(losses(state).withColumnRenamed("doc_id", "_id"), "_id", "left")
     text, whole = F.col("row.text"), F.coalesce(F.col("row.text"), F.lit(""))
     stay = F.when(F.col("drops").isNotNull(), kept_lines(text, F.col("drops"), min_chars))
@@ -222,6 +222,15 @@ def with_kept(docs: DataFrame, state: LineState, min_chars: int = MIN_CHARS) ->
                       F.coalesce(F.col("n_lines") - F.size("stay"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
+def rewritten(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` with the kept lines as ``text``; ``n_chars``, where there is such a column, follows."""
+    kept = with_kept(docs, first_state(docs, min_chars), min_chars)
+    changed = F.col("n_dropped") > 0
+    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("row.text")),
+           "n_chars": F.when(changed, F.length("kept")).otherwise(F.col("row").getField("n_chars")) if "n_chars" in docs.columns else None}
+    return kept.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document keeps when lines found in several documents stay in the first only."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")

@@ -22,19 +22,18 @@ whatever their names.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import discard, map_batches, read, small_batches, write_scratch
+from mailweave.llm.common import (discard, has_bit, id_bits, id_spot, map_batches, read, small_batches, split_by_id,
+                                  without_ids, write_scratch)
 from mailweave.llm.components import components
 from mailweave.llm.grouped import deal, groups
 from mailweave.llm.shingles import mix, shingles
 
 SKETCH_BITS = 19  # counters of the corpus sketch: 2^19 of four bytes, whatever the corpus
 SKETCH_PART = 4096
-MEMBER_BITS = 23  # bits of the filter that tells which texts to read again: 1 MB, whatever the corpus
 BLOCK_ROWS = 1000  # documents of one block of a canopy
 BLOCK_SHINGLES = 1 << 20
 COLUMNS_AT_ONCE = 4096
@@ -115,16 +114,9 @@ def one_of_each(posted: DataFrame, classes: DataFrame) -> DataFrame:
     """Prefixes of the first document of each class.  Only those that may be later copies are moved to find out."""
     copied = classes.filter("first_id < last_id").select("class_a", "class_b", "first_id")
     later = posted.select("doc_id", "class_a", "class_b").join(copied, ["class_a", "class_b"]).filter("doc_id > first_id").select("doc_id", "class_a", "class_b")
-    bits = posted.sparkSession.sparkContext.broadcast(_wanted(later))
-
-    @F.pandas_udf("boolean")
-    def may_be_later(h: pd.Series) -> pd.Series:
-        return pd.Series((bits.value[h.to_numpy() >> 3] >> (h.to_numpy() & 7).astype(np.uint8)) & 1 == 1)
-
-    rows = posted.filter("doc_id is not null and n_shingles > 0").select(
-        "doc_id", "class_a", "class_b", "prefix", may_be_later(_spot()).alias("maybe"))
-    checked = rows.filter("maybe").join(later, ["doc_id", "class_a", "class_b"], "left_anti")
-    return rows.filter("not maybe").unionByName(checked).select("doc_id", "prefix")
+    rows = posted.filter("doc_id is not null and n_shingles > 0").select("doc_id", "class_a", "class_b", "prefix")
+    sure, maybe = split_by_id(rows, later)
+    return sure.unionByName(maybe.join(later, ["doc_id", "class_a", "class_b"], "left_anti").select(*rows.columns)).select("doc_id", "prefix")
 
 
 def canopies(firsts: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -142,29 +134,13 @@ def canopies(firsts: DataFrame, sizes: DataFrame) -> DataFrame:
     return own.select(F.explode(F.array_distinct(stay["leader"])).alias("leader"), "doc_id", "n_shingles").distinct()
 
 
-def _spot():
-    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << MEMBER_BITS))
-
-
-def _wanted(members: DataFrame) -> np.ndarray:
-    """A bit for the hash of every id that is needed again; collected in parts of 4 kB, 1 MB in all."""
-    # Positions count from 1.
-    rows = members.select((_spot() + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
-    bits = np.zeros((1 << MEMBER_BITS) // 8, dtype=np.uint8)
-    for r in rows:
-        bits[(r.part - 1) * 4096:r.part * 4096] = np.frombuffer(r.bits, dtype=np.uint8)
-    return bits
-
-
 def member_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """(doc_id, shingles) of the members, and of few others whose hash meets theirs; texts do not move."""
-    bits = docs.sparkSession.sparkContext.broadcast(_wanted(members))
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", _spot())
+    bits = docs.sparkSession.sparkContext.broadcast(id_bits(members))
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", id_spot())
 
     def run(batch):
-        h = np.asarray(batch.column(2))
-        part = batch.filter(pa.array((bits.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
+        part = batch.filter(pa.array(has_bit(bits.value, np.asarray(batch.column(2)))))
         made, cuts = shingles(part.column(1), k)
         sets = [np.unique(made[i:j]).astype("<u8").tobytes() for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         return {"doc_id": part.column(0), "shingles": sets}
@@ -275,6 +251,11 @@ def similar_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return out.select("doc_id", "n_shingles", alone.alias("component_id"))
 
 
+def one_of_each_component(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Rows of ``docs`` without those that are similar to a document of a smaller id; of rows that repeat a ``doc_id`` one stays."""
+    return without_ids(docs, similar_components(docs, k, percent).filter("doc_id <> component_id").select("doc_id"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents share at least 85 % of their 4-word shingles, as components."""
     return similar_components(read(spark, sf_dir, "documents"), 4, 85)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import fold, map_batches, read
+from mailweave.llm.common import fold, map_batches, read, small_batches
 from mailweave.llm.shingles import words
 
 POSITIVES = 8_000  # bound of the sample of trusted positives
@@ -230,6 +230,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, **bounds:
     return map_batches(docs.select("doc_id", held, "text"), f"doc_id {kind}, held_out boolean, score double, predicted int", run)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, **bounds: int) -> DataFrame:
+    """Rows of ``docs`` whose score reaches the threshold, with all their columns; texts are filtered where they lie."""
+    net, prior = learn(*training_sample(docs, labels, folds, **bounds))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows and (net is not None or prior >= THRESHOLD):
+                yield batch if net is None else batch.filter(pa.array(net.score(features(batch.column(at))) >= THRESHOLD))
+
+    return small_batches(docs).mapInArrow(run, docs.schema)
+
+
 def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learnt from positives and unlabelled texts outside the held-out fold."""
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

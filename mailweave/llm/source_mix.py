@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import read, write_scratch
+from mailweave.llm.common import read, without_ids, write_scratch
 
 LEVELS = ("domain", "lang", "source")
 SEED = 17
@@ -124,6 +124,12 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], bud
     return select_prefixes(counted, shares, seed)
 
 
+def keep_mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], budget: Column, seed: int = SEED) -> DataFrame:
+    """Rows of ``docs`` that a mix without repeats selects, whole; of rows that repeat a ``doc_id`` one stays."""
+    taken = mix(docs, domain, weights, budget, 1, seed).select("doc_id").distinct()
+    return without_ids(docs, docs.select("doc_id").filter("doc_id is not null").join(taken, "doc_id", "left_anti"))
+
+
 WEIGHTS = {"domain": {"src0": 4, "src1": 3}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 2}}
 
 
