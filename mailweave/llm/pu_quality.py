@@ -73,7 +73,8 @@ def features(texts: pa.Array) -> np.ndarray:
     out[:, -4] = np.log1p(many / lines)
     out[:, -3] = np.log1p(many)
     out[:, -2] = np.log1p(lines)
-    out[:, -1] = size > 0
+    out[:, -1] = 1
+    out[size == 0] = 0
     return out
 
 
@@ -240,7 +241,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, **bounds: int)
             if batch.num_rows and (net is not None or prior >= THRESHOLD):
                 yield batch if net is None else batch.filter(pa.array(net.score(features(batch.column(at))) >= THRESHOLD))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    # Plain names meanwhile: the map takes none with dots.
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    renamed = docs.toDF(*plain)
+    return small_batches(renamed).mapInArrow(run, renamed.schema).toDF(*docs.columns)
 
 
 def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
