@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from mailweave.llm.common import map_batches, read
 
 END = "</w>"
-CACHE_WORDS = 400_000  # entries of a worker's memories of words and of chunks; each is emptied when full
-CACHE_ARCS = 400_000
+CACHE_WORDS = 200_000  # entries of a worker's memories of words and of chunks; each is emptied when full
+CACHE_ARCS = 200_000
 # White space as the normaliser's pattern takes it: unlike str.split, without the separators U+001C to U+001F.
 SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 ODD_SPACE = re.compile(r"[\x1c-\x1f]")
@@ -200,6 +200,11 @@ class Codec:
             ids.extend(self.automaton.encode(word))
         return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
 
+    def forget(self) -> None:
+        """Give up what was remembered of words, chunks and arcs."""
+        for memory in (self.chunks, self.automaton.words, self.automaton.arcs):
+            memory.clear()
+
     def decode(self, ids) -> str:
         return " ".join(map(self.labels.__getitem__, ids))
 
@@ -249,7 +254,7 @@ def encode(docs: DataFrame, file: bytes, key: str = "doc_id") -> DataFrame:
         made = codec(known.value)
         return {key: batch.column(0), "ids": [made.encode(t) for t in batch.column(1).to_pylist()]}
 
-    return map_batches(docs.select(key, "text"), f"{key} {kind}, ids array<int>", run)
+    return map_batches(docs.select(key, "text"), f"{key} {kind}, ids array<int>", run, lambda: codec(known.value).forget())
 
 
 def decode(encoded: DataFrame, file: bytes, key: str = "doc_id") -> DataFrame:
@@ -278,7 +283,8 @@ def digests(docs: DataFrame, file: bytes) -> DataFrame:
             of_text.append(hashlib.sha256(" ".join([p[1] for p in pieces]).encode()).hexdigest())
         return {"doc_id": batch.column(0), "n_tokens": counts, "ids_sha256": of_ids, "decoded_sha256": of_text}
 
-    return map_batches(docs.select("doc_id", "text"), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", run)
+    return map_batches(docs.select("doc_id", "text"), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", run,
+                       lambda: codec(known.value).forget())
 
 
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

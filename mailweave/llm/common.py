@@ -14,7 +14,7 @@ from mailweave.session import scratch_path
 
 # Rows of one Arrow batch: whole documents are long, so few of them keep a Python worker's memory bounded.
 BATCH_ROWS = 256
-BATCH_BYTES = "8m"
+BATCH_BYTES = "2m"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,8 +56,11 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def map_batches(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch], dict]) -> DataFrame:
-    """Apply ``function`` (record batch -> columns) to every Arrow batch of ``df``, in place: no shuffle."""
+def map_batches(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch], dict], finish: Callable[[], None] | None = None) -> DataFrame:
+    """Apply ``function`` (record batch -> columns) to every Arrow batch of ``df``, in place: no shuffle.
+
+    ``finish`` is called when a task is done: workers serve many tasks, so what one has remembered is given up there.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -67,6 +70,8 @@ def map_batches(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch],
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_pydict(function(batch), schema=arrow)
+        if finish:
+            finish()
 
     return small_batches(df).mapInArrow(run, schema)
 

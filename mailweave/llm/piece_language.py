@@ -34,7 +34,7 @@ ROUNDS = 5
 FOREIGN = 0.3  # chance that a word of a text is of any language
 PSEUDO = 0.05  # count given to every piece in every language
 LONG = 64  # letters above which a word is summed step by step, with rescaling
-CACHE = 300_000  # words a worker remembers; emptied when full
+CACHE = 200_000  # words a worker remembers; emptied when full
 START = "▁"  # how the vocabulary marks the start of a word
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = 0
@@ -63,26 +63,35 @@ class PieceModel:
         self.pieces, self.languages = pieces, languages
         self.ids = {p: i + 1 for i, p in enumerate(pieces)}
         self.longest = max(map(len, pieces), default=1)
+        # Every beginning of a piece, with -1 where it is no piece itself: a look-up that fails ends the search at its place.
+        self.starts = {p[:n]: -1 for p in pieces for n in range(1, len(p) + 1)} | self.ids
         self.theta = np.full((len(languages), len(pieces) + 1), 1.0 / (len(pieces) + 1))
         self.prior = np.zeros(len(languages))
         self.known: dict[str, int] = {}
         self.rows: list[np.ndarray] = []
 
     def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Every piece at every place: word number, start, end, piece."""
-        of, start, end, piece = [], [], [], []
-        ids, longest = self.ids, self.longest
+        """Every piece at every place: word number, start, end, piece.  Words are shorter than 127 letters, pieces than 64."""
+        packed = []
+        add, find = packed.append, self.starts.get
         for w, word in enumerate(words):
             marked = START + word
             n = len(marked)
             for i in range(n):
-                single = ids.get(marked[i], UNKNOWN)
-                of.append(w), start.append(i), end.append(i + 1), piece.append(single)
-                for j in range(i + 2, min(i + longest, n) + 1):
-                    p = ids.get(marked[i:j])
-                    if p is not None:
-                        of.append(w), start.append(i), end.append(j), piece.append(p)
-        return tuple(np.array(x, dtype=np.int64) for x in (of, start, end, piece))
+                at = (w << 7 | i) << 6
+                j, p = i + 1, find(marked[i])
+                if p is None or p < 0:
+                    add((at | 1) << 20 | UNKNOWN)
+                while p is not None:
+                    if p > 0:
+                        add((at | j - i) << 20 | p)
+                    j += 1
+                    if j > n:
+                        break
+                    p = find(marked[i:j])
+        packed = np.array(packed, dtype=np.int64)
+        start = packed >> 26 & 127
+        return packed >> 33, start, start + (packed >> 20 & 63), packed & (1 << 20) - 1
 
     def _forward(self, n: int, arcs, weight: np.ndarray, width: int) -> np.ndarray:
         """``alpha[w, e]``: probability of the first e letters, all segmentations; ``weight`` belongs to the arcs."""
@@ -149,12 +158,15 @@ class PieceModel:
                 behind, scale = [b / top for b in behind], scale + np.log(top)
         return np.log(behind[-1]) + scale
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.rows = []
+
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         found = [words_of(t) for t in texts]
         known = self.known
         if len(known) > CACHE:
-            known.clear()
-            self.rows = []
+            self.forget()
         fresh = list(dict.fromkeys(w for words in found for w in words if w not in known))
         if fresh:
             known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
@@ -215,7 +227,8 @@ def predict(docs: DataFrame, model: PieceModel, folds: int = 3) -> DataFrame:
         return {"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": names, "score": scores}
 
     held = F.coalesce(fold(F.col("doc_id"), folds) == 1, F.lit(False)).alias("held_out")
-    return map_batches(docs.select("doc_id", held, "text"), f"doc_id {kind}, held_out boolean, lang_pred string, score double", run)
+    return map_batches(docs.select("doc_id", held, "text"), f"doc_id {kind}, held_out boolean, lang_pred string, score double", run,
+                       lambda: sent.value.forget())
 
 
 def op3_piece_language(spark: SparkSession, sf_dir: str) -> DataFrame:
