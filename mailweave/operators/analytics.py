@@ -75,17 +75,30 @@ def thread_size_distribution(threads: DataFrame) -> DataFrame:
     return threads.agg(F.array(*counts).alias("c")).select(F.inline("c"))
 
 
+def thread_sizes(threaded: DataFrame) -> DataFrame:
+    """``(thread_id, email_count)``; nothing but the thread ids is read for it."""
+    return threaded.filter(F.col("thread_id").isNotNull()).groupBy("thread_id").agg(F.count("*").alias("email_count"))
+
+
 def overview(emails: DataFrame, threads: DataFrame, archives: DataFrame) -> DataFrame:
-    facts = emails.agg(
-        F.count("*").alias("total_emails"),
-        F.count_distinct("sender").alias("unique_senders"),
-        F.count_if(F.col("summary").isNotNull() & (F.col("summary") != "")).alias("emails_with_summary"),
-        F.min("sent_at").alias("date_range_start"),
-        F.max("sent_at").alias("date_range_end"),
-    )
-    return one_row(
-        facts, unique_receivers(emails), row_count(threads, "total_threads"), row_count(archives, "total_archives"),
-    ).select(*OVERVIEW)
+    """Figures of the mails from one pass: receivers become sets per mail and meet in one distinct count with the senders.
+
+    ``threads`` needs one row a thread and no further columns.
+    """
+    people = F.array_union(F.array(F.struct(F.lit(0).alias("kind"), F.col("sender").alias("who"))),
+                           F.transform("receivers", lambda r: F.struct(F.lit(1).alias("kind"), r.alias("who"))))
+    slim = emails.select("sent_at", (F.coalesce("summary", F.lit("")) != "").alias("has_summary"),
+                         F.posexplode_outer(people).alias("at", "person"))
+    # Grouped by person first: partial sums and extremes of the mails ride along, so the mails are read once.
+    own = F.col("at") == 0
+    by_person = slim.groupBy("person").agg(
+        F.count_if(own).alias("n"), F.count_if(own & F.col("has_summary")).alias("s"), F.min("sent_at").alias("lo"), F.max("sent_at").alias("hi"))
+    named = F.col("person.who").isNotNull()
+    facts = by_person.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_emails"), F.count_if(named & (F.col("person.kind") == 0)).alias("unique_senders"),
+        F.count_if(named & (F.col("person.kind") == 1)).alias("unique_receivers"), F.coalesce(F.sum("s"), F.lit(0)).alias("emails_with_summary"),
+        F.min("lo").alias("date_range_start"), F.max("hi").alias("date_range_end"))
+    return one_row(facts, row_count(threads, "total_threads"), row_count(archives, "total_archives")).select(*OVERVIEW)
 
 
 def dashboard(emails: DataFrame, threads: DataFrame, archives: DataFrame) -> DataFrame:

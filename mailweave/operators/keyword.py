@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailweave.functions.analysis import fold, surface_tokens, tokens, with_stem
-from mailweave.functions.text import search_snippet
+from mailweave.functions.text import let, search_snippet
 from mailweave.operators.skew import first_n_per_key, spread
-from mailweave.session import materialise
+from mailweave.session import discard, materialise
 
 # Fixed values of the ranking function and of the query (field weights, expansion limit).
 K1, B = 1.2, 0.75
@@ -24,7 +24,7 @@ ANALYSED = {"subject": "subject", "body_text": "body_text", "summary": "summary"
 EXACT_FIELD = "sender"
 MAX_EXPANSIONS = 50
 MAX_QUERY_CHARS = 500
-LITERAL_TERMS = 32
+TERM_BUCKETS = 256
 BODY_FRAGMENT, SUMMARY_FRAGMENT = 150, 120
 
 
@@ -37,27 +37,43 @@ def field_rows(emails: DataFrame) -> DataFrame:
     return emails.select("id", F.inline(pairs)).filter(F.coalesce("text", F.lit("")) != "")
 
 
+def counted(words: Column) -> Column:
+    """``array<struct<token, tf>>`` of an array of words, counted inside the row: sorted, then cut where the word changes."""
+    def runs(ordered: Column) -> Column:
+        n = F.size(ordered)
+        starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
+        cut = F.zip_with(starts, F.concat(F.slice(starts, 2, F.greatest(n, F.lit(1))), F.array(n + 1)),
+                         lambda a, b: F.struct(F.get(ordered, a - 1).alias("token"), (b - a).cast("bigint").alias("tf")))
+        return F.when(n > 0, F.filter(cut, lambda w: w["token"].isNotNull()))
+
+    return let(F.sort_array(words), runs)
+
+
 def token_rows(emails: DataFrame, stem: bool = True) -> DataFrame:
-    """``(id, field, dl, term, tf)``: term counts of each analysed field with the field's length.
+    """``(id, field, dl, term, tf, head)``: term counts of each analysed field with the field's length.
 
-    Mails are spread by id once, before tokens are exploded; both counting steps then find their rows
-    already in place, so the only shuffle moves each text once.
+    Words are counted and stemmed where their mail lies; texts are not moved.  The only shuffle brings together what is left: the
+    counts of words with one stem.  ``head`` marks one row for each field of a mail, so that lengths can be averaged from here.
     """
     placed = spread(emails.select("id", *dict.fromkeys(ANALYSED.values())), "id")
     lists = field_rows(placed).select("id", "field", tokens(F.col("text")).alias("tokens"))
-    words = lists.select("id", "field", F.size("tokens").cast("bigint").alias("dl"), F.explode("tokens").alias("token"))
-    # Counting words before stemming leaves one stem per distinct word of a text.
-    counted = words.groupBy("id", "field", "dl", "token").agg(F.count("*").alias("tf"))
-    terms = with_stem(counted, "token") if stem else counted.withColumn("term", fold(F.col("token")))
-    return terms.groupBy("id", "field", "dl", "term").agg(F.sum("tf").alias("tf"))
+    words = lists.select("id", "field", F.size("tokens").cast("bigint").alias("dl"), F.posexplode(counted(F.col("tokens"))).alias("at", "w"))
+    words = words.select("id", "field", "dl", "at", F.col("w.token").alias("token"), F.col("w.tf").alias("tf"))
+    terms = with_stem(words, "token") if stem else words.withColumn("term", fold(F.col("token")))
+    return terms.groupBy("id", "field", "dl", "term").agg(F.sum("tf").alias("tf"), (F.min("at") == 0).alias("head"))
 
 
-def postings(emails: DataFrame, stem: bool = True) -> DataFrame:
-    """The inverted index: analysed terms, and the sender as one exact term of length one."""
+def posting_rows(emails: DataFrame, stem: bool = True) -> DataFrame:
+    """Postings with ``head``: analysed terms, and the sender as one exact term of length one."""
     one = F.lit(1).cast("bigint")
     exact = emails.filter(F.col("sender").isNotNull()).select(
-        F.lit(EXACT_FIELD).alias("field"), F.col("sender").alias("term"), "id", one.alias("tf"), one.alias("dl"))
-    return token_rows(emails, stem).select("field", "term", "id", "tf", "dl").unionByName(exact)
+        F.lit(EXACT_FIELD).alias("field"), F.col("sender").alias("term"), "id", one.alias("tf"), one.alias("dl"), F.lit(True).alias("head"))
+    return token_rows(emails, stem).select("field", "term", "id", "tf", "dl", "head").unionByName(exact)
+
+
+def postings(emails: DataFrame, stem: bool = True) -> DataFrame:
+    """The inverted index."""
+    return posting_rows(emails, stem).drop("head")
 
 
 def vocabulary(posting_rows: DataFrame) -> DataFrame:
@@ -68,8 +84,7 @@ def vocabulary(posting_rows: DataFrame) -> DataFrame:
 def field_stats(emails: DataFrame) -> DataFrame:
     """Per field: number of mails that have it and their mean length.
 
-    Counts words in the scan and shuffles one partial result per task; going by the postings instead would move
-    all of them again.
+    Counts words in the scan and shuffles one partial result per task.
     """
     analysed = field_rows(emails).select("field", F.size(tokens(F.col("text"))).cast("bigint").alias("dl"))
     exact = emails.filter(F.col("sender").isNotNull()).select(
@@ -78,22 +93,33 @@ def field_stats(emails: DataFrame) -> DataFrame:
     return lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def stats_of(rows: DataFrame) -> DataFrame:
+    """The same from stored ``posting_rows``: one head row for each field of a mail."""
+    return rows.filter("head").groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
 def write_index(emails: DataFrame, folder: str, stem: bool = True) -> None:
-    """(Re)build the index tables below ``folder``.
+    """(Re)build the index tables below ``folder`` from one analysis of the mails.
 
-    Postings are ranged by field, term and id, so a very common term spreads over many files.
+    Postings lie in ``term_bucket`` folders, a hash of the term, and in term order within: a request reads the folders of its terms,
+    however many these are.  A very common term spreads over many files of its folder.
     """
     spark = emails.sparkSession
     path = os.path.join(folder, "postings")
-    # Ranging samples its input first; from a written table that is a cheap second read, not a second analysis.
-    unsorted = materialise(postings(emails, stem), "postings")
-    (unsorted.repartitionByRange("field", "term", "id").sortWithinPartitions("field", "term", "id")
-     .write.mode("overwrite").parquet(path))
-    stored = spark.read.parquet(path)
+    # Ranging samples its input first, and the lengths are averaged: from a written table these are cheap reads.
+    analysed = materialise(posting_rows(emails, stem), "postings")
+    (analysed.drop("head").withColumn("term_bucket", term_bucket(F.col("term")))
+     .repartitionByRange("term_bucket", "field", "term", "id").sortWithinPartitions("term_bucket", "field", "term", "id")
+     .write.mode("overwrite").partitionBy("term_bucket").parquet(path))
     vocab = os.path.join(folder, "vocab")
-    (vocabulary(stored).repartitionByRange("field", "term").sortWithinPartitions("field", "term")
-     .write.mode("overwrite").parquet(vocab))
-    field_stats(emails).coalesce(1).write.mode("overwrite").parquet(os.path.join(folder, "field_stats"))
+    (vocabulary(analysed).withColumn("length", F.length("term")).repartitionByRange("length", "field", "term")
+     .sortWithinPartitions("length", "field", "term").write.mode("overwrite").parquet(vocab))
+    stats_of(analysed).coalesce(1).write.mode("overwrite").parquet(os.path.join(folder, "field_stats"))
+    discard(spark, analysed.inputFiles()[0].rsplit("/", 1)[0])
+
+
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
 
 
 class Index:
@@ -104,7 +130,8 @@ class Index:
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> Index:
-        return cls(*[spark.read.parquet(os.path.join(folder, name)) for name in ("postings", "vocab", "field_stats")])
+        postings, vocab, stats = (spark.read.parquet(os.path.join(folder, name)) for name in ("postings", "vocab", "field_stats"))
+        return cls(postings, vocab, stats)
 
     @classmethod
     def of(cls, emails: DataFrame, stem: bool = True) -> Index:
@@ -121,7 +148,13 @@ def one_query(spark: SparkSession, text: str, query_id: int = 0) -> DataFrame:
 
 
 def query_terms(queries: DataFrame, stem: bool = True) -> DataFrame:
-    """``(query_id, field, pos, term)``: the analysed words for each analysed field, the whole text for the exact one."""
+    """``(query_id, field, pos, term)``: the analysed words for each analysed field, the whole text for the exact one.
+
+    A query longer than a request may be ends the job with an error.
+    """
+    fits = F.length("query") <= MAX_QUERY_CHARS
+    queries = queries.withColumn("query", F.when(fits, F.col("query")).otherwise(
+        F.raise_error(F.lit(f"a query has 1 to {MAX_QUERY_CHARS} characters")).cast("string")))
     words = queries.select("query_id", F.posexplode(tokens(F.col("query"))).alias("pos", "token"))
     terms = with_stem(words, "token") if stem else words.withColumn("term", fold(F.col("token")))
     fields = F.array(*[F.lit(f) for f in ANALYSED])
@@ -192,7 +225,7 @@ def edit_distance(a: Column, b: Column) -> Column:
     )
 
 
-def expand_fuzzy(terms: DataFrame, vocab: DataFrame) -> DataFrame:
+def expand_fuzzy(terms: DataFrame, vocab: DataFrame, max_expansions: int = MAX_EXPANSIONS) -> DataFrame:
     """``(query_id, field, pos, term, weight, edits)``: index terms within the allowed edits of each query term.
 
     For any number of queries.  Candidates come from an equi-join on shared deletion keys.  The vocabulary is first cut
@@ -208,21 +241,20 @@ def expand_fuzzy(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     query_keys = wanted.select("*", F.explode(deletion_keys(F.col("query_term"), F.col("k"))).alias("key"))
     pairs = vocab_keys.join(query_keys, ["field", "key"]).select(
         "query_id", "field", "pos", "query_term", "term", "k").distinct()
-    return _best_expansions(pairs)
+    return _best_expansions(pairs, max_expansions)
 
 
-def expand_request(terms: DataFrame, vocab: DataFrame) -> DataFrame:
-    """The same for one request, by testing each vocabulary term against the request's few words in the scan.
+def expand_request(terms: DataFrame, vocab: DataFrame, max_expansions: int = MAX_EXPANSIONS) -> DataFrame:
+    """The same for one request, by testing each vocabulary term against the request's words in the scan.
 
-    Much less work than deletion keys while the words are few; a request with more than ``LITERAL_TERMS`` words
-    takes the join.  Collects the request's words, which ``MAX_QUERY_CHARS`` bounds.
+    Collects the request's words, which ``MAX_QUERY_CHARS`` bounds.  Only terms of lengths that can match are tested; a stored
+    vocabulary lies in the order of lengths, so the others are not read.
     """
     words = _wanted(terms).collect()
-    if len(words) > LITERAL_TERMS * (len(ANALYSED) + 1):
-        return expand_fuzzy(terms, vocab)
     if not words:
-        return _best_expansions(_wanted(terms).select("*", F.col("query_term").alias("term")))
+        return _best_expansions(_wanted(terms).select("*", F.col("query_term").alias("term")), max_expansions)
     listed = F.array(*[F.struct(*[F.lit(w[c]).alias(c) for c in ("query_id", "pos", "query_term", "k", "field")]) for w in words])
+    lengths = sorted({n for w in words for n in range(len(w.query_term) - w.k, len(w.query_term) + w.k + 1)})
 
     def close(w: Column) -> Column:
         # A swap is two plain edits, so two edits of any kind are four plain ones at most.
@@ -231,23 +263,25 @@ def expand_request(terms: DataFrame, vocab: DataFrame) -> DataFrame:
             & (F.levenshtein(w["query_term"], F.col("term"), 4) >= 0)
         )
 
-    pairs = vocab.select("field", "term", F.explode(F.filter(listed, close)).alias("w")).select(
+    length = F.col("length") if "length" in vocab.columns else F.length("term")
+    near = vocab.filter((length >= lengths[0]) & (length <= lengths[-1]) & length.isin(lengths))
+    pairs = near.select("field", "term", F.explode(F.filter(listed, close)).alias("w")).select(
         "w.query_id", "field", "w.pos", "w.query_term", "term", "w.k")
-    return _best_expansions(pairs)
+    return _best_expansions(pairs, max_expansions)
 
 
 def _wanted(terms: DataFrame) -> DataFrame:
     return terms.select("query_id", "field", "pos", F.col("term").alias("query_term"), allowed_edits(F.col("term")).alias("k"))
 
 
-def _best_expansions(pairs: DataFrame) -> DataFrame:
-    """Test candidate pairs and keep the ``MAX_EXPANSIONS`` best of each query term, the limit a search request has."""
+def _best_expansions(pairs: DataFrame, max_expansions: int) -> DataFrame:
+    """Test candidate pairs and keep the ``max_expansions`` best of each query term, the limit a search request has."""
     scored = pairs.withColumn("edits", edit_distance(F.col("query_term"), F.col("term"))).filter(F.col("edits") <= F.col("k"))
     shorter = F.least(F.length("query_term"), F.length("term"))
     scored = scored.withColumn("weight", F.when(F.col("edits") == 0, 1.0).otherwise(1.0 - F.col("edits") / shorter))
     best = first_n_per_key(
         scored.filter(F.col("weight") > 0), ["query_id", "field", "pos"], [F.desc("weight"), F.asc("term")],
-        MAX_EXPANSIONS, "term")
+        max_expansions, "term")
     return best.select("query_id", "field", "pos", "query_term", "term", "weight", "edits")
 
 
@@ -260,8 +294,8 @@ def exact_terms(terms: DataFrame) -> DataFrame:
     return terms.withColumn("weight", F.lit(1.0))
 
 
-def field_scores(terms: DataFrame, index: Index) -> DataFrame:
-    """``(query_id, id, field, score)``: relevance of each mail in each field that has any of the terms.
+def _weighted_postings(terms: DataFrame, index: Index) -> DataFrame:
+    """``(query_id, id, field, part)``: what each term adds to the score of a mail's field.
 
     No broadcast is forced: the term list is tiny for one request and Spark broadcasts it by size; a large batch of
     queries takes a shuffle join, where adaptive execution splits the postings of common terms.
@@ -272,10 +306,12 @@ def field_scores(terms: DataFrame, index: Index) -> DataFrame:
     weighted = repeated.join(index.vocab, ["field", "term"]).join(index.stats, "field").select(
         "query_id", "field", "term", (F.col("weight") * idf).alias("term_weight"), "avgdl")
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return (
-        index.postings.join(weighted, ["field", "term"])
-        .groupBy("query_id", "id", "field").agg(F.sum(F.col("term_weight") * tf).alias("score"))
-    )
+    return index.postings.join(weighted, ["field", "term"]).select("query_id", "id", "field", (F.col("term_weight") * tf).alias("part"))
+
+
+def field_scores(terms: DataFrame, index: Index) -> DataFrame:
+    """``(query_id, id, field, score)``: relevance of each mail in each field that has any of the terms."""
+    return _weighted_postings(terms, index).groupBy("query_id", "id", "field").agg(F.sum("part").alias("score"))
 
 
 def best_fields(scores: DataFrame) -> DataFrame:
@@ -284,14 +320,24 @@ def best_fields(scores: DataFrame) -> DataFrame:
     return scores.groupBy("query_id", "id").agg(F.max(F.col("score") * boost[F.col("field")]).alias("score"))
 
 
+def best_scores(terms: DataFrame, index: Index) -> DataFrame:
+    """``best_fields`` of ``field_scores`` with one exchange: a sum for each field, then the best of them."""
+    sums = [F.sum(F.when(F.col("field") == f, F.col("part"))).alias(f) for f in BOOSTS]
+    rows = _weighted_postings(terms, index).groupBy("query_id", "id").agg(*sums)
+    return rows.select("query_id", "id", F.greatest(*[F.col(f) * w for f, w in BOOSTS.items()]).alias("score"))
+
+
 def pushed_down(terms: DataFrame, index: Index) -> Index:
-    """The index cut to the terms of one request by a literal filter, which lets the scans skip row groups.
+    """The index cut to the terms of one request: to the folders of their buckets, then by a literal list.
 
     Expects ``fixed`` terms: a list that the request's length and ``MAX_EXPANSIONS`` bound.  Not for batches of queries.
     """
-    listed = [r.term for r in terms.select("term").distinct().collect()]
-    keep = F.col("term").isin(listed)
-    return Index(index.postings.filter(keep), index.vocab.filter(keep), index.stats)
+    found = terms.select("term", term_bucket(F.col("term")).alias("b")).distinct().collect()
+    listed = F.col("term").isin([r.term for r in found])
+    stored = index.postings
+    if "term_bucket" in stored.columns:
+        stored = stored.filter(F.col("term_bucket").isin(sorted({r.b for r in found})))
+    return Index(stored.filter(listed), index.vocab.filter(listed), index.stats)
 
 
 def sender_filter(emails: DataFrame, index: Index, sender: str, stem: bool = True) -> DataFrame:

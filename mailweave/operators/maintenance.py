@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 
 def latest_by_id(rows: DataFrame, key: str, version: str) -> DataFrame:
-    """One row per id, that of the highest version, as a partial aggregate."""
+    """One row per id, that of the highest version, as a partial aggregate.
+
+    A row without a version counts as the oldest; between equal versions a hash of the row decides, whatever the partitioning.
+    """
     others = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*others), version).alias("_row")).select(key, "_row.*")
+    order = F.struct(F.col(version).isNotNull(), F.col(version), F.xxhash64(*others))
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_row")).select(key, "_row.*")
 
 
 def upsert(base: DataFrame, delta: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
@@ -19,7 +23,10 @@ def upsert(base: DataFrame, delta: DataFrame, key: str = "id", version: str = "v
 
 
 def insert_if_absent(existing: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    return existing.unionByName(new.join(existing.select(key), key, "left_anti"))
+    """``existing`` with the rows of ``new`` whose id it lacks; of several new rows of an id one, chosen by a hash of the row."""
+    others = [c for c in new.columns if c != key]
+    one = new.groupBy(key).agg(F.min_by(F.struct(*others), F.xxhash64(*others)).alias("_row")).select(key, "_row.*")
+    return existing.unionByName(one.join(existing.select(key), key, "left_anti"))
 
 
 def delete_rows(rows: DataFrame, deleted: DataFrame, key: str) -> DataFrame:

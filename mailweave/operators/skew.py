@@ -7,19 +7,14 @@ from pyspark.sql import functions as F
 
 SALTS = 64
 HOT_ROWS = 1_000_000
-HOT_KEYS = 1000
 
 
 def hot_keys(facts: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The heaviest keys of ``facts``: those above ``hot_rows`` rows, ``HOT_KEYS`` of them at most.
+    """The keys of ``facts`` with more than ``hot_rows`` rows: at most one in ``hot_rows`` rows can be such a key.
 
     Counting combines map-side, so a hot key moves one partial count per input partition.
     """
-    return (
-        facts.filter(F.col(key).isNotNull()).groupBy(key).count()
-        .filter(F.col("count") > hot_rows)
-        .orderBy(F.desc("count"), key).limit(HOT_KEYS).select(key)
-    )
+    return facts.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > hot_rows).select(key)
 
 
 def lookup_join(
@@ -29,15 +24,23 @@ def lookup_join(
     """Join ``facts`` to a ``dimension`` that is unique on ``key``.
 
     Rows of hot keys are spread over ``salts`` reducers by a hash of ``salt_by``; the matching dimension
-    rows are repeated as often.  All other keys take the plain shuffle join.  The broadcast hot-key list
-    has at most ``HOT_KEYS`` rows by construction, and the dimension grows by ``HOT_KEYS * salts`` rows at most.
+    rows are repeated as often.  All other keys take the plain shuffle join.  Rows without a key meet nothing, so they are never
+    shuffled: a left join gets them back at the end.
     """
-    hot = F.broadcast(hot_keys(facts, key, hot_rows).withColumn("_hot", F.lit(True)))
+    hot = hot_keys(facts, key, hot_rows).withColumn("_hot", F.lit(True))
     spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    left = facts.join(hot, key, "left").withColumn("_salt", spread).drop("_hot")
+    left = facts.filter(F.col(key).isNotNull()).join(hot, key, "left").withColumn("_salt", spread).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = dimension.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    right = dimension.filter(F.col(key).isNotNull()).join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    joined = left.join(right, [key, "_salt"], how).drop("_salt")
+    if how == "left":
+        joined = joined.unionByName(facts.filter(F.col(key).isNull()), allowMissingColumns=True)
+    return joined
+
+
+def spread_nulls(key: str, salt_by: str) -> Column:
+    """A join key that is ``key`` where there is one and otherwise meets nothing: rows without a key go to many reducers."""
+    return F.coalesce(F.col(key), F.concat(F.lit("\u0000"), F.col(salt_by).cast("string")))
 
 
 def first_n_per_key(
@@ -57,9 +60,10 @@ def first_n_per_key(
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Rows hashed by a unique ``key`` over the configured number of shuffle partitions.
+    """``rows`` as they lie, unless they lie in fewer partitions than there are cores.
 
-    For stages whose work is in the rows, such as cutting texts into words: the given number keeps adaptive execution
-    from merging partitions by their bytes alone.
+    For stages whose work is in the rows, such as cutting texts into words.  Tables of any size have partitions enough and are not
+    moved; only a small input, say one file, is dealt out by its unique ``key``.
     """
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)

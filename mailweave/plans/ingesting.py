@@ -70,12 +70,13 @@ def packed_archives(spark, sf):
 
 @query
 def src_admission(spark, sf):
-    """Uploads named after the documents; only ZIP names within the size limit pass."""
+    """Uploads named after the documents: ZIP names within the size limit pass, the others are refused with the reason."""
     n = F.col("doc_id")
     uploads = table(spark, sf, "documents").select(
         F.concat("source", F.lit("/"), n.cast("string"), F.when(n % 3 == 0, ".zip").when(n % 3 == 1, ".ZIP").otherwise(".tar"))
          .alias("path"), (F.col("n_chars") * 100000).alias("length"))
-    return uploads.filter(S.admitted())
+    passed = uploads.filter(S.admitted()).select("path", F.lit(None).cast("string").alias("error"))
+    return passed.unionByName(S.refused(uploads).withColumnRenamed("source", "path"))
 
 
 @query

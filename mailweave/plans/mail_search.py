@@ -110,7 +110,7 @@ def kw_fuzzy_search(spark, sf):
     """Many fuzzy queries in one job: the ten best mails for every subject of the archive."""
     stored, queries = index(spark, sf), subject_queries(spark, sf)
     terms = K.expand_fuzzy(K.query_terms(queries), stored.vocab)
-    scores = _rounded(K.best_fields(K.field_scores(terms, stored)))
+    scores = _rounded(K.best_scores(terms, stored))
     return K.ranked_per_query(scores, 10).join(queries, "query_id").select(
         "query", "id", "score", F.col("rank").cast("bigint").alias("rank"))
 
@@ -129,31 +129,40 @@ def kw_page_total(spark, sf):
     return page.unionByName(total, allowMissingColumns=True)
 
 
-def search(spark, sf, text, sender=None, date_from=None, date_to=None, limit=20, offset=0):
-    """A whole request: fuzzy terms, ranking, filters, page.  Filters do not change scores."""
+def search_scores(spark, sf, text, sender=None, date_from=None, date_to=None):
+    """A request's scores and terms: fuzzy terms, ranking, filters.  Filters do not change scores."""
     stored, rows = index(spark, sf), emails(spark, sf)
     terms = K.fixed(K.expand_request(K.query_terms(K.one_query(spark, text)), stored.vocab))
-    scores = _rounded(K.best_fields(K.field_scores(terms, K.pushed_down(terms, stored))))
+    scores = _rounded(K.best_scores(terms, K.pushed_down(terms, stored)))
     if sender:
         scores = scores.join(K.sender_filter(rows, stored, sender), "id", "left_semi")
     if date_from is not None or date_to is not None:
         dated = rows.filter(in_date_range(date_from, date_to)).select("id")
         scores = scores.join(dated, "id", "left_semi")
-    return K.ranked(scores, limit, offset), terms
+    return scores, terms
+
+
+def whole_hits(spark, sf, scores, terms, text, limit, offset=0):
+    """One page of hits with their mail's data, marked excerpt and the number of all hits, best first.
+
+    Hits whose mail is gone stay, without its data.
+    """
+    rows, total = emails(spark, sf), scores.count()
+    page = K.ranked(scores, limit, offset)
+    marked = K.highlight(page, rows, terms, K.one_query(spark, text))
+    shown = rows.select("id", "subject", "sender", "sent_at", "summary")
+    return marked.join(shown, "id", "left").withColumn("total", F.lit(total).cast("bigint")).orderBy(F.desc("score"), "id")
 
 
 @query
 def kw_search(spark, sf):
-    hits, _ = search(spark, sf, QUERY, SENDER[:5], _ntz(DATE_FROM), _ntz(DATE_TO))
-    shown = emails(spark, sf).select("id", "subject", "sender", "sent_at", "summary")
-    return hits.join(shown, "id").select("id", "subject", "sender", "sent_at", "summary", "score")
+    scores, terms = search_scores(spark, sf, QUERY, SENDER[:5], _ntz(DATE_FROM), _ntz(DATE_TO))
+    hits = whole_hits(spark, sf, scores, terms, QUERY, 20)
+    return hits.select("id", "subject", "sender", "sent_at", "summary", "score", "total")
 
 
 @query
 def kw_highlight(spark, sf):
     """The first page of a fuzzy search with marked excerpts."""
-    hits, terms = search(spark, sf, QUERY)
-    marked = K.highlight(hits, emails(spark, sf), terms, K.one_query(spark, QUERY))
-    return marked.select("id", "score", "snippet")
-
-
+    scores, terms = search_scores(spark, sf, QUERY)
+    return whole_hits(spark, sf, scores, terms, QUERY, 20).select("id", "score", "snippet")

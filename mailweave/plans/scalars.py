@@ -38,12 +38,16 @@ def x_norm_subject(spark, sf):
 @query
 def x_rfc2822_date(spark, sf):
     """Send dates written as headers in several forms, then read back; one form is not a date."""
-    at, n = F.col("sent_at"), F.pmod("email_id", F.lit(5))
+    at, n = F.col("sent_at"), F.pmod("email_id", F.lit(9))
     text = (
         F.when(n == 0, F.concat(F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")))
         .when(n == 1, F.concat(F.date_format(at, "d MMM yyyy HH:mm:ss"), F.lit(" GMT")))
         .when(n == 2, F.concat(F.date_format(at, "EEE, d MMM yyyy H:mm:ss"), F.lit(" +0200 (CEST)")))
         .when(n == 3, F.concat(F.date_format(at, "dd MMM yyyy HH:mm:ss"), F.lit(" -0530")))
+        .when(n == 5, F.concat(F.date_format(at, "d MMM yyyy HH:mm:ss"), F.lit(" EST")))
+        .when(n == 6, F.concat(F.date_format(at, "EEE, d MMM yy HH:mm:ss"), F.lit(" +0000")))
+        .when(n == 7, F.date_format(at, "d MMM yyyy HH:mm:ss"))
+        .when(n == 8, F.concat(F.date_format(at, "d MMM yyyy HH:mm:ss"), F.lit(" -0000 (a zone) (of no place)")))
         .otherwise(F.date_format(at, "yyyy/MM/dd"))
     )
     return mail(spark, sf).select("email_id", H.utc_wall_time(H.rfc2822_time(text)).alias("sent"))

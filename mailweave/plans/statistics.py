@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 from mailweave.operators import analytics as A
 from mailweave.plans import tables
 from mailweave.plans.registry import query
-from mailweave.sources.testmail import emails
+from mailweave.sources.testmail import emails, threaded_emails
+
+
+def thread_sizes(spark, sf):
+    return A.thread_sizes(threaded_emails(spark, sf))
 
 
 @query
 def counts(spark, sf):
     return A.one_row(
         A.row_count(emails(spark, sf), "emails"),
-        A.row_count(tables.threads(spark, sf), "threads"),
+        A.row_count(thread_sizes(spark, sf), "threads"),
         A.row_count(tables.archives(spark, sf), "archives"),
     )
 
@@ -56,17 +60,17 @@ def top_subjects(spark, sf):
 
 @query
 def thread_size_dist(spark, sf):
-    return A.thread_size_distribution(tables.threads(spark, sf))
+    return A.thread_size_distribution(thread_sizes(spark, sf))
 
 
 @query
 def overview(spark, sf):
-    return A.overview(emails(spark, sf), tables.threads(spark, sf), tables.archives(spark, sf))
+    return A.overview(emails(spark, sf), thread_sizes(spark, sf), tables.archives(spark, sf))
 
 
 @query
 def dashboard(spark, sf):
-    return A.dashboard_rows(emails(spark, sf), tables.threads(spark, sf), tables.archives(spark, sf))
+    return A.dashboard_rows(emails(spark, sf), thread_sizes(spark, sf), tables.archives(spark, sf))
 
 
 @query

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mailweave.operators import threads as T
 from mailweave.plans import tables
 from mailweave.plans.registry import query
+from mailweave.session import materialise
 from mailweave.sources.testmail import emails, threaded_emails
 
 
@@ -65,12 +66,27 @@ def participant_union(spark, sf):
     return emails(spark, sf).select("id", F.array_join(F.array_sort(who), ",").alias("participants"))
 
 
-@query
-def thread_match_or_create(spark, sf):
-    """Threads of archives named with one digit are stored already; the others are matched against them."""
+def _matched(spark, sf):
+    """Threads of archives with short names are stored already; the others are matched against them."""
     rows = threaded_emails(spark, sf).select(*tables.NEEDED_FOR_THREADS)
-    stats = T.thread_stats(rows, ("archive_id", "thread_id"))
+    stats = materialise(T.thread_stats(rows, ("archive_id", "thread_id")), "thread-stats")
     old = F.length("archive_id") <= 4
     existing = stats.filter(old).select(F.col("thread_id").alias("id"), "subject_normalized", "root_message_id")
-    groups = stats.filter(~old).select("archive_id", "subject_normalized", "root_message_id", "email_count")
+    groups = stats.filter(~old).select(
+        F.col("thread_id").alias("group_id"), "archive_id", "subject_normalized", "root_message_id", "email_count")
     return T.match_or_create(groups, existing)
+
+
+@query
+def thread_match_or_create(spark, sf):
+    return _matched(spark, sf).drop("group_id")
+
+
+@query
+def thread_refresh(spark, sf):
+    """New statistics and summaries of the threads that new mails were matched to, from old and new mails."""
+    matched = materialise(_matched(spark, sf).select("group_id", F.col("thread_id").alias("_matched")), "thread-matches")
+    rows = threaded_emails(spark, sf)
+    members = rows.join(matched, rows["thread_id"] == matched["group_id"], "left").withColumn(
+        "thread_id", F.coalesce("_matched", "thread_id"))
+    return T.refreshed(members, matched.select(F.col("_matched").alias("thread_id")))

@@ -35,7 +35,9 @@ def _versions(spark, sf):
     first = slim(rows.filter(F.col("in_reply_to").isNotNull()).withColumn("subject", F.concat(F.lit("edited "), "subject")), 1)
     second = slim(rows.filter(F.col("references_header").isNotNull()).withColumn("subject", F.upper("subject")), 2)
     new = slim(rows.filter(F.col("message_id").isNull()).withColumn("id", -F.col("id")), 1)
-    return base, first.unionByName(second).unionByName(new)
+    unversioned = slim(rows.filter(F.col("in_reply_to").isNotNull()).withColumn("subject", F.lit("lost")), None)
+    return base, first.unionByName(second).unionByName(new).unionByName(
+        unversioned.withColumn("version", F.col("version").cast("int")))
 
 
 @query
@@ -45,8 +47,10 @@ def upsert_by_id(spark, sf):
 
 @query
 def insert_if_absent(spark, sf):
+    """New rows come twice; ids that are stored already keep their row."""
     base, delta = _versions(spark, sf)
-    return M.insert_if_absent(base, M.latest_by_id(delta, "id", "version"))
+    fresh = M.latest_by_id(delta, "id", "version")
+    return M.insert_if_absent(base, fresh.unionByName(fresh))
 
 
 @query

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -33,19 +32,9 @@ def build_session(master: str | None = None, app_name: str = "mailweave", **conf
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, named by ``spark.checkpoint.dir``.
-
-    Where the setting is absent (local tests) a fresh temporary folder is made once and
-    remembered in the session, so nothing on a cluster ever lands on one machine's disk.
-    """
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else a folder in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="mailweave-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "scratch")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -53,6 +42,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one that nothing will read again."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialise(df, name: str, *partition_by: str):
     """Write ``df`` once below the shared folder and read it back, cutting its lineage.
 

@@ -6,6 +6,7 @@ import email
 import email.policy
 import io
 import zipfile
+from collections import Counter
 from collections.abc import Iterator
 from email.utils import parseaddr, parsedate_to_datetime
 
@@ -43,6 +44,13 @@ def archive_files(spark: SparkSession, path: str, max_bytes: int = MAX_ARCHIVE_B
     return listing.filter(admitted(max_bytes))
 
 
+def refused(files: DataFrame, max_bytes: int = MAX_ARCHIVE_BYTES) -> DataFrame:
+    """``(source, error)`` of the files that are not admitted; their content is not read."""
+    wrong_name = ~F.endswith(F.lower("path"), F.lit(".zip"))
+    return files.filter(~admitted(max_bytes)).select(
+        F.col("path").alias("source"), F.when(wrong_name, "not a ZIP archive by its name").otherwise("archive is too large").alias("error"))
+
+
 def admitted(max_bytes: int = MAX_ARCHIVE_BYTES):
     return F.endswith(F.lower("path"), F.lit(".zip")) & (F.col("length") <= max_bytes)
 
@@ -123,18 +131,23 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, content in zip(batch["path"], batch["content"]):
             try:
                 archive = zipfile.ZipFile(io.BytesIO(content))
-            except zipfile.BadZipFile:
-                rows.append({"archive_path": path, "error": "not a valid ZIP archive", "receivers": [], "cc": []})
+            except Exception as problem:  # a damaged file must not end the task
+                why = "not a valid ZIP archive" if isinstance(problem, zipfile.BadZipFile) else f"{type(problem).__name__}: {problem}"
+                rows.append({"archive_path": path, "error": why, "receivers": [], "cc": []})
                 continue
+            seen = Counter()
             for entry in sorted((i for i in archive.infolist() if not i.is_dir()), key=lambda i: i.filename):
                 if not _is_mail(entry.filename):
                     continue
+                # A name may come again in one archive: later ones are numbered, so that ids differ.
+                seen[entry.filename] += 1
+                name = entry.filename if seen[entry.filename] == 1 else f"{entry.filename}#{seen[entry.filename]}"
                 try:
                     raw = archive.read(entry)
                     parsed = _parse(raw)
                 except Exception as problem:  # damaged member
                     raw, parsed = b"", {"error": f"{type(problem).__name__}: {problem}", "receivers": [], "cc": []}
-                rows.append({"archive_path": path, "entry_path": entry.filename, **parsed})
+                rows.append({"archive_path": path, "entry_path": name, **parsed})
                 held += len(raw)
                 if held > CHUNK_BYTES:
                     yield _frame(rows, columns)
@@ -155,7 +168,7 @@ def scan_archives(files: DataFrame) -> DataFrame:
 def parse_messages(messages: DataFrame, keep: tuple[str, ...] = ("id",), raw: str = "raw") -> DataFrame:
     """Decode a column of message bytes next to the columns of ``keep``, of which the first is unique.
 
-    Decoding is the costly part, so messages are spread over all partitions by that column first.
+    Decoding is the costly part, so a small input is spread over all cores by that column first.
     """
     kept = messages.select(*keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)

@@ -78,7 +78,7 @@ SELECT t.thread_id AS id, t.archive_id, t.thread_key,
  CASE WHEN {norm_subject('f.subject')} <> '' THEN {norm_subject('f.subject')} ELSE t.thread_key END AS subject_normalized,
  CASE WHEN r.message_id IS NOT NULL THEN r.message_id ELSE f.message_id END AS root_message_id,
  p.participant_count, t.email_count, t.first_email_at, t.last_email_at
-FROM (SELECT thread_id, any_value(archive_id) AS archive_id, any_value(thread_key) AS thread_key, count(*) AS email_count,
+FROM (SELECT thread_id, any_value(archive_id) AS archive_id, min(thread_key) AS thread_key, count(*) AS email_count,
       min(sent_at) AS first_email_at, max(sent_at) AS last_email_at FROM threaded GROUP BY thread_id) t
 JOIN (SELECT * FROM threaded QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY {ORDER}) = 1) f USING (thread_id)
 LEFT JOIN (SELECT * FROM threaded WHERE message_id IS NOT NULL AND in_reply_to IS NULL

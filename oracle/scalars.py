@@ -16,8 +16,9 @@ SQL = {
 FROM (SELECT email_id, string_split(concat_ws(',', receivers_csv, cc_csv, sender, receivers_csv), ',') AS a FROM mail)""",
     "x_norm_subject": using("mail") + f"""SELECT email_id, {norm_subject('subject')} AS subject,
  {norm_subject("' RE:re: FWD:' || chr(9) || 'fw:  ' || subject || '  ' || chr(10) || ' x  Re: kept '")} AS stacked FROM mail""",
-    "x_rfc2822_date": using("mail") + """SELECT email_id, CASE email_id % 5 WHEN 2 THEN date_trunc('second', sent_at) - INTERVAL 2 HOUR
+    "x_rfc2822_date": using("mail") + """SELECT email_id, CASE email_id % 9 WHEN 2 THEN date_trunc('second', sent_at) - INTERVAL 2 HOUR
  WHEN 3 THEN date_trunc('second', sent_at) + INTERVAL 330 MINUTE WHEN 4 THEN NULL
+ WHEN 5 THEN date_trunc('second', sent_at) + INTERVAL 5 HOUR
  ELSE date_trunc('second', sent_at) END AS sent FROM mail""",
     "x_message_id": using("mail") + "SELECT email_id, message_id FROM mail",
     "x_snippet": f"SELECT doc_id, {truncate('s', 200)} AS snippet FROM (SELECT doc_id, {collapse(_RAW)} AS s FROM documents)",

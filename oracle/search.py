@@ -167,7 +167,7 @@ FROM (SELECT token, count(*) AS n FROM words WHERE field = 'body_text' GROUP BY
     "kw_page_total": _search(_one(QUERY), False) + """
 SELECT id, score, CAST(NULL AS BIGINT) AS total FROM (SELECT id, score FROM best ORDER BY score DESC, id LIMIT 15 OFFSET 15)
 UNION ALL SELECT NULL, NULL, count(*) FROM best""",
-    "kw_search": _search(_one(QUERY), True) + """SELECT e.id, e.subject, e.sender, e.sent_at, e.summary, b.score FROM best b
+    "kw_search": _search(_one(QUERY), True) + """SELECT e.id, e.subject, e.sender, e.sent_at, e.summary, b.score, count(*) OVER () AS total FROM best b
 JOIN emails e ON e.id = b.id WHERE contains(e.sender, 'user1')
  AND e.sent_at >= TIMESTAMP '2024-01-10' AND e.sent_at <= TIMESTAMP '2024-01-20 12:00:00' ORDER BY b.score DESC, e.id LIMIT 20""",
 }

@@ -6,8 +6,9 @@ from oracle.search import COUNTED
 _BASE = "SELECT email_id AS id, subject, 0 AS version FROM mail"
 _DELTA = """SELECT email_id AS id, 'edited ' || subject AS subject, 1 AS version FROM mail WHERE in_reply_to IS NOT NULL
 UNION ALL SELECT email_id, upper(subject), 2 FROM mail WHERE references_header IS NOT NULL
-UNION ALL SELECT -email_id, subject, 1 FROM mail WHERE message_id IS NULL"""
-_LAST = "SELECT * FROM delta QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1"
+UNION ALL SELECT -email_id, subject, 1 FROM mail WHERE message_id IS NULL
+UNION ALL SELECT email_id, 'lost', NULL FROM mail WHERE in_reply_to IS NOT NULL"""
+_LAST = "SELECT * FROM delta QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC NULLS LAST) = 1"
 _VERSIONS = using("mail", base=_BASE, delta=_DELTA, latest=_LAST)
 
 SQL = {
