@@ -9,9 +9,6 @@ from mailweave.functions.text import SHORT_TEXT_CHARS
 from mailweave.operators.skew import HOT_ROWS, lookup_join
 from mailweave.schema import ARCHIVE_VIEW, EMAIL_DETAIL, LIST_ITEM, THREAD_VIEW
 
-MAX_REQUEST_IDS = 1000
-
-
 def by_id(rows: DataFrame, value, column: str = "id") -> DataFrame:
     return rows.filter(F.col(column) == F.lit(value))
 
@@ -19,18 +16,11 @@ def by_id(rows: DataFrame, value, column: str = "id") -> DataFrame:
 def by_ids_in_order(rows: DataFrame, ids: list, column: str = "id") -> DataFrame:
     """Rows of the requested ids in request order; unknown ids yield nothing.
 
-    A request within ``MAX_REQUEST_IDS`` is a pushed-down ``IN`` filter with the order attached by a literal
-    array; a longer list is joined as a table and Spark picks the strategy by its size.
+    The list is joined as a table; Spark picks the strategy by its size.
     """
-    wanted = list(dict.fromkeys(ids))
-    if len(wanted) <= MAX_REQUEST_IDS:
-        place = F.array_position(F.array(*[F.lit(i) for i in wanted]), F.col(column))
-        found = rows.filter(F.col(column).isin(wanted)).withColumn("pos", (place - 1).cast("bigint"))
-    else:
-        kind = rows.schema[column].dataType.simpleString()
-        request = rows.sparkSession.createDataFrame(list(enumerate(wanted)), f"pos bigint, `{column}` {kind}")
-        found = rows.join(request, column)
-    return found.orderBy("pos")
+    kind = rows.schema[column].dataType.simpleString()
+    request = rows.sparkSession.createDataFrame(list(enumerate(dict.fromkeys(ids))), f"pos bigint, `{column}` {kind}")
+    return rows.join(request, column).orderBy("pos")
 
 
 def first_by_value(rows: DataFrame, column: str, value, order: str = "id") -> DataFrame:
@@ -94,13 +84,18 @@ def index_documents(emails: DataFrame) -> DataFrame:
     )
 
 
-def vector_metadata(emails: DataFrame) -> DataFrame:
-    return emails.select(
-        F.col("id").alias("email_id"), "archive_id",
-        F.coalesce(F.col("thread_id"), F.lit("")).alias("thread_id"), "sender",
+def metadata_columns() -> list[Column]:
+    """What a stored vector says about its mail."""
+    return [
+        F.col("id").alias("email_id"), F.col("archive_id"),
+        F.coalesce(F.col("thread_id"), F.lit("")).alias("thread_id"), F.col("sender"),
         F.substring("subject", 1, 500).alias("subject"),
         F.coalesce(iso_time(F.col("sent_at")), F.lit("")).alias("sent_at"),
-    )
+    ]
+
+
+def vector_metadata(emails: DataFrame) -> DataFrame:
+    return emails.select(*metadata_columns())
 
 
 def _page(rows: DataFrame, order: list[Column], page: int, page_size: int) -> DataFrame:

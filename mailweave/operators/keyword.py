@@ -23,7 +23,7 @@ BOOSTS = {"subject": 4.0, "summary": 2.0, "body_text": 1.0, "sender_text": 1.0,
 ANALYSED = {"subject": "subject", "body_text": "body_text", "summary": "summary", "sender_text": "sender"}
 EXACT_FIELD = "sender"
 MAX_EXPANSIONS = 50
-MAX_QUERY_CHARS = 500
+MAX_QUERY_CHARS, MAX_PAGE = 500, 100
 TERM_BUCKETS = 256
 BODY_FRAGMENT, SUMMARY_FRAGMENT = 150, 120
 
@@ -352,7 +352,9 @@ def sender_filter(emails: DataFrame, index: Index, sender: str, stem: bool = Tru
 
 
 def ranked(scores: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """One request's page by descending score, then id."""
+    """One request's page of ``MAX_PAGE`` hits at most, by descending score, then id."""
+    if not 1 <= limit <= MAX_PAGE or offset < 0:
+        raise ValueError(f"a page has 1 to {MAX_PAGE} hits")
     return scores.orderBy(F.desc("score"), "id").offset(offset).limit(limit)
 
 

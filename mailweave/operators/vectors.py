@@ -1,4 +1,4 @@
-"""Vector search: embedding, exact top-k, recommendations, neighbours of every mail."""
+"""Vector search: embedding, exact top-k, recommendations, neighbours."""
 
 from __future__ import annotations
 
@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailweave.functions.analysis import tokens
-from mailweave.functions.text import SHORT_TEXT_CHARS, embedding_text
-from mailweave.operators.browse import vector_metadata
+from mailweave.functions.text import SHORT_TEXT_CHARS, embedding_text, let
+from mailweave.operators.browse import hydrate, metadata_columns
+from mailweave.operators.keyword import counted
 from mailweave.operators.skew import first_n_per_key, lookup_join, spread
 from mailweave.session import materialise
 
@@ -20,27 +21,32 @@ DIMENSIONS = 64
 DIGITS = 6
 BATCH_TEXTS = 64
 BLOCK_ROWS = 4096
-PIVOTS = 64
+MAX_CENTRES = 65_536
+# Bounds of a semantic request.
+MAX_TEXT_CHARS, MAX_K = 1000, 50
 
 
 # ---- Embedding ---------------------------------------------------------------------------------------------
 
-def hash_embed(texts: DataFrame, key: str = "id", text: str = "document", dimensions: int = DIMENSIONS) -> DataFrame:
-    """``(key, embedding)``: signed hashed word counts of unit length; a text without words gives zeros.
+def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
+    """Signed hashed word counts of unit length; a text without words gives zeros.  All of it is computed in the row."""
+    def place(word: Column) -> Column:
+        # Slot and sign of a word in one number.
+        return let(F.md5(word), lambda d: (
+            F.conv(F.substring(d, 1, 8), 16, 10).cast("bigint") % dimensions * 2 + F.conv(F.substring(d, 9, 1), 16, 10).cast("int") % 2))
 
-    Texts are spread by key once; counting and assembling then run in place.
-    """
-    words = spread(texts.select(key, text), key).select(key, F.explode_outer(tokens(F.col(text))).alias("word"))
-    digest = F.md5("word")
-    slot = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dimensions).cast("int")
-    sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    slots = words.groupBy(key, slot.alias("slot")).agg(F.sum(F.when(F.col("word").isNotNull(), sign)).alias("v"))
-    # At most `dimensions` entries per key.
-    filled = slots.filter(F.col("slot").isNotNull() | F.col("v").isNull()).groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "v")))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)),
-                        lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return filled.select(key, dense.alias("embedding")).select(key, unit(F.col("embedding")).alias("embedding"))
+    def dense(counts: Column) -> Column:
+        at = lambda i: F.coalesce(F.try_element_at(counts, i.cast("bigint")), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: (at(i * 2) - at(i * 2 + 1)).cast("double"))
+
+    words = F.coalesce(tokens(text), F.array().cast("array<string>"))
+    found = F.coalesce(counted(F.transform(words, place)), F.array().cast("array<struct<token:bigint,tf:bigint>>"))
+    return let(let(F.map_from_entries(found), dense), unit)
+
+
+def hash_embed(texts: DataFrame, key: str = "id", text: str = "document", dimensions: int = DIMENSIONS) -> DataFrame:
+    """``(key, embedding)``; texts are not moved."""
+    return spread(texts.select(key, text), key).select(key, hash_embedding(F.col(text), dimensions).alias("embedding"))
 
 
 def unit(vector: Column) -> Column:
@@ -52,27 +58,31 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def model_embed(texts: DataFrame, make_predict: Callable, key: str = "id", text: str = "document") -> DataFrame:
-    """Embed with a user's model: ``make_predict()`` returns a function from an array of texts to vectors."""
+def model_embedding(make_predict: Callable) -> Callable[[Column], Column]:
+    """A user's model as an embedding: ``make_predict()`` returns a function from an array of texts to vectors."""
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql import types as T
 
     run = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=BATCH_TEXTS)
-    return texts.select(key, run(F.col(text)).cast("array<double>").alias("embedding")).select(
-        key, unit(F.col("embedding")).alias("embedding"))
+    return lambda text: let(run(text).cast("array<double>"), unit)
+
+
+def model_embed(texts: DataFrame, make_predict: Callable, key: str = "id", text: str = "document") -> DataFrame:
+    return texts.select(key, model_embedding(make_predict)(F.col(text)).alias("embedding"))
+
+
+def document() -> Column:
+    return embedding_text(F.col("subject"), F.col("sender"), F.col("body_text"), F.col("summary"))
 
 
 def documents(emails: DataFrame) -> DataFrame:
-    return emails.select("id", embedding_text(
-        F.col("subject"), F.col("sender"), F.col("body_text"), F.col("summary")).alias("document"))
+    return emails.select("id", document().alias("document"))
 
 
-def vector_index(emails: DataFrame, embed: Callable[[DataFrame], DataFrame] = hash_embed) -> DataFrame:
-    """``(id, embedding, document, metadata)`` of every mail."""
-    texts = documents(emails)
-    meta = vector_metadata(emails).select(F.col("email_id").alias("id"), F.struct(
-        "email_id", "archive_id", "thread_id", "sender", "subject", "sent_at").alias("metadata"))
-    return embed(texts).join(texts, "id").join(meta, "id")
+def vector_index(emails: DataFrame, embed: Callable[[Column], Column] = hash_embedding) -> DataFrame:
+    """``(id, embedding, document, metadata)`` of every mail, made where the mail lies."""
+    rows = spread(emails, "id").select("id", document().alias("document"), F.struct(*metadata_columns()).alias("metadata"))
+    return rows.select("id", embed(F.col("document")).alias("embedding"), "document", "metadata")
 
 
 # ---- One query ---------------------------------------------------------------------------------------------
@@ -91,20 +101,25 @@ def top_k(vectors: DataFrame, query: Column | list[float], k: int = 10, min_scor
     return nearest.withColumn("score", F.greatest(F.lit(0.0), F.col("_s"))).drop("_s").filter(F.col("score") >= min_score)
 
 
-def query_vector(spark: SparkSession, text: str, embed: Callable[[DataFrame], DataFrame] = hash_embed) -> list[float]:
+def query_vector(spark: SparkSession, text: str, embed: Callable[[Column], Column] = hash_embedding) -> list[float]:
     """Embedding of one query text: a single short row."""
-    row = spark.range(1).select(F.col("id"), F.lit(text).alias("document"))
-    return embed(row).first()["embedding"]
+    return spark.range(1).select(F.lit(text).alias("document")).select(embed(F.col("document")).alias("e")).first()["e"]
 
 
 def semantic_search(
-    index: DataFrame, text: str, k: int = 10, min_score: float = 0.0, embed: Callable = hash_embed
+    index: DataFrame, emails: DataFrame, text: str, k: int = 10, min_score: float = 0.0, embed: Callable = hash_embedding
 ) -> DataFrame:
-    """Search hits of one query text over a vector index."""
+    """Search hits of one query text over a vector index, best first, with the summaries of their mails.
+
+    Raises for a request out of bounds.  A hit whose mail is gone keeps what the index says.
+    """
+    if not 1 <= len(text) <= MAX_TEXT_CHARS or not 1 <= k <= MAX_K or not 0 <= min_score <= 1:
+        raise ValueError(f"a request has 1 to {MAX_TEXT_CHARS} characters, 1 to {MAX_K} hits and a score floor from 0 to 1")
     hits = top_k(index, query_vector(index.sparkSession, text, embed), k, min_score)
-    return hits.select(
+    shaped = hits.select(
         "id", "metadata.subject", "metadata.sender", "metadata.sent_at", F.lit(None).cast("string").alias("summary"),
         F.substring("document", 1, SHORT_TEXT_CHARS).alias("snippet"), "score")
+    return hydrate(shaped, emails).orderBy(F.desc("score"), "id")
 
 
 def similar_to(vectors: DataFrame, item, k: int = 5) -> DataFrame:
@@ -126,7 +141,7 @@ def recommendations(similar: DataFrame, emails: DataFrame) -> DataFrame:
     ).select("id", "subject", "sender", "sent_at", "similarity_score", "summary").orderBy(F.desc("similarity_score"), "id")
 
 
-# ---- Neighbours of every vector ----------------------------------------------------------------------------
+# ---- Neighbours of many vectors -----------------------------------------------------------------------------
 
 def _distinct_vectors(vectors: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
     """Copies folded together: ``(vec, embedding, ids)`` with the ``keep`` smallest ids, and ``(id, vec)``.
@@ -167,20 +182,52 @@ def _best(queries: pd.DataFrame, members: pd.DataFrame, keep: int) -> pd.DataFra
     return pd.concat(parts, ignore_index=True)
 
 
-def _angles(block: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(block @ pivots.T, -1.0, 1.0))
+def _spread_over(n_column: str, rows_each: int) -> Column:
+    return F.ceil(F.col(n_column) / rows_each).cast("int")
 
 
-def all_neighbours(
-    vectors: DataFrame, k: int, probes: int | None = None, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """The ``k`` nearest other vectors of every vector: ``(id, other, score, rank)``, ties by id.
+def nearest_of(vectors: DataFrame, asking: Column, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The ``k`` nearest other vectors of those that ``asking`` holds for: ``(id, other, score, rank)``, exact, ties by id.
 
-    Vectors are assigned to the nearest of a fixed number of pivots and each cell is cut into blocks of about
-    ``block_rows``, however large the cell.  A query goes to a cell only if the triangle inequality leaves room there
-    for something better than the ``k`` it found in its own block, so the result is exact.  With ``probes`` it goes
-    to that many nearest cells instead, which is approximate.  Blocks of queries meet blocks of members in one matrix
-    product; per query and block no more than ``k + 1`` rows come out.
+    Queries in pieces meet all vectors in blocks, one matrix product each; no more than ``k + 1`` rows a query leave a block.
+    """
+    rows = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding"), asking.alias("_asks"))
+    size = rows.agg(F.count("*").alias("n"), F.count_if("_asks").alias("q")).first()
+    blocks, pieces = max(1, -(-size.n // block_rows)), max(1, -(-size.q // block_rows))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    queries = rows.filter("_asks").select(F.col("id").alias("vec"), "embedding", part(pieces).alias("piece"), every(blocks).alias("block"))
+    members = rows.select(F.array("id").alias("ids"), F.col("id").alias("first_id"), "embedding", part(blocks).alias("block"), every(pieces).alias("piece"))
+    kind = rows.schema["id"].dataType.simpleString()
+    best = queries.groupBy("piece", "block").cogroup(members.groupBy("piece", "block")).applyInPandas(
+        _meet(k + 1), f"vec {kind}, ids array<{kind}>, score double")
+    entries = best.select(F.col("vec").alias("id"), F.col("ids")[0].alias("other"), "score").filter("id <> other")
+    return first_n_per_key(entries, ["id"], [F.desc("score"), F.asc("other")], k, "other").select(
+        "id", "other", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+def _meet(keep: int):
+    def meet(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or block.empty:
+            return pd.DataFrame({"vec": [], "ids": [], "score": []})
+        return _best(queries, block, keep)
+
+    return meet
+
+
+def cell_centres(vectors: DataFrame, most: int = MAX_CENTRES) -> np.ndarray:
+    """About as many vectors as the square root of their number, ``most`` at most: those whose ids have the least MD5."""
+    count = min(most, math.isqrt(max(vectors.count() - 1, 0)) + 1)
+    chosen = vectors.orderBy(F.md5(F.col("id").cast("string")), "id").limit(count).select("id", F.col("embedding").cast("array<double>"))
+    return np.array([r.embedding for r in sorted(chosen.collect(), key=lambda r: r.id)])
+
+
+def cell_neighbours(vectors: DataFrame, k: int, probes: int = 8, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Approximate ``k`` nearest other vectors of every vector: ``(id, other, score, rank)``, ties by id.
+
+    Each vector lies in the cell of the centre with the largest inner product and asks the ``probes`` best cells; what it meets there
+    is scored exactly.  There are about as many cells as members of a cell, so the work grows as the power 1.5 of the input.  Cells
+    are cut into blocks, queries into pieces.  The centres are bounded by ``MAX_CENTRES``.
 
     Writes intermediate tables to the shared folder, since each is read more than once.
     """
@@ -188,101 +235,37 @@ def all_neighbours(
     folded, owners = _distinct_vectors(vectors, keep)
     folded = materialise(folded.withColumn("first_id", F.col("ids")[0]), "vectors")
     id_type = folded.schema["first_id"].dataType.simpleString()
-    chosen = folded.orderBy("vec").limit(pivots).select("embedding").collect()
-    if not chosen:
+    centres = cell_centres(vectors)
+    if not len(centres):
         return vectors.select("id", F.col("id").alias("other"), F.lit(0.0).alias("score"),
                               F.lit(0).cast("bigint").alias("rank")).limit(0)
-    centres = np.array([row.embedding for row in chosen])
-    centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    wanted = min(probes, len(centres))
 
     def locate(batches):
         for batch in batches:
             if batch.empty:
                 continue
-            block = _stack(batch["embedding"])
-            angles = _angles(block, centres)
-            cell = angles.argmin(axis=1)
-            angle = angles[np.arange(len(block)), cell]
-            # Bounds hold for unit vectors only; others share a cell that is never ruled out.
-            odd = np.abs(np.linalg.norm(block, axis=1) - 1.0) > 1e-3
-            yield batch.assign(cell=np.where(odd, -1, cell).astype("int32"), angle=np.where(odd, 0.0, angle))
+            units = np.rint(_stack(batch["embedding"]) @ centres.T * 10**DIGITS).astype("int64")
+            # Inner product and centre in one number, so that ties go to the first centre.
+            order = np.argsort(np.arange(len(centres)) - units * len(centres), axis=1)[:, :wanted]
+            yield batch.assign(cells=list(order.astype("int32")))
 
     fields = f"vec string, embedding array<double>, ids array<{id_type}>, first_id {id_type}"
-    located = folded.select("vec", "embedding", "ids", "first_id").mapInPandas(locate, f"{fields}, cell int, angle double")
-    located = materialise(located, "cells")
-    # One row per cell, so at most `pivots` + 1.
-    cells = located.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"))
-    sizes = {row.cell: row for row in cells.collect()}
-    slices = {cell: max(1, math.ceil(row.n / block_rows)) for cell, row in sizes.items()}
-
-    def table(values: dict[int, int]) -> Column:
-        return F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("cell"))
-
-    member_slice = F.pmod(F.xxhash64("vec"), table(slices)).cast("int").alias("slice")
-    members = located.select("*", member_slice)
-    found = f"vec string, ids array<{id_type}>, score double"
-
-    if probes is None:
-        def own_block(block: pd.DataFrame) -> pd.DataFrame:
-            return _best(block, block, keep)
-
-        own = members.groupBy("cell", "slice").applyInPandas(own_block, found)
-        # Each entry stands for at least one id; the weakest of `keep` bounds the result from below.
-        floor = own.groupBy("vec").agg(F.when(F.count("*") >= keep, F.min("score")).alias("floor"))
-        seekers = located.select("vec", "embedding", "cell").join(floor, "vec")
-    else:
-        seekers = located.select("vec", "embedding", "cell", F.lit(None).cast("double").alias("floor"))
-
-    known = sorted(sizes)
-    regular = [cell for cell in known if cell >= 0]
-    low = np.array([sizes[c].lo for c in regular])
-    high = np.array([sizes[c].hi for c in regular])
-
-    def route(batches):
-        for batch in batches:
-            if batch.empty:
-                continue
-            block = _stack(batch["embedding"])
-            wanted = np.zeros((len(block), len(known)), dtype=bool)
-            if regular:
-                angles = _angles(block, centres[regular])
-                nearest_possible = np.maximum(np.maximum(angles - high, low - angles), 0.0)
-                at = len(known) - len(regular)
-                if probes is None:
-                    # Two units of the last digit and a little slack keep rounding on the safe side.
-                    floor = batch["floor"].fillna(-1.0).to_numpy() - 2.0 * 10.0**-DIGITS
-                    reach = np.arccos(np.clip(floor, -1.0, 1.0)) + 1e-6
-                    wanted[:, at:] = nearest_possible <= reach[:, None]
-                    wanted[(batch["cell"] == -1).to_numpy(), at:] = True
-                else:
-                    count = min(probes, len(regular))
-                    near = np.argpartition(nearest_possible + angles * 1e-9, count - 1, axis=1)[:, :count]
-                    wanted[np.arange(len(block))[:, None], near + at] = True
-            if known[0] == -1:
-                wanted[:, 0] = True
-            row, col = np.nonzero(wanted)
-            yield pd.DataFrame({
-                "vec": batch["vec"].to_numpy()[row], "embedding": batch["embedding"].to_numpy()[row],
-                "cell": np.array(known, dtype="int32")[col]})
-
-    routed = materialise(seekers.mapInPandas(route, "vec string, embedding array<double>, cell int"), "routes")
-    loads = {row.cell: row.n for row in routed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    query_slices = {cell: max(1, math.ceil(n / block_rows)) for cell, n in loads.items()}
-
-    def upto(values: dict[int, int]) -> Column:
-        return F.explode(F.sequence(F.lit(0), table(values) - 1))
-
-    asking = routed.select("*", F.pmod(F.xxhash64("vec"), table(query_slices)).cast("int").alias("part")).select(
-        "*", upto(slices).alias("slice"))
-    answering = members.filter(table(query_slices).isNotNull()).select("*", upto(query_slices).alias("part"))
-
-    def meet(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or block.empty:
-            return pd.DataFrame({"vec": [], "ids": [], "score": []})
-        return _best(queries, block, keep)
-
-    keys = ("cell", "slice", "part")
-    best = asking.groupBy(*keys).cogroup(answering.groupBy(*keys)).applyInPandas(meet, found)
+    located = materialise(folded.select("vec", "embedding", "ids", "first_id").mapInPandas(locate, f"{fields}, cells array<int>"), "cells")
+    members = located.withColumn("cell", F.col("cells")[0]).drop("cells")
+    # New names on the asking side: both come from one table.
+    asking = located.select(F.col("vec").alias("asks"), F.col("embedding").alias("wants"), F.explode("cells").alias("cell"))
+    # One row a cell; both sides are dealt by it.
+    loads = members.groupBy("cell").agg(F.count("*").alias("n")).join(asking.groupBy("cell").agg(F.count("*").alias("q")), "cell").select(
+        "cell", _spread_over("n", block_rows).alias("blocks"), _spread_over("q", block_rows).alias("pieces"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    spot = lambda key, c: F.pmod(F.xxhash64(key), F.col(c)).cast("int")
+    queries = asking.join(loads, "cell").select(
+        "cell", F.col("asks").alias("vec"), F.col("wants").alias("embedding"), spot("asks", "pieces").alias("piece"), upto("blocks").alias("block"))
+    blocks = members.join(loads, "cell").select(
+        "cell", "ids", "first_id", "embedding", spot("vec", "blocks").alias("block"), upto("pieces").alias("piece"))
+    keys = ("cell", "block", "piece")
+    best = queries.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(_meet(keep), f"vec string, ids array<{id_type}>, score double")
     entries = best.select("vec", F.explode("ids").alias("other"), "score")
     top = first_n_per_key(entries, ["vec"], [F.desc("score"), F.asc("other")], keep, "other")
     lists = top.groupBy("vec").agg(F.array_sort(F.collect_list(F.struct("rank", "other", "score"))).alias("near"))

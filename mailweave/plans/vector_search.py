@@ -13,7 +13,7 @@ from mailweave.sources.testmail import emails, table, threaded_emails
 
 QUERY_TEXT = "Topic 7 the tion of and"
 MIN_SCORE = 0.55
-ITEM, NEIGHBOURS = 17, 5
+ITEM, NEIGHBOURS, PROBES = 17, 5, 8
 
 
 def query_numbers(dimensions: int = V.DIMENSIONS) -> list[float]:
@@ -63,7 +63,7 @@ def vec_topk(spark, sf):
 @query
 def vec_min_score(spark, sf):
     """Semantic search by text: the score floor cuts inside the ten nearest."""
-    return V.semantic_search(mail_vectors(spark, sf), QUERY_TEXT, 10, MIN_SCORE)
+    return V.semantic_search(mail_vectors(spark, sf), emails(spark, sf), QUERY_TEXT, 10, MIN_SCORE)
 
 
 @query
@@ -75,10 +75,11 @@ def vec_similar(spark, sf):
 
 @query
 def vec_knn_all(spark, sf):
-    return V.all_neighbours(stored_vectors(spark, sf), NEIGHBOURS)
+    """Exact neighbours of every vector whose id is divisible by 50, among all vectors."""
+    return V.nearest_of(stored_vectors(spark, sf), F.col("id") % 50 == 0, NEIGHBOURS)
 
 
 @query
 def vec_lsh_join(spark, sf):
     """Approximate neighbours: each vector asks the eight cells nearest to it."""
-    return V.all_neighbours(stored_vectors(spark, sf), NEIGHBOURS, probes=8)
+    return V.cell_neighbours(stored_vectors(spark, sf), NEIGHBOURS, PROBES)

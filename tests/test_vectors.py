@@ -1,6 +1,8 @@
 """Vector search against plain numpy."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from mailweave.operators import vectors as V
 
@@ -30,27 +32,42 @@ def frame(spark, data):
     return spark.createDataFrame(list(data.items()), "id long, embedding array<double>")
 
 
-def test_all_neighbours_are_exact_with_copies_and_small_blocks(spark):
+def test_nearest_of_a_query_set_is_exact(spark):
     data = sample()
-    rows = V.all_neighbours(frame(spark, data), 4, pivots=5, block_rows=20).collect()
-    assert {(r.id, r.other, round(r.score, 6), r["rank"]) for r in rows} == brute(data, 4)
+    rows = V.nearest_of(frame(spark, data), F.col("id") % 7 == 0, 4, block_rows=20).collect()
+    assert {(r.id, r.other, round(r.score, 6), r["rank"]) for r in rows} == {x for x in brute(data, 4) if x[0] % 7 == 0}
 
 
-def test_probing_all_cells_is_exact_and_few_cells_never_invents_scores(spark):
+def test_asking_all_cells_is_exact_and_few_cells_never_invents_scores(spark):
     data = sample(120, seed=9)
     vectors = frame(spark, data)
-    full = {(r.id, r.other, round(r.score, 6), r["rank"]) for r in V.all_neighbours(vectors, 3, probes=4, pivots=4).collect()}
+    full = {(r.id, r.other, round(r.score, 6), r["rank"]) for r in V.cell_neighbours(vectors, 3, probes=99, block_rows=16).collect()}
     assert full == brute(data, 3)
-    some = V.all_neighbours(vectors, 3, probes=1, pivots=4, block_rows=16).collect()
+    some = V.cell_neighbours(vectors, 3, probes=1, block_rows=16).collect()
     for r in some:
         assert r.id != r.other and abs(r.score - np.dot(data[r.id], data[r.other])) < 1e-5
 
 
+def test_recall_of_few_cells(spark):
+    data = sample(600, seed=5)
+    got = {(r.id, r.other) for r in V.cell_neighbours(frame(spark, data), 5, probes=8).collect()}
+    want = {(i, o) for i, o, _, _ in brute(data, 5)}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_fewer_vectors_than_asked_for(spark):
     data = {1: [1.0, 0.0], 2: [0.0, 1.0]}
-    rows = V.all_neighbours(frame(spark, data), 5).collect()
+    rows = V.cell_neighbours(frame(spark, data), 5).collect()
     assert sorted((r.id, r.other) for r in rows) == [(1, 2), (2, 1)]
-    assert V.all_neighbours(frame(spark, {9: [1.0]}).limit(0), 5).count() == 0
+    assert V.cell_neighbours(frame(spark, {9: [1.0]}).limit(0), 5).count() == 0
+    assert V.nearest_of(frame(spark, {9: [1.0]}).limit(0), F.col("id") > 0, 5).count() == 0
+
+
+def test_request_bounds(spark):
+    index = frame(spark, {1: [1.0]})
+    for text, k, floor in (("", 5, 0.0), ("x" * 1001, 5, 0.0), ("x", 51, 0.0), ("x", 0, 0.0), ("x", 5, 1.5)):
+        with pytest.raises(ValueError):
+            V.semantic_search(index, index, text, k, floor)
 
 
 def test_score_floor_applies_after_the_limit(spark):
