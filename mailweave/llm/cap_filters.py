@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import map_batches, read, small_batches, write_scratch
+from mailweave.llm.common import map_batches, read, small_batches, thrifty, write_scratch
 from mailweave.llm.components import components
 from mailweave.llm.grouped import deal, groups
 from mailweave.llm.ngram_join import spanning_forest
@@ -166,7 +166,7 @@ def near_duplicates(rows: DataFrame, least: float, per_vector: int = PER_VECTOR,
             if len(linked):
                 yield pa.RecordBatch.from_pydict({"a": ids[linked], "b": [None] * len(linked), "n": counts[linked]}, schema=arrow)
 
-    found = write_scratch(small_batches(dealt).mapInArrow(compare, "a long, b long, n long"), "cap-links")
+    found = write_scratch(small_batches(dealt).mapInArrow(thrifty(compare), "a long, b long, n long"), "cap-links")
     counted = found.filter("b is null").groupBy(F.col("a").alias("first_id")).agg(F.sum("n").alias("n"))
     joined = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("id", "first_id")
     named = classes.join(counted, "first_id", "left").join(joined, "first_id", "left").select(

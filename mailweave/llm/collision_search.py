@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import read, small_batches, write_scratch
+from mailweave.llm.common import read, small_batches, thrifty, write_scratch
 from mailweave.llm.vectors import matrix, usable
 from mailweave.operators.skew import first_n_per_key
 
@@ -135,7 +135,7 @@ def search(rows: DataFrame, is_query: Column, k: int, projections: int = PROJECT
                         found, scores = made.nearest(query_id, query, k)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), query_id)), pa.array(found), pa.array(scores)], schema=arrow)
 
-    near = small_batches(dealt).mapInArrow(run, "query_id long, vec_id long, score double")
+    near = small_batches(dealt).mapInArrow(thrifty(run), "query_id long, vec_id long, score double")
     return first_n_per_key(near, ["query_id"], [F.desc("score"), F.col("vec_id")], k, "vec_id").select("query_id", "rank", "vec_id", "score")
 
 

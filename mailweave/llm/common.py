@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -56,6 +59,24 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, next to those of other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def thrifty(function: Callable) -> Callable:
+    """A map over Arrow batches that gives its memory back when a task is done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        give_back()
+
+    return run
+
+
 def map_batches(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch], dict], finish: Callable[[], None] | None = None) -> DataFrame:
     """Apply ``function`` (record batch -> columns) to every Arrow batch of ``df``, in place: no shuffle.
 
@@ -73,7 +94,7 @@ def map_batches(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch],
         if finish:
             finish()
 
-    return small_batches(df).mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(thrifty(run), schema)
 
 
 def sample_by_hash(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import columns, read, write_scratch
+from mailweave.llm.common import columns, read, small_batches, thrifty, write_scratch
 from mailweave.llm.cuckoo import CuckooFilter, as_keys
 
 MIN_CHARS = 10
@@ -112,7 +112,7 @@ def _probe(rows: DataFrame, filters: DataFrame, which: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in ("shard", "key", *names)] + [pa.array(known)], names=["shard", "key", *names, "maybe"])
 
-    return dealt.mapInArrow(run, schema)
+    return small_batches(dealt).mapInArrow(thrifty(run), schema)
 
 
 def _grow_filters(filters: DataFrame, changes: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import (discard, has_bit, id_bits, id_spot, map_batches, read, small_batches, split_by_id,
+from mailweave.llm.common import (discard, has_bit, id_bits, id_spot, map_batches, read, small_batches, split_by_id, thrifty,
                                   without_ids, write_scratch)
 from mailweave.llm.components import components
 from mailweave.llm.grouped import deal, groups
@@ -72,7 +72,7 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
             schema=pa.schema([("part", pa.int32()), ("counts", pa.binary())]))
 
     schema = "part int, counts binary"
-    rows = small_batches(docs.select("text")).mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect()  # 2 MB at most
+    rows = small_batches(docs.select("text")).mapInArrow(thrifty(count), schema).repartition("part").mapInArrow(thrifty(add), schema).collect()  # 2 MB at most
     total = np.zeros((1 << SKETCH_BITS) // SKETCH_PART * SKETCH_PART, dtype=np.uint32)
     for r in rows:
         total[r.part * SKETCH_PART:(r.part + 1) * SKETCH_PART] = np.frombuffer(r.counts, dtype="<u4")
@@ -228,7 +228,7 @@ def canopy_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
                 at = np.array(edges)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], schema=arrow)
 
-    return small_batches(rows).mapInArrow(run, "a long, b long")
+    return small_batches(rows).mapInArrow(thrifty(run), "a long, b long")
 
 
 def similar_components(docs: DataFrame, k: int, percent: int) -> DataFrame:

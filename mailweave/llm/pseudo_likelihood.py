@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import map_batches, read, sample_by_hash, small_batches
+from mailweave.llm.common import map_batches, read, sample_by_hash, small_batches, thrifty
 from mailweave.llm.shingles import words
 
 BUCKET_BITS = 16
@@ -62,7 +62,7 @@ def _summed(docs: DataFrame, per_partition, size: int) -> tuple[np.ndarray, floa
         yield pa.RecordBatch.from_pydict({"part": list(sums), "seen": list(seen.values()), "value": [v.astype("<f8").tobytes() for v in sums.values()]},
                                          schema=PARTS_ARROW)
 
-    rows = small_batches(docs).mapInArrow(emit, PARTS_SCHEMA).repartition("part").mapInArrow(add, PARTS_SCHEMA).collect()
+    rows = small_batches(docs).mapInArrow(thrifty(emit), PARTS_SCHEMA).repartition("part").mapInArrow(thrifty(add), PARTS_SCHEMA).collect()
     total, seen = np.zeros(size), 0.0
     for r in rows:
         vector = np.frombuffer(r.value, dtype="<f8")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import fold, map_batches, read, small_batches
+from mailweave.llm.common import fold, map_batches, read, small_batches, thrifty
 from mailweave.llm.shingles import words
 
 POSITIVES = 8_000  # bound of the sample of trusted positives
@@ -99,7 +99,7 @@ class Network:
         self._steps = 0
 
     def standard(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -5, 5)
+        return np.clip((x - self.mean) / self.scale, -5, 5).astype(np.float32)
 
     def forward(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b, c, d = self.weights
@@ -211,7 +211,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, positive
     found = map_batches(rows.select("doc_id", "text", "positive", "unlabelled"),
                         "doc_id long, positive boolean, unlabelled boolean, figures binary", run).collect()
     found.sort(key=lambda r: (r.doc_id, r.figures))
-    as_matrix = lambda rows: np.array([np.frombuffer(r.figures, dtype=np.float32) for r in rows], dtype=np.float64).reshape(-1, FEATURES)
+    as_matrix = lambda rows: np.array([np.frombuffer(r.figures, dtype=np.float32) for r in rows], dtype=np.float32).reshape(-1, FEATURES)
     return as_matrix([r for r in found if r.positive]), as_matrix([r for r in found if r.unlabelled])
 
 
@@ -244,7 +244,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, **bounds: int)
     # Plain names meanwhile: the map takes none with dots.
     plain = [f"c{i}" for i in range(len(docs.columns))]
     renamed = docs.toDF(*plain)
-    return small_batches(renamed).mapInArrow(run, renamed.schema).toDF(*docs.columns)
+    return small_batches(renamed).mapInArrow(thrifty(run), renamed.schema).toDF(*docs.columns)
 
 
 def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

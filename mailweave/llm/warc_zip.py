@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import read, small_batches, write_scratch
+from mailweave.llm.common import read, small_batches, thrifty, write_scratch
 from mailweave.session import scratch_path
 
 MIN_SHARED = 1000
@@ -249,7 +249,7 @@ def write_packages(rows: DataFrame, folder: str, package_bytes: int = PACKAGE_BY
         if index:
             yield flush()
 
-    return write_scratch(small_batches(rows.select("page_id", "url", "html", "refers_to")).mapInArrow(run, "path string, records long, bytes long"), "packages")
+    return write_scratch(small_batches(rows.select("page_id", "url", "html", "refers_to")).mapInArrow(thrifty(run), "path string, records long, bytes long"), "packages")
 
 
 def read_packages(packages: DataFrame, payload: bool = False) -> DataFrame:
@@ -275,7 +275,7 @@ def read_packages(packages: DataFrame, payload: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in rows], schema=arrow)
 
     parts = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return packages.select("path").repartition(parts, "path").mapInArrow(run, schema + ", payload binary" * payload)
+    return packages.select("path").repartition(parts, "path").mapInArrow(thrifty(run), schema + ", payload binary" * payload)
 
 
 def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
