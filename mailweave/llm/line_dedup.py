@@ -17,6 +17,7 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import columns, read, small_batches, thrifty, write_scratch
+from mailweave.llm.common import columns, map_batches, read, small_batches, thrifty, write_scratch
 from mailweave.llm.cuckoo import CuckooFilter, as_keys
 
 MIN_CHARS = 10
 KEYS_PER_SHARD = 100_000
 PIECES = 16  # a shard is probed by this many tasks, so that one common line does not meet one task
 BLANKS = " \t\n\x0b\x0c\r"
+STRIPPED = BLANKS.encode()
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FILTERS = "shard int, seen binary, seen_stash binary, repeated binary, repeated_stash binary"
 
@@ -68,12 +70,29 @@ def shards_for(docs: DataFrame, keys_per_shard: int = KEYS_PER_SHARD, lines_per_
     return max(1, docs.count() * lines_per_doc // keys_per_shard)
 
 
+def key_hashes(text: str | None, min_chars: int) -> set[bytes]:
+    """The same keys in Python: MD5 of each line that counts, once."""
+    found = set()
+    for line in (text or "").encode().split(b"\n"):
+        key = line.strip(STRIPPED).lower()  # bytes know no letters but A-Z
+        if len(key) >= min_chars and (len(key) >= 4 * min_chars or len(key.decode()) >= min_chars):
+            found.add(hashlib.md5(key, usedforsecurity=False).digest())
+    return found
+
+
 def postings(docs: DataFrame, shards: int, min_chars: int = MIN_CHARS) -> DataFrame:
     """(shard, key, doc_id), once for each key of a document."""
-    cut = docs.filter(F.col("doc_id").isNotNull()).select(F.explode(lines(F.col("text"))).alias("line"), "doc_id")
-    keyed = cut.select(key_hash(F.col("line"), min_chars).alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
-    keyed = keyed.filter("key is not null").select(F.pmod(F.hash("key"), F.lit(shards)).alias("shard"), "key", "doc_id")
-    return keyed.distinct()
+
+    def run(batch):
+        keys, ids = [], []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = key_hashes(text, min_chars)
+            keys.extend(own)
+            ids.extend([doc_id] * len(own))
+        return {"key": keys, "doc_id": ids}
+
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_batches(rows, "key binary, doc_id long", run).select(F.pmod(F.hash("key"), F.lit(shards)).alias("shard"), "key", "doc_id").distinct()
 
 
 def count_refs(posted: DataFrame) -> DataFrame:
