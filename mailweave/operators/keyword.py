@@ -93,9 +93,30 @@ def field_stats(emails: DataFrame) -> DataFrame:
     return lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def stats_of(rows: DataFrame) -> DataFrame:
-    """The same from stored ``posting_rows``: one head row for each field of a mail."""
-    return rows.filter("head").groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def stat_parts(rows: DataFrame) -> DataFrame:
+    """``(field, n, words)`` of stored ``posting_rows``, by one head row for each field of a mail; parts of several tables add up."""
+    return rows.filter("head").groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").alias("words"))
+
+
+def stats_from(parts: DataFrame) -> DataFrame:
+    """``field_stats`` from parts."""
+    return parts.groupBy("field").agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("avgdl"))
+
+
+def stats_without(postings: DataFrame) -> DataFrame:
+    """``field_stats`` of stored postings that have lost mails."""
+    lengths = postings.select("field", "id", "dl").distinct()
+    return lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def store_vocabulary(postings: DataFrame, folder: str) -> None:
+    """Vocabulary in the order of word lengths, which is what fuzzy expansion cuts it by."""
+    (vocabulary(postings).withColumn("length", F.length("term")).repartitionByRange("length", "field", "term")
+     .sortWithinPartitions("length", "field", "term").write.mode("overwrite").parquet(os.path.join(folder, "vocab")))
+
+
+def store_stats(stats: DataFrame, folder: str) -> None:
+    stats.coalesce(1).write.mode("overwrite").parquet(os.path.join(folder, "field_stats"))
 
 
 def write_index(emails: DataFrame, folder: str, stem: bool = True) -> None:
@@ -111,10 +132,8 @@ def write_index(emails: DataFrame, folder: str, stem: bool = True) -> None:
     (analysed.drop("head").withColumn("term_bucket", term_bucket(F.col("term")))
      .repartitionByRange("term_bucket", "field", "term", "id").sortWithinPartitions("term_bucket", "field", "term", "id")
      .write.mode("overwrite").partitionBy("term_bucket").parquet(path))
-    vocab = os.path.join(folder, "vocab")
-    (vocabulary(analysed).withColumn("length", F.length("term")).repartitionByRange("length", "field", "term")
-     .sortWithinPartitions("length", "field", "term").write.mode("overwrite").parquet(vocab))
-    stats_of(analysed).coalesce(1).write.mode("overwrite").parquet(os.path.join(folder, "field_stats"))
+    store_vocabulary(analysed, folder)
+    store_stats(stats_from(stat_parts(analysed)), folder)
     discard(spark, analysed.inputFiles()[0].rsplit("/", 1)[0])
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailweave.operators import keyword as K
+from mailweave.operators.vectors import vector_index
+
 
 def latest_by_id(rows: DataFrame, key: str, version: str) -> DataFrame:
     """One row per id, that of the highest version, as a partial aggregate.
@@ -54,3 +59,24 @@ def index_audit(emails: DataFrame, index_ids: DataFrame, key: str = "id") -> Dat
         .when(F.col("table") == 1, "missing_in_index").otherwise("orphan")
     )
     return seen.groupBy(state.alias("state")).agg(F.count("*").alias("count"))
+
+
+# ---- Stored indexes ----------------------------------------------------------------------------------------
+
+def rebuild(emails: DataFrame, folder: str) -> None:
+    """Write the keyword index and the vectors of all mails anew below ``folder``."""
+    K.write_index(emails, os.path.join(folder, "keyword"))
+    vector_index(emails).write.mode("overwrite").parquet(os.path.join(folder, "vectors"))
+
+
+def delete_stored(spark: SparkSession, folder: str, new_folder: str, deleted: DataFrame) -> None:
+    """A new snapshot of the stored indexes without some mails (``id``); vocabulary and lengths are counted again."""
+    source, target = os.path.join(folder, "keyword"), os.path.join(new_folder, "keyword")
+    kept = delete_rows(spark.read.parquet(os.path.join(source, "postings")), deleted, "id")
+    (kept.repartitionByRange("term_bucket", "field", "term", "id").sortWithinPartitions("term_bucket", "field", "term", "id")
+     .write.mode("overwrite").partitionBy("term_bucket").parquet(os.path.join(target, "postings")))
+    left = spark.read.parquet(os.path.join(target, "postings"))
+    K.store_vocabulary(left, target)
+    K.store_stats(K.stats_without(left), target)
+    delete_rows(spark.read.parquet(os.path.join(folder, "vectors")), deleted, "id").write.mode("overwrite").parquet(
+        os.path.join(new_folder, "vectors"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from mailweave.functions.headers import utc_wall_time
+from mailweave.operators import keyword as K
 from mailweave.operators.ledger import archive_ledger as ledger
 from mailweave.plans.registry import query
 from mailweave.session import scratch_path
@@ -101,15 +102,18 @@ def _comparable(rows):
 
 @query
 def archive_ledger(spark, sf):
-    scanned = S.scan_archives(packed_archives(spark, sf)).select(
+    """One archive has a file that is damaged; its other files do not count against that."""
+    packed = packed_archives(spark, sf)
+    damaged = packed.groupBy(F.element_at(F.split("path", "/"), 3).alias("archive_id")).agg(F.max("path").alias("path")).filter(
+        F.col("archive_id") == "src7").select("path", F.lit(b"no archive").alias("content"), F.lit(10).cast("bigint").alias("length"))
+    scanned = S.scan_archives(packed.unionByName(damaged.withColumn("path", F.concat("path", F.lit(".zip"))))).select(
         F.element_at(F.split("archive_path", "/"), 3).alias("archive_id"), "entry_path", "error")
     files = emails(spark, sf).select("archive_id").distinct().withColumn("filename", F.concat("archive_id", F.lit(".zip")))
     return ledger(files, scanned)
 
 
-@query
-def stream_ingest(spark, sf):
-    """The document file read as a stream, composed to messages, and ingested; returns the stored mails."""
+def _streamed(spark, sf):
+    """The document file read as a stream, composed to messages, and ingested; returns the store's folder."""
     schema = table(spark, sf, "documents").schema
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
     messages = mail_from(arriving, table(spark, sf, "events")).select(
@@ -117,5 +121,29 @@ def stream_ingest(spark, sf):
         F.concat(F.col("email_id").cast("string"), F.lit(".eml")).alias("source_file"),
         F.current_timestamp().alias("created_at"), raw_message().alias("raw"))
     root = scratch_path(spark, "stream")
-    ingest.start(messages, root, ingest.from_messages).awaitTermination()
-    return _comparable(ingest.read_table(spark, root, "emails"))
+    ingest.start(messages, root, ingest.Messages()).awaitTermination()
+    return root
+
+
+@query
+def stream_ingest(spark, sf):
+    """What a stream of messages leaves in the store of mails."""
+    return _comparable(ingest.read_table(spark, _streamed(spark, sf), "emails"))
+
+
+@query
+def stream_thread_stats(spark, sf):
+    """The threads of the store after the stream."""
+    rows = ingest.current_threads(spark, _streamed(spark, sf))
+    return rows.select("thread_id", "subject_normalized", "participant_count", "email_count",
+                       utc_wall_time(F.col("first_email_at")).alias("first_email_at"), utc_wall_time(F.col("last_email_at")).alias("last_email_at"))
+
+
+@query
+def stream_search(spark, sf):
+    """A keyword search on the index that the stream has built."""
+    from mailweave.plans.mail_search import DIGITS, QUERY
+
+    stored = ingest.stored_index(spark, _streamed(spark, sf))
+    terms = K.exact_terms(K.query_terms(K.one_query(spark, QUERY)))
+    return K.best_scores(terms, stored).select("id", F.round("score", DIGITS).alias("score"))

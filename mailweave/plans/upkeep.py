@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mailweave.operators import maintenance as M
-from mailweave.operators.keyword import token_rows
-from mailweave.operators.vectors import documents
 from mailweave.plans import tables
 from mailweave.plans.registry import query
 from mailweave.schema import contract_problems, overlong_values
-from mailweave.session import scratch_path
+from mailweave.session import discard, scratch_path
 from mailweave.sources.tables import append_emails, read_emails
 from mailweave.sources.testmail import emails, mail, threaded_emails
 
@@ -55,15 +53,20 @@ def insert_if_absent(spark, sf):
 
 @query
 def delete_by_archive(spark, sf):
-    """Row counts left in the three stores after one archive is deleted."""
-    rows = emails(spark, sf)
+    """Row counts in the stores after one archive is deleted from them."""
+    rows = threaded_emails(spark, sf)
+    before, after = scratch_path(spark, "stores"), scratch_path(spark, "stores")
+    M.rebuild(rows, before)
     gone = rows.filter(F.col("archive_id") == DELETED_ARCHIVE).select("id")
-    stores = {"emails": rows.select("id"), "postings": token_rows(rows).select("id"), "vectors": documents(rows).select("id")}
+    M.delete_stored(spark, before, after, gone)
+    discard(spark, before)
+    stored = lambda *path: spark.read.parquet("/".join((after, *path)))
+    left = {"emails": M.delete_rows(rows.select("id"), gone, "id"), "postings": stored("keyword", "postings"),
+            "vocabulary": stored("keyword", "vocab"), "vectors": stored("vectors")}
     out = None
-    for name, store in stores.items():
-        left = M.delete_rows(store, gone, "id").agg(F.count("*").alias("remaining")).select(
-            F.lit(name).alias("store"), "remaining")
-        out = left if out is None else out.unionByName(left)
+    for name, store in left.items():
+        row = store.agg(F.count("*").alias("remaining")).select(F.lit(name).alias("store"), "remaining")
+        out = row if out is None else out.unionByName(row)
     return out
 
 
@@ -77,10 +80,11 @@ def delete_thread_setnull(spark, sf):
 
 @query
 def reindex_counts(spark, sf):
-    """Rows written by a rebuild of the keyword and the vector store."""
-    rows = emails(spark, sf)
-    keyword = token_rows(rows).select("id").distinct().agg(F.count("*").alias("indexed"))
-    vectors = documents(rows).agg(F.count("*").alias("indexed"))
+    """Mails found in the keyword and the vector store after both are built anew."""
+    folder = scratch_path(spark, "stores")
+    M.rebuild(threaded_emails(spark, sf), folder)
+    keyword = spark.read.parquet(f"{folder}/keyword/postings").agg(F.count_distinct("id").alias("indexed"))
+    vectors = spark.read.parquet(f"{folder}/vectors").agg(F.count_distinct("id").alias("indexed"))
     return keyword.select(F.lit("keyword").alias("store"), "indexed").unionByName(
         vectors.select(F.lit("vectors").alias("store"), "indexed"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,6 +82,12 @@ def contract_problems(
     return spark.createDataFrame(found, "`table` string, `column` string, problem string")
 
 
+def length_problem(columns: list[str], limits: dict[str, int] = MAX_LENGTHS) -> Column:
+    """Why a row does not fit the declared lengths; null where it does."""
+    checks = [F.when(F.length(name) > limit, F.lit(f"{name} is longer than {limit}")) for name, limit in limits.items() if name in columns]
+    return F.coalesce(*checks) if checks else F.lit(None).cast("string")
+
+
 def overlong_values(emails: DataFrame, limits: dict[str, int] = MAX_LENGTHS) -> DataFrame:
     """Values longer than declared, as ``(id, column, length)``; such mails belong to the rejects."""
     sizes = F.array(*[

@@ -1,72 +1,121 @@
-"""Archives or messages that keep arriving: parse, append, refresh touched threads, extend the keyword index.
+"""Archives or messages that keep arriving: parse, append, refresh touched threads, extend both indexes, close the ledger.
 
-Each micro-batch writes below ``batch=<epoch>`` folders and replaces them when it is run again, so a restart after a
-lost executor or driver leaves no doubles.  Nothing is held in streaming state: the statistics of a touched thread are
-recomputed from the stored mails, because distinct participants cannot be added up.
+Each micro-batch is decoded once, into a folder that goes when the batch is stored.  It writes below ``batch=<epoch>`` folders and
+replaces them when it is run again, so a restart after a lost executor or driver leaves no doubles.  Nothing is held in streaming
+state: mails lie in folders by a hash of their thread, and the statistics and summary of a touched thread are recomputed from the
+folders of the touched threads alone.  Counts for searching are kept as parts that add up.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mailweave.functions.text import extractive_summary
-from mailweave.operators.keyword import postings
+from mailweave.operators import keyword as K
+from mailweave.operators.ledger import archive_ledger
 from mailweave.operators.maintenance import latest_by_id
-from mailweave.operators.threads import thread_stats, with_subject_thread
+from mailweave.operators.threads import refreshed, with_subject_thread
+from mailweave.operators.vectors import vector_index
+from mailweave.schema import length_problem
+from mailweave.session import discard
 from mailweave.sources.archives import (
-    MAX_ARCHIVE_BYTES, accepted, admitted, emails_from_scan, parse_messages, rejected, scan_archives,
+    MAX_ARCHIVE_BYTES, accepted, admitted, archive_id, emails_from_scan, parse_messages, refused, rejected, scan_archives,
 )
 
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+THREAD_BUCKETS = 64
 
 
-def archive_stream(spark: SparkSession, folder: str, max_bytes: int = MAX_ARCHIVE_BYTES, per_trigger: int = 1000) -> DataFrame:
-    """Admitted archives as they appear below ``folder``."""
-    files = (
+def archive_stream(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFrame:
+    """Files as they appear below ``folder``; which of them are admitted is up to :class:`Archives`."""
+    return (
         spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", per_trigger).load(folder)
     )
-    return files.filter(admitted(max_bytes))
 
 
-def from_archives(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    decoded = scan_archives(files)
-    return emails_from_scan(decoded), rejected(decoded).select(
-        F.concat_ws("/", "archive_path", "entry_path").alias("source"), "error")
+class Archives:
+    """Batches of archive files."""
 
+    def __init__(self, max_bytes: int = MAX_ARCHIVE_BYTES):
+        self.max_bytes = max_bytes
 
-def from_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Mails and rejects of a frame ``(id, archive_id, source_file, created_at, raw)``."""
-    decoded = parse_messages(messages, keep=("id", "archive_id", "source_file", "created_at"))
-    mails = accepted(decoded).withColumn("summary", extractive_summary(F.col("subject"), F.col("body_text")))
-    return mails, rejected(decoded).select(F.col("source_file").alias("source"), "error")
+    def decode(self, batch: DataFrame) -> DataFrame:
+        return scan_archives(batch.filter(admitted(self.max_bytes)))
 
+    def mails(self, decoded: DataFrame) -> DataFrame:
+        return emails_from_scan(decoded)
 
-def _batch_folder(root: str, name: str, epoch: int) -> str:
-    return os.path.join(root, name, f"batch={epoch}")
+    def rejects(self, batch: DataFrame, decoded: DataFrame) -> DataFrame:
+        inside = rejected(decoded).select(F.concat_ws("/", "archive_path", "entry_path").alias("source"), "error")
+        return inside.unionByName(refused(batch, self.max_bytes))
 
+    def ledger(self, batch: DataFrame, decoded: DataFrame) -> DataFrame:
+        files = batch.filter(admitted(self.max_bytes)).select(
+            archive_id(F.col("path")).alias("archive_id"), F.element_at(F.split("path", "/"), -1).alias("filename"))
+        return archive_ledger(files, decoded.withColumn("archive_id", archive_id()))
 
-def process_batch(root: str, split: Callable[[DataFrame], tuple[DataFrame, DataFrame]], index: bool = True):
+
+class Messages:
+    """Batches of single messages ``(id, archive_id, source_file, created_at, raw)``."""
+
+    def decode(self, batch: DataFrame) -> DataFrame:
+        return parse_messages(batch, keep=("id", "archive_id", "source_file", "created_at"))
+
+    def mails(self, decoded: DataFrame) -> DataFrame:
+        return accepted(decoded).withColumn("summary", extractive_summary(F.col("subject"), F.col("body_text")))
+
+    def rejects(self, batch: DataFrame, decoded: DataFrame) -> DataFrame:
+        return rejected(decoded).select(F.col("source_file").alias("source"), "error")
+
+    def ledger(self, batch: DataFrame, decoded: DataFrame) -> DataFrame:
+        files = decoded.select("archive_id").distinct().withColumn("filename", F.col("archive_id"))
+        return archive_ledger(files, decoded.withColumnRenamed("source_file", "entry_path"))
+
+
+def thread_bucket(thread_id: Column) -> Column:
+    return F.pmod(F.xxhash64(thread_id), F.lit(THREAD_BUCKETS)).cast("int")
+
+
+def touched_mails(spark: SparkSession, root: str, epoch: int, buckets: list[int]) -> DataFrame:
+    """Stored mails of the given buckets, up to a batch: later folders can only be left over from a run that is now repeated."""
+    return read_table(spark, root, "emails").filter((F.col("batch") <= epoch) & F.col("bucket").isin(buckets))
+
+
+def process_batch(root: str, source, index: bool = True):
     """The ``foreachBatch`` function that stores one micro-batch below ``root``."""
+    def folder(name: str, epoch: int) -> str:
+        return os.path.join(root, name, f"batch={epoch}")
+
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        mails, rejects = split(batch)
-        stored = _batch_folder(root, "emails", epoch)
-        with_subject_thread(mails).write.mode("overwrite").parquet(stored)
-        rejects.write.mode("overwrite").parquet(_batch_folder(root, "rejects", epoch))
-        fresh = spark.read.parquet(stored)
-        # Batches up to this one; later folders can only be left over from a run that is now repeated.
-        everything = read_table(spark, root, "emails").filter(F.col("batch") <= epoch)
-        touched = fresh.select("thread_id").distinct()
-        thread_stats(everything.join(touched, "thread_id", "left_semi")).write.mode("overwrite").parquet(
-            _batch_folder(root, "threads", epoch))
+
+        def store(rows: DataFrame, name: str, *parts: str) -> DataFrame:
+            rows.write.mode("overwrite").partitionBy(*parts).parquet(folder(name, epoch))
+            return spark.read.schema(rows.schema).parquet(folder(name, epoch))
+
+        decoded = store(source.decode(batch), "decoded")
+        mails = with_subject_thread(source.mails(decoded)).withColumn("_problem", length_problem(decoded.columns))
+        store(source.rejects(batch, decoded).unionByName(
+            mails.filter(F.col("_problem").isNotNull()).select(F.col("source_file").alias("source"), F.col("_problem").alias("error"))), "rejects")
+        fresh = store(mails.filter(F.col("_problem").isNull()).drop("_problem").withColumn("bucket", thread_bucket(F.col("thread_id"))),
+                      "emails", "bucket")
+        # At most THREAD_BUCKETS numbers.
+        buckets = [r.bucket for r in fresh.select("bucket").distinct().collect()]
+        store(refreshed(touched_mails(spark, root, epoch, buckets), fresh.select("thread_id")), "threads")
         if index:
-            postings(fresh).write.mode("overwrite").parquet(_batch_folder(root, "postings", epoch))
+            rows = store(K.posting_rows(fresh).withColumn("term_bucket", K.term_bucket(F.col("term")))
+                         .repartitionByRange("term_bucket", "field", "term", "id").sortWithinPartitions("term_bucket", "field", "term", "id"),
+                         "postings", "term_bucket")
+            store(K.vocabulary(rows).withColumn("length", F.length("term")), "vocab")
+            store(K.stat_parts(rows), "field_stats")
+            store(vector_index(fresh), "vectors")
+        store(source.ledger(batch, decoded), "archives")
+        discard(spark, folder("decoded", epoch))
 
     return run
 
@@ -75,16 +124,20 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(root, name))
 
 
+def stored_index(spark: SparkSession, root: str) -> K.Index:
+    """The keyword index of all batches; the parts of vocabulary and lengths add up to what one build would give."""
+    vocab = read_table(spark, root, "vocab").groupBy("field", "term", "length").agg(F.sum("df").alias("df"))
+    return K.Index(read_table(spark, root, "postings").drop("batch", "head"), vocab, K.stats_from(read_table(spark, root, "field_stats")))
+
+
 def current_threads(spark: SparkSession, root: str) -> DataFrame:
     """The newest statistics of every thread."""
     return latest_by_id(read_table(spark, root, "threads"), "thread_id", "batch").drop("batch")
 
 
-def start(
-    source: DataFrame, root: str, split: Callable = from_archives, index: bool = True, available_now: bool = True,
-) -> StreamingQuery:
-    """Start ingest into ``root``; by default it stops once all present input is stored."""
-    writer = source.writeStream.foreachBatch(process_batch(root, split, index)).option(
+def start(source: DataFrame, root: str, kind=None, index: bool = True, available_now: bool = True) -> StreamingQuery:
+    """Start ingest into ``root``, of archives unless told otherwise; by default it stops once all present input is stored."""
+    writer = source.writeStream.foreachBatch(process_batch(root, kind or Archives(), index)).option(
         "checkpointLocation", os.path.join(root, "checkpoint"))
     if available_now:
         writer = writer.trigger(availableNow=True)

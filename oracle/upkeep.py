@@ -18,9 +18,12 @@ SQL = {
 SELECT * FROM base WHERE id NOT IN (SELECT id FROM latest)""",
     "insert_if_absent": _VERSIONS + """SELECT * FROM base UNION ALL
 SELECT * FROM latest WHERE id NOT IN (SELECT id FROM base)""",
-    "delete_by_archive": COUNTED + """SELECT 'emails' AS store, count(*) AS remaining FROM emails WHERE archive_id <> 'src1'
-UNION ALL SELECT 'postings', count(*) FROM token_rows WHERE id IN (SELECT id FROM emails WHERE archive_id <> 'src1')
-UNION ALL SELECT 'vectors', count(*) FROM emails WHERE archive_id <> 'src1'""",
+    "delete_by_archive": COUNTED[:-1] + """, kept AS (SELECT * FROM emails WHERE archive_id <> 'src1'),
+ left_postings AS (SELECT field, term FROM token_rows WHERE id IN (SELECT id FROM kept) UNION ALL SELECT 'sender', sender FROM kept)
+SELECT 'emails' AS store, count(*) AS remaining FROM kept
+UNION ALL SELECT 'postings', count(*) FROM left_postings
+UNION ALL SELECT 'vocabulary', count(*) FROM (SELECT DISTINCT field, term FROM left_postings)
+UNION ALL SELECT 'vectors', count(*) FROM kept""",
     "delete_thread_setnull": using("threaded") + """SELECT id, CASE WHEN count(in_reply_to) OVER (PARTITION BY thread_id) > 0
  THEN thread_id END AS thread_id FROM threaded""",
     "reindex_counts": using("emails") + """SELECT 'keyword' AS store, count(*) AS indexed FROM emails

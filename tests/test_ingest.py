@@ -6,6 +6,7 @@ from datetime import datetime
 
 import pytest
 
+from mailweave.operators import keyword as K
 from mailweave.operators.ledger import archive_ledger
 from mailweave.sources import archives as S
 from mailweave.sources.tables import append_emails, read_emails
@@ -108,23 +109,56 @@ def test_admission_reads_no_content(spark, inbox):
 def test_stream_takes_new_archives_once_and_refreshes_threads(spark, inbox, tmp_path):
     root = str(tmp_path / "store")
     for _ in range(2):  # a second start finds nothing new
-        ingest.start(ingest.archive_stream(spark, str(inbox), max_bytes=40_000), root).awaitTermination()
+        ingest.start(ingest.archive_stream(spark, str(inbox)), root, ingest.Archives(40_000)).awaitTermination()
     assert ingest.read_table(spark, root, "emails").count() == 5
-    assert ingest.read_table(spark, root, "rejects").count() == 2
+    errors = {r.source.rsplit("/", 1)[1]: r.error for r in ingest.read_table(spark, root, "rejects").collect()}
+    assert len(errors) == 4 and "archive is too large" in errors.values() and "not a ZIP archive by its name" in errors.values()
     pack(inbox / "later.zip", {"x.eml": PLAIN.replace(b"one@x.org", b"two@x.org")})
     pack(inbox / "good2.zip", {"y.eml": BOTH.replace(b"bob@x.org", b"zed@x.org")})
-    ingest.start(ingest.archive_stream(spark, str(inbox), max_bytes=40_000), root).awaitTermination()
+    ingest.start(ingest.archive_stream(spark, str(inbox)), root, ingest.Archives(40_000)).awaitTermination()
     mails = ingest.read_table(spark, root, "emails")
     assert mails.count() == 7 and mails.select("id").distinct().count() == 7
     threads = ingest.current_threads(spark, root)
     assert threads.agg({"email_count": "sum"}).first()[0] == 7
     assert threads.count() == mails.select("thread_id").distinct().count()
     assert ingest.read_table(spark, root, "postings").select("id").distinct().count() == 7
+    assert ingest.read_table(spark, root, "vectors").count() == 7
+    ledger = {r.filename: r.status for r in ingest.read_table(spark, root, "archives").collect()}
+    assert ledger == {"good.zip": "completed", "empty.ZIP": "completed", "broken.zip": "failed", "later.zip": "completed", "good2.zip": "completed"}
+    # The index of three batches is that of one build over all mails.
+    stored, built = ingest.stored_index(spark, root), K.Index.of(mails)
+    assert sorted(map(str, stored.vocab.drop("length").collect())) == sorted(map(str, built.vocab.collect()))
+    assert sorted(map(str, stored.stats.collect())) == sorted(map(str, built.stats.collect()))
+    assert not (tmp_path / "store" / "decoded" / "batch=0").exists()
+
+
+def test_refresh_reads_touched_folders_only(spark, inbox, tmp_path):
+    root = str(tmp_path / "store")
+    ingest.start(ingest.archive_stream(spark, str(inbox)), root, ingest.Archives(40_000)).awaitTermination()
+    buckets = sorted(r.bucket for r in ingest.read_table(spark, root, "emails").select("bucket").distinct().collect())
+    assert len(buckets) > 1
+    touched = ingest.touched_mails(spark, root, 0, buckets[:1])
+    plan = touched._jdf.queryExecution().executedPlan().toString()
+    assert touched.count() and "bucket" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+
+
+def test_long_values_and_repeated_names(spark, tmp_path):
+    box = tmp_path / "box"
+    box.mkdir()
+    pack(box / "a.zip", {"long.eml": PLAIN.replace(b"one@x.org", b"o" * 600 + b"@x.org"), "ok.eml": PLAIN})
+    with zipfile.ZipFile(box / "twice.zip", "w") as target, pytest.warns(UserWarning):
+        target.writestr("same.eml", PLAIN)
+        target.writestr("same.eml", BOTH)
+    root = str(tmp_path / "store")
+    ingest.start(ingest.archive_stream(spark, str(box)), root).awaitTermination()
+    mails = ingest.read_table(spark, root, "emails")
+    assert mails.count() == mails.select("id").distinct().count() == 3
+    assert [r.error for r in ingest.read_table(spark, root, "rejects").collect()] == ["message_id is longer than 512"]
 
 
 def test_batch_repeated_after_a_failure_leaves_no_doubles(spark, inbox, tmp_path):
     root = str(tmp_path / "store")
-    run = ingest.process_batch(root, ingest.from_archives)
+    run = ingest.process_batch(root, ingest.Archives(40_000))
     files = S.archive_files(spark, str(inbox), max_bytes=40_000)
     run(files, 0)
     run(files, 0)

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from mailweave.operators import keyword as K
@@ -136,7 +137,7 @@ def test_written_index_equals_computed_one(spark, tmp_path):
     stored, computed = K.Index.read(spark, str(tmp_path / "i")), K.Index.of(rows)
     for name in ("postings", "vocab", "stats"):
         left, right = getattr(stored, name), getattr(computed, name)
-        assert sorted(map(str, left.select(sorted(left.columns)).collect())) == sorted(
+        assert sorted(map(str, left.select(sorted(right.columns)).collect())) == sorted(
             map(str, right.select(sorted(right.columns)).collect()))
 
 
@@ -175,3 +176,32 @@ def test_zero_edits_equal_the_exact_search(spark):
     exact = K.field_scores(K.exact_terms(terms.filter(F.length("term") <= 2)), index)
     fuzzy = K.field_scores(K.expand_fuzzy(terms.filter(F.length("term") <= 2), index.vocab), index)
     assert sorted(map(str, exact.collect())) == sorted(map(str, fuzzy.collect()))
+
+
+def test_a_long_request_reads_the_folders_of_its_terms_only(spark, tmp_path):
+    from mailweave.session import scratch_path
+
+    rows = spark.range(300).select(
+        "id", F.lit("s").alias("subject"), F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), F.col("id") % 7) for i in range(60)]).alias("body_text"),
+        F.lit("").alias("summary"), F.lit("a@x.org").alias("sender"))
+    folder = scratch_path(spark, "index-test")
+    K.write_index(rows, folder)
+    stored = K.Index.read(spark, folder)
+    text = " ".join(f"w{i}x3" for i in range(80))
+    terms = K.fixed(K.exact_terms(K.query_terms(K.one_query(spark, text))))
+    cut = K.pushed_down(terms, stored)
+    wanted = {r.b for r in terms.select(K.term_bucket(F.col("term")).alias("b")).distinct().collect()}
+    plan = cut.postings._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "term_bucket" in filters and len(wanted) < stored.postings.select("term_bucket").distinct().count()
+    one = sorted((r.id, round(r.score, 6)) for r in K.best_scores(terms, cut).collect())
+    two = sorted((r.id, round(r.score, 6)) for r in K.best_fields(K.field_scores(terms, K.Index.of(rows))).collect())
+    assert one == two and one
+    with pytest.raises(Exception, match="500 characters"):
+        K.query_terms(spark.createDataFrame([(1, "x" * 501)], "query_id long, query string")).collect()
+
+
+def test_counting_in_the_row(spark):
+    rows = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["x"])], "id long, w array<string>")
+    got = {r.id: r.c and [(x.token, x.tf) for x in r.c] for r in rows.select("id", K.counted(F.col("w")).alias("c")).collect()}
+    assert got[1] == [("a", 1), ("b", 2)] and got[4] == [("x", 1)] and not got[2] and not got[3]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mailweave.operators import browse as B
 from mailweave.operators import maintenance as M
-from mailweave.operators.skew import first_n_per_key, hot_keys
+from mailweave.operators.skew import first_n_per_key, hot_keys, lookup_join, spread_nulls
 from mailweave.schema import EMAILS, contract_problems, overlong_values
 
 
@@ -34,11 +34,9 @@ def test_delete_then_audit_finds_no_orphans(spark):
     assert cleared.count() == 10 and ids(cleared.filter("thread_id is null")) == [1, 4, 7]
 
 
-def test_lookup_keeps_request_order_both_ways(spark, monkeypatch):
+def test_lookup_keeps_request_order(spark):
     rows = spark.range(100)
     assert [r.id for r in B.by_ids_in_order(rows, [5, 1, 1000, 3, 5]).collect()] == [5, 1, 3]
-    monkeypatch.setattr(B, "MAX_REQUEST_IDS", 2)
-    assert [r.id for r in B.by_ids_in_order(rows, [5, 1, 1000, 3, 5]).collect()] == [5, 1, 3]
 
 
 def test_sender_condition(spark):
@@ -76,3 +74,23 @@ def test_contract(spark):
         ("email_archives", ""), ("email_threads", ""), ("emails", "cc"), ("emails", "sender")}
     long = spark.createDataFrame([("1", "s" * 1025, "a"), ("2", "s" * 1024, "b")], "id string, subject string, sender string")
     assert [tuple(r) for r in overlong_values(long).collect()] == [("1", "subject", 1025)]
+
+
+def test_edge_cases_of_versions_and_new_rows(spark):
+    base = spark.createDataFrame([(1, "a", 1), (2, "b", None)], "id long, v string, version int")
+    delta = spark.createDataFrame([(1, "lost", None), (1, "kept", 3), (2, "first", None), (3, "x", 2), (3, "x", 2)], "id long, v string, version int")
+    assert sorted((r.id, r.v) for r in M.upsert(base, delta).collect()) == [(1, "kept"), (2, "first"), (3, "x")]
+    new = spark.createDataFrame([(3, "p", 0), (3, "q", 0), (1, "no", 0)], "id long, v string, version int")
+    rows = [(r.id, r.v) for r in M.insert_if_absent(base, new).collect()]
+    assert sorted(i for i, _ in rows) == [1, 2, 3] and (1, "a") in rows
+
+
+def test_many_hot_keys_and_null_keys_are_spread(spark):
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 1500).alias("k"), "id")
+    names = spark.range(1500).select(F.col("id").alias("k"), F.lit("n").alias("name"))
+    assert hot_keys(rows, "k", 10).count() > 900
+    joined = lookup_join(rows, names, "k", "id", hot_rows=10)
+    assert joined.count() == 60_000 and joined.filter("name is null").count() == 20_000
+    placed = rows.withColumn("k", F.lit(None).cast("string")).withColumn("_row", F.col("id"))
+    sizes = placed.repartition(8, spread_nulls("k", "_row")).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 2 * 60_000 / 8

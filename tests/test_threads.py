@@ -137,6 +137,14 @@ def test_match_or_create(spark):
     assert len({r.thread_id for r in got if r.matched_by == "new"}) == 1
 
 
+def test_new_groups_of_one_root_share_a_thread(spark):
+    existing = spark.createDataFrame([("t1", "A", "r1")], "id string, subject_normalized string, root_message_id string")
+    groups = spark.createDataFrame([("X", "r9"), ("Y", "r9"), ("Y", None), (None, None)], "subject_normalized string, root_message_id string")
+    got = {(r.subject_normalized, r.root_message_id): (r.thread_id, r.matched_by) for r in T.match_or_create(groups, existing).collect()}
+    assert got["X", "r9"][0] == got["Y", "r9"][0] != got["Y", None][0]
+    assert (got["X", "r9"][1], got["Y", "r9"][1], got["Y", None][1]) == ("new", "root", "new") and len(got) == 4
+
+
 def test_dashboard_payload(spark, sf):
     from mailweave.plans.tables import archives, threads
     from mailweave.sources.testmail import emails
