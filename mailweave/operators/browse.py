@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from mailweave.functions.text import SHORT_TEXT_CHARS
 from mailweave.operators.skew import HOT_ROWS, lookup_join
-from mailweave.schema import ARCHIVE_VIEW, EMAIL_DETAIL, LIST_ITEM, THREAD_VIEW
+from mailweave.schema import EMAIL_DETAIL, LIST_ITEM
+
+MAX_PAGE = 100
+
 
 def by_id(rows: DataFrame, value, column: str = "id") -> DataFrame:
     return rows.filter(F.col(column) == F.lit(value))
@@ -63,14 +66,6 @@ def details(emails: DataFrame) -> DataFrame:
     return emails.select(*EMAIL_DETAIL)
 
 
-def thread_views(threads: DataFrame) -> DataFrame:
-    return threads.select(*THREAD_VIEW)
-
-
-def archive_views(archives: DataFrame) -> DataFrame:
-    return archives.select(*ARCHIVE_VIEW)
-
-
 def iso_time(value: Column) -> Column:
     return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
 
@@ -99,8 +94,8 @@ def vector_metadata(emails: DataFrame) -> DataFrame:
 
 
 def _page(rows: DataFrame, order: list[Column], page: int, page_size: int) -> DataFrame:
-    if page < 1 or page_size < 1:
-        raise ValueError("page and page_size start at 1")
+    if page < 1 or not 1 <= page_size <= MAX_PAGE:
+        raise ValueError(f"pages start at 1 and hold 1 to {MAX_PAGE} rows")
     return rows.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
 
 
@@ -109,6 +104,19 @@ def email_page(emails: DataFrame, page: int = 1, page_size: int = 20) -> DataFra
     return _page(emails, order, page, page_size)
 
 
+def email_page_after(emails: DataFrame, sent_at, created_at, last_id, page_size: int = 20) -> DataFrame:
+    """The page after the mail with these values, in the order of ``email_page``.
+
+    Unlike an offset it keeps one page of rows in each task, however far into the list it lies.
+    """
+    later = (F.col("created_at") < F.lit(created_at)) | ((F.col("created_at") == F.lit(created_at)) & (F.col("id") > F.lit(last_id)))
+    if sent_at is None:
+        beyond = F.col("sent_at").isNull() & later
+    else:
+        beyond = F.col("sent_at").isNull() | (F.col("sent_at") < F.lit(sent_at)) | ((F.col("sent_at") == F.lit(sent_at)) & later)
+    return email_page(emails.filter(beyond), 1, page_size)
+
+
 def thread_page(threads: DataFrame, page: int = 1, page_size: int = 20) -> DataFrame:
     return _page(threads, [F.desc_nulls_last("last_email_at"), F.asc("id")], page, page_size)
 

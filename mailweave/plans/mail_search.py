@@ -158,7 +158,7 @@ def whole_hits(spark, sf, scores, terms, text, limit, offset=0):
 def kw_search(spark, sf):
     scores, terms = search_scores(spark, sf, QUERY, SENDER[:5], _ntz(DATE_FROM), _ntz(DATE_TO))
     hits = whole_hits(spark, sf, scores, terms, QUERY, 20)
-    return hits.select("id", "subject", "sender", "sent_at", "summary", "score", "total")
+    return hits.select("id", "subject", "sender", "sent_at", "summary", "snippet", "score", "total")
 
 
 @query

@@ -44,7 +44,6 @@ MAX_LENGTHS = {
     "message_id": 512, "in_reply_to": 512, "sender": 512, "subject": 1024,
     "elasticsearch_id": 128, "chroma_id": 128, "source_file": 1024,
 }
-ARCHIVE_STATUSES = ("pending", "processing", "completed", "failed")
 
 # Output tuples of the read views.
 LIST_ITEM = ("id", "sender", "subject", "sent_at", "summary", "thread_id")
@@ -52,14 +51,6 @@ EMAIL_DETAIL = (
     "id", "archive_id", "thread_id", "message_id", "in_reply_to", "sender", "receivers", "cc", "subject",
     "body_text", "sent_at", "summary", "source_file", "created_at",
 )
-SIMILAR_ITEM = ("id", "subject", "sender", "sent_at", "similarity_score", "summary")
-THREAD_VIEW = (
-    "id", "subject_normalized", "participant_count", "email_count", "first_email_at", "last_email_at", "summary",
-)
-ARCHIVE_VIEW = (
-    "id", "filename", "status", "total_emails", "processed_emails", "error_message", "created_at", "updated_at",
-)
-
 
 def contract_problems(
     spark: SparkSession, tables: dict[str, DataFrame], required: dict[str, T.StructType] = REQUIRED_TABLES

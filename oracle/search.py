@@ -22,9 +22,22 @@ def _joined(x: str) -> str:
     return x
 
 
-def word_list(x: str) -> str:
-    found = rf"regexp_extract_all({_joined(f'lower({x})')}, '[\p{{L}}\p{{N}}\p{{M}}_\x{{E000}}-\x{{E004}}]+')"
-    return f"list_transform({found}, lambda w: translate(w, '{_STANDINS}', '.'':,;'))"
+_IN_WORD = r"\p{L}\p{N}\p{M}_\x{E000}-\x{E004}"
+
+
+def _plain(x: str) -> str:
+    return f"translate({x}, '{_STANDINS}', '.'':,;')"
+
+
+def word_list(x: str, lower: bool = True) -> str:
+    found = f"regexp_extract_all({_joined(f'lower({x})' if lower else x)}, '[{_IN_WORD}]+')"
+    return f"list_transform({found}, lambda w: {_plain('w')})"
+
+
+def _runs(x: str) -> str:
+    """Words and what stands between them, in turn; together they are the whole text."""
+    found = f"regexp_extract_all({_joined(x)}, '[{_IN_WORD}]+|[^{_IN_WORD}]+')"
+    return f"list_transform({found}, lambda w: {_plain('w')})"
 
 
 FOLD = "replace(strip_accents(token), 'ß', 'ss')"
@@ -139,6 +152,28 @@ def _search(queries: str, fuzzy: bool, **more: str) -> str:
  FROM field_scores GROUP BY query_id, id""", **more)
 
 
+def _snippets(hits: str) -> dict[str, str]:
+    """CTEs ending in ``shown(id, score, total, snippet)`` for ``hits(id, score, total)``: cut around the first matched word, all of them marked."""
+    return {
+        "hits": hits,
+        "hf": "SELECT f.* FROM field_rows f JOIN hits USING (id) WHERE field <> 'sender_text'",
+        "hw": f"SELECT id, field, unnest({word_list('text', lower=False)}) AS word FROM hf",
+        "mw": """SELECT id, field, list(DISTINCT word) AS words FROM hw JOIN stems ON stems.token = lower(word)
+ JOIN (SELECT DISTINCT field, term FROM expanded) USING (field, term) GROUP BY id, field""",
+        "cut": f"""SELECT id, field, words, text, CASE field WHEN 'body_text' THEN 150 WHEN 'summary' THEN 120 END AS size, {_runs('text')} AS r
+ FROM hf JOIN mw USING (id, field)""",
+        "placed": """SELECT *, 1 + coalesce(list_sum(list_transform(r[1:list_position(list_transform(r, lambda x: list_contains(words, x)), true) - 1],
+ lambda x: length(x))), 0) AS spot FROM cut""",
+        "parts": """SELECT *, CASE WHEN size IS NULL THEN text
+ ELSE substr(text, greatest(1, least(spot - size // 3, length(text) - size + 1))::BIGINT, size) END AS part FROM placed""",
+        "marked": f"""SELECT id, field, array_to_string(list_transform({_runs('part')},
+ lambda x: CASE WHEN list_contains(words, x) THEN '<em>' || x || '</em>' ELSE x END), '') AS m FROM parts""",
+        "shown": """SELECT h.id, h.score, h.total, coalesce(b.m, s.m, t.m, '') AS snippet FROM hits h
+ LEFT JOIN marked b ON b.id = h.id AND b.field = 'body_text' LEFT JOIN marked s ON s.id = h.id AND s.field = 'summary'
+ LEFT JOIN marked t ON t.id = h.id AND t.field = 'subject'""",
+    }
+
+
 def _one(text: str) -> str:
     return f"SELECT 0 AS query_id, '{text}' AS query"
 
@@ -167,7 +202,10 @@ FROM (SELECT token, count(*) AS n FROM words WHERE field = 'body_text' GROUP BY
     "kw_page_total": _search(_one(QUERY), False) + """
 SELECT id, score, CAST(NULL AS BIGINT) AS total FROM (SELECT id, score FROM best ORDER BY score DESC, id LIMIT 15 OFFSET 15)
 UNION ALL SELECT NULL, NULL, count(*) FROM best""",
-    "kw_search": _search(_one(QUERY), True) + """SELECT e.id, e.subject, e.sender, e.sent_at, e.summary, b.score, count(*) OVER () AS total FROM best b
-JOIN emails e ON e.id = b.id WHERE contains(e.sender, 'user1')
- AND e.sent_at >= TIMESTAMP '2024-01-10' AND e.sent_at <= TIMESTAMP '2024-01-20 12:00:00' ORDER BY b.score DESC, e.id LIMIT 20""",
+    "kw_search": _search(_one(QUERY), True, **_snippets("""SELECT b.id, b.score, count(*) OVER () AS total FROM best b
+ JOIN emails e ON e.id = b.id WHERE contains(e.sender, 'user1')
+ AND e.sent_at >= TIMESTAMP '2024-01-10' AND e.sent_at <= TIMESTAMP '2024-01-20 12:00:00' ORDER BY b.score DESC, b.id LIMIT 20""")) + """
+SELECT e.id, e.subject, e.sender, e.sent_at, e.summary, x.snippet, x.score, x.total FROM shown x JOIN emails e ON e.id = x.id""",
+    "kw_highlight": _search(_one(QUERY), True, **_snippets("SELECT id, score, 0 AS total FROM best ORDER BY score DESC, id LIMIT 20")) + """
+SELECT id, score, snippet FROM shown""",
 }

@@ -94,3 +94,15 @@ def test_many_hot_keys_and_null_keys_are_spread(spark):
     placed = rows.withColumn("k", F.lit(None).cast("string")).withColumn("_row", F.col("id"))
     sizes = placed.repartition(8, spread_nulls("k", "_row")).groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) == 8 and max(r["count"] for r in sizes) < 2 * 60_000 / 8
+
+
+def test_pages_by_the_last_row_equal_pages_by_offset(spark):
+    rows = spark.range(60).select("id", F.when(F.col("id") % 5 > 0, F.make_timestamp(F.lit(2024), F.lit(1), (F.col("id") % 4 + 1).cast("int"), F.lit(0), F.lit(0), F.lit(0)))
+                                  .alias("sent_at"), F.make_timestamp(F.lit(2024), F.lit(2), (F.col("id") % 3 + 1).cast("int"), F.lit(0), F.lit(0), F.lit(0)).alias("created_at"))
+    last = None
+    for page in range(1, 8):
+        want = [r.id for r in B.email_page(rows, page, 10).collect()]
+        found = B.email_page(rows, 1, 10) if last is None else B.email_page_after(rows, last.sent_at, last.created_at, last.id, 10)
+        got = found.collect()
+        assert [r.id for r in got] == want
+        last = got[-1] if got else last

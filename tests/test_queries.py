@@ -8,7 +8,6 @@ from oracle import statements
 from tools.compare import compare, connect
 
 QUERIES, ORACLE = all_queries(), statements()
-ROWS_ONLY = {"kw_highlight"}
 
 
 @pytest.fixture(scope="module")
@@ -16,8 +15,8 @@ def con(sf):
     return connect(sf)
 
 
-def test_all_queries_but_one_have_sql():
-    assert set(QUERIES) - set(ORACLE) == ROWS_ONLY and not set(ORACLE) - set(QUERIES)
+def test_all_queries_have_sql():
+    assert set(QUERIES) == set(ORACLE)
 
 
 @pytest.mark.parametrize("name", sorted(set(ORACLE)))
@@ -28,10 +27,5 @@ def test_query_matches_sql(spark, sf, con, name):
     assert not verdict
 
 
-@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
-def test_query_without_sql_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() > 0
-
-
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
