@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from mailweave.llm.common import map_batches, read
 
 END = "</w>"
-CACHE_WORDS = 200_000  # entries of a worker's memories of words and of chunks; each is emptied when full
+CACHE_WORDS = 300_000  # entries of a worker's memories of words and of chunks; each is emptied when full
 CACHE_ARCS = 200_000
 # White space as the normaliser's pattern takes it: unlike str.split, without the separators U+001C to U+001F.
 SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -182,19 +182,24 @@ class Codec:
             pattern = pattern.replace(kind, rf"[{kind}--[{NEWER}]]")
         self.pattern = regex.compile(pattern, regex.VERSION1)
         self.symbols = byte_symbols()
-        self.chunks: dict[str, tuple[bytes, str]] = {}
+        # What stands between white space: its ids as 32-bit numbers, and its decoded text.
+        self.packed: dict[str, bytes] = {}
+        self.decoded: dict[str, str] = {}
+
+    def _split(self, chunk: str) -> list[str]:
+        """Words of a normalised chunk.  Latin letters with at most one mark behind need no pattern."""
+        if max(chunk) < "\u0250":
+            if chunk.isalpha():
+                return [chunk]
+            if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+                return [chunk[:-1], chunk[-1]]
+        return self.pattern.findall(chunk)
 
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids (32-bit) and decoded text of what stands between white space."""
-        plain = chunk.isascii()
-        if not plain:
+        if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # letter by letter: no final sigma
-        chunk = chunk.lower()
-        if plain and chunk.isalpha():
-            found = self.automaton.encode(chunk)
-            return struct.pack(f"<{len(found)}I", *found), self.decode(found)
         ids: list[int] = []
-        for word in self.pattern.findall(chunk):
+        for word in self._split(chunk.lower()):
             if not word.isascii() or not word.isprintable():
                 word = "".join(self.symbols[b] for b in word.encode())
             ids.extend(self.automaton.encode(word))
@@ -202,34 +207,52 @@ class Codec:
 
     def forget(self) -> None:
         """Give up what was remembered of words, chunks and arcs."""
-        for memory in (self.chunks, self.automaton.words, self.automaton.arcs):
+        for memory in (self.packed, self.decoded, self.automaton.words, self.automaton.arcs):
             memory.clear()
 
     def decode(self, ids) -> str:
         return " ".join(map(self.labels.__getitem__, ids))
 
-    def pieces(self, text: str) -> list[tuple[bytes, str]]:
-        chunks, out = self.chunks, []
-        segments = self.cut.split(text) if "<|" in text and self.cut else [text]
-        for k, segment in enumerate(segments):
+    def _segment(self, text: str) -> tuple[list[bytes], list[str]]:
+        """Ids and decoded text of each chunk of a text without special tokens."""
+        chunks = list(filter(None, SPACE.split(text))) if ODD_SPACE.search(text) else text.split()
+        packed, decoded = self.packed, self.decoded
+        found = list(map(packed.get, chunks))
+        if None not in found:
+            return found, list(map(decoded.__getitem__, chunks))
+        if len(packed) >= CACHE_WORDS:
+            packed.clear()
+            decoded.clear()
+        long: dict[str, tuple[bytes, str]] = {}
+        for chunk in chunks:
+            if chunk not in packed:
+                made = self._chunk(chunk)
+                if len(chunk) <= 64:
+                    packed[chunk], decoded[chunk] = made
+                else:
+                    long[chunk] = made
+        if not long:
+            return list(map(packed.__getitem__, chunks)), list(map(decoded.__getitem__, chunks))
+        return [long[c][0] if c in long else packed[c] for c in chunks], [long[c][1] if c in long else decoded[c] for c in chunks]
+
+    def pieces(self, text: str) -> tuple[bytes, str]:
+        """All ids of a text as little-endian 32-bit numbers, and the text decoded from them."""
+        if "<|" not in text or not self.cut:
+            packed, decoded = self._segment(text)
+            return b"".join(packed), " ".join(decoded)
+        packed, decoded = [], []
+        for k, segment in enumerate(self.cut.split(text)):
             if k % 2:
-                out.append((struct.pack("<I", self.special[segment]), segment))
-                continue
-            for chunk in SPACE.split(segment) if ODD_SPACE.search(segment) else segment.split():
-                found = chunks.get(chunk)
-                if found is None:
-                    if not chunk:
-                        continue
-                    found = self._chunk(chunk)
-                    if len(chunk) <= 64:
-                        if len(chunks) >= CACHE_WORDS:
-                            chunks.clear()
-                        chunks[chunk] = found
-                out.append(found)
-        return out
+                packed.append(struct.pack("<I", self.special[segment]))
+                decoded.append(segment)
+            elif segment:
+                more = self._segment(segment)
+                packed += more[0]
+                decoded += more[1]
+        return b"".join(packed), " ".join(decoded)
 
     def encode(self, text: str | None) -> list[int]:
-        packed = b"".join(p[0] for p in self.pieces(text or ""))
+        packed, _ = self.pieces(text or "")
         return list(struct.unpack(f"<{len(packed) // 4}I", packed))
 
 
@@ -276,11 +299,10 @@ def digests(docs: DataFrame, file: bytes) -> DataFrame:
         made = codec(known.value)
         counts, of_ids, of_text = [], [], []
         for text in batch.column(1).to_pylist():
-            pieces = made.pieces(text or "")
-            packed = b"".join([p[0] for p in pieces])
+            packed, decoded = made.pieces(text or "")
             counts.append(len(packed) // 4)
             of_ids.append(hashlib.sha256(packed).hexdigest())
-            of_text.append(hashlib.sha256(" ".join([p[1] for p in pieces]).encode()).hexdigest())
+            of_text.append(hashlib.sha256(decoded.encode()).hexdigest())
         return {"doc_id": batch.column(0), "n_tokens": counts, "ids_sha256": of_ids, "decoded_sha256": of_text}
 
     return map_batches(docs.select("doc_id", "text"), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", run,
