@@ -1,10 +1,10 @@
 """Nearest vectors by largest inner product, through query-centred windows on sorted projections.
 
-Vectors get one more component that makes all of them equally long, so that the largest inner product is the least distance.  Each
-of ``projections`` random directions keeps its values in a sorted array.  A query looks at a window around its own value in each
+A block's vectors stand in bands of similar length.  In a band they get one more component that makes all of them as long as the
+band's longest, so that the largest inner product with a query of that length is the least distance; a few long vectors thus move nobody else's windows.  Each of ``projections`` random directions keeps its values in a sorted array.  A query looks at a window around its own value in each
 array; windows widen step by step (virtual rehashing: the same arrays serve every radius), and what lies in the windows of at
-least ``threshold`` of the arrays is a candidate.  Widening ends when ``share`` of a block's vectors are candidates, and no fewer than ``LEAST``; these are
-compared exactly, in double precision.
+least ``threshold`` of the arrays is a candidate.  Widening ends when ``share`` of a band's vectors are candidates, and no fewer than ``LEAST``; these are
+compared exactly, in double precision.  Bands are asked from the longest on, until none of the next one's vectors can reach the k-th score.
 
 The index is dealt into blocks of bounded size by a hash of the row, each with arrays of its own, and queries into pieces; a task
 holds one block and streams one piece.  Every row is indexed.  Nearest rows of the blocks are merged in two steps.
@@ -28,10 +28,11 @@ from mailweave.operators.skew import first_n_per_key
 
 BLOCK_ROWS = 8192
 PIECE_QUERIES = 4096
-PROJECTIONS = 64
+PROJECTIONS = 128
 THRESHOLD = 0.75  # of the projections
-SHARE = 0.09  # of a block's vectors, which are candidates
-LEAST = 600  # candidates of a block at least, if it has as many
+SHARE = 0.15  # of a band's vectors, which are candidates
+LEAST = 600  # candidates of a band at least, if it has as many
+BAND = 0.9  # the shortest vector of a band against its longest, at least
 WIDEN = 1.15
 SEED = 11
 
@@ -43,24 +44,26 @@ def directions(dims: int, count: int) -> np.ndarray:
     return np.concatenate(bases)[:count]
 
 
-class CollisionIndex:
-    """Sorted projections of one block."""
+class Band:
+    """Sorted projections of vectors of similar length."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, projections: int, threshold: float, share: float):
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, axes: np.ndarray, threshold: float, share: float):
+        self.ids, self.vectors, self.longest = ids, vectors, longest
+        self.start, self.enough = 0.0, max(LEAST, int(np.ceil(share * len(ids))))
+        if len(ids) <= self.enough:
+            return  # all are candidates
         rest = np.sqrt(np.maximum(longest ** 2 - (vectors ** 2).sum(axis=1), 0))
-        self.axes = directions(vectors.shape[1] + 1, projections)
-        values = np.column_stack([vectors, rest]) @ self.axes.T
+        projections = len(axes)
+        values = np.column_stack([vectors, rest]) @ axes.T
         order = np.argsort(values, axis=0, kind="stable")
         self.order = order.T.astype(np.int32).ravel()
         # The sorted arrays stand one after another, each moved beyond the one before: one search serves all of them.
-        apart = 8 * longest + 1
-        self.shift = apart * np.arange(projections)
+        self.shift = 8 * longest * np.arange(projections)
         self.sorted = (np.take_along_axis(values, order, axis=0).T + self.shift[:, None]).ravel()
         self.ends = len(ids) * np.arange(projections + 1)
         self.step = max(0.2 * float(values.std(axis=0).mean()), 1e-9 * longest)
         self.start = self.step
-        self.threshold, self.enough = int(np.ceil(threshold * projections)), max(LEAST, int(np.ceil(share * len(ids))))
+        self.threshold = int(np.ceil(threshold * projections))
 
     def candidates(self, at: np.ndarray, least: int) -> np.ndarray:
         """Positions of the vectors that collide often enough with a projected query, for windows just wide enough."""
@@ -72,9 +75,14 @@ class CollisionIndex:
         while True:
             new_low = np.maximum(np.searchsorted(self.sorted, at - half), self.ends[:-1])
             new_high = np.minimum(np.searchsorted(self.sorted, at + half, side="right"), self.ends[1:])
-            rings = [self.order[a:b] for a, b in zip(new_low.tolist(), low.tolist(), strict=True)]
-            rings += [self.order[a:b] for a, b in zip(high.tolist(), new_high.tolist(), strict=True)]
-            hits += np.bincount(np.concatenate(rings), minlength=n)
+            if (new_high - new_low).sum() - (high - low).sum() <= len(self.order) - (new_high - new_low).sum():
+                rings = [self.order[a:b] for a, b in zip(new_low.tolist(), low.tolist(), strict=True)]
+                rings += [self.order[a:b] for a, b in zip(high.tolist(), new_high.tolist(), strict=True)]
+                hits += np.bincount(np.concatenate(rings), minlength=n)
+            else:
+                # Fewer lie outside the windows; from one window to the next array's they stand together.
+                outside = [self.order[a:b] for a, b in zip([0, *new_high.tolist()], [*new_low.tolist(), len(self.order)], strict=True)]
+                hits = len(self.shift) - np.bincount(np.concatenate(outside), minlength=n)
             found = np.flatnonzero(hits >= self.threshold)
             if len(found) >= wanted:
                 # The next query begins two steps below the width this one needed.
@@ -82,12 +90,34 @@ class CollisionIndex:
                 return found
             low, high, half = new_low, new_high, half * WIDEN
 
+
+class CollisionIndex:
+    """Bands of one block, the longest first."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int, threshold: float, share: float):
+        self.axes, self.bands = directions(vectors.shape[1] + 1, projections), []
+        length = np.sqrt((vectors ** 2).sum(axis=1))
+        order = np.argsort(-length, kind="stable")
+        falling, a = -length[order], 0
+        while a < len(order):
+            longest = -falling[a]
+            b = max(a + 1, int(np.searchsorted(falling, -BAND * longest, side="right")))
+            self.bands.append(Band(ids[order[a:b]], vectors[order[a:b]], float(longest), self.axes, threshold, share))
+            a = b
+
     def nearest(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        found = self.candidates(self.axes[:, :-1] @ query, k + int((self.ids == query_id).sum()))
-        found = found[self.ids[found] != query_id]
-        scores = self.vectors[found] @ query
-        best = np.lexsort((self.ids[found], -scores))[:k]
-        return self.ids[found[best]], scores[best]
+        length = float(np.sqrt(query @ query))
+        at = self.axes[:, :-1] @ (query / length)
+        ids, scores = np.empty(0, dtype=np.int64), np.empty(0)
+        for band in self.bands:
+            if len(ids) == k and scores[-1] > length * band.longest * (1 + 1e-9):
+                break
+            found = band.candidates(at * band.longest, k + int((band.ids == query_id).sum()))
+            found = found[band.ids[found] != query_id]
+            ids, scores = np.concatenate([ids, band.ids[found]]), np.concatenate([scores, band.vectors[found] @ query])
+            best = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[best], scores[best]
+        return ids, scores
 
 
 def search(rows: DataFrame, is_query: Column, k: int, projections: int = PROJECTIONS, threshold: float = THRESHOLD,
@@ -95,17 +125,16 @@ def search(rows: DataFrame, is_query: Column, k: int, projections: int = PROJECT
     """(query_id, rank, vec_id, score): the ``k`` nearest of every row of ``rows`` (vec_id, embedding) that ``is_query`` holds for."""
     known = write_scratch(usable(rows).withColumn("dims", F.size("embedding")), "vectors")
     asked = known.filter(is_query).groupBy("vec_id", "dims").agg(F.min("embedding").alias("embedding"))
-    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    plan = known.groupBy("dims").agg(F.count("*").alias("n"), F.max(length).alias("longest"), F.sum(is_query.cast("int")).alias("q"))
+    plan = known.groupBy("dims").agg(F.count("*").alias("n"), F.sum(is_query.cast("int")).alias("q"))
     plan = plan.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).withColumn(
         "pieces", F.ceil(F.col("q") / PIECE_QUERIES).cast("int")).filter("q > 0").drop("n", "q")
     spot = F.xxhash64("vec_id", "embedding")
     index = known.join(plan, "dims").select(
         "dims", F.pmod(spot, "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"),
-        F.lit(False).alias("asks"), "vec_id", "longest", "embedding")
+        F.lit(False).alias("asks"), "vec_id", "embedding")
     queries = asked.join(plan, "dims").select(
         "dims", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(spot, "pieces").cast("int").alias("piece"),
-        F.lit(True).alias("asks"), "vec_id", "longest", "embedding")
+        F.lit(True).alias("asks"), "vec_id", "embedding")
     keys = ["dims", "block", "piece"]
     dealt = index.unionByName(queries).repartition(*keys).sortWithinPartitions(*keys, "asks")
     arrow = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -128,7 +157,7 @@ def search(rows: DataFrame, is_query: Column, k: int, projections: int = PROJECT
                     continue
                 if made is None and held:
                     made = CollisionIndex(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]),
-                                          part.column("longest")[0].as_py(), projections, threshold, share)
+                                          projections, threshold, share)
                     held = []
                 for query_id, query in zip(ids.tolist(), vectors, strict=True):
                     if made is not None:

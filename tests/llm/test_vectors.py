@@ -63,6 +63,25 @@ def test_search_recall(spark, planted):
     assert hit >= 0.9 * len(got) and got.query_id.nunique() == -(-len(planted) // 20) and (got.groupby("query_id").size() == 20).all()
 
 
+def test_search_recall_on_a_full_block_of_uneven_lengths():
+    rng = np.random.default_rng(12)
+    n, k = collision_search.BLOCK_ROWS, 20
+    gaussian = rng.standard_normal((n, 64))
+    unit = gaussian / np.linalg.norm(gaussian, axis=1, keepdims=True)
+    outlier = unit.copy()
+    outlier[0] *= 5
+    uneven = {"gaussian": gaussian, "quarter": unit * np.exp(0.25 * rng.standard_normal((n, 1))),
+              "half": unit * np.exp(0.5 * rng.standard_normal((n, 1))), "outlier": outlier, "unit": unit}
+    for name, x in uneven.items():
+        index = collision_search.CollisionIndex(np.arange(n), x, collision_search.PROJECTIONS, collision_search.THRESHOLD, collision_search.SHARE)
+        hit, asked = 0, range(1, n, n // 60)
+        for q in asked:
+            scores = x @ x[q]
+            scores[q] = -np.inf
+            hit += len(set(np.argsort(-scores)[:k]) & set(index.nearest(q, x[q], k)[0].tolist()))
+        assert hit >= 0.9 * k * len(asked), (name, hit / k / len(asked))
+
+
 def test_list_decoding_finds_all_exceeding_filters():
     rng = np.random.default_rng(9)
     unit = rng.standard_normal((50, 10))
