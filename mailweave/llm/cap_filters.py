@@ -1,7 +1,8 @@
 """Near-duplicate vectors through spherical-cap filters with structured random product codes.
 
-A filter is a direction; it catches the vectors whose cosine with it exceeds ``alpha``.  Directions are all combinations of short
-random codes, one for each block of dimensions, so a vector finds its filters by list decoding: partial sums that can no longer
+A filter is a direction; it catches the vectors whose cosine with it exceeds ``alpha``, and every vector goes to ``FEWEST`` of its best
+filters at least.  Directions are all combinations of short random codes, one for each block of dimensions; vectors are turned by a
+seeded random rotation first, so that blocks weigh alike however uneven the dimensions are.  A vector finds its filters by list decoding: partial sums that can no longer
 reach ``alpha`` are dropped block by block.  Vectors that meet in a filter are compared exactly, in double precision.  The number of
 filters grows with the number of vectors and ``alpha`` is set so that a vector meets ``per_vector`` of them on average, which
 keeps buckets and rows in proportion to the input.
@@ -28,7 +29,8 @@ from mailweave.llm.grouped import deal, groups
 from mailweave.llm.ngram_join import spanning_forest
 from mailweave.llm.vectors import matrix, usable
 
-PER_VECTOR = 32
+PER_VECTOR = 48
+FEWEST = 32  # filters that a vector meets at least
 BUCKET = 64  # vectors of an average bucket
 BLOCK_ROWS = 1024
 SAMPLE = 1000  # vectors that alpha is set from
@@ -38,33 +40,46 @@ SEED = 7
 class ProductCode:
     """Random unit code words for each of two blocks of dimensions; filter (i, j) has number i * words + j."""
 
-    def __init__(self, dims: int, words: int, alpha: float = 0.0, seed: int = SEED):
+    def __init__(self, dims: int, words: int, alpha: float = 0.0, seed: int = SEED, fewest: int = 1):
         rng = np.random.default_rng([seed, dims, words])
         self.cuts = np.array_split(np.arange(dims), min(2, dims))
-        self.words, self.alpha, self.codes = words, alpha, []
+        self.words, self.alpha, self.codes, self.fewest = words, alpha, [], fewest
+        self.turn = np.linalg.qr(np.random.default_rng([seed, dims]).standard_normal((dims, dims)))[0]
         for part in self.cuts:
             code = rng.standard_normal((words, len(part)))
             self.codes.append(code / np.linalg.norm(code, axis=1, keepdims=True) / np.sqrt(len(self.cuts)))
 
     def scores(self, unit: np.ndarray) -> list[np.ndarray]:
-        return [unit[:, part] @ code.T for part, code in zip(self.cuts, self.codes, strict=True)]
+        turned = unit @ self.turn
+        return [turned[:, part] @ code.T for part, code in zip(self.cuts, self.codes, strict=True)]
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
-        """All filters that exceed ``alpha``, and always the best one, for each row."""
+        """All filters that exceed ``alpha``, and always the ``fewest`` best, for each row."""
         by_block, found = self.scores(unit), []
-        best_after = [0.0] * len(self.cuts)
+        fewest = min(self.fewest, self.words ** len(self.cuts))
         for row in range(len(unit)):
-            for b in range(len(self.cuts) - 2, -1, -1):
-                best_after[b] = best_after[b + 1] + by_block[b + 1][row].max()
-            least = min(self.alpha, best_after[0] + by_block[0][row].max())
-            number, total = np.zeros(1, dtype=np.int64), np.zeros(1)
-            for b, scores in enumerate(by_block):
-                sums = total[:, None] + scores[row]
-                i, j = np.nonzero(sums >= least - best_after[b] - 1e-12)
-                number, total = number[i] * self.words + j, sums[i, j]
+            scores = [s[row] for s in by_block]
+            number = self._exceeding(scores, min(self.alpha, sum(s.max() for s in scores)))
+            if len(number) < fewest:
+                # The best sums are made of the best scores of each block.
+                sums = np.zeros(1)
+                for s in scores:
+                    sums = (sums[:, None] + np.sort(s)[-fewest:]).ravel()
+                number = self._exceeding(scores, np.partition(sums, len(sums) - fewest)[len(sums) - fewest])
             found.append(np.sort(number))
         return found
 
+    def _exceeding(self, scores: list[np.ndarray], least: float) -> np.ndarray:
+        best_after = [0.0] * len(scores)
+        for b in range(len(scores) - 2, -1, -1):
+            best_after[b] = best_after[b + 1] + scores[b + 1].max()
+        number, total = np.zeros(1, dtype=np.int64), np.zeros(1)
+        for s, after in zip(scores, best_after, strict=True):
+            sums = total[:, None] + s
+            i, j = np.nonzero(sums >= least - after - 1e-12)
+            number, total = number[i] * self.words + j, sums[i, j]
+        return number
+
 
 def fitted(unit: np.ndarray, count: int, per_vector: float, bucket: int) -> tuple[int, float]:
     """Code words for each block, and the alpha at which sample vectors meet ``per_vector`` filters on average."""
@@ -127,7 +142,7 @@ def near_duplicates(rows: DataFrame, least: float, per_vector: int = PER_VECTOR,
             at = np.flatnonzero(sizes == dims).tolist()
             words, alpha = plans[dims]
             x = np.array([lists[i] for i in at])
-            for i, filters in zip(at, ProductCode(dims, words, alpha).decode(_unit(x)), strict=True):
+            for i, filters in zip(at, ProductCode(dims, words, alpha, fewest=FEWEST).decode(_unit(x)), strict=True):
                 out["dims"].extend([dims] * len(filters))
                 out["filter"].extend(filters.tolist())
                 out["first_id"].extend([ids[i]] * len(filters))
@@ -155,7 +170,7 @@ def near_duplicates(rows: DataFrame, least: float, per_vector: int = PER_VECTOR,
             if table.num_rows < 2:
                 continue
             words, alpha = plans[int(dims)]
-            code = codes.setdefault(int(dims), ProductCode(int(dims), words, alpha))
+            code = codes.setdefault(int(dims), ProductCode(int(dims), words, alpha, fewest=FEWEST))
             ids = np.asarray(table.column("first_id"))
             edges, counts = bucket_links(matrix(table.column("embedding")), np.asarray(table.column("weight")),
                                          np.asarray(table.column("own")), int(here), code, least)

@@ -94,6 +94,30 @@ def test_list_decoding_finds_all_exceeding_filters():
         assert set(want) <= set(found) and set(found) <= set(want) | {int(np.argmax(all_scores))}
 
 
+def test_links_near_the_threshold_of_uneven_dimensions(spark):
+    rng = np.random.default_rng(21)
+    n, scale = 2000, np.repeat([3.0, 1.0], 32)  # the first half of the dimensions has nine times the energy
+    one, other = rng.standard_normal((2, n, 64)) * scale
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other -= (other * one).sum(axis=1, keepdims=True) * one
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = rng.uniform(0.951, 0.955, (n, 1))
+    x = np.concatenate([one, cosine * one + np.sqrt(1 - cosine ** 2) * other]).astype(np.float32)
+    got = cap_filters.near_duplicates(_frame(spark, x), 0.95).toPandas()
+    assert (got.n_links > 0).mean() >= 0.99
+
+
+def test_every_vector_meets_its_best_filters():
+    rng = np.random.default_rng(22)
+    unit = rng.standard_normal((40, 16))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    code = cap_filters.ProductCode(16, 12, 0.7, fewest=9)
+    first, second = code.scores(unit)
+    for row, found in enumerate(code.decode(unit)):
+        all_scores = (first[row][:, None] + second[row]).ravel()
+        assert set(np.argsort(-all_scores)[:9]) | set(np.flatnonzero(all_scores >= 0.7)) == set(found)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 540)] + [(539, 7), (7, 7), (300, 200), (200, 300)]
     df = spark.createDataFrame(edges, "a long, b long")
