@@ -6,12 +6,11 @@ classes by hash.  Within its class a bucket has its share of the corpus counts.
 the log of both probabilities.
 
 Two things are gathered from the whole corpus by Spark: the counts of all buckets, and the weights.  For these every partition trains on
-its sampled texts from common weights and gives its weights back; their mean, by words seen, begins the next round.  What is
+all its texts from common weights and gives its weights back; their mean, by words seen, begins the next round.  What is
 gathered is of fixed size for each partition, so it grows as the input does, and no more than one table of weights reaches the
 driver.
 
-Cases: null, empty and blank texts have no words, score 0 and no mean; ids are not looked at except to draw the training texts, so repeated
-rows are scored each and rows with a null ``doc_id`` are scored too; texts of any length are scored whole; on an empty table the
+Cases: null, empty and blank texts have no words, score 0 and no mean; ids are not looked at, so repeated rows are scored each and rows with a null ``doc_id`` are scored too; texts of any length are scored whole; on an empty table the
 result is empty; further columns are ignored, whatever their names.
 """
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import map_batches, read, sample_by_hash, small_batches, thrifty
+from mailweave.llm.common import map_batches, read, small_batches, thrifty
 from mailweave.llm.shingles import words
 
 BUCKET_BITS = 16
@@ -32,8 +31,6 @@ WINDOW = 3
 HIDDEN = 32
 PLACES = [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
 ROUNDS = 3
-TRAIN_SHARE = 1 / 16  # of the texts
-TRAIN_TEXTS = 4000  # but so many at least, if there are
 BATCH = 256
 RATE = 0.01
 AT_ONCE = 8192  # words scored together
@@ -167,10 +164,8 @@ def neighbours(classes: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> WindowNetwork:
-    """Rounds of local training and averaging."""
-    texts = docs.count()
-    share = min(1.0, max(TRAIN_SHARE, TRAIN_TEXTS / max(texts, 1)))
-    drawn = sample_by_hash(docs, "doc_id", share, SEED).select("text") if share < 1 else docs.select("text")
+    """Rounds of local training on all texts and averaging."""
+    texts = docs.select("text")
     network = WindowNetwork()
     for turn in range(rounds):
         sent = docs.sparkSession.sparkContext.broadcast((network.vector, vocabulary.of))
@@ -188,7 +183,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Wind
                 seen += len(found)
             return seen, net.vector * float(seen)
 
-        total, seen = _summed(drawn, local, network.size)
+        total, seen = _summed(texts, local, network.size)
         if seen:
             network = WindowNetwork(total / seen)
     return network

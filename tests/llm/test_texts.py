@@ -182,3 +182,12 @@ def test_automaton_equals_merging():
     for n in range(1, 10):
         for word in map("".join, itertools.product("ab", repeat=n)):
             assert [tokens[i] for i in automaton.encode(word)] == merged(word)
+
+
+def test_network_trains_on_every_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b c d") for i in range(5000)], "doc_id long, text string")
+    vocabulary = pseudo_likelihood.Vocabulary(pseudo_likelihood.bucket_counts(docs))
+    seen, summed = [], pseudo_likelihood._summed
+    monkeypatch.setattr(pseudo_likelihood, "_summed", lambda *given: (lambda made: seen.append(made[1]) or made)(summed(*given)))
+    pseudo_likelihood.train(docs, vocabulary, rounds=1)
+    assert seen == [20_000]
