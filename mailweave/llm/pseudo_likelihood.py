@@ -7,8 +7,8 @@ the log of both probabilities.
 
 Two things are gathered from the whole corpus by Spark: the counts of all buckets, and the weights.  For these every partition trains on
 all its texts from common weights and gives its weights back; their mean, by words seen, begins the next round.  What is
-gathered is of fixed size for each partition, so it grows as the input does, and no more than one table of weights reaches the
-driver.
+gathered is of fixed size for each partition, whatever its words, and no more than one table of weights reaches the driver.  Buckets,
+classes and weights do not grow with the corpus: words that share a bucket share its score.
 
 Cases: null, empty and blank texts have no words, score 0 and no mean; ids are not looked at, so repeated rows are scored each and rows with a null ``doc_id`` are scored too; texts of any length are scored whole; on an empty table the
 result is empty; further columns are ignored, whatever their names.
