@@ -4,7 +4,8 @@ The automaton accepts exactly the token sequences that merging would produce.  I
 symbol and takes one gadget for each merge ``u v -> uv``, in order: the state that ``u`` leads to is copied without its ``v`` arc and
 becomes the target of ``u``; every state that has a ``u`` arc gets an arc ``uv`` to where ``u`` and then ``v`` led.  A state is thus
 reached by one token, and differs from the state it was copied from by one missing arc; it is stored as that difference, and arcs
-are looked up along the copies.  Encoding a word follows the arcs whose labels spell it; each prefix has one state only.
+are looked up along the copies, on demand: there is no table of transitions.  Encoding a word tries the arcs whose labels spell it,
+the longest first, and backtracks; each prefix has one state only.
 
 Text is handled as the vocabulary file says: special tokens are cut out of the raw text, the rest is NFC-normalised, lower-cased
 and split at white space and by the file's pattern.  Decoding emits arc labels, joined by blanks, as the file names no decoder.
