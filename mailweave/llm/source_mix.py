@@ -125,9 +125,9 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], bud
 
 
 def keep_mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], budget: Column, seed: int = SEED) -> DataFrame:
-    """Rows of ``docs`` that a mix without repeats selects, whole; of rows that repeat a ``doc_id`` one stays."""
+    """Rows of ``docs`` that a mix without repeats selects, whole; of rows that repeat ``doc_id`` and text one stays."""
     taken = mix(docs, domain, weights, budget, 1, seed).select("doc_id").distinct()
-    return without_ids(docs, docs.select("doc_id").filter("doc_id is not null").join(taken, "doc_id", "left_anti"))
+    return without_ids(docs, docs.select("doc_id").filter("doc_id is not null").join(taken, "doc_id", "left_anti"), ("doc_id", "text"))
 
 
 WEIGHTS = {"domain": {"src0": 4, "src1": 3}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 2}}

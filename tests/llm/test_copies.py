@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mailweave.llm import bpe_automaton, ngram_join, pu_quality, source_mix, warc_zip
-from mailweave.llm.common import read, write_scratch
+from mailweave.llm.common import read, without_ids, write_scratch
 from mailweave.llm.shingles import shingles
 from mailweave.session import scratch_path
 
@@ -204,3 +204,13 @@ def test_pipeline_against_brute_force(spark, sf):
     made = bpe_automaton.Codec(bpe_automaton.tokenizer_file())
     assert {r.doc_id: r.n_tokens for r in encoded} == {r.doc_id: len(made.encode(r.text)) for r in mixed}
     assert corpus_pipeline.run(spark, sf).count() == len(encoded)
+
+
+def test_rows_under_one_id_are_told_apart_by_text(spark):
+    rows = [(1, f"text {i % 7}", "en", f"src{i}") for i in range(40)] + [(2, "alone", "en", "src1"), (3, "gone", "en", "src1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    mixed = source_mix.keep_mix(docs, F.lit("d"), {}, F.expr("all")).collect()
+    assert sorted((r.doc_id, r.text) for r in mixed) == sorted({(i, t) for i, t, _, _ in rows})
+    first, again = ([tuple(r) for r in without_ids(docs.repartition(n), docs.filter("doc_id = 3")).orderBy("doc_id").collect()]
+                    for n in (1, 13))
+    assert first == again == [(1, "text 0", "en", "src0"), (2, "alone", "en", "src1")]
