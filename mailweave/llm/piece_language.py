@@ -29,7 +29,6 @@ from mailweave.operators.skew import first_n_per_key
 
 DOCS = 1000  # texts a language to learn from, about
 WORDS = 20_000  # words a language to learn from, at most
-LANGUAGES = 256  # at most, the most frequent
 ROUNDS = 5
 FOREIGN = 0.3  # chance that a word of a text is of any language
 PSEUDO = 0.05  # count given to every piece in every language
@@ -206,7 +205,7 @@ def word_counts(docs: DataFrame, languages: dict[str, int], docs_each: int, word
 def fitted(docs: DataFrame, folds: int = 3, docs_each: int = DOCS, words_each: int = WORDS, path: str | None = None) -> PieceModel:
     """Learn from rows outside fold 1 that have an id and a language."""
     usable = docs.select("doc_id", "lang", "text").filter((fold(F.col("doc_id"), folds) != 1) & F.col("lang").isNotNull())
-    shares = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    shares = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # one row a language
     languages = {r["lang"]: r["count"] for r in sorted(shares, key=lambda r: r["lang"])}
     model = PieceModel(vocabulary(path), list(languages))
     if languages:

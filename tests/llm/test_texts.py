@@ -191,3 +191,9 @@ def test_network_trains_on_every_text(spark, monkeypatch):
     monkeypatch.setattr(pseudo_likelihood, "_summed", lambda *given: (lambda made: seen.append(made[1]) or made)(summed(*given)))
     pseudo_likelihood.train(docs, vocabulary, rounds=1)
     assert seen == [20_000]
+
+
+def test_every_language_is_learnt(spark, monkeypatch):
+    monkeypatch.setattr(piece_language, "vocabulary", lambda path=None: ["▁", "a", "b", "▁ab"])
+    docs = spark.createDataFrame([(i, f"l{i % 300}", "ab ba") for i in range(1800)], "doc_id long, lang string, text string")
+    assert len(piece_language.fitted(docs).languages) == 300
