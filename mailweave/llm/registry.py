@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailweave.llm import bpe_automaton, cap_filters, collision_search, line_dedup, ngram_join, piece_language, pseudo_likelihood, pu_quality, source_mix, warc_zip
+from mailweave.llm import (
+    bpe_automaton,
+    cap_filters,
+    chunk_fingerprints,
+    collision_search,
+    hard_negatives,
+    line_dedup,
+    ngram_join,
+    piece_language,
+    pseudo_likelihood,
+    pu_quality,
+    source_mix,
+    spelling_variants,
+    warc_zip,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +35,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe_automaton": bpe_automaton.op8_bpe_automaton,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_cap_filters": cap_filters.op10_cap_filters,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_spelling_variants": spelling_variants.op12_spelling_variants,
+        "op13_chunk_fingerprints": chunk_fingerprints.op13_chunk_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": source_mix.OP2_SQL, "op6_warc_zip": warc_zip.OP6_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
+    return {
+        "op2_source_mix": source_mix.OP2_SQL,
+        "op6_warc_zip": warc_zip.OP6_SQL,
+        "op9_line_dedup": line_dedup.OP9_SQL,
+        "op11_hard_negatives": hard_negatives.OP11_SQL,
+        "op12_spelling_variants": spelling_variants.OP12_SQL,
+    }

@@ -11,5 +11,5 @@ def test_query_matches_sql(spark, sf, name):
     assert not compare(registry.queries()[name](spark, sf), connect(sf), registry.oracle_sql()[name])
 
 
-def test_ten_queries():
-    assert [q.split("_")[0] for q in registry.queries()] == [f"op{n}" for n in range(1, 11)]
+def test_all_queries():
+    assert [q.split("_")[0] for q in registry.queries()] == [f"op{n}" for n in range(1, 14)]
