@@ -1,8 +1,8 @@
 """Keyword search: inverted index, ranking, fuzzy expansion, filters, pages and highlights.
 
-The index is three plain tables.  ``postings(field, term, id, tf, dl)`` is written in term order, so a search reads
-only the row groups of its terms; ``vocab(field, term, df)`` serves fuzzy expansion; ``field_stats(field, n, avgdl)``
-has one row per field.
+The index is four plain tables.  ``postings(field, term, id, tf, dl)`` is written in term order, so a search reads
+only the row groups of its terms; ``vocab(field, term, df, max_tf, min_dl)`` serves fuzzy expansion and bounds scores; ``field_stats(field, n, avgdl)``
+has one row per field; ``grams(gram, term)`` finds distinct addresses by a part of them.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from mailweave.functions.analysis import fold, surface_tokens, tokens, with_stem
 from mailweave.functions.text import let, search_snippet
+from mailweave.operators.address_search import grams_of, matching
 from mailweave.operators.skew import first_n_per_key, spread
 from mailweave.session import discard, materialise
 
@@ -77,8 +78,8 @@ def postings(emails: DataFrame, stem: bool = True) -> DataFrame:
 
 
 def vocabulary(posting_rows: DataFrame) -> DataFrame:
-    """Document frequency per field and term."""
-    return posting_rows.groupBy("field", "term").agg(F.count("*").alias("df"))
+    """Document frequency per field and term, and what bounds a posting's score: the largest count and the shortest text."""
+    return posting_rows.groupBy("field", "term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
 
 
 def field_stats(emails: DataFrame) -> DataFrame:
@@ -119,6 +120,12 @@ def store_stats(stats: DataFrame, folder: str) -> None:
     stats.coalesce(1).write.mode("overwrite").parquet(os.path.join(folder, "field_stats"))
 
 
+def store_grams(vocab: DataFrame, folder: str) -> None:
+    """Trigrams of the distinct addresses, in their order."""
+    (grams_of(vocab.filter(F.col("field") == EXACT_FIELD)).repartitionByRange("gram", "term").sortWithinPartitions("gram", "term")
+     .write.mode("overwrite").parquet(os.path.join(folder, "grams")))
+
+
 def write_index(emails: DataFrame, folder: str, stem: bool = True) -> None:
     """(Re)build the index tables below ``folder`` from one analysis of the mails.
 
@@ -134,6 +141,7 @@ def write_index(emails: DataFrame, folder: str, stem: bool = True) -> None:
      .write.mode("overwrite").partitionBy("term_bucket").parquet(path))
     store_vocabulary(analysed, folder)
     store_stats(stats_from(stat_parts(analysed)), folder)
+    store_grams(spark.read.parquet(os.path.join(folder, "vocab")), folder)
     discard(spark, analysed.inputFiles()[0].rsplit("/", 1)[0])
 
 
@@ -142,21 +150,25 @@ def term_bucket(term: Column) -> Column:
 
 
 class Index:
-    """The three index tables, from a folder or from frames at hand."""
+    """The index tables, from a folder or from frames at hand."""
 
-    def __init__(self, postings: DataFrame, vocab: DataFrame, stats: DataFrame):
+    def __init__(self, postings: DataFrame, vocab: DataFrame, stats: DataFrame, grams: DataFrame | None = None):
         self.postings, self.vocab, self.stats = postings, vocab, stats
+        self.grams = grams_of(self.addresses()) if grams is None else grams
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> Index:
-        postings, vocab, stats = (spark.read.parquet(os.path.join(folder, name)) for name in ("postings", "vocab", "field_stats"))
-        return cls(postings, vocab, stats)
+        return cls(*(spark.read.parquet(os.path.join(folder, name)) for name in ("postings", "vocab", "field_stats", "grams")))
 
     @classmethod
     def of(cls, emails: DataFrame, stem: bool = True) -> Index:
         rows = postings(emails, stem)
         return cls(rows, vocabulary(rows), field_stats(emails))
 
+    def addresses(self) -> DataFrame:
+        """The distinct senders."""
+        return self.vocab.filter(F.col("field") == EXACT_FIELD).select("term")
+
 
 # ---- Queries -----------------------------------------------------------------------------------------------
 
@@ -283,7 +295,8 @@ def expand_request(terms: DataFrame, vocab: DataFrame, max_expansions: int = MAX
         )
 
     length = F.col("length") if "length" in vocab.columns else F.length("term")
-    near = vocab.filter((length >= lengths[0]) & (length <= lengths[-1]) & length.isin(lengths))
+    # Tests on the word alone come first: where a vocabulary is in parts, only words that pass are added up.
+    near = vocab.filter((length >= lengths[0]) & (length <= lengths[-1]) & length.isin(lengths)).filter(F.exists(listed, close))
     pairs = near.select("field", "term", F.explode(F.filter(listed, close)).alias("w")).select(
         "w.query_id", "field", "w.pos", "w.query_term", "term", "w.k")
     return _best_expansions(pairs, max_expansions)
@@ -346,30 +359,52 @@ def best_scores(terms: DataFrame, index: Index) -> DataFrame:
     return rows.select("query_id", "id", F.greatest(*[F.col(f) * w for f, w in BOOSTS.items()]).alias("score"))
 
 
+def in_folders(stored: DataFrame, buckets: set[int]) -> DataFrame:
+    """Postings of some term buckets; frames at hand have none and stay whole."""
+    return stored.filter(F.col("term_bucket").isin(sorted(buckets))) if "term_bucket" in stored.columns else stored
+
+
 def pushed_down(terms: DataFrame, index: Index) -> Index:
     """The index cut to the terms of one request: to the folders of their buckets, then by a literal list.
 
     Expects ``fixed`` terms: a list that the request's length and ``MAX_EXPANSIONS`` bound.  Not for batches of queries.
     """
-    found = terms.select("term", term_bucket(F.col("term")).alias("b")).distinct().collect()
-    listed = F.col("term").isin([r.term for r in found])
-    stored = index.postings
-    if "term_bucket" in stored.columns:
-        stored = stored.filter(F.col("term_bucket").isin(sorted({r.b for r in found})))
-    return Index(stored.filter(listed), index.vocab.filter(listed), index.stats)
+    found = terms.select("term", term_bucket(F.col("term")).alias("b")).collect()
+    listed = F.col("term").isin(sorted({r.term for r in found}))
+    return Index(in_folders(index.postings, {r.b for r in found}).filter(listed), index.vocab.filter(listed), index.stats, index.grams)
 
 
-def sender_filter(emails: DataFrame, index: Index, sender: str, stem: bool = True) -> DataFrame:
+def sender_filter(index: Index, sender: str, stem: bool = True) -> DataFrame:
     """Ids of mails whose address contains ``sender`` (``*`` and ``?`` match any text and any letter) or whose
-    analysed address has any of its words."""
-    pattern = sender.lower().replace("\\", "\\\\").replace("%", r"\%").replace("_", r"\_")
-    pattern = pattern.replace("*", "%").replace("?", "_")
-    by_pattern = emails.filter(F.col("sender").like(f"%{pattern}%")).select("id")
-    words = query_terms(one_query(emails.sparkSession, sender), stem).filter(F.col("field") == "sender_text")
-    by_word = index.postings.filter(F.col("field") == "sender_text").join(words.select("term").distinct(), "term").select("id")
+    analysed address has any of its words.  Reads the addresses' trigrams and the folders of what matches."""
+    spark = index.postings.sparkSession
+    found = materialise(matching(sender, index.addresses(), index.grams).withColumn("bucket", term_bucket(F.col("term"))), "addresses")
+    # No more than TERM_BUCKETS numbers, however many addresses match.
+    buckets = {r.bucket for r in found.select("bucket").distinct().collect()}
+    exact = in_folders(index.postings, buckets).filter(F.col("field") == EXACT_FIELD).select("term", "id")
+    by_pattern = exact.join(found.select("term"), "term").select("id")
+    words = fixed(query_terms(one_query(spark, sender), stem).filter(F.col("field") == "sender_text").select("query_id", "term"))
+    by_word = pushed_down(words, index).postings.filter(F.col("field") == "sender_text").select("id")
     return by_pattern.unionByName(by_word).distinct()
 
 
+def page_and_total(scores: DataFrame, limit: int, offset: int = 0) -> tuple[DataFrame, int]:
+    """One request's page, computed, and the number of all hits: one job, in which both read the same exchange of scores."""
+    page = ranked(scores, limit, offset)
+    total = scores.agg(F.count("*").alias("_total"))
+    rows = page.withColumn("_total", F.lit(None).cast("bigint")).unionByName(total, allowMissingColumns=True).toArrow()
+    counted_rows = rows.column("_total").to_pylist()
+    whole = next(t for t in counted_rows if t is not None)
+    held = rows.filter(rows.column("_total").is_null()).drop_columns(["_total"])
+    return scores.sparkSession.createDataFrame(held, schema=page.schema), whole
+
+
+def look_up(emails: DataFrame, page: DataFrame, *columns: str) -> DataFrame:
+    """The mails of a page's hits, read once and written to the shared folder; a page has ``MAX_PAGE`` hits at most."""
+    ids = [r.id for r in page.select("id").collect()]
+    return materialise(emails.filter(F.col("id").isin(ids)).select("id", *columns), "page")
+
+
 def ranked(scores: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """One request's page of ``MAX_PAGE`` hits at most, by descending score, then id."""
     if not 1 <= limit <= MAX_PAGE or offset < 0:

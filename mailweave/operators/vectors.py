@@ -143,7 +143,7 @@ def recommendations(similar: DataFrame, emails: DataFrame) -> DataFrame:
 
 # ---- Neighbours of many vectors -----------------------------------------------------------------------------
 
-def _distinct_vectors(vectors: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
+def distinct_vectors(vectors: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
     """Copies folded together: ``(vec, embedding, ids)`` with the ``keep`` smallest ids, and ``(id, vec)``.
 
     Equal vectors tie in every ranking and ties go by id, so only a vector's smallest ids can ever be neighbours.
@@ -232,13 +232,18 @@ def cell_neighbours(vectors: DataFrame, k: int, probes: int = 8, block_rows: int
     Writes intermediate tables to the shared folder, since each is read more than once.
     """
     keep = k + 1
-    folded, owners = _distinct_vectors(vectors, keep)
+    folded, owners = distinct_vectors(vectors, keep)
     folded = materialise(folded.withColumn("first_id", F.col("ids")[0]), "vectors")
-    id_type = folded.schema["first_id"].dataType.simpleString()
     centres = cell_centres(vectors)
     if not len(centres):
         return vectors.select("id", F.col("id").alias("other"), F.lit(0.0).alias("score"),
                               F.lit(0).cast("bigint").alias("rank")).limit(0)
+    return expanded(met_in_cells(folded, centres, keep, probes, block_rows), owners, k)
+
+
+def met_in_cells(folded: DataFrame, centres: np.ndarray, keep: int, probes: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(vec, ids, score)``: the ``keep`` best that each row of ``folded`` (vec, embedding, ids, first_id) meets in a block of its cells."""
+    id_type = folded.schema["first_id"].dataType.simpleString()
     wanted = min(probes, len(centres))
 
     def locate(batches):
@@ -265,7 +270,12 @@ def cell_neighbours(vectors: DataFrame, k: int, probes: int = 8, block_rows: int
     blocks = members.join(loads, "cell").select(
         "cell", "ids", "first_id", "embedding", spot("vec", "blocks").alias("block"), upto("pieces").alias("piece"))
     keys = ("cell", "block", "piece")
-    best = queries.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(_meet(keep), f"vec string, ids array<{id_type}>, score double")
+    return queries.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(_meet(keep), f"vec string, ids array<{id_type}>, score double")
+
+
+def expanded(best: DataFrame, owners: DataFrame, k: int) -> DataFrame:
+    """``(id, other, score, rank)`` for every row of ``owners`` (id, vec) from what its vector met: ``(vec, ids, score)``."""
+    keep = k + 1
     entries = best.select("vec", F.explode("ids").alias("other"), "score")
     top = first_n_per_key(entries, ["vec"], [F.desc("score"), F.asc("other")], keep, "other")
     lists = top.groupBy("vec").agg(F.array_sort(F.collect_list(F.struct("rank", "other", "score"))).alias("near"))

@@ -14,6 +14,7 @@ from mailweave.operators.ledger import archive_ledger as ledger
 from mailweave.plans.registry import query
 from mailweave.session import scratch_path
 from mailweave.sources import archives as S
+from mailweave.sources.archive_ranges import scan_archive_files
 from mailweave.sources.testmail import emails, mail_from, table
 from mailweave.streaming import ingest
 
@@ -80,11 +81,37 @@ def src_admission(spark, sf):
     return passed.unionByName(S.refused(uploads).withColumnRenamed("source", "path"))
 
 
+def _store(folder):
+    """Writes archives to files below ``folder``, one folder a source, from the tasks that have made them."""
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                target = "/" + folder[5:].lstrip("/") if folder.startswith("file:") else folder
+                system, root = fs.FileSystem.from_uri(target) if "://" in target else (fs.LocalFileSystem(), target)
+                name = root + path
+                system.create_dir(name.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(name) as out:
+                    out.write(content)
+            yield batch[["path"]]
+
+    return run
+
+
+def stored_archives(spark, sf):
+    """The archives as files in a folder of the shared one."""
+    folder = scratch_path(spark, "archives")
+    packed_archives(spark, sf).select("path", "content").mapInPandas(_store(folder), "path string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
 @query
 def src_archive_scan(spark, sf):
-    scanned = S.scan_archives(packed_archives(spark, sf).filter(S.admitted()))
+    """Mail files of archives that lie in files, read by range."""
+    scanned = scan_archive_files(S.archive_files(spark, stored_archives(spark, sf)))
     return scanned.select(
-        F.element_at(F.split("archive_path", "/"), 3).alias("archive"), "entry_path",
+        F.element_at(F.split("archive_path", "/"), -3).alias("archive"), "entry_path",
         F.when(F.col("error").isNull(), "parsed").otherwise("rejected").alias("outcome"))
 
 
@@ -145,5 +172,5 @@ def stream_search(spark, sf):
     from mailweave.plans.mail_search import DIGITS, QUERY
 
     stored = ingest.stored_index(spark, _streamed(spark, sf))
-    terms = K.exact_terms(K.query_terms(K.one_query(spark, QUERY)))
-    return K.best_scores(terms, stored).select("id", F.round("score", DIGITS).alias("score"))
+    terms = K.fixed(K.exact_terms(K.query_terms(K.one_query(spark, QUERY))))
+    return K.best_scores(terms, K.pushed_down(terms, stored)).select("id", F.round("score", DIGITS).alias("score"))

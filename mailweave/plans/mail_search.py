@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mailweave.operators import keyword as K
+from mailweave.operators import pruned_ranking
 from mailweave.operators.browse import in_date_range
 from mailweave.plans.browsing import DATE_FROM, DATE_TO, _ntz
 from mailweave.plans.registry import query
-from mailweave.session import scratch_path
+from mailweave.session import files_stamp, scratch_path
 from mailweave.sources.testmail import emails
 
 QUERY = "Topic 7 thereader@example.com tion"
@@ -21,17 +22,17 @@ SENDER = "user12"
 PAGE, PAGE_SIZE = 2, 15
 DIGITS = 6
 
-_folders: dict[tuple[str, str], str] = {}
+_indexes: dict[tuple, K.Index] = {}
 
 
 def index(spark, sf) -> K.Index:
-    """The stored index of a table folder, written on first use in this application."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _folders:
+    """The stored index of a table folder, written and opened on first use in this application, and again when its files have changed."""
+    key = (spark.sparkContext.applicationId, sf, files_stamp(spark, f"{sf}/documents.parquet", f"{sf}/events.parquet"))
+    if key not in _indexes:
         folder = scratch_path(spark, "keyword-index")
         K.write_index(emails(spark, sf), folder)
-        _folders[key] = folder
-    return K.Index.read(spark, _folders[key])
+        _indexes[key] = K.Index.read(spark, folder)
+    return _indexes[key]
 
 
 def _rounded(rows):
@@ -62,7 +63,7 @@ def kw_postings(spark, sf):
 
 @query
 def kw_vocab_df(spark, sf):
-    return K.vocabulary(K.postings(emails(spark, sf)))
+    return K.vocabulary(K.postings(emails(spark, sf))).select("field", "term", "df")
 
 
 @query
@@ -110,14 +111,14 @@ def kw_fuzzy_search(spark, sf):
     """Many fuzzy queries in one job: the ten best mails for every subject of the archive."""
     stored, queries = index(spark, sf), subject_queries(spark, sf)
     terms = K.expand_fuzzy(K.query_terms(queries), stored.vocab)
-    scores = _rounded(K.best_scores(terms, stored))
+    scores = _rounded(pruned_ranking.best_per_query(terms, stored, 10))
     return K.ranked_per_query(scores, 10).join(queries, "query_id").select(
         "query", "id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query
 def kw_sender_filter(spark, sf):
-    return K.sender_filter(emails(spark, sf), index(spark, sf), SENDER)
+    return K.sender_filter(index(spark, sf), SENDER)
 
 
 @query
@@ -131,13 +132,13 @@ def kw_page_total(spark, sf):
 
 def search_scores(spark, sf, text, sender=None, date_from=None, date_to=None):
     """A request's scores and terms: fuzzy terms, ranking, filters.  Filters do not change scores."""
-    stored, rows = index(spark, sf), emails(spark, sf)
+    stored = index(spark, sf)
     terms = K.fixed(K.expand_request(K.query_terms(K.one_query(spark, text)), stored.vocab))
     scores = _rounded(K.best_scores(terms, K.pushed_down(terms, stored)))
     if sender:
-        scores = scores.join(K.sender_filter(rows, stored, sender), "id", "left_semi")
+        scores = scores.join(K.sender_filter(stored, sender), "id", "left_semi")
     if date_from is not None or date_to is not None:
-        dated = rows.filter(in_date_range(date_from, date_to)).select("id")
+        dated = emails(spark, sf).filter(in_date_range(date_from, date_to)).select("id")
         scores = scores.join(dated, "id", "left_semi")
     return scores, terms
 
@@ -147,10 +148,10 @@ def whole_hits(spark, sf, scores, terms, text, limit, offset=0):
 
     Hits whose mail is gone stay, without its data.
     """
-    rows, total = emails(spark, sf), scores.count()
-    page = K.ranked(scores, limit, offset)
-    marked = K.highlight(page, rows, terms, K.one_query(spark, text))
-    shown = rows.select("id", "subject", "sender", "sent_at", "summary")
+    page, total = K.page_and_total(scores, limit, offset)
+    found = K.look_up(emails(spark, sf), page, "subject", "sender", "sent_at", "summary", "body_text")
+    marked = K.highlight(page, found, terms, K.one_query(spark, text))
+    shown = found.select("id", "subject", "sender", "sent_at", "summary")
     return marked.join(shown, "id", "left").withColumn("total", F.lit(total).cast("bigint")).orderBy(F.desc("score"), "id")
 
 

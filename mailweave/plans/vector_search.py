@@ -6,14 +6,15 @@ import math
 
 from pyspark.sql import functions as F
 
+from mailweave.operators import neighbour_graph
 from mailweave.operators import vectors as V
 from mailweave.plans.registry import query
-from mailweave.session import materialise
+from mailweave.session import files_stamp, materialise
 from mailweave.sources.testmail import emails, table, threaded_emails
 
 QUERY_TEXT = "Topic 7 the tion of and"
 MIN_SCORE = 0.55
-ITEM, NEIGHBOURS, PROBES = 17, 5, 8
+ITEM, NEIGHBOURS = 17, 5
 
 
 def query_numbers(dimensions: int = V.DIMENSIONS) -> list[float]:
@@ -36,8 +37,8 @@ _indexes: dict = {}
 
 
 def mail_vectors(spark, sf):
-    """The stored vector index of the mails, written on first use in this application."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The stored vector index of the mails, written on first use in this application and again when its files have changed."""
+    key = (spark.sparkContext.applicationId, sf, files_stamp(spark, f"{sf}/documents.parquet", f"{sf}/events.parquet"))
     if key not in _indexes:
         _indexes[key] = materialise(V.vector_index(threaded_emails(spark, sf)), "vector-index")
     return _indexes[key]
@@ -81,5 +82,5 @@ def vec_knn_all(spark, sf):
 
 @query
 def vec_lsh_join(spark, sf):
-    """Approximate neighbours: each vector asks the eight cells nearest to it."""
-    return V.cell_neighbours(stored_vectors(spark, sf), NEIGHBOURS, PROBES)
+    """Approximate neighbours of every vector, from a graph refined by local joins."""
+    return neighbour_graph.neighbours(stored_vectors(spark, sf), NEIGHBOURS)

@@ -48,6 +48,18 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def files_stamp(spark: SparkSession, *paths: str) -> tuple:
+    """Lengths and times of all files below some paths: it changes when they do."""
+    found = []
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = target.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(target, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def materialise(df, name: str, *partition_by: str):
     """Write ``df`` once below the shared folder and read it back, cutting its lineage.
 

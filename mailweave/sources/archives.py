@@ -34,7 +34,7 @@ _RAW_FIELDS = (
     "receivers array<string>, cc array<string>, subject string, text_body string, html_body string, "
     "sent_at timestamp"
 )
-_RAW_NAMES = [part.split()[0] for part in _RAW_FIELDS.split(", ")]
+RAW_NAMES = [part.split()[0] for part in _RAW_FIELDS.split(", ")]
 SCAN_SCHEMA = f"archive_path string, entry_path string, {_RAW_FIELDS}"
 
 
@@ -105,62 +105,66 @@ def _decode(raw: bytes) -> dict:
     }
 
 
-def _parse(raw: bytes) -> dict:
+def parse(raw: bytes) -> dict:
     try:
         return {"error": None, **_decode(raw)}
     except Exception as problem:  # one bad message must not end the task
         return {"error": f"{type(problem).__name__}: {problem}", "receivers": [], "cc": []}
 
 
-def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=columns)
-    frame["sent_at"] = pd.to_datetime(frame["sent_at"], utc=True)
+def frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=columns)
+    out["sent_at"] = pd.to_datetime(out["sent_at"], utc=True)
     text = [c for c in columns if c not in ("sent_at", "receivers", "cc")]
-    frame[text] = frame[text].astype(object).where(frame[text].notna(), None)
-    return frame
+    out[text] = out[text].astype(object).where(out[text].notna(), None)
+    return out
 
 
-def _is_mail(name: str) -> bool:
+def is_mail(name: str) -> bool:
     return name.lower().endswith(MAIL_SUFFIXES)
 
 
+def why_not_opened(problem: Exception) -> str:
+    return "not a valid ZIP archive" if isinstance(problem, zipfile.BadZipFile) else f"{type(problem).__name__}: {problem}"
+
+
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["archive_path", "entry_path", *_RAW_NAMES]
+    columns = ["archive_path", "entry_path", *RAW_NAMES]
     for batch in batches:
         rows, held = [], 0
         for path, content in zip(batch["path"], batch["content"]):
             try:
                 archive = zipfile.ZipFile(io.BytesIO(content))
             except Exception as problem:  # a damaged file must not end the task
-                why = "not a valid ZIP archive" if isinstance(problem, zipfile.BadZipFile) else f"{type(problem).__name__}: {problem}"
-                rows.append({"archive_path": path, "error": why, "receivers": [], "cc": []})
+                rows.append({"archive_path": path, "error": why_not_opened(problem), "receivers": [], "cc": []})
                 continue
             seen = Counter()
             for entry in sorted((i for i in archive.infolist() if not i.is_dir()), key=lambda i: i.filename):
-                if not _is_mail(entry.filename):
+                if not is_mail(entry.filename):
                     continue
                 # A name may come again in one archive: later ones are numbered, so that ids differ.
                 seen[entry.filename] += 1
                 name = entry.filename if seen[entry.filename] == 1 else f"{entry.filename}#{seen[entry.filename]}"
                 try:
                     raw = archive.read(entry)
-                    parsed = _parse(raw)
+                    parsed = parse(raw)
                 except Exception as problem:  # damaged member
                     raw, parsed = b"", {"error": f"{type(problem).__name__}: {problem}", "receivers": [], "cc": []}
                 rows.append({"archive_path": path, "entry_path": name, **parsed})
                 held += len(raw)
                 if held > CHUNK_BYTES:
-                    yield _frame(rows, columns)
+                    yield frame(rows, columns)
                     rows, held = [], 0
         if rows:
-            yield _frame(rows, columns)
+            yield frame(rows, columns)
 
 
 def scan_archives(files: DataFrame) -> DataFrame:
-    """Members of admitted archives, one row per mail file, decoded in the same pass.
+    """Members of small archives at hand, one row per mail file, decoded in the same pass; each archive is one row with its content.
 
     ``files`` has the columns of Spark's binaryFile source.  An archive that cannot be opened gives one row with
-    a null ``entry_path`` and its error.  Content goes from the scan to the workers; the driver sees none of it.
+    a null ``entry_path`` and its error.  Content goes from the scan to the workers; the driver sees none of it.  Archives that lie in
+    files are better read by range (:mod:`mailweave.sources.archive_ranges`).
     """
     return files.select("path", "content").mapInPandas(_scan, SCAN_SCHEMA)
 
@@ -175,15 +179,15 @@ def parse_messages(messages: DataFrame, keep: tuple[str, ...] = ("id",), raw: st
 
     def run(batches):
         for batch in batches:
-            frame = _frame([_parse(bytes(r)) for r in batch[raw]], _RAW_NAMES)
-            yield pd.concat([batch[list(keep)].reset_index(drop=True), frame], axis=1)
+            decoded = frame([parse(bytes(r)) for r in batch[raw]], RAW_NAMES)
+            yield pd.concat([batch[list(keep)].reset_index(drop=True), decoded], axis=1)
 
     return spread(messages.select(*keep, raw), keep[0]).mapInPandas(run, f"{schema}, {_RAW_FIELDS}")
 
 
 def accepted(decoded: DataFrame) -> DataFrame:
     """Clean the decoded values; rows with an error are left to :func:`rejected`."""
-    keep = [c for c in decoded.columns if c not in _RAW_NAMES]
+    keep = [c for c in decoded.columns if c not in RAW_NAMES]
     plain = clean_body(F.col("text_body"))
     markup = F.when(F.col("html_body") != "", F.col("html_body"))
     return decoded.filter(F.col("error").isNull()).select(
@@ -197,7 +201,7 @@ def accepted(decoded: DataFrame) -> DataFrame:
 
 
 def rejected(decoded: DataFrame) -> DataFrame:
-    keep = [c for c in decoded.columns if c not in _RAW_NAMES]
+    keep = [c for c in decoded.columns if c not in RAW_NAMES]
     return decoded.filter(F.col("error").isNotNull()).select(*keep, "error")
 
 

@@ -3,7 +3,8 @@
 Each micro-batch is decoded once, into a folder that goes when the batch is stored.  It writes below ``batch=<epoch>`` folders and
 replaces them when it is run again, so a restart after a lost executor or driver leaves no doubles.  Nothing is held in streaming
 state: mails lie in folders by a hash of their thread, and the statistics and summary of a touched thread are recomputed from the
-folders of the touched threads alone.  Counts for searching are kept as parts that add up.
+folders of the touched threads alone.  Threads and both indexes are kept as parts that add up and are merged as they grow in number
+(:mod:`mailweave.streaming.parts`).
 """
 
 from __future__ import annotations
@@ -16,15 +17,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from mailweave.functions.text import extractive_summary
 from mailweave.operators import keyword as K
+from mailweave.operators.address_search import grams_of
 from mailweave.operators.ledger import archive_ledger
-from mailweave.operators.maintenance import latest_by_id
 from mailweave.operators.threads import refreshed, with_subject_thread
 from mailweave.operators.vectors import vector_index
 from mailweave.schema import length_problem
-from mailweave.session import discard
+from mailweave.session import discard, materialise
+from mailweave.sources.archive_ranges import scan_archive_files
 from mailweave.sources.archives import (
-    MAX_ARCHIVE_BYTES, accepted, admitted, archive_id, emails_from_scan, parse_messages, refused, rejected, scan_archives,
+    MAX_ARCHIVE_BYTES, accepted, admitted, archive_id, emails_from_scan, parse_messages, refused, rejected,
 )
+from mailweave.streaming.parts import FAN, TABLES, Parts
 
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 THREAD_BUCKETS = 64
@@ -45,7 +48,7 @@ class Archives:
         self.max_bytes = max_bytes
 
     def decode(self, batch: DataFrame) -> DataFrame:
-        return scan_archives(batch.filter(admitted(self.max_bytes)))
+        return scan_archive_files(batch.filter(admitted(self.max_bytes)).select("path", "length"))
 
     def mails(self, decoded: DataFrame) -> DataFrame:
         return emails_from_scan(decoded)
@@ -86,7 +89,16 @@ def touched_mails(spark: SparkSession, root: str, epoch: int, buckets: list[int]
     return read_table(spark, root, "emails").filter((F.col("batch") <= epoch) & F.col("bucket").isin(buckets))
 
 
-def process_batch(root: str, source, index: bool = True):
+def index_tables(fresh: DataFrame) -> dict[str, DataFrame]:
+    """The index tables of one batch of mails; its postings are analysed once and written first."""
+    rows = materialise(K.posting_rows(fresh), "postings").withColumn("term_bucket", K.term_bucket(F.col("term")))
+    order = ("term_bucket", "field", "term", "id")
+    vocab = materialise(K.vocabulary(rows).withColumn("length", F.length("term")), "vocab")
+    return {"postings": rows.repartitionByRange(*order).sortWithinPartitions(*order), "vocab": vocab, "field_stats": K.stat_parts(rows),
+            "grams": grams_of(vocab.filter(F.col("field") == K.EXACT_FIELD)), "vectors": vector_index(fresh)}
+
+
+def process_batch(root: str, source, index: bool = True, fan: int = FAN):
     """The ``foreachBatch`` function that stores one micro-batch below ``root``."""
     def folder(name: str, epoch: int) -> str:
         return os.path.join(root, name, f"batch={epoch}")
@@ -104,16 +116,13 @@ def process_batch(root: str, source, index: bool = True):
             mails.filter(F.col("_problem").isNotNull()).select(F.col("source_file").alias("source"), F.col("_problem").alias("error"))), "rejects")
         fresh = store(mails.filter(F.col("_problem").isNull()).drop("_problem").withColumn("bucket", thread_bucket(F.col("thread_id"))),
                       "emails", "bucket")
-        # At most THREAD_BUCKETS numbers.
-        buckets = [r.bucket for r in fresh.select("bucket").distinct().collect()]
-        store(refreshed(touched_mails(spark, root, epoch, buckets), fresh.select("thread_id")), "threads")
-        if index:
-            rows = store(K.posting_rows(fresh).withColumn("term_bucket", K.term_bucket(F.col("term")))
-                         .repartitionByRange("term_bucket", "field", "term", "id").sortWithinPartitions("term_bucket", "field", "term", "id"),
-                         "postings", "term_bucket")
-            store(K.vocabulary(rows).withColumn("length", F.length("term")), "vocab")
-            store(K.stat_parts(rows), "field_stats")
-            store(vector_index(fresh), "vectors")
+        parts = Parts(spark, root)
+        if not parts.has(epoch):
+            # At most THREAD_BUCKETS numbers.
+            buckets = [r.bucket for r in fresh.select("bucket").distinct().collect()]
+            threads = refreshed(touched_mails(spark, root, epoch, buckets), fresh.select("thread_id")).withColumn("batch", F.lit(epoch).cast("long"))
+            parts.add(epoch, {"threads": threads} | (index_tables(fresh) if index else {}))
+            parts.merge(fan)
         store(source.ledger(batch, decoded), "archives")
         discard(spark, folder("decoded", epoch))
 
@@ -121,18 +130,17 @@ def process_batch(root: str, source, index: bool = True):
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(root, name))
+    return Parts(spark, root).read(name) if name in TABLES else spark.read.parquet(os.path.join(root, name))
 
 
 def stored_index(spark: SparkSession, root: str) -> K.Index:
-    """The keyword index of all batches; the parts of vocabulary and lengths add up to what one build would give."""
-    vocab = read_table(spark, root, "vocab").groupBy("field", "term", "length").agg(F.sum("df").alias("df"))
-    return K.Index(read_table(spark, root, "postings").drop("batch", "head"), vocab, K.stats_from(read_table(spark, root, "field_stats")))
+    """The keyword index of all batches."""
+    return Parts(spark, root).index()
 
 
 def current_threads(spark: SparkSession, root: str) -> DataFrame:
     """The newest statistics of every thread."""
-    return latest_by_id(read_table(spark, root, "threads"), "thread_id", "batch").drop("batch")
+    return Parts(spark, root).threads()
 
 
 def start(source: DataFrame, root: str, kind=None, index: bool = True, available_now: bool = True) -> StreamingQuery:
