@@ -3,8 +3,9 @@
 A block's vectors stand in bands of similar length.  In a band they get one more component that makes all of them as long as the
 band's longest, so that the largest inner product with a query of that length is the least distance; a few long vectors thus move nobody else's windows.  Each of ``projections`` random directions keeps its values in a sorted array.  A query looks at a window around its own value in each
 array; windows widen step by step (virtual rehashing: the same arrays serve every radius), and what lies in the windows of at
-least ``threshold`` of the arrays is a candidate.  Widening ends when ``share`` of a band's vectors are candidates, and no fewer than ``LEAST``; these are
+least ``threshold`` of the arrays is a candidate.  Widening ends when a band of n vectors has given k + ``BUDGET`` * sqrt(n) candidates; these are
 compared exactly, in double precision.  Bands are asked from the longest on, until none of the next one's vectors can reach the k-th score.
+A vector keeps its rank in every array, so that collisions are counted by comparing ranks with the ends of windows.
 
 The index is dealt into blocks of bounded size by a hash of the row, each with arrays of its own, and queries into pieces; a task
 holds one block and streams one piece.  Every row is indexed.  Nearest rows of the blocks are merged in two steps.
@@ -26,14 +27,15 @@ from mailweave.llm.common import read, small_batches, thrifty, write_scratch
 from mailweave.llm.vectors import matrix, usable
 from mailweave.operators.skew import first_n_per_key
 
-BLOCK_ROWS = 8192
-PIECE_QUERIES = 4096
+BLOCK_ROWS = 65_536
+PIECE_QUERIES = 512
 PROJECTIONS = 128
 THRESHOLD = 0.75  # of the projections
-SHARE = 0.15  # of a band's vectors, which are candidates
-LEAST = 600  # candidates of a band at least, if it has as many
+BUDGET = 8  # candidates of a band, times the square root of its vectors
 BAND = 0.9  # the shortest vector of a band against its longest, at least
-WIDEN = 1.15
+LEAST_BAND = 256  # vectors of a band at least, whatever their lengths
+WIDEN = 1.12
+TRIALS = 9  # vectors of a band that its first width is set from
 SEED = 11
 
 
@@ -47,62 +49,68 @@ def directions(dims: int, count: int) -> np.ndarray:
 class Band:
     """Sorted projections of vectors of similar length."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, axes: np.ndarray, threshold: float, share: float):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, axes: np.ndarray, threshold: float, budget: float):
         self.ids, self.vectors, self.longest = ids, vectors, longest
-        self.start, self.enough = 0.0, max(LEAST, int(np.ceil(share * len(ids))))
-        if len(ids) <= self.enough:
-            return  # all are candidates
+        self.budget = int(np.ceil(budget * np.sqrt(len(ids))))
         rest = np.sqrt(np.maximum(longest ** 2 - (vectors ** 2).sum(axis=1), 0))
         projections = len(axes)
         values = np.column_stack([vectors, rest]) @ axes.T
-        order = np.argsort(values, axis=0, kind="stable")
-        self.order = order.T.astype(np.int32).ravel()
         # The sorted arrays stand one after another, each moved beyond the one before: one search serves all of them.
         self.shift = 8 * longest * np.arange(projections)
-        self.sorted = (np.take_along_axis(values, order, axis=0).T + self.shift[:, None]).ravel()
+        self.sorted = np.empty(values.size)
+        self.rank = np.empty((projections, len(ids)), dtype=np.uint16 if len(ids) < 1 << 16 else np.uint32)
+        for p in range(projections):
+            order = np.argsort(values[:, p], kind="stable")
+            self.sorted[p * len(ids):(p + 1) * len(ids)] = values[order, p] + self.shift[p]
+            self.rank[p, order] = np.arange(len(ids))
         self.ends = len(ids) * np.arange(projections + 1)
-        self.step = max(0.2 * float(values.std(axis=0).mean()), 1e-9 * longest)
-        self.start = self.step
-        self.threshold = int(np.ceil(threshold * projections))
-
-    def candidates(self, at: np.ndarray, least: int) -> np.ndarray:
-        """Positions of the vectors that collide often enough with a projected query, for windows just wide enough."""
-        n, wanted = len(self.ids), max(least, self.enough)
-        if n <= wanted:
-            return np.arange(n)
-        hits, half, at = np.zeros(n, dtype=np.int64), self.start, at + self.shift
-        low = high = np.clip(np.searchsorted(self.sorted, at), self.ends[:-1], self.ends[1:])
+        self.start, self.most = max(0.2 * float(values.std(axis=0).mean()), 1e-9 * longest), projections - int(np.ceil(threshold * projections))
+        # Some vectors of the band ask first: a width that does for half of them is where all queries begin.
+        trials = np.linspace(0, len(ids) - 1, TRIALS).astype(int)
+        self.start = float(np.median([self.search(values[t] + self.shift, 0)[1] for t in trials])) if len(ids) > self.budget else self.start
+
+    def misses(self, at: np.ndarray, half: float) -> np.ndarray:
+        """In how many arrays each vector lies outside the window of half-width ``half`` around a projected query."""
+        low = np.clip(np.searchsorted(self.sorted, at - half), self.ends[:-1], self.ends[1:]) - self.ends[:-1]
+        high = np.clip(np.searchsorted(self.sorted, at + half, side="right"), self.ends[:-1], self.ends[1:]) - self.ends[:-1]
+        kind, n = self.rank.dtype.type, len(self.ids)
+        count = np.zeros(n, dtype=np.uint8 if len(self.rank) < 256 else np.uint32)
+        moved, out = np.empty(n, dtype=kind), np.empty(n, dtype=bool)
+        for rank, a, b in zip(self.rank, low.tolist(), high.tolist(), strict=True):
+            # Ranks below the window wrap round to large numbers.
+            np.subtract(rank, kind(min(a, n - 1)), out=moved)
+            np.greater_equal(moved, kind(b - a), out=out)
+            np.add(count, out.view(np.uint8), out=count)
+        return count
+
+    def search(self, at: np.ndarray, k: int) -> tuple[np.ndarray, float]:
+        """Positions of the vectors that collide often enough with a query at ``at`` in the moved arrays, and the half-width that did."""
+        half, wanted = self.start, k + self.budget
         while True:
-            new_low = np.maximum(np.searchsorted(self.sorted, at - half), self.ends[:-1])
-            new_high = np.minimum(np.searchsorted(self.sorted, at + half, side="right"), self.ends[1:])
-            if (new_high - new_low).sum() - (high - low).sum() <= len(self.order) - (new_high - new_low).sum():
-                rings = [self.order[a:b] for a, b in zip(new_low.tolist(), low.tolist(), strict=True)]
-                rings += [self.order[a:b] for a, b in zip(high.tolist(), new_high.tolist(), strict=True)]
-                hits += np.bincount(np.concatenate(rings), minlength=n)
-            else:
-                # Fewer lie outside the windows; from one window to the next array's they stand together.
-                outside = [self.order[a:b] for a, b in zip([0, *new_high.tolist()], [*new_low.tolist(), len(self.order)], strict=True)]
-                hits = len(self.shift) - np.bincount(np.concatenate(outside), minlength=n)
-            found = np.flatnonzero(hits >= self.threshold)
+            found = np.flatnonzero(self.misses(at, half) <= self.most)
             if len(found) >= wanted:
-                # The next query begins two steps below the width this one needed.
-                self.start = max(self.step, half / WIDEN ** 2)
-                return found
-            low, high, half = new_low, new_high, half * WIDEN
+                return found, half
+            half *= WIDEN
+
+    def candidates(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Positions to compare with a projected query: those of windows just wide enough, or all where these are no more."""
+        n = len(self.ids)
+        return np.arange(n) if n <= k + self.budget else self.search(at + self.shift, k)[0]
 
 
 class CollisionIndex:
     """Bands of one block, the longest first."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int, threshold: float, share: float):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int = PROJECTIONS, threshold: float = THRESHOLD, budget: float = BUDGET):
         self.axes, self.bands = directions(vectors.shape[1] + 1, projections), []
         length = np.sqrt((vectors ** 2).sum(axis=1))
         order = np.argsort(-length, kind="stable")
         falling, a = -length[order], 0
         while a < len(order):
             longest = -falling[a]
-            b = max(a + 1, int(np.searchsorted(falling, -BAND * longest, side="right")))
-            self.bands.append(Band(ids[order[a:b]], vectors[order[a:b]], float(longest), self.axes, threshold, share))
+            b = max(a + LEAST_BAND, int(np.searchsorted(falling, -BAND * longest, side="right")))
+            b = len(order) if len(order) - b < LEAST_BAND else b
+            self.bands.append(Band(ids[order[a:b]], vectors[order[a:b]], float(longest), self.axes, threshold, budget))
             a = b
 
     def nearest(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +129,7 @@ class CollisionIndex:
 
 
 def search(rows: DataFrame, is_query: Column, k: int, projections: int = PROJECTIONS, threshold: float = THRESHOLD,
-           share: float = SHARE) -> DataFrame:
+           budget: float = BUDGET) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest of every row of ``rows`` (vec_id, embedding) that ``is_query`` holds for."""
     known = write_scratch(usable(rows).withColumn("dims", F.size("embedding")), "vectors")
     asked = known.filter(is_query).groupBy("vec_id", "dims").agg(F.min("embedding").alias("embedding"))
@@ -157,7 +165,7 @@ def search(rows: DataFrame, is_query: Column, k: int, projections: int = PROJECT
                     continue
                 if made is None and held:
                     made = CollisionIndex(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]),
-                                          projections, threshold, share)
+                                          projections, threshold, budget)
                     held = []
                 for query_id, query in zip(ids.tolist(), vectors, strict=True):
                     if made is not None:
