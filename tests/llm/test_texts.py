@@ -86,24 +86,87 @@ def test_forward_algorithm_sums_all_segmentations():
     assert np.allclose(np.exp(short[0]), (1 - share) * plain + share * plain.mean())
 
 
+def _random_network(vocabulary, seed=5):
+    net = pseudo_likelihood.WindowNetwork(vocabulary.contexts, vocabulary.digits)
+    return pseudo_likelihood.WindowNetwork(vocabulary.contexts, vocabulary.digits, np.random.default_rng(seed).standard_normal(net.size) * 0.2)
+
+
+def _plain_log_probability(net, vocabulary, counts, around, number):
+    """Digit by digit, from the counts of all words whose numbers begin alike."""
+    ranked, base = np.sort(counts)[::-1] + 1.0, pseudo_likelihood.BASE
+    hidden = np.maximum(sum(net.near[r].astype(float) for r in around) + net.bias, 0)
+    shift, total = hidden @ net.out.astype(float), 0.0
+    for d in range(vocabulary.digits):
+        below = base ** (vocabulary.digits - 1 - d)
+        prefix, digit = number // below // base, number // below % base
+        logits = np.full(base, -np.inf)
+        for c in range(base):
+            share = ranked[(prefix * base + c) * below:(prefix * base + c + 1) * below].sum()
+            logits[c] = np.log(share) + shift[d * base + c] if share else -np.inf
+        total += logits[digit] - np.log(np.exp(logits).sum())
+    return total
+
+
 def test_pseudo_likelihood_against_plain_sums(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c a b", "b", None, "", "c c c  d\nA b"])], "doc_id long, text string")
-    vocabulary = pseudo_likelihood.Vocabulary(pseudo_likelihood.bucket_counts(docs))
-    net = pseudo_likelihood.WindowNetwork()
+    counts = pseudo_likelihood.bucket_counts(docs)
+    vocabulary = pseudo_likelihood.Vocabulary(counts)
+    net = _random_network(vocabulary)
     got = {r.doc_id: r for r in pseudo_likelihood.pseudo_likelihood(docs, vocabulary, net).collect()}
-    near, bias, down, shift = net.parts
     for r in docs.collect():
-        found = pseudo_likelihood.buckets(pa.array([r.text], pa.string()))[0].tolist()
-        classes, total = [int(vocabulary.of[b]) for b in found], 0.0
-        for i, b in enumerate(found):
-            h = bias.astype(float).copy()
+        found = pseudo_likelihood.buckets(pa.array([r.text], pa.string()), vocabulary.bits)[0]
+        numbers, total = vocabulary.number[found].tolist(), 0.0
+        for i, n in enumerate(numbers):
+            around = []
             for p, k in enumerate(pseudo_likelihood.PLACES):
-                h += near[p][classes[i + k] if 0 <= i + k < len(classes) else pseudo_likelihood.CLASSES]
-            out = np.maximum(h, 0) @ down + shift
-            total += out[classes[i]] - np.log(np.exp(out).sum()) + vocabulary.inside[b]
+                inside = 0 <= i + k < len(numbers)
+                around.append(p * (vocabulary.contexts + 1) + (int(vocabulary.context(np.array(numbers[i + k]))) if inside else vocabulary.contexts))
+            total += _plain_log_probability(net, vocabulary, counts, around, n)
         assert got[r.doc_id].n_tokens == len(found) and abs(got[r.doc_id].log_likelihood - total) < 1e-3
-        assert (got[r.doc_id].mean_log_likelihood is None) == (not found)
-    assert np.allclose([np.exp(vocabulary.inside[vocabulary.of == c]).sum() for c in range(pseudo_likelihood.CLASSES)], 1)
+        assert (got[r.doc_id].mean_log_likelihood is None) == (not len(found))
+
+
+def test_an_untrained_network_gives_corpus_shares():
+    counts = np.random.default_rng(3).integers(0, 50, 1 << 13)
+    vocabulary = pseudo_likelihood.Vocabulary(counts)
+    net = pseudo_likelihood.WindowNetwork(vocabulary.contexts, vocabulary.digits)
+    number = np.arange(1 << 13)
+    each = net.log_probability(np.zeros((len(pseudo_likelihood.PLACES), 1 << 13), dtype=np.int64), number, vocabulary)
+    assert np.allclose(np.exp(each), (np.sort(counts)[::-1] + 1) / (counts.sum() + (1 << 13)), rtol=1e-4) and abs(np.exp(each).sum() - 1) < 1e-4
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(4)
+    vocabulary = pseudo_likelihood.Vocabulary(rng.integers(0, 30, 1 << 12))
+    net, n = _random_network(vocabulary), 40
+    net.bias[:] = np.where(np.arange(pseudo_likelihood.HIDDEN) % 3, 3, -3)
+    around = rng.integers(0, vocabulary.contexts + 1, (len(pseudo_likelihood.PLACES), n)) % 7 + (np.arange(len(pseudo_likelihood.PLACES)) * (vocabulary.contexts + 1))[:, None]
+    number = rng.integers(0, 1 << 12, n)
+    rows, near, bias, out = net.gradients(around, number, vocabulary)
+    whole = np.zeros_like(net.near)
+    whole[rows] = near
+    grad = np.concatenate([whole.ravel(), bias.ravel(), out.ravel()])
+    # Every bias and a choice of the touched embeddings and output weights.
+    touched = (rows[:, None] * pseudo_likelihood.HIDDEN + np.arange(pseudo_likelihood.HIDDEN)).ravel()
+    picked = np.concatenate([rng.choice(touched, 60), whole.size + np.arange(bias.size), whole.size + bias.size + rng.choice(out.size, 60)])
+    # The rectifier has kinks: biases keep every unit away from them.
+    loss = lambda v: -pseudo_likelihood.WindowNetwork(vocabulary.contexts, vocabulary.digits, v).log_probability(around, number, vocabulary).mean()
+    for i in picked.tolist():
+        step = np.zeros(net.size)
+        step[i] = 3e-3
+        difference = (loss(net.vector + step) - loss(net.vector - step)) / 6e-3
+        assert abs(difference - grad[i]) < 2e-3 + 0.05 * abs(grad[i]), i
+
+
+def test_the_vocabulary_grows_with_the_corpus(spark):
+    sizes = []
+    for n in (2_000, 60_000):
+        docs = spark.range(n).select(F.concat_ws(" ", F.lit("the"), F.concat(F.lit("w"), "id"), F.concat(F.lit("v"), F.col("id") % 50)).alias("text"))
+        counts = pseudo_likelihood.bucket_counts(docs)
+        vocabulary = pseudo_likelihood.Vocabulary(counts)
+        assert counts.sum() == 3 * n and len(counts) >= n
+        sizes.append((vocabulary.bits, vocabulary.contexts))
+    assert sizes[1][0] > sizes[0][0] and sizes[1][1] > sizes[0][1]
 
 
 def test_training_makes_texts_more_likely(spark):
@@ -111,14 +174,17 @@ def test_training_makes_texts_more_likely(spark):
     counts = pseudo_likelihood.bucket_counts(docs)
     plain = docs.select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0]
     assert counts.sum() == plain
-    vocabulary = pseudo_likelihood.Vocabulary(counts)
-    total = lambda net: pseudo_likelihood.pseudo_likelihood(docs, vocabulary, net).agg(F.sum("log_likelihood")).first()[0]
-    assert total(pseudo_likelihood.train(docs, vocabulary)) > total(pseudo_likelihood.WindowNetwork()) * 0.95
+    # A word that follows from its neighbours, in texts that training has not seen.
+    rows = [(i, " ".join(f"left{i % 5} middle{i % 5} right{i % 5} noise{(7 * i + j) % 90}" for j in range(20))) for i in range(400)]
+    seen, other = (spark.createDataFrame(r, "doc_id long, text string") for r in (rows[:300], rows[300:]))
+    vocabulary = pseudo_likelihood.Vocabulary(pseudo_likelihood.bucket_counts(seen))
+    total = lambda net: pseudo_likelihood.pseudo_likelihood(other, vocabulary, net).agg(F.sum("log_likelihood")).first()[0]
+    assert total(pseudo_likelihood.train(seen.coalesce(2), vocabulary)) > total(pseudo_likelihood.WindowNetwork(vocabulary.contexts, vocabulary.digits)) * 0.75
 
 
 def test_likelihood_of_odd_rows(spark, odd_docs, no_docs):
     vocabulary = pseudo_likelihood.Vocabulary(pseudo_likelihood.bucket_counts(odd_docs))
-    net = pseudo_likelihood.train(odd_docs, vocabulary, rounds=1)
+    net = pseudo_likelihood.train(odd_docs, vocabulary)
     rows = pseudo_likelihood.pseudo_likelihood(odd_docs, vocabulary, net).collect()
     assert len(rows) == odd_docs.count() and {r.doc_id for r in rows if r.n_tokens == 0} == {1, 2, 3}
     assert max(r.n_tokens for r in rows) == 40_000 and all(r.log_likelihood <= 0 for r in rows)
