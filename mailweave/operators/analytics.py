@@ -103,15 +103,21 @@ def overview(emails: DataFrame, threads: DataFrame, archives: DataFrame) -> Data
 
 def dashboard(emails: DataFrame, threads: DataFrame, archives: DataFrame) -> DataFrame:
     """One row: the overview and the four panels as nested values.  Every panel is a short top-k report."""
+    return assembled(overview(emails, threads, archives), top_senders(emails), daily_volume(emails), top_subjects(emails),
+                     thread_size_distribution(threads))
+
+
+def assembled(figures: DataFrame, senders: DataFrame, days: DataFrame, subjects: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The dashboard from its parts."""
     def panel(rows: DataFrame, name: str, *fields) -> DataFrame:
         return rows.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
 
     return one_row(
-        overview(emails, threads, archives).select(F.struct(*OVERVIEW).alias("overview")),
-        panel(top_senders(emails), "top_senders", (-F.col("count")).alias("order"), "sender", "count"),
-        panel(daily_volume(emails), "daily_volume", "day", "count"),
-        panel(top_subjects(emails), "top_subjects", (-F.col("count")).alias("order"), "subject", "count"),
-        panel(thread_size_distribution(threads), "thread_size_distribution", "bucket", "count"),
+        figures.select(F.struct(*OVERVIEW).alias("overview")),
+        panel(senders, "top_senders", (-F.col("count")).alias("order"), "sender", "count"),
+        panel(days, "daily_volume", "day", "count"),
+        panel(subjects, "top_subjects", (-F.col("count")).alias("order"), "subject", "count"),
+        panel(sizes, "thread_size_distribution", "bucket", "count"),
     ).select(
         "overview",
         F.transform("top_senders", lambda s: F.struct(s["sender"].alias("sender"), s["count"].alias("count")))
@@ -124,9 +130,8 @@ def dashboard(emails: DataFrame, threads: DataFrame, archives: DataFrame) -> Dat
     )
 
 
-def dashboard_rows(emails: DataFrame, threads: DataFrame, archives: DataFrame) -> DataFrame:
-    """The same report in long form: ``(panel, position, label, value)`` with text values."""
-    whole = dashboard(emails, threads, archives)
+def dashboard_rows(whole: DataFrame) -> DataFrame:
+    """A dashboard in long form: ``(panel, position, label, value)`` with text values."""
     text = "cast({} as string)".format
     figures = F.array(*[
         F.struct(F.lit(n).alias("label"), (

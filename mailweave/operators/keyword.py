@@ -23,6 +23,8 @@ K1, B = 1.2, 0.75
 BOOSTS = {"subject": 4.0, "summary": 2.0, "body_text": 1.0, "sender_text": 1.0, "sender": 1.0}
 ANALYSED = {"subject": "subject", "body_text": "body_text", "summary": "summary", "sender_text": "sender"}
 EXACT_FIELD = "sender"
+EXACT_COLUMNS = ("id", "archive_id", "thread_id", "message_id", "sender")
+SUBJECT_CHARS = 1024
 MAX_EXPANSIONS = 50
 MAX_QUERY_CHARS, MAX_PAGE = 500, 100
 TERM_BUCKETS = 256
@@ -77,6 +79,30 @@ def postings(emails: DataFrame, stem: bool = True) -> DataFrame:
     return posting_rows(emails, stem).drop("head")
 
 
+def exact_terms_of(emails: DataFrame) -> DataFrame:
+    """``(field, term, id)``: values that are found as a whole and are not analysed; a subject only up to ``SUBJECT_CHARS`` letters."""
+    one = lambda name, value: F.struct(F.lit(name).alias("field"), F.array(value.cast("string")).alias("terms"))
+    many = lambda name: F.struct(F.lit(name).alias("field"), F.array_distinct(F.coalesce(F.col(name), F.array().cast("array<string>"))).alias("terms"))
+    subject = F.when(F.length("subject") <= SUBJECT_CHARS, F.col("subject"))
+    fields = F.array(*[one(c, F.col(c)) for c in EXACT_COLUMNS if c in emails.columns], one("subject.exact", subject), many("receivers"), many("cc"))
+    rows = emails.select("id", F.inline(fields)).select("field", F.explode("terms").alias("term"), "id")
+    return rows.filter(F.col("term").isNotNull())
+
+
+def write_exact_terms(emails: DataFrame, folder: str) -> None:
+    """The exact terms in folders by term like the postings."""
+    rows = exact_terms_of(emails).withColumn("term_bucket", term_bucket(F.col("term")))
+    order = ("term_bucket", "field", "term", "id")
+    (rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("term_bucket")
+     .parquet(os.path.join(folder, "exact")))
+
+
+def with_exact_term(exact: DataFrame, field: str, value: str) -> DataFrame:
+    """Ids of mails that have ``value`` in an exact field; reads one folder."""
+    bucket = exact.sparkSession.range(1).select(term_bucket(F.lit(value)).alias("b")).first().b
+    return in_folders(exact, {bucket}).filter((F.col("field") == field) & (F.col("term") == value)).select("id")
+
+
 def vocabulary(posting_rows: DataFrame) -> DataFrame:
     """Document frequency per field and term, and what bounds a posting's score: the largest count and the shortest text."""
     return posting_rows.groupBy("field", "term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailweave.operators import keyword as K
 from mailweave.operators.vectors import vector_index
 
+AUDIT_BUCKETS = 4096
+
 
 def latest_by_id(rows: DataFrame, key: str, version: str) -> DataFrame:
     """One row per id, that of the highest version, as a partial aggregate.
@@ -48,17 +50,44 @@ def clear_thread(emails: DataFrame, deleted_threads: DataFrame) -> DataFrame:
     )
 
 
-def index_audit(emails: DataFrame, index_ids: DataFrame, key: str = "id") -> DataFrame:
-    """Counts of mails found in both places, missing in the index, or left over in it."""
+def fingerprints(ids: DataFrame, key: str = "id", buckets: int = AUDIT_BUCKETS) -> DataFrame:
+    """``(bucket, n, mark)``: how many ids a bucket holds, and a sum of their hashes that does not depend on order."""
+    h = F.xxhash64(F.lit(1), key)
+    return ids.groupBy(audit_bucket(key, buckets).alias("bucket")).agg(
+        F.count("*").alias("n"), F.sum(h.cast("decimal(20,0)")).alias("mark"))
+
+
+def audit_bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def unequal_buckets(emails: DataFrame, index_ids: DataFrame, key: str = "id", buckets: int = AUDIT_BUCKETS) -> tuple[list[int], int]:
+    """The buckets whose ids differ, and how many ids are in the others.  Moves a row a bucket and task, and no id."""
+    left, right = fingerprints(emails, key, buckets), fingerprints(index_ids, key, buckets)
+    both = left.join(right.select("bucket", F.col("n").alias("m"), F.col("mark").alias("other")), "bucket", "full_outer")
+    rows = both.select("bucket", "n", ((F.col("n") == F.col("m")) & (F.col("mark") == F.col("other"))).alias("same")).collect()
+    return sorted(r.bucket for r in rows if not r.same), sum(r.n for r in rows if r.same)
+
+
+def index_audit(emails: DataFrame, index_ids: DataFrame, key: str = "id", buckets: int = AUDIT_BUCKETS) -> DataFrame:
+    """Counts of mails found in both places, missing in the index, or left over in it; ``emails`` has an id once.
+
+    Buckets of ids with equal fingerprints are in both places; only the ids of the others are compared one by one.
+    """
+    spark = emails.sparkSession
+    unequal, agreed = unequal_buckets(emails, index_ids, key, buckets)
+    here = audit_bucket(key, buckets).isin(unequal)
     # Stack and fold instead of a full outer join: one shuffle of bare ids.
-    marks = emails.select(key, F.lit(1).alias("table"), F.lit(0).alias("index")).unionByName(
-        index_ids.select(key, F.lit(0).alias("table"), F.lit(1).alias("index")))
+    marks = emails.filter(here).select(key, F.lit(1).alias("table"), F.lit(0).alias("index")).unionByName(
+        index_ids.filter(here).select(key, F.lit(0).alias("table"), F.lit(1).alias("index")))
     seen = marks.groupBy(key).agg(F.max("table").alias("table"), F.max("index").alias("index"))
     state = (
         F.when((F.col("table") == 1) & (F.col("index") == 1), "in_both")
         .when(F.col("table") == 1, "missing_in_index").otherwise("orphan")
     )
-    return seen.groupBy(state.alias("state")).agg(F.count("*").alias("count"))
+    counted = seen.groupBy(state.alias("state")).agg(F.count("*").alias("count"))
+    rest = spark.range(1).select(F.lit("in_both").alias("state"), F.lit(agreed).cast("bigint").alias("count"))
+    return counted.unionByName(rest).groupBy("state").agg(F.sum("count").alias("count")).filter("count > 0")
 
 
 # ---- Stored indexes ----------------------------------------------------------------------------------------

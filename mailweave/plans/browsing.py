@@ -29,7 +29,7 @@ def thread_id_of(archive: str, key: str):
 
 @query
 def lookup_by_id(spark, sf):
-    return B.by_id(emails(spark, sf), EMAIL_ID).select("id", "sender", "subject", "sent_at", "summary")
+    return B.by_id(tables.stored_mails(spark, sf), EMAIL_ID).select("id", "sender", "subject", "sent_at", "summary")
 
 
 @query
@@ -39,7 +39,7 @@ def lookup_by_ids(spark, sf):
 
 @query
 def lookup_by_message_id(spark, sf):
-    return B.first_by_value(emails(spark, sf), "message_id", MESSAGE_ID).select("id", "message_id", "subject")
+    return B.first_by_value(tables.stored_mails(spark, sf), "message_id", MESSAGE_ID).select("id", "message_id", "subject")
 
 
 @query
@@ -84,7 +84,7 @@ def vector_metadata(spark, sf):
 
 @query
 def kw_date_range(spark, sf):
-    rows = emails(spark, sf)
+    rows = tables.stored_mails(spark, sf)
     return rows.filter(B.in_date_range(*map(_ntz, (DATE_FROM, DATE_TO)))).select("id", "sent_at")
 
 

@@ -14,7 +14,7 @@ from mailweave.operators.browse import in_date_range
 from mailweave.plans.browsing import DATE_FROM, DATE_TO, _ntz
 from mailweave.plans.registry import query
 from mailweave.session import files_stamp, scratch_path
-from mailweave.sources.testmail import emails
+from mailweave.sources.testmail import emails, threaded_emails
 
 QUERY = "Topic 7 thereader@example.com tion"
 MISSPELT = "topc 7 theer"
@@ -61,6 +61,14 @@ def kw_postings(spark, sf):
     return K.postings(emails(spark, sf))
 
 
+@query
+def kw_exact_terms(spark, sf):
+    """The values of all exact fields, as the index has them."""
+    folder = scratch_path(spark, "exact-terms")
+    K.write_exact_terms(threaded_emails(spark, sf), folder)
+    return spark.read.parquet(f"{folder}/exact").drop("term_bucket")
+
+
 @query
 def kw_vocab_df(spark, sf):
     return K.vocabulary(K.postings(emails(spark, sf))).select("field", "term", "df")

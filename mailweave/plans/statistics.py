@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mailweave.operators import analytics as A
+from mailweave.operators import dashboard_state as S
 from mailweave.plans import tables
 from mailweave.plans.registry import query
+from mailweave.session import scratch_path
 from mailweave.sources.testmail import emails, threaded_emails
+from mailweave.streaming.parts import Parts
 
 
 def thread_sizes(spark, sf):
@@ -70,7 +73,34 @@ def overview(spark, sf):
 
 @query
 def dashboard(spark, sf):
-    return A.dashboard_rows(emails(spark, sf), thread_sizes(spark, sf), tables.archives(spark, sf))
+    return A.dashboard_rows(A.dashboard(emails(spark, sf), thread_sizes(spark, sf), tables.archives(spark, sf)))
+
+
+def grown_state(spark, sf):
+    """The dashboard's state after the mails have come in three batches."""
+    rows, parts = threaded_emails(spark, sf), Parts(spark, scratch_path(spark, "state"))
+    for batch in range(3):
+        parts.add(batch, {"dashboard": S.state_of(rows.filter(F.col("id") % 3 == batch))})
+    parts.merge(fan=2)
+    return parts.dashboard()
+
+
+@query
+def overview_state(spark, sf):
+    """The overview read from the state of all batches."""
+    return S.overview(grown_state(spark, sf))
+
+
+@query
+def dashboard_state(spark, sf):
+    """The whole dashboard read from the state of all batches."""
+    return A.dashboard_rows(S.dashboard(grown_state(spark, sf)))
+
+
+@query
+def thread_figures_state(spark, sf):
+    """Sizes, participants and dates of all threads, read from the state of all batches."""
+    return S.thread_figures(grown_state(spark, sf))
 
 
 @query

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailweave.operators.threads import thread_stats
+from mailweave.session import files_stamp, scratch_path
+from mailweave.sources.tables import write_clustered
 from mailweave.sources.testmail import emails, threaded_emails
 
 NEEDED_FOR_THREADS = (
@@ -19,6 +21,19 @@ def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return thread_stats(rows).withColumnRenamed("thread_id", "id").withColumn("summary", F.lit(None).cast("string"))
 
 
+_stored: dict[tuple, DataFrame] = {}
+
+
+def stored_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mails as a clustered table, written on first use in this application and again when their files have changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, files_stamp(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/events.parquet"))
+    if key not in _stored:
+        path = scratch_path(spark, "mails")
+        write_clustered(emails(spark, sf_dir), path)
+        _stored[key] = spark.read.parquet(path)
+    return _stored[key]
+
+
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per archive; mails without a message id stand for those not processed yet."""
     rows = emails(spark, sf_dir).groupBy("archive_id").agg(

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mailweave.operators import threads as T
+from mailweave.operators.growing_threads import GrowingThreads
 from mailweave.plans import tables
 from mailweave.plans.registry import query
-from mailweave.session import materialise
+from mailweave.session import materialise, scratch_path
 from mailweave.sources.testmail import emails, threaded_emails
 
 
@@ -26,6 +27,15 @@ def threads_global(spark, sf):
     return T.threads_global(emails(spark, sf))
 
 
+@query
+def threads_grown(spark, sf):
+    """The same threads after the mails have come in three batches, the latest first."""
+    rows, grown = emails(spark, sf), GrowingThreads(spark, scratch_path(spark, "threads"), buckets=4)
+    for batch in range(3):
+        grown.add(batch, rows.filter(F.col("id") % 3 == 2 - batch))
+    return grown.threads()
+
+
 @query
 def thread_root(spark, sf):
     return T.thread_roots(threaded_emails(spark, sf), ("archive_id", "thread_key"))

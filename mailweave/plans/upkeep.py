@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mailweave.operators import maintenance as M
+from mailweave.operators.keyed_table import KeyedTable
 from mailweave.plans import tables
 from mailweave.plans.registry import query
 from mailweave.schema import contract_problems, overlong_values
-from mailweave.session import discard, scratch_path
+from mailweave.session import scratch_path
 from mailweave.sources.tables import append_emails, read_emails
 from mailweave.sources.testmail import emails, mail, threaded_emails
+from mailweave.streaming.ingest import index_tables
+from mailweave.streaming.parts import Parts
 
 DELETED_ARCHIVE = "src1"
 
@@ -40,7 +43,12 @@ def _versions(spark, sf):
 
 @query
 def upsert_by_id(spark, sf):
-    return M.upsert(*_versions(spark, sf))
+    """A stored table after a batch of changes, which touches its own buckets only."""
+    base, delta = _versions(spark, sf)
+    stored = KeyedTable(spark, scratch_path(spark, "keyed"))
+    stored.create(base)
+    stored.upsert(delta)
+    return stored.read()
 
 
 @query
@@ -53,16 +61,17 @@ def insert_if_absent(spark, sf):
 
 @query
 def delete_by_archive(spark, sf):
-    """Row counts in the stores after one archive is deleted from them."""
+    """Row counts in the stores after one archive is deleted from them: its ids and negative counts are written, nothing else."""
     rows = threaded_emails(spark, sf)
-    before, after = scratch_path(spark, "stores"), scratch_path(spark, "stores")
-    M.rebuild(rows, before)
-    gone = rows.filter(F.col("archive_id") == DELETED_ARCHIVE).select("id")
-    M.delete_stored(spark, before, after, gone)
-    discard(spark, before)
-    stored = lambda *path: spark.read.parquet("/".join((after, *path)))
-    left = {"emails": M.delete_rows(rows.select("id"), gone, "id"), "postings": stored("keyword", "postings"),
-            "vocabulary": stored("keyword", "vocab"), "vectors": stored("vectors")}
+    mails, parts = KeyedTable(spark, scratch_path(spark, "keyed")), Parts(spark, scratch_path(spark, "stores"))
+    slim = rows.select("id", "archive_id")
+    mails.create(slim)
+    parts.add(0, index_tables(rows))
+    gone = rows.filter(F.col("archive_id") == DELETED_ARCHIVE)
+    parts.delete(DELETED_ARCHIVE, gone)
+    mails.delete(gone.select("id"))
+    index = parts.index()
+    left = {"emails": mails.read(), "postings": index.postings, "vocabulary": index.vocab, "vectors": parts.vectors()}
     out = None
     for name, store in left.items():
         row = store.agg(F.count("*").alias("remaining")).select(F.lit(name).alias("store"), "remaining")

@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Times with least and largest values in the files, which date ranges are cut by.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     # Archive rows carry whole files; small batches keep a Python worker's memory bounded.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }

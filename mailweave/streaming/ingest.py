@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from mailweave.functions.text import extractive_summary
 from mailweave.operators import keyword as K
 from mailweave.operators.address_search import grams_of
+from mailweave.operators.dashboard_state import state_of
 from mailweave.operators.ledger import archive_ledger
 from mailweave.operators.threads import refreshed, with_subject_thread
 from mailweave.operators.vectors import vector_index
@@ -27,7 +28,7 @@ from mailweave.sources.archive_ranges import scan_archive_files
 from mailweave.sources.archives import (
     MAX_ARCHIVE_BYTES, accepted, admitted, archive_id, emails_from_scan, parse_messages, refused, rejected,
 )
-from mailweave.streaming.parts import FAN, TABLES, Parts
+from mailweave.streaming.parts import DATED, FAN, TABLES, Parts
 
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 THREAD_BUCKETS = 64
@@ -121,7 +122,7 @@ def process_batch(root: str, source, index: bool = True, fan: int = FAN):
             # At most THREAD_BUCKETS numbers.
             buckets = [r.bucket for r in fresh.select("bucket").distinct().collect()]
             threads = refreshed(touched_mails(spark, root, epoch, buckets), fresh.select("thread_id")).withColumn("batch", F.lit(epoch).cast("long"))
-            parts.add(epoch, {"threads": threads} | (index_tables(fresh) if index else {}))
+            parts.add(epoch, {"threads": threads, "dashboard": state_of(fresh)} | (index_tables(fresh) if index else {}))
             parts.merge(fan)
         store(source.ledger(batch, decoded), "archives")
         discard(spark, folder("decoded", epoch))
@@ -130,6 +131,8 @@ def process_batch(root: str, source, index: bool = True, fan: int = FAN):
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    if name in DATED:
+        return Parts(spark, root).alive(name).drop("since")
     return Parts(spark, root).read(name) if name in TABLES else spark.read.parquet(os.path.join(root, name))
 
 

@@ -188,6 +188,12 @@ SELECT token, term, count(*) AS count FROM body JOIN stems USING (token) GROUP B
 FROM (SELECT token, count(*) AS n FROM words WHERE field = 'body_text' GROUP BY token) GROUP BY 1""",
     "kw_field_rows": using("emails", field_rows=_FIELDS) + "SELECT id, field, text FROM field_rows",
     "kw_postings": COUNTED[:-1] + f", postings AS ({_POSTINGS}) SELECT field, term, id, tf, dl FROM postings",
+    "kw_exact_terms": using("threaded") + """SELECT 'id' AS field, id::VARCHAR AS term, id FROM threaded
+UNION ALL SELECT 'archive_id', archive_id, id FROM threaded WHERE archive_id IS NOT NULL
+UNION ALL SELECT 'thread_id', thread_id, id FROM threaded UNION ALL SELECT 'message_id', message_id, id FROM threaded WHERE message_id IS NOT NULL
+UNION ALL SELECT 'sender', sender, id FROM threaded WHERE sender IS NOT NULL
+UNION ALL SELECT 'subject.exact', subject, id FROM threaded WHERE length(subject) <= 1024
+UNION ALL SELECT DISTINCT 'receivers', unnest(receivers), id FROM threaded UNION ALL SELECT DISTINCT 'cc', unnest(cc), id FROM threaded""",
     "kw_vocab_df": COUNTED[:-1] + f", postings AS ({_POSTINGS}) {_VOCAB}",
     "kw_field_stats": using("emails", **_WORD_CTES, stats=_STATS) + "SELECT field, n, round(avgdl, 6) AS avgdl FROM stats",
     "kw_bm25_field": _search(_one(QUERY), False) + "SELECT id, field, round(score, 6) AS score FROM field_scores",

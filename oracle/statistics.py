@@ -47,3 +47,6 @@ UNION ALL SELECT 'thread_size_distribution', CASE bucket WHEN '1' THEN 0 WHEN '2
  WHEN total_emails > 0 THEN round(100.0 * processed_emails / total_emails)
  WHEN status = 'completed' THEN 100 ELSE 0 END AS BIGINT) AS progress FROM archives""",
 }
+SQL["overview_state"], SQL["dashboard_state"] = SQL["overview"], SQL["dashboard"]
+SQL["thread_figures_state"] = using("threads") + """SELECT id AS thread_id, email_count, participant_count, first_email_at, last_email_at
+FROM threads"""

@@ -60,3 +60,4 @@ FROM members GROUP BY thread_id HAVING count(*) > 1""", sums=summary("texts", "t
 SELECT f.id AS thread_id, f.subject_normalized, f.root_message_id, f.participant_count, f.email_count, f.first_email_at, f.last_email_at,
  s.summary FROM fresh f LEFT JOIN sums s ON s.thread_id = f.id""",
 }
+SQL["threads_grown"] = SQL["threads_global"]
