@@ -137,13 +137,3 @@ def split_by_id(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     flagged = F.coalesce(may_be_in(id_spot()) & F.col("doc_id").isNotNull(), F.lit(False))
     return rows.filter(~flagged), rows.filter(flagged)
-
-
-def without_ids(docs: DataFrame, gone: DataFrame, same: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Rows whose ``doc_id`` is not in ``gone``; of rows that repeat ``same`` the one that is least as JSON.  Null ids stay."""
-    again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    sure, maybe = split_by_id(docs, gone.select("doc_id").unionByName(again))
-    left = maybe.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(F.struct(*columns(docs)).alias("r"))
-    # Which row stays depends on the rows alone, not on where they lie.
-    one = left.groupBy(*(F.col(f"r.{c}").alias(f"same_{c}") for c in same)).agg(F.min_by("r", F.to_json("r")).alias("r"))
-    return sure.unionByName(one.select("r.*"))

@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailweave.llm.common import (discard, has_bit, id_bits, id_spot, map_batches, read, small_batches, split_by_id, thrifty,
-                                  without_ids, write_scratch)
+                                  write_scratch)
+from mailweave.llm.rows import named, told_apart, without
 from mailweave.llm.components import components
 from mailweave.llm.grouped import deal, groups
 from mailweave.llm.shingles import mix, shingles
@@ -252,8 +253,22 @@ def similar_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def one_of_each_component(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Rows of ``docs`` without those that are similar to a document of a smaller id; of rows that repeat a ``doc_id`` one stays."""
-    return without_ids(docs, similar_components(docs, k, percent).filter("doc_id <> component_id").select("doc_id"))
+    """Rows of ``docs`` without those that are similar, directly or through others, to a document of a smaller id.
+
+    Rows that share an id, or have none, are documents of their own if their texts differ; of equal rows under one id one stays.  Of similar
+    documents the one with the smallest id stays, then that of the least hash of its text; those without an id come last.
+    """
+    plain, odd = told_apart(docs)
+    found = write_scratch(similar_components(named(plain, odd), k, percent).select(F.col("doc_id").alias("name"), "component_id"), "similar-rows")
+    others = found.filter("name <> component_id").distinct()
+    members = others.unionByName(others.select(F.col("component_id").alias("name"), "component_id").distinct())
+    # Names made from hashes say nothing about the order of ids.
+    known = odd.select("name", F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("made", F.lit(True))
+    whose = members.join(known, "name", "left").withColumn("doc_id", F.when(F.col("made"), F.col("doc_id")).otherwise(F.col("name")))
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("name"))
+    first = whose.groupBy("component_id").agg(F.min_by("name", place).alias("stays"))
+    gone = members.join(first, "component_id").filter("name <> stays").select(F.col("name").alias("doc_id"))
+    return without(plain, odd, gone)
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ epoch and ``doc_id``; the leaf's share is the first tokens of this endless strea
 Tokens are blank-separated words.  Cases: null, empty and blank texts have no tokens; they are taken where the stream passes them, and a leaf
 that has no tokens gives nothing; null domains, languages and sources are nodes like others; a weight of 0 gives nothing, also
 in a shortage; rows that repeat a ``doc_id`` are documents of their own; a budget above all there is takes all there is; an empty
-table gives an empty result; further columns are ignored, whatever their names.
+table gives an empty result; very long texts are counted whole; documents at equal places of a stream stand by id, then by tokens and a
+hash of the text; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import read, without_ids, write_scratch
+from mailweave.llm.common import read, write_scratch
+from mailweave.llm.rows import made_name, told_apart, without
 
 LEVELS = ("domain", "lang", "source")
 SEED = 17
@@ -88,15 +90,15 @@ def _order(seed: int, epoch: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
 
 
-def select_prefixes(docs: DataFrame, shares: DataFrame, seed: int = SEED, levels=LEVELS) -> DataFrame:
-    """(doc_id, levels..., epoch, tokens): what each leaf's stream of epochs gives within its share.
+def select_prefixes(docs: DataFrame, shares: DataFrame, seed: int = SEED, levels=LEVELS, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, levels..., epoch, tokens, and ``more`` columns of ``docs``): what each leaf's stream of epochs gives within its share.
 
     Whole epochs need no order.  In the last one positions are summed in two steps, over 4096 slices of the order and inside a
     slice, so that a leaf with a third of all documents is spread over as many tasks.
     """
     met = docs.join(shares.withColumnRenamed("tokens", "leaf_tokens").filter("share > 0"), list(levels))
     met = met.withColumn("whole", F.expr("share div leaf_tokens")).withColumn("rest", F.expr("share % leaf_tokens"))
-    names = ["doc_id", *levels]
+    names = ["doc_id", *levels, *more]
     full = met.filter("whole > 0").select(*names, F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("epoch"), "tokens")
     last = met.filter("rest > 0").withColumn("place", _order(seed, F.col("whole"))).withColumn("slice", F.substring("place", 1, 3))
     sums = last.groupBy(*levels, "slice").agg(F.sum("tokens").alias("in_slice"))
@@ -116,18 +118,26 @@ def slim(docs: DataFrame, domain: Column) -> DataFrame:
                        F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"), F.xxhash64(text).alias("mark"))
 
 
-def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], budget: Column, max_epochs: int, seed: int = SEED) -> DataFrame:
-    """(doc_id, domain, lang, source, epoch, tokens) of what is selected; nodes are named by ``node``."""
+def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], budget: Column, max_epochs: int, seed: int = SEED,
+        more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, domain, lang, source, epoch, tokens, and ``more`` columns of ``slim``) of what is selected; nodes are named by ``node``."""
     counted = write_scratch(slim(docs, domain), "mix-documents")
     leaves = counted.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     shares = write_scratch(leaf_budgets(leaves, weights, budget, max_epochs), "mix-shares")
-    return select_prefixes(counted, shares, seed)
+    return select_prefixes(counted, shares, seed, more=more)
 
 
 def keep_mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], budget: Column, seed: int = SEED) -> DataFrame:
-    """Rows of ``docs`` that a mix without repeats selects, whole; of rows that repeat ``doc_id`` and text one stays."""
-    taken = mix(docs, domain, weights, budget, 1, seed).select("doc_id").distinct()
-    return without_ids(docs, docs.select("doc_id").filter("doc_id is not null").join(taken, "doc_id", "left_anti"), ("doc_id", "text"))
+    """Rows of ``docs`` that a mix without repeats selects, whole: a row stays if its own text was selected, not for another one's under its id.
+
+    Rows without an id are selected like others; of rows that repeat ``doc_id`` and text one stays.
+    """
+    taken = write_scratch(mix(docs, domain, weights, budget, 1, seed, ("mark",)).select("doc_id", "mark").distinct(), "mix-taken")
+    plain, odd = told_apart(docs)
+    chosen = taken.select(made_name(F.col("doc_id"), F.col("mark")).alias("doc_id"))
+    gone_odd = odd.select(F.col("name").alias("doc_id")).distinct().join(chosen, "doc_id", "left_anti")
+    gone = plain.select(F.col("doc_id").cast("long").alias("doc_id")).join(taken.select("doc_id"), "doc_id", "left_anti")
+    return without(plain, odd, gone.unionByName(gone_odd))
 
 
 WEIGHTS = {"domain": {"src0": 4, "src1": 3}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 2}}

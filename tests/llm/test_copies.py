@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mailweave.llm import bpe_automaton, ngram_join, pu_quality, source_mix, warc_zip
-from mailweave.llm.common import read, without_ids, write_scratch
+from mailweave.llm.common import read, write_scratch
+from mailweave.llm.rows import told_apart, without
 from mailweave.llm.shingles import shingles
 from mailweave.session import scratch_path
 
@@ -64,7 +65,7 @@ def test_odd_documents(spark, odd_docs, no_docs):
     assert ngram_join.similar_components(no_docs, 4, 85).count() == 0
     kept = ngram_join.one_of_each_component(odd_docs, 4, 85)
     assert kept.columns == odd_docs.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 3, 4, 5, 6, 7, 8]
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 3, 4, 5, 6, 7, 7, 8]
 
 
 def test_blocks_give_the_same_links(spark, monkeypatch):
@@ -211,6 +212,45 @@ def test_rows_under_one_id_are_told_apart_by_text(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     mixed = source_mix.keep_mix(docs, F.lit("d"), {}, F.expr("all")).collect()
     assert sorted((r.doc_id, r.text) for r in mixed) == sorted({(i, t) for i, t, _, _ in rows})
-    first, again = ([tuple(r) for r in without_ids(docs.repartition(n), docs.filter("doc_id = 3")).orderBy("doc_id").collect()]
+    first, again = ([tuple(r) for r in without(*told_apart(docs.repartition(n)), docs.filter("doc_id = 3").select("doc_id")).orderBy("doc_id", "text").collect()]
                     for n in (1, 13))
-    assert first == again == [(1, "text 0", "en", "src0"), (2, "alone", "en", "src1")]
+    assert first == again == [*((1, f"text {i}", "en", f"src{min(range(i, 40, 7), key=str)}") for i in range(7)), (2, "alone", "en", "src1")]
+
+
+def test_copies_among_rows_that_share_an_id(spark):
+    long = [" ".join(f"w{(i * j) % 97}x{i}" for j in range(80)) for i in range(6)]
+    rows = [(5, long[0], "a"), (5, long[1], "b"), (3, long[1] + " more", "c"), (None, long[0], "d"), (None, long[2], "e"), (None, long[2] + " end", "f"),
+            (9, long[3], "g"), (9, long[3], "h"), (9, long[3] + " x", "i"), (4, long[4], "j"), (6, long[4], "k"), (7, "", "l"), (8, None, "m"), (7, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name string")
+    kept = {r.name for r in ngram_join.one_of_each_component(docs, 5, 80).collect()}
+    # 5's first text outlives its copy without an id, 3 outlives 5's second text, 4 outlives 6; one of equal rows, one of near ones stays.
+    assert kept >= {"a", "c", "j", "m"} and not kept & {"b", "d", "k"}
+    assert len(kept & {"e", "f"}) == 1 and len(kept & {"g", "h", "i"}) == 1 and kept & {"l", "n"} == {"l", "n"}
+
+
+def test_mix_takes_rows_by_their_own_text(spark):
+    rows = [(1, f"text number {i} " * (i + 1), "en", "src0") for i in range(8)] + [(None, f"no id {i}", "en", "src0") for i in range(5)] + [
+        (10 + i, f"plain {i}", "en", "src0") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for budget in (0, 1, 30, 10_000):
+        taken = source_mix.mix(docs, F.lit("d"), {}, F.lit(budget), 1, more=("mark",)).select("doc_id", "mark").distinct().collect()
+        kept = source_mix.keep_mix(docs, F.lit("d"), {}, F.lit(budget))
+        marks = {(r.doc_id, r.mark) for r in kept.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")).collect()}
+        assert marks == {(r.doc_id, r.mark) for r in taken} and kept.count() == len(marks)
+        assert (budget == 0) == (not marks)
+
+
+def test_whole_pipeline_on_odd_rows_and_an_empty_table(spark, odd_docs, no_docs, tmp_path):
+    for name, docs in (("odd", odd_docs), ("none", no_docs)):
+        folder = str(tmp_path / name)
+        docs.drop("a.b").write.parquet(f"{folder}/documents.parquet")
+        read(spark, "/root/testdata/sf0.001", "labels").write.parquet(f"{folder}/labels.parquet")
+        at = read(spark, folder, "documents")
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            out = write_scratch(run(spark, at, folder), "test")
+            assert out.columns == at.columns, stage
+            assert out.count() <= at.count(), stage
+            at = out
+        encoded = corpus_pipeline.run(spark, folder)
+        assert encoded.count() == at.count() and encoded.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        assert (encoded.count() == 0) == (name == "none")
