@@ -8,6 +8,11 @@ Every stage takes what its predecessor kept, and all but the last return the col
 4. mix: nine tenths of the tokens, in the target mix of domains, languages and sources, every document once at most and whole;
 5. encode: digests of every document's token ids and of the text decoded from them.
 
+Cases, for the whole of it: a null text is as an empty one for every decision, and null, empty and very long texts are judged, cut, compared, counted
+and encoded whole.  Rows that share an id, or have none, are documents of their own where their texts differ; equal rows under one id
+are one from the copies stage on.  Equal places and equal documents are settled by ids, then by hashes of texts, never by where a row
+lies.  An empty table gives an empty result.  Further columns are carried along, whatever their names.
+
 SQL can express neither the classifier nor the encoding, so the whole is tested against a brute-force version.
 """
 
