@@ -6,8 +6,9 @@ a text's is the product over its words, times the language's share of texts.  Pi
 expectation maximisation, also over all segmentations.  With a small chance a word is of any language, so a borrowed passage weighs
 by its length and not by how strange its letters are.
 
-Learning reads at most about ``DOCS`` texts a language, drawn by a hash of their ids, and of their words the ``WORDS`` most frequent;
-every text is scored, whole and in place.  A letter outside the vocabulary counts as one unknown piece.
+Learning reads about ``DOCS`` texts a language, drawn by a hash of their ids, and all their words, whatever their length or number; each
+language learns in a task of its own and gives back the pieces it has met, so a table with very many languages costs what their words
+cost.  Every text is scored, whole and in place.  A letter outside the vocabulary counts as one unknown piece.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; without anything to learn from every text is ``und``; rows with
 a null ``doc_id`` or ``lang`` are scored and never learnt from, and a null id is not held out; ties go to the language that sorts first;
@@ -21,18 +22,18 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailweave.llm.common import fold, map_batches, read
-from mailweave.operators.skew import first_n_per_key
 
 DOCS = 1000  # texts a language to learn from, about
-WORDS = 20_000  # words a language to learn from, at most
 ROUNDS = 5
 FOREIGN = 0.3  # chance that a word of a text is of any language
 PSEUDO = 0.05  # count given to every piece in every language
 LONG = 64  # letters above which a word is summed step by step, with rescaling
+LEARN_AT_ONCE = 20_000  # words whose arcs are held together while learning
 CACHE = 200_000  # words a worker remembers; emptied when full
 START = "▁"  # how the vocabulary marks the start of a word
 WORD = re.compile(r"[^\W\d_]+")
@@ -55,19 +56,15 @@ def vocabulary(path: str | None = None) -> list[str]:
     return [p for p in plain if p.lower() == p and (p == START or p.removeprefix(START).isalpha())]
 
 
-class PieceModel:
-    """``theta``: languages x pieces; piece 0 is the unknown letter."""
+class Pieces:
+    """A vocabulary and the segmentations it allows; piece 0 is the unknown letter."""
 
-    def __init__(self, pieces: list[str], languages: list[str]):
-        self.pieces, self.languages = pieces, languages
+    def __init__(self, pieces: list[str]):
+        self.pieces = pieces
         self.ids = {p: i + 1 for i, p in enumerate(pieces)}
         self.longest = max(map(len, pieces), default=1)
         # Every beginning of a piece, with -1 where it is no piece itself: a look-up that fails ends the search at its place.
         self.starts = {p[:n]: -1 for p in pieces for n in range(1, len(p) + 1)} | self.ids
-        self.theta = np.full((len(languages), len(pieces) + 1), 1.0 / (len(pieces) + 1))
-        self.prior = np.zeros(len(languages))
-        self.known: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
 
     def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Every piece at every place: word number, start, end, piece.  Words are shorter than 127 letters, pieces than 64."""
@@ -92,7 +89,7 @@ class PieceModel:
         start = packed >> 26 & 127
         return packed >> 33, start, start + (packed >> 20 & 63), packed & (1 << 20) - 1
 
-    def _forward(self, n: int, arcs, weight: np.ndarray, width: int) -> np.ndarray:
+    def forward(self, n: int, arcs, weight: np.ndarray, width: int) -> np.ndarray:
         """``alpha[w, e]``: probability of the first e letters, all segmentations; ``weight`` belongs to the arcs."""
         of, start, end, _ = arcs
         alpha = np.zeros((n, width + 1))
@@ -104,26 +101,84 @@ class PieceModel:
             alpha[:, e] = np.bincount(of[at], alpha[of[at], start[at]] * weight[at], minlength=n)
         return alpha
 
-    def learn(self, counts: list[Counter], prior: np.ndarray) -> None:
-        """Expectation maximisation for each language over its word counts."""
-        self.prior = np.log(prior)
-        for k, counted in enumerate(counts):
-            kept = [w for w in counted if len(w) < LONG]
-            times = np.array([counted[w] for w in kept], dtype=np.float64)
-            arcs = self.arcs(kept)
-            of, start, end, piece = arcs
-            width = int(end.max(initial=0))
-            last = np.array([len(w) + 1 for w in kept], dtype=np.int64)
-            for _ in range(ROUNDS if kept else 0):
-                weight = self.theta[k][piece]
-                alpha = self._forward(len(kept), arcs, weight, width)
+    def long_arcs(self, word: str) -> list[list[tuple[int, int]]]:
+        """For every end in a long word the (start, piece) of all arcs."""
+        marked = START + word
+        found = []
+        for e in range(1, len(marked) + 1):
+            here = [(e - 1, self.ids.get(marked[e - 1], UNKNOWN))]
+            here += [(e - n, p) for n in range(2, min(self.longest, e) + 1) if (p := self.ids.get(marked[e - n:e])) is not None]
+            found.append(here)
+        return found
+
+    def expected_long(self, word: str, theta: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece in a long word; forward and backward sums are rescaled at every place."""
+        arcs = self.long_arcs(word)
+        n = len(arcs)
+        alpha, scale = np.zeros(n + 1), np.ones(n + 1)
+        alpha[0] = 1
+        for e, here in enumerate(arcs, 1):
+            # alpha[i] stands for itself times the product of scale[1..i].
+            total, factor, at = 0.0, 1.0, e - 1
+            for i, p in here:
+                while at > i:
+                    factor, at = factor / scale[at], at - 1
+                total += alpha[i] * factor * theta[p]
+            scale[e], alpha[e] = total, 1.0
+        expected, beta = np.zeros(len(theta)), np.zeros(n + 1)
+        beta[n] = 1
+        for e in range(n, 0, -1):
+            factor, at = 1.0 / scale[e], e - 1
+            for i, p in arcs[e - 1]:
+                while at > i:
+                    factor, at = factor / scale[at], at - 1
+                share = alpha[i] * theta[p] * factor * beta[e]
+                expected[p] += share
+                beta[i] += share
+        return expected
+
+    def learnt(self, words: list[str], times: np.ndarray) -> np.ndarray:
+        """Piece probabilities of one language by expectation maximisation over its word counts."""
+        theta = np.full(len(self.pieces) + 1, 1.0 / (len(self.pieces) + 1))
+        short = [i for i, w in enumerate(words) if len(w) < LONG]
+        long = [(words[i], times[i]) for i in sorted(set(range(len(words))) - set(short))]
+        blocks = []
+        for a in range(0, len(short), LEARN_AT_ONCE):
+            kept = [words[i] for i in short[a:a + LEARN_AT_ONCE]]
+            blocks.append((self.arcs(kept), np.array([len(w) + 1 for w in kept], dtype=np.int64), times[short[a:a + LEARN_AT_ONCE]]))
+        for _ in range(ROUNDS if words else 0):
+            expected = np.full(len(theta), PSEUDO)
+            for arcs, last, n in blocks:
+                of, start, end, piece = arcs
+                weight, width = theta[piece], int(end.max(initial=0))
+                alpha = self.forward(len(last), arcs, weight, width)
                 # Backwards is forwards on mirrored arcs.
-                mirrored = (of, last[of] - end, last[of] - start, piece)
-                beta = self._forward(len(kept), mirrored, weight, width)
-                whole = alpha[np.arange(len(kept)), last]
-                share = alpha[of, start] * weight * beta[of, last[of] - end] / whole[of] * times[of]
-                expected = np.bincount(piece, share, minlength=len(self.pieces) + 1) + PSEUDO
-                self.theta[k] = expected / expected.sum()
+                beta = self.forward(len(last), (of, last[of] - end, last[of] - start, piece), weight, width)
+                whole = alpha[np.arange(len(last)), last]
+                share = alpha[of, start] * weight * beta[of, last[of] - end] / whole[of] * n[of]
+                expected += np.bincount(piece, share, minlength=len(theta))
+            for word, n in long:
+                expected += n * self.expected_long(word, theta)
+            theta = expected / expected.sum()
+        return theta
+
+
+class PieceModel(Pieces):
+    """For each language the pieces that it has met, their probabilities, and the one probability of all others."""
+
+    def __init__(self, pieces: list[str], languages: list[str]):
+        super().__init__(pieces)
+        none = np.zeros(0, dtype=np.int32), np.zeros(0), 1.0 / (len(pieces) + 1)
+        self.languages, self.met = languages, [none] * len(languages)
+        self.prior = np.zeros(len(languages))
+        self.known: dict[str, int] = {}
+        self.rows: list[np.ndarray] = []
+
+    def theta(self, k: int) -> np.ndarray:
+        at, value, rest = self.met[k]
+        out = np.full(len(self.pieces) + 1, rest)
+        out[at] = value
+        return out
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word in each language."""
@@ -134,7 +189,7 @@ class PieceModel:
             arcs = self.arcs(chosen)
             width, last = int(arcs[2].max()), np.array([len(w) + 1 for w in chosen])
             for k in range(len(self.languages)):
-                alpha = self._forward(len(chosen), arcs, self.theta[k][arcs[3]], width)
+                alpha = self.forward(len(chosen), arcs, self.theta(k)[arcs[3]], width)
                 out[short, k] = np.log(alpha[np.arange(len(chosen)), last])
         for i in set(range(len(words))) - set(short):
             out[i] = self._long(words[i])
@@ -143,14 +198,13 @@ class PieceModel:
         return np.logaddexp(np.log(1 - FOREIGN) + out, np.log(FOREIGN) + foreign)
 
     def _long(self, word: str) -> np.ndarray:
-        marked, scale = START + word, np.zeros(len(self.languages))
+        arcs, scale = self.long_arcs(word), np.zeros(len(self.languages))
+        used = sorted({p for here in arcs for _, p in here})
+        place = {p: i for i, p in enumerate(used)}
+        theta = np.stack([self.theta(k)[used] for k in range(len(self.languages))], axis=1)  # pieces of the word x languages
         behind = [np.ones(len(self.languages))]  # alpha of the last places, divided by exp(scale)
-        for e in range(1, len(marked) + 1):
-            total = behind[-1] * self.theta[:, self.ids.get(marked[e - 1], UNKNOWN)]
-            for n in range(2, min(self.longest, e) + 1):
-                p = self.ids.get(marked[e - n:e])
-                if p is not None:
-                    total = total + behind[-n] * self.theta[:, p]
+        for e, here in enumerate(arcs, 1):
+            total = sum(behind[i - e] * theta[place[p]] for i, p in here)
             behind = [*behind[-self.longest + 1:], total] if self.longest > 1 else [total]
             if e % 32 == 0:
                 top = np.max(behind, axis=0)
@@ -186,10 +240,11 @@ class PieceModel:
         return names, scores
 
 
-def word_counts(docs: DataFrame, languages: dict[str, int], docs_each: int, words_each: int) -> DataFrame:
-    """(lang, word, n): counts of the most frequent words of the sampled texts of each language."""
-    share = F.create_map(*[F.lit(x) for name, n in languages.items() for x in (name, min(1.0, docs_each / n))])
-    drawn = docs.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+def word_counts(docs: DataFrame, shares: DataFrame, docs_each: int) -> DataFrame:
+    """(lang, word, n): counts of all words of the sampled texts of each language; ``shares``: (lang, n), its texts."""
+    place = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30))
+    # One row a language; texts stay where they are.
+    drawn = docs.join(F.broadcast(shares), "lang").filter(place < F.least(F.lit(1.0), F.lit(float(docs_each)) / F.col("n")) * (1 << 30))
 
     def run(batch):
         counts = Counter()
@@ -198,22 +253,35 @@ def word_counts(docs: DataFrame, languages: dict[str, int], docs_each: int, word
         return {"lang": [k[0] for k in counts], "word": [k[1] for k in counts], "n": list(counts.values())}
 
     counted = map_batches(drawn.select("lang", "text"), "lang string, word string, n long", run)
-    total = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return first_n_per_key(total, ["lang"], [F.desc("n"), F.col("word")], words_each, "word").select("lang", "word", "n")
+    return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def learnt_pieces(counts: DataFrame, pieces: list[str]) -> DataFrame:
+    """(lang, piece, theta, rest): each language learns in its own group, of the words of about ``DOCS`` texts, and gives back what it has met."""
+    sent = counts.sparkSession.sparkContext.broadcast(pieces)
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("word")
+        theta = Pieces(sent.value).learnt(rows["word"].tolist(), rows["n"].to_numpy(dtype=np.float64))
+        rest = float(theta.min())
+        met = np.flatnonzero(theta > rest * (1 + 1e-9))
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "piece": [met.astype(np.int32)], "theta": [theta[met]], "rest": [rest]})
+
+    return counts.groupBy("lang").applyInPandas(learn, "lang string, piece array<int>, theta array<double>, rest double")
 
 
-def fitted(docs: DataFrame, folds: int = 3, docs_each: int = DOCS, words_each: int = WORDS, path: str | None = None) -> PieceModel:
+def fitted(docs: DataFrame, folds: int = 3, docs_each: int = DOCS, path: str | None = None) -> PieceModel:
     """Learn from rows outside fold 1 that have an id and a language."""
     usable = docs.select("doc_id", "lang", "text").filter((fold(F.col("doc_id"), folds) != 1) & F.col("lang").isNotNull())
-    shares = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # one row a language
-    languages = {r["lang"]: r["count"] for r in sorted(shares, key=lambda r: r["lang"])}
-    model = PieceModel(vocabulary(path), list(languages))
+    shares = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = {r["lang"]: r["n"] for r in shares.orderBy("lang").collect()}  # one row a language
+    model = PieceModel(vocabulary(path), sorted(languages))
     if languages:
-        counts = {name: Counter() for name in languages}
-        for r in word_counts(usable, languages, docs_each, words_each).collect():
-            counts[r["lang"]][r["word"]] = r["n"]
-        total = np.array(list(languages.values()), dtype=np.float64)
-        model.learn(list(counts.values()), total / total.sum())
+        total = np.array([languages[name] for name in model.languages], dtype=np.float64)
+        model.prior = np.log(total / total.sum())
+        place = {name: k for k, name in enumerate(model.languages)}
+        for r in learnt_pieces(word_counts(usable, shares, docs_each), model.pieces).collect():
+            model.met[place[r.lang]] = np.array(r.piece, dtype=np.int32), np.array(r.theta), r.rest
     return model
 
 

@@ -67,13 +67,13 @@ def _all_segmentations(model, k, marked):
     for n in range(1, len(marked) + 1):
         piece = model.ids.get(marked[:n], piece_language.UNKNOWN if n == 1 else None)
         if piece is not None:
-            total += model.theta[k][piece] * _all_segmentations(model, k, marked[n:])
+            total += model.theta(k)[piece] * _all_segmentations(model, k, marked[n:])
     return total
 
 
 def test_forward_algorithm_sums_all_segmentations():
     model = piece_language.PieceModel(["▁", "▁a", "a", "b", "ab", "ba", "▁ab", "bab"], ["x", "y"])
-    model.theta = np.random.default_rng(3).dirichlet(np.ones(9), 2)
+    model.met = [(np.arange(9), row, 0.0) for row in np.random.default_rng(3).dirichlet(np.ones(9), 2)]
     words = ["a", "ab", "abba", "babab", "aqb", "ab" * 40]
     share = piece_language.FOREIGN
     for word, got in zip(words, model.word_scores(words), strict=True):
@@ -86,6 +86,31 @@ def test_forward_algorithm_sums_all_segmentations():
     assert np.allclose(np.exp(short[0]), (1 - share) * plain + share * plain.mean())
 
 
+def test_learning_long_words_like_short_ones(monkeypatch):
+    pieces = piece_language.Pieces(["▁", "▁a", "a", "b", "ab", "ba", "▁ab", "bab"])
+    words, times = ["abba" * 10, "ab", "babab" * 7, "aqb"], np.array([3.0, 10.0, 2.0, 1.0])
+    short = pieces.learnt(words, times)
+    monkeypatch.setattr(piece_language, "LONG", 5)
+    assert np.allclose(pieces.learnt(words, times), short) and abs(short.sum() - 1) < 1e-9
+    very_long = "ab" * 4000
+    uses = pieces.expected_long(very_long, short)
+    assert np.isfinite(uses).all() and uses[piece_language.UNKNOWN] < 1e-9 and len(very_long) / 3 < uses.sum() <= len(very_long) + 1
+
+
+def test_rare_and_long_words_and_stray_languages_count(spark):
+    rows = [(i, " ".join(f"ordinary{chr(97 + j % 26)}" for j in range(40)), "en") for i in range(40)]
+    rows += [(100 + i, "x" + "yz" * 40, "fr") for i in range(30)] + [(1000 + i, f"{'qwerty'[i % 6]}stray", f"stray{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = piece_language.fitted(docs)
+    assert len(model.languages) > 150
+    # A language of long words only has learnt them, and what a stray language has met is as small as its words.
+    fr = model.languages.index("fr")
+    assert len(model.met[fr][0]) and max(len(m[0]) for lang, m in zip(model.languages, model.met, strict=True) if lang.startswith("stray")) < 60
+    found = {r.doc_id: r.lang_pred for r in piece_language.predict(docs, model).filter("held_out").collect()}
+    held = [i for i in found if i < 1000]
+    assert held and all(found[i] == ("en" if i < 100 else "fr") for i in held)
+
+
 def _random_network(vocabulary, seed=5):
     net = pseudo_likelihood.WindowNetwork(vocabulary.contexts, vocabulary.digits)
     return pseudo_likelihood.WindowNetwork(vocabulary.contexts, vocabulary.digits, np.random.default_rng(seed).standard_normal(net.size) * 0.2)
