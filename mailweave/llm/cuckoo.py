@@ -110,13 +110,26 @@ class CuckooFilter:
 
     def delete(self, keys: np.ndarray) -> None:
         """Delete keys that are in the filter (the caller's exact table says so)."""
-        prints, first, second = self._places(keys) if len(keys) else ((), (), ())
-        for key, p, *buckets in zip(keys, prints, first, second, strict=True):
-            if bytes(key) in self.stash:
-                self.stash.remove(bytes(key))
-                continue
-            for b in buckets:
-                hit = np.flatnonzero(self.table[b] == p)
-                if len(hit):
-                    self.table[b, hit[0]] = 0
-                    break
+        if self.stash and len(keys):
+            stashed = set(self.stash)
+            held = np.array([bytes(k) in stashed for k in keys])
+            away = {bytes(k) for k in keys[held]}
+            self.stash = [k for k in self.stash if k not in away]
+            keys = keys[~held]
+        if not len(keys):
+            return
+        prints, first, second = self._places(keys)
+        left = self._clear(prints, first, np.arange(len(keys)))
+        self._clear(prints[left], second[left], left)
+
+    def _clear(self, prints: np.ndarray, bucket: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Free one slot that holds the fingerprint for each entry; returns the owners of those that found none."""
+        order = np.lexsort((prints, bucket))
+        prints, bucket, owner = prints[order], bucket[order], owner[order]
+        start = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (prints[1:] != prints[:-1])]) if len(prints) else np.zeros(0, dtype=np.int64)
+        rank = np.arange(len(bucket)) - np.repeat(start, np.diff(np.r_[start, len(bucket)]))
+        same = self.table[bucket] == prints[:, None]
+        fits = rank < same.sum(axis=1)
+        places = np.argsort(~same[fits], axis=1, kind="stable")[np.arange(fits.sum()), rank[fits]]
+        self.table[bucket[fits], places] = 0
+        return owner[~fits]

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailweave.llm.common import columns, map_batches, read, small_batches, thrifty, write_scratch
-from mailweave.llm.cuckoo import CuckooFilter, as_keys
+from mailweave.llm.cuckoo import LOAD, CuckooFilter, as_keys
 
 MIN_CHARS = 10
 KEYS_PER_SHARD = 100_000
@@ -134,10 +134,11 @@ def _probe(rows: DataFrame, filters: DataFrame, which: str) -> DataFrame:
     return small_batches(dealt).mapInArrow(thrifty(run), schema)
 
 
-def _grow_filters(filters: DataFrame, changes: DataFrame) -> DataFrame:
+def _grow_filters(filters: DataFrame, changes: DataFrame, room: int = 1) -> DataFrame:
     """Apply (shard, key, change) to the filters; changes: seen+, repeated+, seen-, repeated-.
 
-    Keys come once for each change, so a shard's group is bounded by its share of distinct keys whatever the texts repeat.
+    Keys come once for each change, so a shard's group is bounded by its share of distinct keys whatever the texts repeat.  A shard
+    without a filter gets one with room for ``room`` times its keys.
     """
 
     def apply(shard, old, new):
@@ -149,7 +150,7 @@ def _grow_filters(filters: DataFrame, changes: DataFrame) -> DataFrame:
             if len(old) and len(old[which].iloc[0]):
                 filter_ = CuckooFilter.load(old[which].iloc[0], old[which + "_stash"].iloc[0])
             else:
-                filter_ = CuckooFilter.sized(len(add))
+                filter_ = CuckooFilter.sized(room * len(add))
             filter_.delete(gone)
             filter_.insert(add)
             return filter_.dump()
@@ -174,8 +175,49 @@ def _changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("shard", "key", F.explode(steps).alias("change"))
 
 
-def insert(state: LineState, docs: DataFrame, min_chars: int = MIN_CHARS) -> LineState:
-    """Add documents.  Keys the ``seen`` filters have never met need no look into the stored tables; only the others do."""
+def _all_steps(refs: DataFrame) -> DataFrame:
+    """(shard, key, change) that build the filters of a reference table from nothing."""
+    steps = F.when(F.col("n_docs") > 1, F.array(F.lit("seen+"), F.lit("repeated+"))).otherwise(F.array(F.lit("seen+")))
+    return refs.select("shard", "key", F.explode(steps).alias("change"))
+
+
+def crowded_shards(filters: DataFrame, refs: DataFrame) -> DataFrame:
+    """(shard): filters whose tables are too small for the keys that the reference table has now."""
+    held = refs.groupBy("shard").agg(F.count("*").alias("n_seen"), F.count_if(F.col("n_docs") > 1).alias("n_repeated"))
+    slots = lambda which: F.octet_length(which) / 2
+    sized = filters.select("shard", slots("seen").alias("seen"), slots("repeated").alias("repeated"))
+    return sized.join(held, "shard").filter((F.col("n_seen") > LOAD * F.col("seen")) | (F.col("n_repeated") > LOAD * F.col("repeated"))).select("shard")
+
+
+def _updated_filters(filters: DataFrame, changes: DataFrame, refs: DataFrame) -> DataFrame:
+    """The filters after some changes to ``refs``, the table as it is now; crowded ones are built again from it, twice as large."""
+    full = write_scratch(crowded_shards(filters, refs), "line-crowded")
+    again = _grow_filters(filters.limit(0), _all_steps(refs.join(full, "shard", "left_semi")), room=2)
+    changes = changes.join(full, "shard", "left_anti")
+    stay = filters.join(full, "shard", "left_anti")
+    grown = write_scratch(_grow_filters(stay.join(changes.select("shard").distinct(), "shard", "left_semi"), changes), "line-filters-grown")
+    untouched = stay.join(grown.select("shard"), "shard", "left_anti")
+    return write_scratch(untouched.unionByName(grown).unionByName(again), "line-filters")
+
+
+def resharded(state: LineState, keys_per_shard: int = KEYS_PER_SHARD) -> LineState:
+    """The same state in twice as many shards, and again, until none has more than twice ``keys_per_shard`` keys on average."""
+    keys, shards = state.refs.count(), state.shards
+    while keys > 2 * keys_per_shard * shards:
+        shards *= 2
+    if shards == state.shards:
+        return state
+    at = F.pmod(F.hash("key"), F.lit(shards))
+    refs = write_scratch(state.refs.withColumn("shard", at), "line-refs")
+    filters = write_scratch(_grow_filters(state.filters.limit(0), _all_steps(refs)), "line-filters")
+    return LineState(state.postings.withColumn("shard", at), refs, filters, shards)
+
+
+def insert(state: LineState, docs: DataFrame, min_chars: int = MIN_CHARS, keys_per_shard: int = KEYS_PER_SHARD) -> LineState:
+    """Add documents.  Keys the ``seen`` filters have never met need no look into the stored tables; only the others do.
+
+    Filters that get crowded are built again at twice the size from the reference counts, and shards are split as the keys grow.
+    """
     fresh = write_scratch(postings(docs, state.shards, min_chars), "line-postings")
     met = _probe(fresh, state.filters, "seen")
     old = met.filter("maybe").join(state.postings, ["shard", "key", "doc_id"], "left_anti").select("shard", "key", "doc_id")
@@ -184,10 +226,9 @@ def insert(state: LineState, docs: DataFrame, min_chars: int = MIN_CHARS) -> Lin
     touched = state.refs.join(counted.select("shard", "key"), ["shard", "key"], "left_semi")
     merged = touched.unionByName(counted).groupBy("shard", "key").agg(F.sum("n_docs").alias("n_docs"), F.min("owner").alias("owner"))
     untouched = state.refs.join(counted.select("shard", "key"), ["shard", "key"], "left_anti")
-    filters = _grow_filters(state.filters, _changes(touched, merged))
-    kept = state.filters.join(filters.select("shard"), "shard", "left_anti")
-    return LineState(state.postings.unionByName(added), write_scratch(untouched.unionByName(merged), "line-refs"),
-                     write_scratch(kept.unionByName(filters), "line-filters"), state.shards)
+    refs = write_scratch(untouched.unionByName(merged), "line-refs")
+    filters = _updated_filters(state.filters, _changes(touched, merged), refs)
+    return resharded(LineState(state.postings.unionByName(added), refs, filters, state.shards), keys_per_shard)
 
 
 def first_state(docs: DataFrame, min_chars: int = MIN_CHARS, keys_per_shard: int = KEYS_PER_SHARD) -> LineState:
@@ -195,9 +236,7 @@ def first_state(docs: DataFrame, min_chars: int = MIN_CHARS, keys_per_shard: int
     shards = shards_for(docs, keys_per_shard)
     posted = write_scratch(postings(docs, shards, min_chars), "line-postings")
     refs = write_scratch(count_refs(posted), "line-refs")
-    steps = F.when(F.col("n_docs") > 1, F.array(F.lit("seen+"), F.lit("repeated+"))).otherwise(F.array(F.lit("seen+")))
-    empty = LineState.empty(docs.sparkSession, shards)
-    filters = _grow_filters(empty.filters, refs.select("shard", "key", F.explode(steps).alias("change")))
+    filters = _grow_filters(LineState.empty(docs.sparkSession, shards).filters, _all_steps(refs))
     return LineState(posted, refs, write_scratch(filters, "line-filters"), shards)
 
 
@@ -208,10 +247,8 @@ def delete(state: LineState, doc_ids: DataFrame) -> LineState:
     posted = write_scratch(state.postings.join(gone, "doc_id", "left_anti").select("shard", "key", "doc_id"), "line-postings")
     touched = state.refs.join(keys, ["shard", "key"], "left_semi")
     now = count_refs(posted.join(keys, ["shard", "key"], "left_semi"))
-    filters = _grow_filters(state.filters, _changes(touched, now))
-    kept = state.filters.join(filters.select("shard"), "shard", "left_anti")
-    refs = state.refs.join(keys, ["shard", "key"], "left_anti").unionByName(now)
-    return LineState(posted, write_scratch(refs, "line-refs"), write_scratch(kept.unionByName(filters), "line-filters"), state.shards)
+    refs = write_scratch(state.refs.join(keys, ["shard", "key"], "left_anti").unionByName(now), "line-refs")
+    return LineState(posted, refs, _updated_filters(state.filters, _changes(touched, now), refs), state.shards)
 
 
 def losses(state: LineState) -> DataFrame:

@@ -67,3 +67,41 @@ def test_batches_and_deletions_are_reversible(spark):
     assert refs(gone) == refs(L.insert(L.LineState.empty(spark, 4), first))
     back = L.insert(gone, second)
     assert _got(docs, back) == _got(docs, whole) and refs(back) == refs(whole)
+
+
+def test_delete_is_that_of_one_key_at_a_time():
+    rng = np.random.default_rng(5)
+    keys = rng.integers(0, 256, (3000, 16), dtype=np.uint8)
+    for size in (3000, 700):  # with and without a stash
+        whole, single = CuckooFilter.sized(size), CuckooFilter.sized(size)
+        whole.insert(keys)
+        single.insert(keys)
+        assert bool(whole.stash) == (size == 700)
+        gone = rng.permutation(3000)[:2000]
+        whole.delete(keys[gone])
+        for i in gone:
+            single.delete(keys[i:i + 1])
+        assert (whole.table > 0).sum() == (single.table > 0).sum() and sorted(whole.stash) == sorted(single.stash)
+        left = np.setdiff1d(np.arange(3000), gone)
+        assert whole.contains(keys[left]).all() and whole.contains(keys[gone]).mean() < 0.02
+        whole.delete(keys[left])
+        assert not whole.table.any() and not whole.stash
+
+
+def test_filters_grow_with_the_batches(spark):
+    """A first batch of few lines, then many times as many: filters are built again and shards split, and the stash stays empty."""
+    line = lambda i, j: f"line number {(i * 7 + j) % 900} of the corpus"
+    rows = [(i, "\n".join(line(i, j) for j in range(4)) + f"\nonly in document {i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    state = L.insert(L.LineState.empty(spark, 1), docs.filter("doc_id < 3"), keys_per_shard=200)
+    slots = [state.filters.selectExpr("sum(octet_length(seen)) as n").first().n]
+    for low, high in ((3, 40), (40, 200), (200, 600)):
+        state = L.insert(state, docs.filter(f"doc_id >= {low} and doc_id < {high}"), keys_per_shard=200)
+        sums = state.filters.selectExpr("sum(octet_length(seen)) as n", "sum(octet_length(seen_stash) + octet_length(repeated_stash)) as s").first()
+        slots.append(sums.n)
+        assert sums.s <= 0.01 * 16 * state.refs.count()
+    assert slots[-1] > 50 * slots[0] and state.shards >= 4
+    assert state.filters.count() == state.refs.select("shard").distinct().count()
+    assert _got(docs, state) == _plain(rows)
+    gone = L.delete(state, docs.filter("doc_id >= 100").select("doc_id"))
+    assert _got(docs.filter("doc_id < 100"), gone) == _plain(rows[:100])
