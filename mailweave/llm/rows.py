@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import columns, split_by_id
+from mailweave.llm.common import columns, split_by_id, write_scratch
 
 LOWEST = -(1 << 62)  # names made from hashes lie below
 
@@ -24,10 +24,15 @@ def made_name(doc_id: Column, of_text: Column) -> Column:
 
 
 def told_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` whose id is surely theirs alone, and (name, doc_id, text, r: the row) of all others, which are few where few ids are shared."""
-    again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    sure, maybe = split_by_id(docs, again)
+    """``docs`` whose id is surely theirs alone, and (name, doc_id, text, r: the row) of all others, which are few where few ids are shared.
+
+    Where every row has an id and none is shared, which the ids alone tell, ``docs`` come back as they are.
+    """
+    again = write_scratch(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "shared-ids")
     packed = [made_name(F.col("doc_id"), mark()).alias("name"), F.col("doc_id"), F.col("text"), F.struct(*columns(docs)).alias("r")]
+    if again.isEmpty() and docs.filter("doc_id is null").isEmpty():
+        return docs, docs.limit(0).select(*packed)
+    sure, maybe = split_by_id(docs, again)
     return sure.filter("doc_id is not null"), maybe.select(*packed).unionByName(sure.filter("doc_id is null").select(*packed))
 
 
