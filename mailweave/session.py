@@ -34,9 +34,14 @@ def build_session(master: str | None = None, app_name: str = "mailweave", **conf
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, else a folder in the warehouse."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else a folder in the warehouse, if that is not one machine's own disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "scratch")
+    if folder:
+        return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not spark.sparkContext.master.startswith("local") and ("://" not in warehouse or warehouse.startswith("file:")):
+        raise RuntimeError("on a cluster spark.checkpoint.dir names the folder that all executors share; it is not set")
+    return os.path.join(warehouse, "scratch")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
