@@ -34,7 +34,8 @@ FOREIGN = 0.3  # chance that a word of a text is of any language
 PSEUDO = 0.05  # count given to every piece in every language
 LONG = 64  # letters above which a word is summed step by step, with rescaling
 LEARN_AT_ONCE = 20_000  # words whose arcs are held together while learning
-CACHE = 200_000  # words a worker remembers; emptied when full
+TOGETHER = 8  # languages whose sums are held together
+CACHE = 500_000  # words a worker remembers; emptied when full
 START = "▁"  # how the vocabulary marks the start of a word
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = 0
@@ -89,16 +90,20 @@ class Pieces:
         start = packed >> 26 & 127
         return packed >> 33, start, start + (packed >> 20 & 63), packed & (1 << 20) - 1
 
-    def forward(self, n: int, arcs, weight: np.ndarray, width: int) -> np.ndarray:
-        """``alpha[w, e]``: probability of the first e letters, all segmentations; ``weight`` belongs to the arcs."""
-        of, start, end, _ = arcs
-        alpha = np.zeros((n, width + 1))
-        alpha[:, 0] = 1
-        order = np.argsort(end, kind="stable")
+    def forward(self, n: int, arcs, thetas: list[np.ndarray], width: int) -> np.ndarray:
+        """``alpha[k, w, e]``: probability of the first e letters in language k, all segmentations."""
+        of, start, end, piece = arcs
+        alpha = np.zeros((len(thetas), n, width + 1))
+        alpha[:, :, 0] = 1
+        # The order of the arcs is the same in all languages.
+        order = np.argsort(end.astype(np.int16), kind="stable")
         cuts = np.searchsorted(end[order], np.arange(width + 2))
+        of, start, piece = of[order], start[order], piece[order]
         for e in range(1, width + 1):
-            at = order[cuts[e]:cuts[e + 1]]
-            alpha[:, e] = np.bincount(of[at], alpha[of[at], start[at]] * weight[at], minlength=n)
+            at = slice(cuts[e], cuts[e + 1])
+            words, here, used = of[at], start[at], piece[at]
+            for k, theta in enumerate(thetas):
+                alpha[k, :, e] = np.bincount(words, alpha[k][words, here] * theta[used], minlength=n)
         return alpha
 
     def long_arcs(self, word: str) -> list[list[tuple[int, int]]]:
@@ -151,9 +156,9 @@ class Pieces:
             for arcs, last, n in blocks:
                 of, start, end, piece = arcs
                 weight, width = theta[piece], int(end.max(initial=0))
-                alpha = self.forward(len(last), arcs, weight, width)
+                alpha, = self.forward(len(last), arcs, [theta], width)
                 # Backwards is forwards on mirrored arcs.
-                beta = self.forward(len(last), (of, last[of] - end, last[of] - start, piece), weight, width)
+                beta, = self.forward(len(last), (of, last[of] - end, last[of] - start, piece), [theta], width)
                 whole = alpha[np.arange(len(last)), last]
                 share = alpha[of, start] * weight * beta[of, last[of] - end] / whole[of] * n[of]
                 expected += np.bincount(piece, share, minlength=len(theta))
@@ -188,9 +193,9 @@ class PieceModel(Pieces):
             chosen = [words[i] for i in short]
             arcs = self.arcs(chosen)
             width, last = int(arcs[2].max()), np.array([len(w) + 1 for w in chosen])
-            for k in range(len(self.languages)):
-                alpha = self.forward(len(chosen), arcs, self.theta(k)[arcs[3]], width)
-                out[short, k] = np.log(alpha[np.arange(len(chosen)), last])
+            for a in range(0, len(self.languages), TOGETHER):
+                alpha = self.forward(len(chosen), arcs, [self.theta(k) for k in range(len(self.languages))[a:a + TOGETHER]], width)
+                out[short, a:a + TOGETHER] = np.log(alpha[:, np.arange(len(chosen)), last]).T
         for i in set(range(len(words))) - set(short):
             out[i] = self._long(words[i])
         # Any word may be a foreign one: a few words of another language cannot outweigh the rest.
