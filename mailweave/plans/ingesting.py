@@ -140,9 +140,10 @@ def archive_ledger(spark, sf):
 
 
 def _streamed(spark, sf):
-    """The document file read as a stream, composed to messages, and ingested; returns the store's folder."""
+    """The documents, one file or a folder of files, read as a stream, composed to messages, and ingested; returns the store's folder."""
     schema = table(spark, sf, "documents").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    # A stream reads folders and patterns only; this pattern is met by the table's name, be it a file's or a folder's.
+    arriving = spark.readStream.schema(schema).parquet(f"{sf}/documents.parque[t]")
     messages = mail_from(arriving, table(spark, sf, "events")).select(
         F.col("email_id").alias("id"), "archive_id",
         F.concat(F.col("email_id").cast("string"), F.lit(".eml")).alias("source_file"),
