@@ -10,6 +10,7 @@ from collections import Counter
 from collections.abc import Iterator
 from email.utils import parseaddr, parsedate_to_datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -172,15 +173,18 @@ def scan_archives(files: DataFrame) -> DataFrame:
 def parse_messages(messages: DataFrame, keep: tuple[str, ...] = ("id",), raw: str = "raw") -> DataFrame:
     """Decode a column of message bytes next to the columns of ``keep``, of which the first is unique.
 
-    Decoding is the costly part, so a small input is spread over all cores by that column first.
+    Decoding is the costly part, so a small input is spread over all cores by that column first.  What a worker holds decoded is
+    bounded by ``CHUNK_BYTES`` of messages and one more.
     """
     kept = messages.select(*keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
 
     def run(batches):
         for batch in batches:
-            decoded = frame([parse(bytes(r)) for r in batch[raw]], RAW_NAMES)
-            yield pd.concat([batch[list(keep)].reset_index(drop=True), decoded], axis=1)
+            ends = np.cumsum([len(r or b"") for r in batch[raw]]) // CHUNK_BYTES
+            for _, part in batch.groupby(ends):
+                decoded = frame([parse(bytes(r)) for r in part[raw]], RAW_NAMES)
+                yield pd.concat([part[list(keep)].reset_index(drop=True), decoded], axis=1)
 
     return spread(messages.select(*keep, raw), keep[0]).mapInPandas(run, f"{schema}, {_RAW_FIELDS}")
 
