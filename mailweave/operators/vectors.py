@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from mailweave.functions.analysis import tokens
 from mailweave.functions.text import SHORT_TEXT_CHARS, embedding_text, let
 from mailweave.operators.browse import hydrate, metadata_columns
-from mailweave.operators.keyword import counted
+from mailweave.operators.keyword import counted, fixed
 from mailweave.operators.skew import first_n_per_key, lookup_join, spread
 from mailweave.session import materialise
 
@@ -119,7 +119,13 @@ def semantic_search(
     shaped = hits.select(
         "id", "metadata.subject", "metadata.sender", "metadata.sent_at", F.lit(None).cast("string").alias("summary"),
         F.substring("document", 1, SHORT_TEXT_CHARS).alias("snippet"), "score")
-    return hydrate(shaped, emails).orderBy(F.desc("score"), "id")
+    return hydrate(*_with_mails(shaped, emails)).orderBy(F.desc("score"), "id")
+
+
+def _with_mails(hits: DataFrame, emails: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A request's hits, ``MAX_K`` at most, computed now, and their mails by a literal list: nothing is worked out for other mails."""
+    held = fixed(hits)
+    return held, emails.filter(F.col("id").isin([r.id for r in held.select("id").collect()]))
 
 
 def similar_to(vectors: DataFrame, item, k: int = 5) -> DataFrame:
@@ -136,6 +142,7 @@ def similar_to(vectors: DataFrame, item, k: int = 5) -> DataFrame:
 
 def recommendations(similar: DataFrame, emails: DataFrame) -> DataFrame:
     """Similar mails with their data; those whose mail is gone drop out."""
+    similar, emails = _with_mails(similar, emails)
     return similar.join(
         emails.select("id", "subject", "sender", "sent_at", "summary"), "id"
     ).select("id", "subject", "sender", "sent_at", "similarity_score", "summary").orderBy(F.desc("similarity_score"), "id")
