@@ -1,12 +1,14 @@
 """Text analysis for search: word boundaries, accent folding, Porter stems.
 
-Everything is a built-in expression, so terms are produced inside the JVM during the scan and no
-vocabulary join is needed.
+Words, folds and stems are built-in expressions.  Where all words of all mails are stemmed, expressions cost more than all else, as
+each occurrence is worked out anew; :func:`term_of` is the same stem of one word, for workers that remember the words they have met.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -200,3 +202,83 @@ def with_stem(rows: DataFrame, token: str, term: str = "term") -> DataFrame:
     for step in _STEPS:
         out = out.withColumn(term, let(F.col(term), _for_long(step)))
     return out.withColumn(term, F.translate(F.col(term), "Y", "y")).drop("_long")
+
+
+# ---- The same for one word -------------------------------------------------------------------------------------
+
+REMEMBERED = 1 << 18  # words of which a worker keeps the term
+
+_ACCENTS = str.maketrans(FOLD_FROM, FOLD_TO)
+_LONG_FOLDS = [(letter, plain) for letter, plain in _SPECIAL.items() if len(plain) > 1]
+_HAS_MEASURE, _HAS_TWO, _HAS_VOWEL = (re.compile(p) for p in (_M_POSITIVE, _M_ABOVE_ONE, _V))
+_ENDS_SHORT, _IS_SHORT, _ENDS_CONSONANT = (re.compile(p) for p in (_SHORT_END, _SHORT_WORD, f"{_C}$"))
+_TWO, _THREE, _FOUR = (re.compile(f"({'|'.join(rules)})$") for rules in (_STEP_TWO, _STEP_THREE, _STEP_FOUR))
+
+
+def _fold_word(word: str) -> str:
+    """As :func:`fold`."""
+    if word.isascii():
+        return word
+    kept = []
+    for letter in word.translate(_ACCENTS):
+        # A mark after a plain letter goes, and so does each mark behind it.
+        mark = unicodedata.category(letter) == "Mn" or letter == "\u1734"  # the latter in Java's tables
+        if not (mark and kept and kept[-1].isascii() and kept[-1].isalpha()):
+            kept.append(letter)
+    folded = "".join(kept)
+    for letter, plain in _LONG_FOLDS:
+        folded = folded.replace(letter, plain)
+    return folded
+
+
+def _past_word(word: str) -> str:
+    if word.endswith("eed"):
+        return word[:-1] if _HAS_MEASURE.search(word[:-3]) else word
+    if not word.endswith(("ed", "ing")):
+        return word
+    rest = word[:-2] if word.endswith("ed") else word[:-3]
+    if not _HAS_VOWEL.search(rest):
+        return word
+    last_two = rest[-2:].lower()
+    if rest.endswith(("at", "bl", "iz")):
+        return rest + "e"
+    if len(rest) > 1 and last_two[0] == last_two[-1] and _ENDS_CONSONANT.search(rest):
+        return rest if rest[-1] in "lsz" else rest[:-1]
+    return rest + "e" if _IS_SHORT.search(rest) else rest
+
+
+def _rewritten(word: str, pattern: re.Pattern, rules: dict[str, str]) -> str:
+    found = pattern.search(word)
+    if found and _HAS_MEASURE.search(word[:found.start()]):
+        return word[:found.start()] + rules[found[1]]
+    return word
+
+
+def _stem_word(word: str) -> str:
+    if "y" in word:
+        word = re.sub("yy", "yY", re.sub("([aeiou])y", r"\1Y", re.sub("^y", "Y", word)))
+    if word.endswith("s"):
+        word = re.sub("(?:(ss)es|(i)es|([^s])s)$", lambda m: m[1] or m[2] or m[3], word)
+    word = _past_word(word)
+    if word.endswith(("y", "Y")) and _HAS_VOWEL.search(word[:-1]):
+        word = word[:-1] + "i"
+    word = _rewritten(_rewritten(word, _TWO, _STEP_TWO), _THREE, _STEP_THREE)
+    found = _FOUR.search(word)
+    if found:
+        base = word[:found.start()]
+        if (found[1] != "ion" or base.endswith(("s", "t"))) and _HAS_TWO.search(base):
+            word = base
+    if word.endswith("e"):
+        base = word[:-1]
+        if _HAS_TWO.search(base) or (_HAS_MEASURE.search(base) and not _ENDS_SHORT.search(base)):
+            word = base
+    if word.endswith("ll") and _HAS_TWO.search(word):
+        word = word[:-1]
+    return word.replace("Y", "y")
+
+
+@lru_cache(REMEMBERED)
+def term_of(token: str, stem: bool = True) -> str:
+    """The term that :func:`with_stem` gives a lower-case word, or without ``stem`` the one that :func:`fold` gives."""
+    word = _fold_word(token)
+    return (_stem_word(word) if len(word) > 2 else word.replace("Y", "y")) if stem else word

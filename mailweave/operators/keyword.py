@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailweave.functions.analysis import fold, surface_tokens, tokens, with_stem
+from mailweave.functions.analysis import fold, surface_tokens, term_of, tokens, with_stem
 from mailweave.functions.text import let, search_snippet
 from mailweave.operators.address_search import grams_of, matching
 from mailweave.operators.skew import first_n_per_key, spread
@@ -28,6 +31,7 @@ SUBJECT_CHARS = 1024
 MAX_EXPANSIONS = 50
 MAX_QUERY_CHARS, MAX_PAGE = 500, 100
 TERM_BUCKETS = 256
+BLOCK_TOKENS = 1 << 19  # words that a worker counts at once
 BODY_FRAGMENT, SUMMARY_FRAGMENT = 150, 120
 
 
@@ -55,15 +59,54 @@ def counted(words: Column) -> Column:
 def token_rows(emails: DataFrame, stem: bool = True) -> DataFrame:
     """``(id, field, dl, term, tf, head)``: term counts of each analysed field with the field's length.
 
-    Words are counted and stemmed where their mail lies; texts are not moved.  The only shuffle brings together what is left: the
-    counts of words with one stem.  ``head`` marks one row for each field of a mail, so that lengths can be averaged from here.
+    Words are cut where their mail lies, and stemmed and counted by the workers next to it, which remember the stems of words they have
+    met; neither texts nor counts are moved.  Only where ids come more than once a shuffle brings their counts together.  ``head`` marks
+    one row for each field of a mail, so that lengths can be averaged from here.
     """
     placed = spread(emails.select("id", *dict.fromkeys(ANALYSED.values())), "id")
     lists = field_rows(placed).select("id", "field", tokens(F.col("text")).alias("tokens"))
-    words = lists.select("id", "field", F.size("tokens").cast("bigint").alias("dl"), F.posexplode(counted(F.col("tokens"))).alias("at", "w"))
-    words = words.select("id", "field", "dl", "at", F.col("w.token").alias("token"), F.col("w.tf").alias("tf"))
-    terms = with_stem(words, "token") if stem else words.withColumn("term", fold(F.col("token")))
-    return terms.groupBy("id", "field", "dl", "term").agg(F.sum("tf").alias("tf"), (F.min("at") == 0).alias("head"))
+    kind = emails.schema["id"].dataType.simpleString()
+    terms = lists.mapInArrow(_count_terms(stem), f"id {kind}, field string, dl bigint, term string, tf bigint, head boolean")
+    if not emails.groupBy("id").count().filter("count > 1").take(1):
+        return terms
+    return terms.groupBy("id", "field", "dl", "term").agg(F.sum("tf").alias("tf"), F.max("head").alias("head"))
+
+
+def _count_terms(stem: bool):
+    """Counts of each row's terms, some ``BLOCK_TOKENS`` words at a time."""
+    def run(batches):
+        for batch in batches:
+            ends = np.cumsum(pc.list_value_length(batch["tokens"]).to_numpy(zero_copy_only=False))
+            # Rows whose words end in the same block of words are counted together.
+            cuts = np.flatnonzero(np.diff(ends // BLOCK_TOKENS)) + 1
+            for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+                part = batch.slice(start, end - start)
+                if len(part["tokens"].flatten()):
+                    yield _counted_terms(part, stem)
+
+    return run
+
+
+def _counted_terms(part: pa.RecordBatch, stem: bool) -> pa.RecordBatch:
+    lengths = pc.list_value_length(part["tokens"]).to_numpy(zero_copy_only=False).astype("int64")
+    words = part["tokens"].flatten().dictionary_encode()
+    codes = words.indices.to_numpy(zero_copy_only=False)
+    named = pa.array([term_of(w, stem) for w in words.dictionary.to_pylist()], pa.string()).dictionary_encode()
+    term, count = named.indices.to_numpy(zero_copy_only=False).astype("int64"), len(named.dictionary)
+    # Row and term in one number.
+    found, tf = np.unique(np.repeat(np.arange(len(lengths)), lengths) * count + term[codes], return_counts=True)
+    order = pc.sort_indices(words.dictionary).to_numpy()
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    filled = np.flatnonzero(lengths)
+    first = order[np.minimum.reduceat(rank[codes], (np.cumsum(lengths) - lengths)[filled])]
+    head = np.zeros(len(found), bool)
+    head[np.searchsorted(found, filled * count + term[first])] = True
+    row = found // count
+    return pa.RecordBatch.from_arrays(
+        [part["id"].take(pa.array(row)), part["field"].take(pa.array(row)), pa.array(lengths[row]),
+         named.dictionary.take(pa.array(found % count)), pa.array(tf.astype("int64")), pa.array(head)],
+        ["id", "field", "dl", "term", "tf", "head"])
 
 
 def posting_rows(emails: DataFrame, stem: bool = True) -> DataFrame:
@@ -310,15 +353,20 @@ def expand_request(terms: DataFrame, vocab: DataFrame, max_expansions: int = MAX
     words = _wanted(terms).collect()
     if not words:
         return _best_expansions(_wanted(terms).select("*", F.col("query_term").alias("term")), max_expansions)
-    listed = F.array(*[F.struct(*[F.lit(w[c]).alias(c) for c in ("query_id", "pos", "query_term", "k", "field")]) for w in words])
+    swaps = lambda w: [w[:i] + w[i + 1] + w[i] + w[i + 2:] for i in range(len(w) - 1)]
+    listed = F.array(*[F.struct(
+        *[F.lit(w[c]).alias(c) for c in ("query_id", "pos", "query_term", "k", "field")],
+        F.array(*map(F.lit, swaps(w.query_term) if w.k == 1 else [])).cast("array<string>").alias("swaps")) for w in words])
     lengths = sorted({n for w in words for n in range(len(w.query_term) - w.k, len(w.query_term) + w.k + 1)})
 
     def close(w: Column) -> Column:
-        # A swap is two plain edits, so two edits of any kind are four plain ones at most.
-        return (
-            (w["field"] == F.col("field")) & (F.abs(F.length(w["query_term"]) - F.length("term")) <= w["k"])
-            & (F.levenshtein(w["query_term"], F.col("term"), 4) >= 0)
-        )
+        # One edit is a plain one or a swap.  A swap is two plain edits, so two edits of any kind are four plain ones at most; of
+        # short words, which may have one edit, nearly all lie within four of each other.
+        wanted, term = w["query_term"], F.col("term")
+        near = F.when(w["k"] == 0, wanted == term).when(
+            w["k"] == 1, (F.levenshtein(wanted, term, 1) >= 0) | F.array_contains(w["swaps"], term)).otherwise(
+            F.levenshtein(wanted, term, 4) >= 0)
+        return (w["field"] == F.col("field")) & (F.abs(F.length(wanted) - F.length("term")) <= w["k"]) & near
 
     length = F.col("length") if "length" in vocab.columns else F.length("term")
     # Tests on the word alone come first: where a vocabulary is in parts, only words that pass are added up.
@@ -334,7 +382,9 @@ def _wanted(terms: DataFrame) -> DataFrame:
 
 def _best_expansions(pairs: DataFrame, max_expansions: int) -> DataFrame:
     """Test candidate pairs and keep the ``max_expansions`` best of each query term, the limit a search request has."""
-    scored = pairs.withColumn("edits", edit_distance(F.col("query_term"), F.col("term"))).filter(F.col("edits") <= F.col("k"))
+    # Filters are not pushed below an explode, so the distance is worked out once a pair and not again in each of them.
+    edits = F.explode(F.array(edit_distance(F.col("query_term"), F.col("term"))))
+    scored = pairs.select("*", edits.alias("edits")).filter(F.col("edits") <= F.col("k"))
     shorter = F.least(F.length("query_term"), F.length("term"))
     scored = scored.withColumn("weight", F.when(F.col("edits") == 0, 1.0).otherwise(1.0 - F.col("edits") / shorter))
     best = first_n_per_key(
@@ -345,7 +395,7 @@ def _best_expansions(pairs: DataFrame, max_expansions: int) -> DataFrame:
 
 def fixed(rows: DataFrame) -> DataFrame:
     """The rows computed now and held in the plan; for one request's terms, which are bounded."""
-    return rows.sparkSession.createDataFrame(rows.toArrow())
+    return rows.sparkSession.createDataFrame(rows.toArrow(), schema=rows.schema)
 
 
 def exact_terms(terms: DataFrame) -> DataFrame:

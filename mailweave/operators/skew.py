@@ -66,4 +66,18 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     moved; only a small input, say one file, is dealt out by its unique ``key``.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+    return rows if planned_partitions(rows) >= cores else rows.repartition(cores, key)
+
+
+def planned_partitions(rows: DataFrame) -> int:
+    """In how many partitions ``rows`` are planned to lie.
+
+    An adaptive plan runs all its exchanges before it can tell, and what it has run is not used again.
+    """
+    conf, name = rows.sparkSession.conf, "spark.sql.adaptive.enabled"
+    adaptive = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return rows.select("*").rdd.getNumPartitions()
+    finally:
+        conf.set(name, adaptive)
