@@ -13,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailweave.operators.keyword import BOOSTS, K1, B, Index
+from mailweave.operators.keyword import BOOSTS, K1, B, Index, in_folders, term_bucket
 from mailweave.operators.skew import first_n_per_key
 from mailweave.session import materialise
 
 SEED_POSTINGS = 256  # postings of a query's strongest terms before no further term is added to them
+LISTED_TERMS = 100_000  # distinct terms of a batch that every task can hold
 SLACK = 2e-6  # scores this close may be ranked alike after rounding
 
 
@@ -37,11 +38,25 @@ def weighted_terms(terms: DataFrame, index: Index) -> DataFrame:
                        (weight * term_part(F.col("max_tf"), F.col("min_dl"), F.col("avgdl"))).alias("bound"))
 
 
+def postings_of(terms: DataFrame, index: Index) -> DataFrame:
+    """The postings of a batch's terms: folders that hold none of them are not read, and all other postings end in the scan, before a join moves them.
+
+    Only beyond ``LISTED_TERMS`` terms, whose postings are a large part of all, a shuffle brings both sides together.
+    """
+    listed = terms.select("field", "term").distinct()
+    # No more than TERM_BUCKETS numbers, however many terms there are.
+    buckets = {r.b for r in listed.select(term_bucket(F.col("term")).alias("b")).distinct().collect()}
+    found = in_folders(index.postings, buckets)
+    if listed.limit(LISTED_TERMS + 1).count() > LISTED_TERMS:
+        return found
+    return found.join(F.broadcast(listed), ["field", "term"], "left_semi")
+
+
 def parts(weighted: DataFrame, index: Index) -> DataFrame:
     """``(query_id, id, field, part)``: the postings of each query's terms, scored."""
     listed = weighted.select("query_id", "field", "term", "weight", "avgdl")
     part = F.col("weight") * term_part(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    return index.postings.join(listed, ["field", "term"]).select("query_id", "id", "field", part.alias("part"))
+    return postings_of(listed, index).join(listed, ["field", "term"]).select("query_id", "id", "field", part.alias("part"))
 
 
 def _sums(rows: DataFrame) -> DataFrame:
@@ -81,10 +96,11 @@ def candidates(split_terms: DataFrame, index: Index, n: int) -> DataFrame:
 
 def looked_up(kept: DataFrame, split_terms: DataFrame, index: Index) -> DataFrame:
     """``(query_id, id, field, part)`` of the optional terms in the mails that are left."""
-    wanted = kept.select("query_id", "field", "id").join(split_terms.filter("optional"), ["query_id", "field"]).select(
+    optional = split_terms.filter("optional")
+    wanted = kept.select("query_id", "field", "id").join(optional, ["query_id", "field"]).select(
         "query_id", "id", "field", "term", "weight", "avgdl")
     part = F.col("weight") * term_part(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    return index.postings.join(wanted, ["field", "term", "id"]).select("query_id", "id", "field", part.alias("part"))
+    return postings_of(optional, index).join(wanted, ["field", "term", "id"]).select("query_id", "id", "field", part.alias("part"))
 
 
 def best_per_query(terms: DataFrame, index: Index, n: int) -> DataFrame:

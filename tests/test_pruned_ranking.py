@@ -57,6 +57,38 @@ def test_few_pairs_are_scored(spark, corpus, queries):
     assert joined + asked < 0.5 * every, (joined, asked, every)
 
 
+def shuffled_rows(spark, frame):
+    """Rows that the exchanges of a plan write when no join is broadcast by size."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        frame = frame.select("*")
+        frame.collect()
+        total, open_ = 0, [frame._jdf.queryExecution().executedPlan()]
+        while open_:
+            node = open_.pop()
+            written = node.metrics().get("shuffleRecordsWritten")
+            total += written.get().value() if written.isDefined() else 0
+            open_ += [node.children().apply(i) for i in range(node.children().size())]
+        return total
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_postings_of_other_terms_are_not_moved(spark, corpus, queries):
+    terms = K.exact_terms(K.query_terms(queries.filter("query = 'w399 w398'")))
+    weighted = materialise(P.weighted_terms(terms, corpus), "test").withColumn("optional", F.lit(True))
+    kept = corpus.postings.join(weighted.select("field", "term"), ["field", "term"]).select(
+        F.lit(weighted.first().query_id).alias("query_id"), "id", "field").distinct()
+    every = corpus.postings.count()
+    assert P.looked_up(kept, weighted, corpus).count() > 0
+    assert shuffled_rows(spark, P.looked_up(materialise(kept, "test"), weighted, corpus)) < every / 10
+    assert shuffled_rows(spark, P.parts(weighted, corpus)) < every / 10
+
+
 def test_bounds_hold(spark, corpus, queries):
     weighted = materialise(P.weighted_terms(K.exact_terms(K.query_terms(queries)), corpus), "test")
     part = F.col("weight") * P.term_part(F.col("tf"), F.col("dl"), F.col("avgdl"))
