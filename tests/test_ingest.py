@@ -182,3 +182,15 @@ def test_large_archive_is_handed_over_in_pieces(spark, tmp_path, monkeypatch):
 
     pieces = list(S._scan(iter([pd.DataFrame({"path": ["p"], "content": [buffer.getvalue()]})])))
     assert [len(p) for p in pieces] == [1] * 5
+
+
+def test_headers_are_parsed_once():
+    raw = (b"From: A <a@x.org>\r\nTo: b@x.org\r\nSubject: s\r\nMIME-Version: 1.0\r\n"
+           b"Content-Type: multipart/alternative; boundary=q\r\n\r\n--q\r\nContent-Type: text/plain\r\n\r\nhello\r\n"
+           b"--q\r\nContent-Type: text/html\r\n\r\n<p>m</p>\r\n--q--\r\n")
+    S._parsed_header.cache_clear()
+    first = S.parse(raw)
+    known = S._parsed_header.cache_info()
+    assert known.misses <= 8 and known.hits > 10
+    assert S.parse(raw) == first and S._parsed_header.cache_info().misses == known.misses
+    assert first["error"] is None and first["text_body"].strip() == "hello" and first["receivers"] == ["b@x.org"]
