@@ -25,7 +25,9 @@ def mail_from(documents: DataFrame, events: DataFrame) -> DataFrame:
 
     topic = F.when(n % 29 == 0, F.lit("")).otherwise(F.concat(F.lit("Topic "), (n % 40).cast("string")))
     prefix = F.when(n % 4 == 0, "").when(n % 4 == 1, "Re: ").when(n % 4 == 2, "FWD: re:  ").otherwise("fw:")
-    joined = documents.withColumn("event_id", n * 5).join(events.select("event_id", "ts", "user_id"), "event_id")
+    # Other events meet no document; they need not be moved.
+    met = events.filter(F.col("event_id") % 5 == 0).select("event_id", "ts", "user_id")
+    joined = documents.withColumn("event_id", n * 5).join(met, "event_id")
     return joined.select(
         n.alias("email_id"),
         F.col("source").alias("archive_id"),

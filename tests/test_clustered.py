@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mailweave.operators import browse as B
@@ -49,3 +50,30 @@ def test_date_range(spark, table):
     read, found = rows_read(table.filter(inside).select("id", "sent_at"))
     want = table.select("sent_at").toPandas().sent_at.between("1970-02-01", "1970-02-03").sum()
     assert len(found) == want > 0 and read < ROWS / 5
+
+
+def test_rows_are_worked_out_once_and_lie_in_ranges(spark, tmp_path):
+    worked_out = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(n):
+        worked_out.add(1)
+        return f"text {n}"
+
+    # A seventh of the rows has no time, a third one and the same.
+    at = F.when(F.col("id") % 7 > 0, F.when(F.col("id") % 3 > 0, F.timestamp_seconds(F.pmod(F.xxhash64("id"), F.lit(10**7)))).otherwise(F.timestamp_seconds(F.lit(5))))
+    rows = spark.range(0, ROWS, 1, 4).select("id", at.alias("sent_at"), text("id").alias("body_text"))
+    write_clustered(rows, str(tmp_path / "once"), looked_up=("id",))
+    assert worked_out.value == ROWS
+    stored = spark.read.parquet(str(tmp_path / "once"))
+    assert stored.select("id", "body_text").distinct().count() == ROWS
+    order = F.struct("sent_at", "id")
+    files = stored.groupBy(F.input_file_name().alias("f")).agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("n"))
+    found = files.orderBy("low").select("n", (F.lead("low").over(Window.orderBy("low")) > F.col("high")).alias("apart")).collect()
+    assert len(found) > 4 and all(r.apart for r in found[:-1]) and max(r.n for r in found) < ROWS / 3
+
+
+@pytest.mark.parametrize("n", [0, 1])
+def test_few_rows(spark, tmp_path, n):
+    write_clustered(spark.range(n).select("id", F.lit(None).cast("timestamp").alias("sent_at")), str(tmp_path / "few"), looked_up=("id",))
+    assert spark.read.parquet(str(tmp_path / "few")).count() == n
