@@ -23,7 +23,11 @@ MAX_TOKEN_CHARS = 255
 _SINGLE = r"[\p{IsHan}\p{IsHiragana}]"
 _WORD = r"[\p{L}\p{N}\p{M}_&&[^\p{IsHan}\p{IsHiragana}]]"
 _JOINT = r"(?:(?<=\p{L}|\p{M})[.:·'’‘․](?=\p{L})|(?<=\p{N})[.,;'’‘․](?=\p{N}))"
-TOKEN = rf"{_SINGLE}\p{{M}}*|{_WORD}++(?:{_JOINT}{_WORD}++)*+"
+# Tests of script and category are dear: plain letters are met first, other ASCII never gets to them, and what is behind a joint
+# is looked at only where there is one.
+_RUN = rf"(?:[A-Za-z0-9_]++|(?![\x00-\x7f]){_WORD})++"
+_JOINED = rf"(?=[.:·,;'’‘․]){_JOINT}{_RUN}"
+TOKEN = rf"{_RUN}(?:{_JOINED})*+|(?![\x00-\x7f]){_SINGLE}\p{{M}}*"
 
 # Letters whose plain form is not their decomposition (fixed values of the folding table).
 _SPECIAL = {
@@ -213,14 +217,17 @@ _LONG_FOLDS = [(letter, plain) for letter, plain in _SPECIAL.items() if len(plai
 _HAS_MEASURE, _HAS_TWO, _HAS_VOWEL = (re.compile(p) for p in (_M_POSITIVE, _M_ABOVE_ONE, _V))
 _ENDS_SHORT, _IS_SHORT, _ENDS_CONSONANT = (re.compile(p) for p in (_SHORT_END, _SHORT_WORD, f"{_C}$"))
 _TWO, _THREE, _FOUR = (re.compile(f"({'|'.join(rules)})$") for rules in (_STEP_TWO, _STEP_THREE, _STEP_FOUR))
+_ENDS_TWO, _ENDS_THREE = tuple(_STEP_TWO), tuple(_STEP_THREE)
 
 
 def _fold_word(word: str) -> str:
     """As :func:`fold`."""
     if word.isascii():
         return word
-    kept = []
-    for letter in word.translate(_ACCENTS):
+    word, kept = word.translate(_ACCENTS), []
+    if word.isascii():
+        return word
+    for letter in word:
         # A mark after a plain letter goes, and so does each mark behind it.
         mark = unicodedata.category(letter) == "Mn" or letter == "\u1734"  # the latter in Java's tables
         if not (mark and kept and kept[-1].isascii() and kept[-1].isalpha()):
@@ -247,7 +254,9 @@ def _past_word(word: str) -> str:
     return rest + "e" if _IS_SHORT.search(rest) else rest
 
 
-def _rewritten(word: str, pattern: re.Pattern, rules: dict[str, str]) -> str:
+def _rewritten(word: str, pattern: re.Pattern, rules: dict[str, str], endings: tuple[str, ...]) -> str:
+    if not word.endswith(endings):  # most words; far cheaper than the search
+        return word
     found = pattern.search(word)
     if found and _HAS_MEASURE.search(word[:found.start()]):
         return word[:found.start()] + rules[found[1]]
@@ -262,8 +271,8 @@ def _stem_word(word: str) -> str:
     word = _past_word(word)
     if word.endswith(("y", "Y")) and _HAS_VOWEL.search(word[:-1]):
         word = word[:-1] + "i"
-    word = _rewritten(_rewritten(word, _TWO, _STEP_TWO), _THREE, _STEP_THREE)
-    found = _FOUR.search(word)
+    word = _rewritten(_rewritten(word, _TWO, _STEP_TWO, _ENDS_TWO), _THREE, _STEP_THREE, _ENDS_THREE)
+    found = _FOUR.search(word) if word.endswith(_STEP_FOUR) else None
     if found:
         base = word[:found.start()]
         if (found[1] != "ion" or base.endswith(("s", "t"))) and _HAS_TWO.search(base):

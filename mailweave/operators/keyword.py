@@ -203,10 +203,11 @@ def write_index(emails: DataFrame, folder: str, stem: bool = True) -> None:
     """
     spark = emails.sparkSession
     path = os.path.join(folder, "postings")
-    # Ranging samples its input first, and the lengths are averaged: from a written table these are cheap reads.
+    # Three tables are made from what the analysis leaves.
     analysed = materialise(posting_rows(emails, stem), "postings")
+    # Rebalanced by size, which asks for no sample of the postings first.
     (analysed.drop("head").withColumn("term_bucket", term_bucket(F.col("term")))
-     .repartitionByRange("term_bucket", "field", "term", "id").sortWithinPartitions("term_bucket", "field", "term", "id")
+     .hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "field", "term", "id")
      .write.mode("overwrite").partitionBy("term_bucket").parquet(path))
     store_vocabulary(analysed, folder)
     store_stats(stats_from(stat_parts(analysed)), folder)

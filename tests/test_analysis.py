@@ -1,10 +1,12 @@
 """Stems, tokens and folding against small plain-Python versions."""
 
+import random
 import re
 import unicodedata
 
 from pyspark.sql import functions as F
 
+from mailweave.functions import analysis
 from mailweave.functions.analysis import fold, tokens, with_stem
 
 
@@ -139,3 +141,14 @@ def test_folding_drops_accents(spark):
             assert row.f == base, row
     special = spark.createDataFrame([("straße Æon œuvre café é",)], "c string").select(fold(F.col("c"))).first()[0]
     assert special == "strasse AEon oeuvre cafe e"
+
+
+def test_words_are_cut_as_by_the_plain_rule(spark):
+    """The pattern tests plain letters first; the rule without that gives the same words."""
+    plain = (rf"{analysis._SINGLE}\p{{M}}*|{analysis._WORD}++(?:{analysis._JOINT}{analysis._WORD}++)*+")
+    pick = random.Random(5)
+    letters = "ab1_.:·,;'’‘․ -\n\t\u0301\u0308éßøÆ漢ひカ한Ж١²ªⅣ\U0001d400\U0001f600\u200d\u00ad"
+    texts = ["".join(pick.choices(letters, k=pick.randint(0, 30))) for _ in range(4000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    both = rows.select("text", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(n) for n, p in (("old", plain), ("new", analysis.TOKEN))])
+    assert [r for r in both.collect() if r.old != r.new] == []
